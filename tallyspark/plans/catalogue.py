@@ -65,3 +65,74 @@ def q30b_top_products(spark, sf_dir):
 def q31_monthly(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     return rs.report_year_invoices(rs.fct_invoices(raw), rs.dim_datetime(raw))
+
+
+# --- plan-vs-fact panel and contract features (M9-M13) ------------------------
+
+from tallyspark.plans import panel as pn  # noqa: E402
+
+
+@query("q01_city_label")
+def q01_city_label(spark, sf_dir):
+    return pn.city_counts(tables(spark, sf_dir))
+
+
+@query("q02_contract_panel")
+def q02_contract_panel(spark, sf_dir):
+    return pn.contract_panel(tables(spark, sf_dir))
+
+
+@query("q03_programme_rules")
+def q03_programme_rules(spark, sf_dir):
+    return pn.programme_rules(tables(spark, sf_dir))
+
+
+@query("q04_membership_flags")
+def q04_membership_flags(spark, sf_dir):
+    return pn.membership_flags(tables(spark, sf_dir))
+
+
+@query("q05_penetration")
+def q05_penetration(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return pn.penetration_table(pn.contract_panel(t))
+
+
+@query("q06_weighted_rates")
+def q06_weighted_rates(spark, sf_dir):
+    return pn.weighted_rates(tables(spark, sf_dir))
+
+
+@query("q07_plan_totals")
+def q07_plan_totals(spark, sf_dir):
+    return pn.plan_totals(tables(spark, sf_dir))
+
+
+@query("q08_fact_brand_split")
+def q08_fact_brand_split(spark, sf_dir):
+    return pn.fact_splits(tables(spark, sf_dir)).select("mac", "fp_count_fact", "nefp_count_fact")
+
+
+@query("q09_fact_like_split")
+def q09_fact_like_split(spark, sf_dir):
+    return pn.fact_splits(tables(spark, sf_dir)).select("mac", "asp_d_count_fact", "c2c_count_fact", "ab_count_fact")
+
+
+@query("q10_latest_row")
+def q10_latest_row(spark, sf_dir):
+    return pn.latest_policy(tables(spark, sf_dir))
+
+
+@query("q11_role_flags")
+def q11_role_flags(spark, sf_dir):
+    return pn.cancellation_flags(tables(spark, sf_dir))
+
+
+@query("q12_residual_plan")
+def q12_residual_plan(spark, sf_dir):
+    return pn.residual_plan(tables(spark, sf_dir))
+
+
+@query("q13_plan_vs_fact")
+def q13_plan_vs_fact(spark, sf_dir):
+    return pn.plan_vs_fact(tables(spark, sf_dir))
