@@ -136,3 +136,81 @@ def q12_residual_plan(spark, sf_dir):
 @query("q13_plan_vs_fact")
 def q13_plan_vs_fact(spark, sf_dir):
     return pn.plan_vs_fact(tables(spark, sf_dir))
+
+
+# --- SQL exercises (M16, W5/W6, A18, A15/A16) -----------------------------------
+
+from tallyspark.plans import cross_sell as cs  # noqa: E402
+from tallyspark.plans import exercises as ex  # noqa: E402
+
+
+@query("q14_retention")
+def q14_retention(spark, sf_dir):
+    return ex.retention(ex.user_actions(tables(spark, sf_dir)), 7, 1997, match_year=True)
+
+
+@query("q14_retention_month_only")
+def q14_retention_month_only(spark, sf_dir):
+    return ex.retention(ex.user_actions(tables(spark, sf_dir)), 7, 1997, match_year=False)
+
+
+@query("q15_yoy")
+def q15_yoy(spark, sf_dir):
+    return ex.yoy_growth(tables(spark, sf_dir))
+
+
+@query("q17_packing")
+def q17_packing(spark, sf_dir):
+    return ex.warehouse_packing(ex.inventory(tables(spark, sf_dir)))
+
+
+@query("q18_frequency_median")
+def q18_frequency_median(spark, sf_dir):
+    return ex.frequency_median(ex.search_frequency(tables(spark, sf_dir)))
+
+
+# --- cross-sell and crosstabs (P1-P5, M14, M15) ------------------------------------
+
+@query("q19_positional_crosstab")
+def q19_positional_crosstab(spark, sf_dir):
+    return cs.type_slots(tables(spark, sf_dir))
+
+
+@query("q20_composition_weekly")
+def q20_composition_weekly(spark, sf_dir):
+    return cs.weekly_composition(tables(spark, sf_dir))
+
+
+@query("q21_cross_sell")
+def q21_cross_sell(spark, sf_dir):
+    return cs.cross_sell(tables(spark, sf_dir))
+
+
+@query("q21b_cross_sell_agg")
+def q21b_cross_sell_agg(spark, sf_dir):
+    return cs.cross_sell_agg(tables(spark, sf_dir))
+
+
+@query("q22_client_groups")
+def q22_client_groups(spark, sf_dir):
+    return cs.client_groups(tables(spark, sf_dir))
+
+
+@query("q23_reconcile")
+def q23_reconcile(spark, sf_dir):
+    return cs.reconcile(tables(spark, sf_dir))
+
+
+@query("q24_transpose")
+def q24_transpose(spark, sf_dir):
+    return cs.transpose_records(tables(spark, sf_dir))
+
+
+@query("q24b_top5_pivot")
+def q24b_top5_pivot(spark, sf_dir):
+    return cs.top_records_pivot(tables(spark, sf_dir))
+
+
+@query("q25_rank_contracts")
+def q25_rank_contracts(spark, sf_dir):
+    return cs.rank_anchor_contracts(tables(spark, sf_dir))
