@@ -214,3 +214,53 @@ def q24b_top5_pivot(spark, sf_dir):
 @query("q25_rank_contracts")
 def q25_rank_contracts(spark, sf_dir):
     return cs.rank_anchor_contracts(tables(spark, sf_dir))
+
+
+# --- product ETL, quality gates, copies and CSV (M8, D1-D7, S3-S6, O3) ---------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tallyspark.plans import gates as gt  # noqa: E402
+from tallyspark.plans import product_etl as pe  # noqa: E402
+from tallyspark.session import scratch_dir  # noqa: E402
+from tallyspark.sources import io as sio  # noqa: E402
+
+# Tables the product ETL looks for (one is absent on purpose).
+COPY_CANDIDATES = ["part", "nation", "region", "supplier", "customer", "product_subcategory_missing"]
+
+
+@query("q32_product_snowflake")
+def q32_product_snowflake(spark, sf_dir):
+    return pe.product_snowflake(tables(spark, sf_dir))
+
+
+@query("q33_gates")
+def q33_gates(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return gt.gate_results(ad.raw_invoices(t), ad.country_reference(t))
+
+
+@query("q33b_failed_rows")
+def q33b_failed_rows(spark, sf_dir):
+    return gt.failed_invoice_rows(ad.raw_invoices(tables(spark, sf_dir)))
+
+
+@query("q34_load_audit")
+def q34_load_audit(spark, sf_dir):
+    names = sio.discover_tables(spark, sf_dir, COPY_CANDIDATES)
+    audit = sio.copy_tables(spark, sf_dir, names, scratch_dir(spark, "staging"), prefix="src_")
+    return audit.select("table_name", "rows_imported")
+
+
+@query("q35_csv_raw")
+def q35_csv_raw(spark, sf_dir):
+    path = scratch_dir(spark, "raw_invoices_csv")
+    sio.write_csv(ad.raw_invoices(tables(spark, sf_dir)), path)
+    return sio.read_csv_typed(spark, path)
+
+
+@query("q36_sorted_limit")
+def q36_sorted_limit(spark, sf_dir):
+    c = ad.contracts(tables(spark, sf_dir))
+    return (c.select("contract_id", "issue_dt", "loan_amt", "city")
+            .orderBy(F.asc("issue_dt"), F.asc("contract_id")).limit(1000))
