@@ -12,10 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_BOUND_CHECKS: dict[tuple[int, int], bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` if it provably has at most ``max_rows`` rows, else leave it to the planner."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` if it provably has at most ``max_rows`` rows, else leave it to the planner.
+
+    The bounded count is remembered per logical plan (``semanticHash``) for the
+    life of the process, so a dimension used by several stages is checked once.
+    Inputs are assumed immutable while a pipeline runs.
+    """
+    key = (df.semanticHash(), max_rows)
+    small = _BOUND_CHECKS.get(key)
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        _BOUND_CHECKS[key] = small
+    return F.broadcast(df) if small else df
 
 
 def left_lookup(df: DataFrame, dim: DataFrame, on, right_filter: Column | None = None) -> DataFrame:

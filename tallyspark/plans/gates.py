@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.quality import Check, QualityGate, run_checks, schema_violations
 from tallyspark.plans import retail_star as rs
+from tallyspark.session import materialize
 
 RAW_CONTRACT = {
     "InvoiceNo": "string", "StockCode": "string", "Quantity": "integer", "InvoiceDate": "string",
@@ -60,9 +61,11 @@ def report_checks() -> dict[str, list[Check]]:
     }
 
 
-def build_layers(raw: DataFrame, country: DataFrame) -> dict[str, DataFrame]:
-    dc, dd, dp = rs.dim_customer(raw, country), rs.dim_datetime(raw), rs.dim_product(raw)
-    fct = rs.fct_invoices(raw)
+def build_layers(raw: DataFrame, country: DataFrame, store=None) -> dict[str, DataFrame]:
+    """raw -> models -> reports; ``store`` (e.g. ``materialize``) persists each model as a table."""
+    keep = store or (lambda df: df)
+    dc, dd, dp = keep(rs.dim_customer(raw, country)), keep(rs.dim_datetime(raw)), keep(rs.dim_product(raw))
+    fct = keep(rs.fct_invoices(raw))
     return {
         "raw_invoices": raw, "dim_customer": dc, "dim_datetime": dd, "dim_product": dp, "fct_invoices": fct,
         "report_customer_invoices": rs.report_customer_invoices(fct, dc),
@@ -71,9 +74,16 @@ def build_layers(raw: DataFrame, country: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def gate_results(raw: DataFrame, country: DataFrame) -> DataFrame:
-    """One row per check of every layer: (table_name, check_name, metric, passed)."""
-    layers = build_layers(raw, country)
+def gate_results(raw: DataFrame, country: DataFrame, store=None) -> DataFrame:
+    """One row per check of every layer: (table_name, check_name, metric, passed).
+
+    ``store=materialize`` persists the raw layer and every model as tables in
+    the shared scratch folder first (the checks then read stored tables, which
+    pays off once the raw join is expensive); by default the plan stays lazy.
+    """
+    if store is not None:
+        raw = store(raw)
+    layers = build_layers(raw, country, store=store)
     spark = raw.sparkSession
     contracts = {"raw_invoices": RAW_CONTRACT, **MODEL_CONTRACTS}
     schema_rows = [(name, "schema", float(len(schema_violations(layers[name], list(c), c))),

@@ -61,3 +61,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if root.startswith("file:"):
         root = root[len("file:"):]
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing a table to the shared scratch folder and reading it back.
+
+    Used where several downstream branches read the same expensive input (the
+    way a pipeline materialises a model as a table).  One computation, stored
+    durably, so it survives executor loss (unlike a local checkpoint or cache).
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -63,6 +63,10 @@ DEFAULT = Params()
 
 def offices(t: tables, p: Params = DEFAULT) -> DataFrame:
     """Active offices with their city label: override map first, else the region name."""
+    return t.memo(("offices", p), lambda: _offices(t, p))
+
+
+def _offices(t: tables, p: Params) -> DataFrame:
     office = t.nation.filter(~F.col("n_nationkey").isin(list(p.inactive_offices))).select(
         F.col("n_nationkey").alias("office_id"), F.col("n_regionkey").alias("region_id")
     )
@@ -76,6 +80,10 @@ def offices(t: tables, p: Params = DEFAULT) -> DataFrame:
 
 def contracts(t: tables, p: Params = DEFAULT) -> DataFrame:
     """Loan contracts: one row per order, with client, product, brand and city."""
+    return t.memo(("contracts", p), lambda: _contracts(t, p))
+
+
+def _contracts(t: tables, p: Params) -> DataFrame:
     o = t.orders.select(
         F.col("o_orderkey").alias("contract_id"),
         F.col("o_custkey").alias("client_id"),

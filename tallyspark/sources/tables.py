@@ -31,6 +31,12 @@ class tables:
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
 
+    def memo(self, key, build):
+        """Build a derived DataFrame once per accessor (one lazy plan reused by every stage)."""
+        if key not in self._cache:
+            self._cache[key] = build()
+        return self._cache[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
