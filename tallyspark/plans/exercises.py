@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,21 @@ def retention(actions: DataFrame, month: int, year: int, match_year: bool = True
     """Users active in (year, month) who were also active in the previous month.
 
     ``match_year=False`` reproduces the month-number-only comparison (the
-    previous month of any year counts).
+    previous month of any year counts).  The previous period is a constant of
+    the report, so the "last month" side is filtered to it before the semi
+    join: the filter reaches the scan and only that period is shuffled.
     """
-    curr = actions.filter((F.month("event_date") == month) & (F.year("event_date") == year))
-    prev_d = F.add_months(F.col("event_date"), -1)
+    first = date(year, month, 1)
+    last_day = (first.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)
+    prev = first - timedelta(days=1)
+    # a date range (not month()/year() calls) so the filter reaches the scan
+    curr = actions.filter(F.col("event_date").between(F.lit(first), F.lit(last_day)))
     if match_year:
-        curr = curr.withColumn("__k", F.year(prev_d) * 100 + F.month(prev_d))
-        last = actions.select(F.col("user_id").alias("__u"), (F.year("event_date") * 100 + F.month("event_date")).alias("__lk"))
+        last = actions.filter(F.col("event_date").between(F.lit(prev.replace(day=1)), F.lit(prev)))
     else:
-        curr = curr.withColumn("__k", F.month(prev_d))
-        last = actions.select(F.col("user_id").alias("__u"), F.month("event_date").alias("__lk"))
-    kept = curr.join(last, (curr.user_id == last.__u) & (curr.__k == last.__lk), "left_semi")
+        last = actions.filter(F.month("event_date") == prev.month)
+    last = last.select(F.col("user_id").alias("__u")).distinct()
+    kept = curr.join(last, curr.user_id == last.__u, "left_semi")
     return kept.groupBy(F.month("event_date").alias("mth")).agg(
         F.countDistinct("user_id").cast("bigint").alias("monthly_active_users")
     )

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+Every job of the reference workloads is a full-refresh batch (manual runs, a
+daily schedule without catch-up, replace-on-write); there are no watermarks,
+windows over event time, state or late data to model.  All operators in this
+package therefore run as batch DataFrame jobs; a scheduled incremental run is
+the batch pipeline re-run on the new snapshot (partition filter on the
+snapshot column, see ``tallyspark.sources.tables.scan_snapshot``).
+"""
