@@ -25,6 +25,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.calendar import last_week_end
 from tallyspark.functions.numeric import MONEY
 from tallyspark.functions.text import fold_homoglyphs, fold_literal, like_any
 from tallyspark.operators.classify import first_match, membership_label, pair_flag, value_map
@@ -153,8 +154,14 @@ PAIRS = [
 ]
 
 
-def membership_flags(t: tables, p: Params = DEFAULT) -> DataFrame:
+# Report "as of" date: contracts issued from the fact start up to the end of the
+# last full week before it (the Saturday; offset 1 would give the Sunday).
+AS_OF = "1998-01-15"
+
+
+def membership_flags(t: tables, p: Params = DEFAULT, as_of: str = AS_OF) -> DataFrame:
     c = ad.contracts(t, p)
+    c = c.filter(F.col("issue_dt").between(F.lit(p.fact_from), last_week_end(F.lit(as_of).cast("date"))))
     spark = c.sparkSession
     marka = F.when((F.col("brand") == "AUTOMOBILE") & (F.col("model") == "O"), F.lit("AUTOMOBILE O")).otherwise(F.col("brand"))
     c = c.select(

@@ -80,3 +80,21 @@ def test_surrogate_key_null_token_and_doubles(spark):
     assert keys[0] == md5("12345.0000-X")
     assert keys[1] == md5(f"{NULL_TOKEN}-X")
     assert keys[2] == md5(f"10000000.0000-{NULL_TOKEN}")
+
+
+def test_reference_builtin_scalars(spark):
+    """Built-ins used as the reference uses them (substring/position, replace, ltrim, intervals, ceil-free trunc)."""
+    df = spark.createDataFrame([("23 abc", "A&&B&", " 7", dt.date(2022, 3, 31), -2.7)],
+                               "s string, g string, p string, d date, x double")
+    r = df.select(
+        F.expr("substring(s, 1, locate(' ', s))").alias("wk"),
+        F.expr("substring(s, locate(' ', s) + 1, 100)").alias("rest"),
+        F.replace(F.col("g"), F.lit("&&"), F.lit("")).alias("rep"),
+        F.ltrim("p").alias("lt"),
+        F.expr("d - INTERVAL 1 MONTH").alias("prev"),
+        F.expr("upper('тольятти')").alias("up"),
+    ).first()
+    assert (r.wk, r.rest, r.rep, r.lt) == ("23 ", "abc", "AB&", "7")
+    assert r.prev == dt.date(2022, 2, 28) and r.up == "ТОЛЬЯТТИ"
+    from tallyspark.functions import trunc0
+    assert df.select(trunc0(F.col("x")).alias("t")).first().t == -2
