@@ -1,8 +1,10 @@
 """Product snowflake ETL (M8): clean product, subcategory and category, then join.
 
 The three cleans are lazy branches of one plan; the join keys are typed
-(text -> double -> int) before joining, and the two small dimensions go
-through ``bounded_broadcast``.
+(text -> double -> int) before joining.  The subcategory and category tables
+are derived (distinct over the product source), so no up-front count is run
+for them: AQE measures the shuffled distinct at runtime and broadcasts it
+when it is small, else keeps a sort-merge join.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.joins import bounded_broadcast
 from tallyspark.sources.tables import tables
 
 # Kept columns of the product source (column pruning by list).
@@ -88,8 +89,6 @@ def stg_category(src: DataFrame) -> DataFrame:
 def product_model(p: DataFrame, ps: DataFrame, pc: DataFrame, how: str = "inner") -> DataFrame:
     """Join the three cleaned tables; the text key goes text -> double -> int first."""
     p = p.withColumn("ProductSubcategoryKey", F.col("ProductSubcategoryKey").cast("double").cast("int"))
-    ps = bounded_broadcast(ps, 1_000_000)
-    pc = bounded_broadcast(pc, 1_000_000)
     return p.join(ps, "ProductSubcategoryKey", how).join(pc, "ProductCategoryKey", how)
 
 

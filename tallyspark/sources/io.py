@@ -57,6 +57,12 @@ def discover_tables(spark: SparkSession, src_dir: str, names: list[str]) -> list
     return found
 
 
+def discover_catalog_tables(spark: SparkSession, names: list[str], database: str | None = None) -> list[str]:
+    """Tables (or views) of the session catalog whose name is in ``names``, in list order."""
+    present = {t.name for t in spark.catalog.listTables(database)}
+    return [n for n in names if n in present]
+
+
 def copy_tables(spark: SparkSession, src_dir: str, names: list[str], dst_dir: str,
                 prefix: str = "src_") -> DataFrame:
     """Copy named tables (full replace) and return a load audit: table, rows, seconds."""

@@ -107,3 +107,8 @@ def test_materialize_round_trip(spark):
     m = materialize(df, "mat_test")
     assert sorted(r.x for r in m.collect()) == list(range(10))
     assert "parquet" in m._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_discover_catalog_tables(spark):
+    spark.range(3).createOrReplaceTempView("dim_product_src")
+    assert sio.discover_catalog_tables(spark, ["missing_view", "dim_product_src"]) == ["dim_product_src"]
