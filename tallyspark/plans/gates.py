@@ -62,10 +62,10 @@ def report_checks() -> dict[str, list[Check]]:
 
 
 def build_layers(raw: DataFrame, country: DataFrame, store=None) -> dict[str, DataFrame]:
-    """raw -> models -> reports; ``store`` (e.g. ``materialize``) persists each model as a table."""
-    keep = store or (lambda df: df)
-    dc, dd, dp = keep(rs.dim_customer(raw, country)), keep(rs.dim_datetime(raw)), keep(rs.dim_product(raw))
-    fct = keep(rs.fct_invoices(raw))
+    """raw -> models -> reports; ``store(df, name)`` (e.g. ``materialize``) persists each model as a table."""
+    keep = store or (lambda df, name: df)
+    dc, dd = keep(rs.dim_customer(raw, country), "dim_customer"), keep(rs.dim_datetime(raw), "dim_datetime")
+    dp, fct = keep(rs.dim_product(raw), "dim_product"), keep(rs.fct_invoices(raw), "fct_invoices")
     return {
         "raw_invoices": raw, "dim_customer": dc, "dim_datetime": dd, "dim_product": dp, "fct_invoices": fct,
         "report_customer_invoices": rs.report_customer_invoices(fct, dc),
@@ -82,7 +82,7 @@ def gate_results(raw: DataFrame, country: DataFrame, store=None) -> DataFrame:
     pays off once the raw join is expensive); by default the plan stays lazy.
     """
     if store is not None:
-        raw = store(raw)
+        raw = store(raw, "raw_invoices")
     layers = build_layers(raw, country, store=store)
     spark = raw.sparkSession
     contracts = {"raw_invoices": RAW_CONTRACT, **MODEL_CONTRACTS}
@@ -94,16 +94,32 @@ def gate_results(raw: DataFrame, country: DataFrame, store=None) -> DataFrame:
     return out
 
 
-def enforce_all(raw: DataFrame, country: DataFrame) -> DataFrame:
-    """Run the three gates in pipeline order; raises ``GateFailed`` on the first failing layer."""
-    layers = build_layers(raw, country)
+def enforce_all(raw: DataFrame, country: DataFrame, store=materialize) -> DataFrame:
+    """raw -> gate -> models -> gate -> reports -> gate; raises ``GateFailed`` at the first failing layer.
+
+    Each layer's gate runs before the next layer is built; by default every
+    model is stored as a table before its gate (several checks and reports
+    read it).  Returns the results of all checks.
+    """
     raw_gate = QualityGate({"raw_invoices": (raw, [Check("InvoiceNo present", "missing", "InvoiceNo")])},
                            {"raw_invoices": (raw, list(RAW_CONTRACT), RAW_CONTRACT)})
     raw_res = raw_gate.enforce()
-    model_gate = QualityGate({n: (layers[n], c) for n, c in model_checks().items()},
-                             {n: (layers[n], list(c), c) for n, c in MODEL_CONTRACTS.items()})
+    keep = store or (lambda df, name: df)
+    models = {
+        "dim_customer": keep(rs.dim_customer(raw, country), "dim_customer"),
+        "dim_datetime": keep(rs.dim_datetime(raw), "dim_datetime"),
+        "dim_product": keep(rs.dim_product(raw), "dim_product"),
+        "fct_invoices": keep(rs.fct_invoices(raw), "fct_invoices"),
+    }
+    model_gate = QualityGate({n: (models[n], c) for n, c in model_checks().items()},
+                             {n: (models[n], list(c), c) for n, c in MODEL_CONTRACTS.items()})
     model_res = model_gate.enforce()
-    report_gate = QualityGate({n: (layers[n], c) for n, c in report_checks().items()})
+    reports = {
+        "report_customer_invoices": rs.report_customer_invoices(models["fct_invoices"], models["dim_customer"]),
+        "report_product_invoices": rs.report_product_invoices(models["fct_invoices"], models["dim_product"]),
+        "report_year_invoices": rs.report_year_invoices(models["fct_invoices"], models["dim_datetime"]),
+    }
+    report_gate = QualityGate({n: (reports[n], c) for n, c in report_checks().items()})
     report_res = report_gate.enforce()
     return raw_res.unionByName(model_res).unionByName(report_res)
 

@@ -71,7 +71,7 @@ def copy_tables(spark: SparkSession, src_dir: str, names: list[str], dst_dir: st
         t0 = time.time()
         obs = Observation(f"copy_{n}")
         df = load(spark, src_dir, n).observe(obs, F.count(F.lit(1)).alias("rows"))
-        replace_table(df, os.path.join(dst_dir, prefix + n))
+        replace_table(df, os.path.join(dst_dir, f"{prefix}{n}.parquet"))
         rows = int(obs.get["rows"])
         audit.append((n, rows, round(time.time() - t0, 2)))
     return spark.createDataFrame(audit, "table_name string, rows_imported long, seconds double")

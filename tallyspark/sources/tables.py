@@ -18,17 +18,18 @@ TABLES = (
 ).split()
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Full scan ``scan(table)`` of one parquet table."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def load(spark: SparkSession, sf_dir: str, name: str, prefix: str = "") -> DataFrame:
+    """Full scan ``scan(table)`` of one parquet table (``<dir>/<prefix><name>.parquet``)."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{prefix}{name}.parquet"))
 
 
 class tables:
     """Lazy accessor: ``t = tables(spark, sf_dir); t.orders``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, prefix: str = ""):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.prefix = prefix
         self._cache: dict[str, DataFrame] = {}
 
     def memo(self, key, build):
@@ -41,7 +42,7 @@ class tables:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = load(self.spark, self.sf_dir, name)
+            self._cache[name] = load(self.spark, self.sf_dir, name, self.prefix)
         return self._cache[name]
 
 

@@ -112,3 +112,22 @@ def test_materialize_round_trip(spark):
 def test_discover_catalog_tables(spark):
     spark.range(3).createOrReplaceTempView("dim_product_src")
     assert sio.discover_catalog_tables(spark, ["missing_view", "dim_product_src"]) == ["dim_product_src"]
+
+
+def test_pipeline_runs_store_every_stage(spark, sf_small):
+    from tallyspark.plans import pipelines as pl
+
+    t = tables(spark, sf_small)
+    out = scratch_dir(spark, "pipelines")
+    panel = pl.run_panel(t, out)
+    assert panel["plan_vs_fact"].count() == entry.queries()["q13_plan_vs_fact"](spark, sf_small).count()
+    assert panel["su_panel"].count() == entry.queries()["q02_contract_panel"](spark, sf_small).count()
+    cross = pl.run_cross_sell(t, out)
+    assert cross["cross_weekly"].exceptAll(
+        entry.queries()["q20_composition_weekly"](spark, sf_small)).count() == 0
+    retail = pl.run_retail(t, out)
+    assert retail["gate_results"].filter("NOT passed").count() == 0
+    assert retail["report_customer_invoices"].count() == 10
+    prod = pl.run_product_etl(spark, sf_small, scratch_dir(spark, "stage"))
+    assert prod["audit"].first().rows_imported == 200
+    assert prod["prd_product"].exceptAll(entry.queries()["q32_product_snowflake"](spark, sf_small)).count() == 0
