@@ -128,6 +128,10 @@ def insurance(t: tables) -> DataFrame:
 
 def policies(t: tables) -> DataFrame:
     """Client insurance contracts (con_id, type, payment, start and end dates)."""
+    return t.memo("policies", lambda: _policies(t))
+
+
+def _policies(t: tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     pt = t.part.select("p_partkey", "p_type")
@@ -151,6 +155,10 @@ def invoice_date_text(ts_col) -> F.Column:
 
 def raw_invoices(t: tables) -> DataFrame:
     """Raw retail invoice lines with the reference's raw contract types."""
+    return t.memo("raw_invoices", lambda: _raw_invoices(t))
+
+
+def _raw_invoices(t: tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     c = t.customer.select("c_custkey", "c_nationkey")
@@ -175,6 +183,10 @@ def raw_invoices(t: tables) -> DataFrame:
 
 
 def country_reference(t: tables) -> DataFrame:
+    return t.memo("country", lambda: _country_reference(t))
+
+
+def _country_reference(t: tables) -> DataFrame:
     """Country reference table (id, iso, name, nicename, iso3, numcode, phonecode).
 
     Built by rule from ``nation`` for the fixtures: nations of region 4 are

@@ -24,13 +24,29 @@ def load(spark: SparkSession, sf_dir: str, name: str, prefix: str = "") -> DataF
 
 
 class tables:
-    """Lazy accessor: ``t = tables(spark, sf_dir); t.orders``."""
+    """Lazy accessor: ``t = tables(spark, sf_dir); t.orders``.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, prefix: str = ""):
+    One accessor exists per (session, directory, prefix): the scans and the
+    memoised adapters built on them are shared by every query of the session
+    (DataFrames are immutable plans, so sharing them is safe).
+    """
+
+    _instances: dict = {}
+
+    def __new__(cls, spark: SparkSession, sf_dir: str, prefix: str = ""):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, prefix)
+        inst = cls._instances.get(key)
+        if inst is None:
+            inst = super().__new__(cls)
+            inst._init(spark, sf_dir, prefix)
+            cls._instances[key] = inst
+        return inst
+
+    def _init(self, spark: SparkSession, sf_dir: str, prefix: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
         self.prefix = prefix
-        self._cache: dict[str, DataFrame] = {}
+        self._cache: dict = {}
 
     def memo(self, key, build):
         """Build a derived DataFrame once per accessor (one lazy plan reused by every stage)."""
