@@ -51,20 +51,17 @@ def q29_fact(spark, sf_dir):
 @query("q30_top_countries")
 def q30_top_countries(spark, sf_dir):
     t = tables(spark, sf_dir)
-    raw = ad.raw_invoices(t)
-    return rs.report_customer_invoices(rs.fct_invoices(raw), rs.dim_customer(raw, ad.country_reference(t)))
+    return rs.report_customer_invoices_1pass(ad.raw_invoices(t), ad.country_reference(t))
 
 
 @query("q30b_top_products")
 def q30b_top_products(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    return rs.report_product_invoices(rs.fct_invoices(raw), rs.dim_product(raw))
+    return rs.report_product_invoices_1pass(_raw(spark, sf_dir))
 
 
 @query("q31_monthly")
 def q31_monthly(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    return rs.report_year_invoices(rs.fct_invoices(raw), rs.dim_datetime(raw))
+    return rs.report_year_invoices_1pass(_raw(spark, sf_dir))
 
 
 # --- plan-vs-fact panel and contract features (M9-M13) ------------------------

@@ -131,3 +131,17 @@ def test_pipeline_runs_store_every_stage(spark, sf_small):
     prod = pl.run_product_etl(spark, sf_small, scratch_dir(spark, "stage"))
     assert prod["audit"].first().rows_imported == 200
     assert prod["prd_product"].exceptAll(entry.queries()["q32_product_snowflake"](spark, sf_small)).count() == 0
+
+
+def test_one_pass_reports_equal_fact_dimension_joins(spark, sf_small):
+    t = tables(spark, sf_small)
+    raw, country = ad.raw_invoices(t), ad.country_reference(t)
+    fct = rs.fct_invoices(raw)
+    pairs = [
+        (rs.report_customer_invoices_1pass(raw, country, 1000),
+         rs.report_customer_invoices(fct, rs.dim_customer(raw, country), 1000)),
+        (rs.report_product_invoices_1pass(raw, 100000), rs.report_product_invoices(fct, rs.dim_product(raw), 100000)),
+        (rs.report_year_invoices_1pass(raw), rs.report_year_invoices(fct, rs.dim_datetime(raw))),
+    ]
+    for a, b in pairs:
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
