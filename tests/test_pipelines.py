@@ -39,6 +39,11 @@ def test_query_matches_oracle(spark, sf_small, duck, key):
     rows = df.collect()
     sql = entry.oracle_sql().get(key)
     assert sql is not None, "every catalogue key has an oracle"
+    types = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+             "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+    rel = duck.sql(sql)
+    duck_types = dict(zip(rel.columns, [str(x) for x in rel.types]))
+    assert {c: types.get(t, t) for c, t in df.dtypes} == duck_types
     cur = duck.execute(sql)
     cols = [c[0] for c in cur.description]
     assert sorted(cols) == sorted(df.columns)
