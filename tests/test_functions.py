@@ -98,3 +98,12 @@ def test_reference_builtin_scalars(spark):
     assert r.prev == dt.date(2022, 2, 28) and r.up == "ТОЛЬЯТТИ"
     from tallyspark.functions import trunc0
     assert df.select(trunc0(F.col("x")).alias("t")).first().t == -2
+
+
+def test_fifteen_character_dates(spark):
+    """A 15-character text parses under the default rule and is NULL under the length rule."""
+    df = spark.createDataFrame([("12/1/2010 18:26",)], "s string")
+    assert len("12/1/2010 18:26") == 15
+    r = df.select(parse_invoice_datetime(F.col("s")).alias("lenient"),
+                  parse_invoice_datetime(F.col("s"), strict_lengths=True).alias("strict")).first()
+    assert r.lenient == dt.datetime(2010, 12, 1, 18, 26) and r.strict is None

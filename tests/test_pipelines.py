@@ -150,3 +150,25 @@ def test_one_pass_reports_equal_fact_dimension_joins(spark, sf_small):
     ]
     for a, b in pairs:
         assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_gates_on_panel_outputs(spark, sf_small):
+    """The quality gates applied to our own panel outputs (one row per city, sane measures)."""
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators.quality import Check, QualityGate
+
+    rep = entry.queries()["q13_plan_vs_fact"](spark, sf_small)
+    pen = entry.queries()["q05_penetration"](spark, sf_small)
+    gate = QualityGate({
+        "plan_vs_fact": (rep, [
+            Check("one row per city", "duplicate", "mak"),
+            Check("fact counts positive", "min", "total_count_fact", fail_op="<=", threshold=0),
+            Check("average check positive", "min", "medium_check", fail_op="<=", threshold=0),
+        ]),
+        "penetration": (pen, [
+            Check("shares within 0..1", "failed_rows", predicate=(F.col("sj_penet_sht") < 0) | (F.col("sj_penet_sht") > 1)),
+            Check("rub shares within 0..1", "invalid", "avl_penet_rub", valid_min=0, valid_max=1),
+        ]),
+    })
+    assert gate.enforce().filter("NOT passed").count() == 0
