@@ -66,19 +66,14 @@ def build_layers(raw: DataFrame, country: DataFrame, store=None) -> dict[str, Da
     keep = store or (lambda df, name: df)
     dc, dd = keep(rs.dim_customer(raw, country), "dim_customer"), keep(rs.dim_datetime(raw), "dim_datetime")
     dp, fct = keep(rs.dim_product(raw), "dim_product"), keep(rs.fct_invoices(raw), "fct_invoices")
-    if store is None:
-        # lazy layers: reports read dimension attributes off the raw rows (one pass)
-        reports = {
-            "report_customer_invoices": rs.report_customer_invoices_1pass(raw, country),
-            "report_product_invoices": rs.report_product_invoices_1pass(raw),
-            "report_year_invoices": rs.report_year_invoices_1pass(raw),
-        }
-    else:
-        reports = {
-            "report_customer_invoices": rs.report_customer_invoices(fct, dc),
-            "report_product_invoices": rs.report_product_invoices(fct, dp),
-            "report_year_invoices": rs.report_year_invoices(fct, dd),
-        }
+    # The reports join the fact to the dimensions even when the layers are
+    # lazy: the dimension checks compute the same dimension stages, which AQE
+    # reuses inside the query (measured faster here than the one-pass reports).
+    reports = {
+        "report_customer_invoices": rs.report_customer_invoices(fct, dc),
+        "report_product_invoices": rs.report_product_invoices(fct, dp),
+        "report_year_invoices": rs.report_year_invoices(fct, dd),
+    }
     return {"raw_invoices": raw, "dim_customer": dc, "dim_datetime": dd, "dim_product": dp, "fct_invoices": fct,
             **reports}
 
