@@ -163,8 +163,11 @@ def report_product_invoices_1pass(raw: DataFrame, top: int = 10) -> DataFrame:
 def report_year_invoices_1pass(raw: DataFrame) -> DataFrame:
     per_key = fct_invoices(raw).groupBy("datetime_id", "invoice_id").agg(
         F.sum(F.col("total").cast(MONEY)).alias("rev"))
+    # parse each distinct datetime text once, then attach (the aggregated rows are reused, not raw)
     dt = parse_invoice_datetime(F.col("datetime_id"))
-    rows = per_key.select(F.year(dt).alias("year"), F.month(dt).alias("month"), "invoice_id", "rev")
+    parsed = per_key.select("datetime_id").distinct().select(
+        "datetime_id", F.year(dt).alias("year"), F.month(dt).alias("month"))
+    rows = per_key.join(parsed, "datetime_id")
     rep = rows.groupBy("year", "month").agg(
         F.countDistinct("invoice_id").cast("bigint").alias("num_invoices"),
         F.sum("rev").cast("double").alias("total_revenue"),
