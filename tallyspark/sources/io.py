@@ -45,16 +45,16 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its (local, HDFS, object-store) file system."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
+
+
 def discover_tables(spark: SparkSession, src_dir: str, names: list[str]) -> list[str]:
-    """Tables from ``names`` that exist under ``src_dir`` (schema read only, no data job)."""
-    found = []
-    for n in names:
-        try:
-            load(spark, src_dir, n).schema  # noqa: B018
-        except Exception:  # noqa: BLE001 - a missing table is simply not discovered
-            continue
-        found.append(n)
-    return found
+    """Tables from ``names`` that exist under ``src_dir`` (a file-system listing, no job)."""
+    return [n for n in names if path_exists(spark, os.path.join(src_dir, f"{n}.parquet"))]
 
 
 def discover_catalog_tables(spark: SparkSession, names: list[str], database: str | None = None) -> list[str]:
