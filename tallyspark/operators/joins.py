@@ -8,7 +8,7 @@ returned unchanged and Spark's size-based planning / AQE picks the strategy.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,44 @@ def role_flags(df: DataFrame, key: str, roles_df: DataFrame, role_key: str, role
     flags = roles_df.groupBy(F.col(role_key).alias(key)).agg(*aggs)
     out = df.join(flags, key, "left")
     return out.select(*df.columns, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in roles])
+
+
+def resolve_effective_rules(rules: DataFrame, value: str, valid_from: str = "valid_from",
+                            valid_to: str = "valid_to", priority: str = "priority") -> DataFrame:
+    """Overlapping dated rules -> non-overlapping intervals (lowest ``priority`` wins).
+
+    Works on the rule table only (small by definition): the rule boundaries cut
+    the time line into elementary intervals, and each interval keeps the value
+    of the first-priority rule covering it.  Output: (valid_from, valid_to, value).
+    """
+    r = rules.select(F.col(valid_from).cast("date").alias("f"), F.col(valid_to).cast("date").alias("t"),
+                     F.col(value).alias("v"), F.col(priority).alias("p"))
+    cuts = r.select(F.col("f").alias("c")).union(r.select(F.date_add("t", 1).alias("c"))).distinct()
+    nxt = Window.orderBy("c")  # one row per rule boundary: bounded by the rule table
+    pieces = cuts.select(F.col("c").alias("s"), F.date_sub(F.lead("c").over(nxt), 1).alias("e")).filter(
+        F.col("e").isNotNull())
+    covered = pieces.join(F.broadcast(r), (r.f <= pieces.s) & (r.t >= pieces.e))
+    best = covered.groupBy("s", "e").agg(F.min(F.struct("p", "v")).alias("b"))
+    return best.select(F.col("s").alias(valid_from), F.col("e").alias(valid_to), F.col("b.v").alias(value))
+
+
+def effective_dated_lookup(df: DataFrame, date_col: str, intervals: DataFrame, value: str,
+                           valid_from: str = "valid_from", valid_to: str = "valid_to", out: str | None = None,
+                           max_intervals: int = 100_000) -> DataFrame:
+    """Attach the value of the (non-overlapping) interval containing ``date_col``; NULL if none.
+
+    Range join made an equi-join: intervals are exploded into the calendar years
+    they touch, the data side is keyed by its year, and the range test runs on
+    the (few) candidates.  The interval table is size-checked and broadcast, so
+    the large side is never shuffled for this lookup.
+    """
+    out = out or value
+    iv = intervals.select(
+        F.col(valid_from).alias("__f"), F.col(valid_to).alias("__t"), F.col(value).alias("__v"),
+        F.explode(F.sequence(F.year(valid_from), F.year(valid_to))).alias("__y"),
+    )
+    iv = bounded_broadcast(iv, max_intervals)
+    keyed = df.withColumn("__y", F.year(F.col(date_col)))
+    cond = (keyed["__y"] == iv["__y"]) & (F.col(date_col) >= iv["__f"]) & (F.col(date_col) <= iv["__t"])
+    joined = keyed.join(iv, cond, "left")
+    return joined.select(*[keyed[c] for c in df.columns], F.col("__v").alias(out))

@@ -20,6 +20,7 @@ contracts when the period is small and a sort-merge join otherwise.
 
 from __future__ import annotations
 
+from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from tallyspark.functions.numeric import MONEY
 from tallyspark.functions.text import fold_homoglyphs, fold_literal, like_any
 from tallyspark.operators.classify import first_match, membership_label, pair_flag, value_map
 from tallyspark.operators.history import latest_row
-from tallyspark.operators.joins import role_flags
+from tallyspark.operators.joins import effective_dated_lookup, resolve_effective_rules, role_flags
 from tallyspark.operators.measures import (
     Metric,
     count_where,
@@ -199,21 +200,31 @@ def penetration_table(panel: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 # --- q06 (M11) ----------------------------------------------------------------------
 
-def rate_addon(eligible, ret_flag, ship_dt):
-    rules = [(eligible & (ret_flag == "R"), F.lit(Decimal(RATE_NAME_RULE_ADDON)))]
-    rules += [(eligible & ship_dt.between(F.lit(lo).cast("date"), F.lit(hi).cast("date")), F.lit(Decimal(a)))
-              for lo, hi, a in RATE_WINDOWS]
-    return first_match(rules, F.lit(Decimal("0.00"))).cast("decimal(23,2)")
+def rate_rules(spark) -> DataFrame:
+    """The dated rate windows as a rule table; list order is the priority."""
+    rows = [(i, date.fromisoformat(lo), date.fromisoformat(hi), Decimal(a)) for i, (lo, hi, a) in enumerate(RATE_WINDOWS)]
+    return spark.createDataFrame(rows, "priority int, valid_from date, valid_to date, addon decimal(23,2)")
+
+
+def rate_addon(eligible, ret_flag, window_addon):
+    """Name rule first, then the dated window's add-on, else 0 (all only for eligible rows)."""
+    zero = F.lit(Decimal("0.00")).cast("decimal(23,2)")
+    return first_match([
+        (eligible & (ret_flag == "R"), F.lit(Decimal(RATE_NAME_RULE_ADDON)).cast("decimal(23,2)")),
+        (eligible, F.coalesce(window_addon, zero)),
+    ], zero).cast("decimal(23,2)")
 
 
 def weighted_rates(t: tables, p: Params = DEFAULT) -> DataFrame:
     fc = fact_contracts(t, p).select("contract_id", "product_raw", "city")
     li = t.lineitem.select("l_orderkey", "l_discount", "l_tax", "l_quantity", "l_extendedprice",
                            "l_linestatus", "l_returnflag", "l_shipdate")
-    df = li.join(fc, li.l_orderkey == fc.contract_id)
+    df = li.join(fc, li.l_orderkey == fc.contract_id).withColumn("ship_dt", F.col("l_shipdate").cast("date"))
+    intervals = resolve_effective_rules(rate_rules(df.sparkSession), "addon")
+    df = effective_dated_lookup(df, "ship_dt", intervals, "addon", out="window_addon")
     eligible = (F.col("product_raw") != p.excluded_product) & (F.col("l_linestatus") == "F")
     rate = (F.col("l_discount") * 100).cast("decimal(10,2)")
-    stavka = (rate + rate_addon(eligible, F.col("l_returnflag"), F.col("l_shipdate").cast("date"))).alias("stavka")
+    stavka = (rate + rate_addon(eligible, F.col("l_returnflag"), F.col("window_addon"))).alias("stavka")
     loan = F.col("l_extendedprice").cast(MONEY).alias("loan")
     vc = (F.col("l_extendedprice") * (1 + F.col("l_tax"))).cast(MONEY).alias("vc")
     cl = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(MONEY).alias("cl")

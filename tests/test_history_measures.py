@@ -54,3 +54,22 @@ def test_role_flags_and_bounded_broadcast(spark):
     big = bounded_broadcast(base, 2)
     assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
+
+
+def test_effective_dated_lookup_priorities_gaps_and_nulls(spark):
+    from tallyspark.operators.joins import effective_dated_lookup, resolve_effective_rules
+
+    rules = [(0, dt.date(2020, 1, 10), dt.date(2020, 1, 20), "A"), (1, dt.date(2020, 1, 1), dt.date(2020, 2, 28), "B"),
+             (2, dt.date(2019, 12, 25), dt.date(2021, 3, 1), "C"), (3, dt.date(2022, 1, 1), dt.date(2022, 1, 1), "D")]
+    rdf = spark.createDataFrame(rules, "priority int, valid_from date, valid_to date, v string")
+    days = [dt.date(2019, 12, 24), dt.date(2019, 12, 25), dt.date(2020, 1, 9), dt.date(2020, 1, 10),
+            dt.date(2020, 1, 20), dt.date(2020, 1, 21), dt.date(2020, 3, 1), dt.date(2021, 3, 1),
+            dt.date(2021, 3, 2), dt.date(2022, 1, 1), None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i int, d date")
+    out = {r.i: r.v for r in effective_dated_lookup(df, "d", resolve_effective_rules(rdf, "v"), "v").collect()}
+
+    def brute(d):
+        hits = sorted((p, v) for p, f, t, v in rules if d is not None and f <= d <= t)
+        return hits[0][1] if hits else None
+
+    assert out == {i: brute(d) for i, d in enumerate(days)}
