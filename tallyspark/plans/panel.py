@@ -103,11 +103,21 @@ def city_counts(t: tables, p: Params = DEFAULT) -> DataFrame:
 
 # --- q02 (M9) ----------------------------------------------------------------------
 
-def contract_panel(t: tables, p: Params = DEFAULT) -> DataFrame:
-    """One row per fact contract with six insurance groups x five attributes."""
+def contract_panel(t: tables, p: Params = DEFAULT, latest: bool = False) -> DataFrame:
+    """One row per fact contract with six insurance groups x five attributes.
+
+    By default each attribute is an independent MAX over the group's current
+    policies (so one row may mix policies, as the reference defines it);
+    ``latest=True`` first keeps one policy per (agreement, risk type) -- the
+    latest by open date, ties by policy id, insurer, payment, text -- so every
+    group's attributes come from the same policy.
+    """
     fc = fact_contracts(t, p).select("city", "contract_id", "issue_dt", "loan_amt", "product")
     current = ad.insurance(t).filter(F.col("status") == "O")
     mine = current.join(fc.select(F.col("contract_id").alias("agreement_id")), "agreement_id", "left_semi")
+    if latest:
+        mine = latest_row(mine.select("agreement_id", "risk_type", *RISK_ATTRS), ["agreement_id", "risk_type"],
+                          ["open_dt", "policy_id", "insurer_id", "payment_amt", "payment_desc"])
     piv = conditional_max_pivot(mine, ["agreement_id"], "risk_type", RISK_TYPES, RISK_ATTRS)
     out = fc.join(piv, fc.contract_id == piv.agreement_id, "left").drop("agreement_id")
     return out

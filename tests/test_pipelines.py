@@ -172,3 +172,25 @@ def test_gates_on_panel_outputs(spark, sf_small):
         ]),
     })
     assert gate.enforce().filter("NOT passed").count() == 0
+
+
+def test_contract_panel_latest_policy_option(spark, sf_small):
+    from pyspark.sql import functions as F
+
+    from tallyspark.plans import panel as pn
+    from tallyspark.sources.adapters import insurance
+
+    t = tables(spark, sf_small)
+    mixed = pn.contract_panel(t)
+    one = pn.contract_panel(t, latest=True)
+    assert one.count() == mixed.count()
+    # with latest=True every group's attributes are one real policy row
+    ins = insurance(t).filter(F.col("status") == "O").select(
+        F.col("agreement_id").alias("contract_id"), F.col("policy_id").alias("comp_contract_id"),
+        F.col("insurer_id").alias("comp_insurant"), F.col("payment_amt").alias("comp_payment"),
+        F.col("risk_type"))
+    rows = one.filter("comp_contract_id IS NOT NULL").select(
+        "contract_id", "comp_contract_id", "comp_insurant", "comp_payment")
+    real = ins.filter("risk_type = 1").drop("risk_type")
+    assert rows.join(real, ["contract_id", "comp_contract_id", "comp_insurant", "comp_payment"],
+                     "left_anti").count() == 0
