@@ -8,8 +8,6 @@ Pair lists that would be long ladders become a broadcast lookup instead.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,10 +58,6 @@ def pair_flag(df: DataFrame, pairs_df: DataFrame, keys: list[str], flag: str, al
     return out.withColumn(flag, F.when(cond, 1).otherwise(0)).drop("__hit")
 
 
-def any_of(preds: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, list(preds))
-
-
 def count_bucket(col: Column, top: int = 3, over_label: str = "over", error_label: str = "error") -> Column:
     """Count bucket: '0', '1', ... str(top), ``over_label`` above, ``error_label`` for NULL."""
     rules = [(col == i, str(i)) for i in range(top + 1)]

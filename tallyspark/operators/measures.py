@@ -36,15 +36,6 @@ def count_where(pred: Column) -> Column:
     return F.sum(F.when(pred, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
-def sum_where(pred: Column, value: Column) -> Column:
-    return F.sum(F.when(pred, value).otherwise(F.lit(0)))
-
-
-def money_sum(value: Column) -> Column:
-    """Exact order-independent sum of a money column, returned as double."""
-    return F.sum(value.cast(MONEY)).cast("double")
-
-
 def penetration(df: DataFrame, key: str, metrics: Sequence[Metric], amount: str,
                 digits: int = 6) -> DataFrame:
     """Per key: ``{m}_penet_sht`` = count share and ``{m}_penet_rub`` = amount share.

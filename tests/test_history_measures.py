@@ -73,3 +73,18 @@ def test_effective_dated_lookup_priorities_gaps_and_nulls(spark):
         return hits[0][1] if hits else None
 
     assert out == {i: brute(d) for i, d in enumerate(days)}
+
+
+def test_constant_per_group_left_lookup_and_view(spark):
+    from tallyspark.operators.joins import left_lookup
+    from tallyspark.operators.measures import constant_per_group
+    from tallyspark.sources.io import register_view
+
+    df = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3), (None, 4)], "mac string, office int")
+    assert sorted((r.mac or "", r.plan) for r in constant_per_group(df, "mac", "plan", 0).collect()) == \
+        [("", 0), ("A", 0), ("B", 0)]
+    dim = spark.createDataFrame([(1, "x", "1"), (2, "y", "0")], "office int, name string, active string")
+    out = {r.office: r.name for r in left_lookup(df, dim, "office", F.col("active") == "1").collect()}
+    assert out == {1: "x", 2: None, 3: None, 4: None}      # right-side filter inside ON, rows kept
+    register_view(df, "panel_view")
+    assert spark.sql("SELECT count(*) AS n FROM panel_view").first().n == 4
