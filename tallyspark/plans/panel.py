@@ -155,13 +155,13 @@ def programme_rules(t: tables) -> DataFrame:
 
 # --- q04 -----------------------------------------------------------------------------
 
-# Fixed values: (city, product) pairs whose contracts count in the denominator.
+# Fixed values: (city, brand) pairs whose contracts count in the denominator.
 PAIRS = [
-    ("Tolyatti", "1-URGENT"),
-    ("Surgut", "2-HIGH"),
-    ("EUROPE", "5-LOW"),
-    ("ASIA", "3-MEDIUM"),
-    ("AMERICA", "1-URGENT"),
+    ("Tolyatti", "AUTOMOBILE"),
+    ("Surgut", "BUILDING"),
+    ("EUROPE", "FURNITURE"),
+    ("ASIA", "HOUSEHOLD"),
+    ("AMERICA", "MACHINERY"),
 ]
 
 
@@ -180,8 +180,8 @@ def membership_flags(t: tables, p: Params = DEFAULT, as_of: str = AS_OF) -> Data
         marka.alias("marka"),
         value_map(F.col("model"), {"F": "domestic", "O": "foreign"}, "unknown").alias("rus_no"),
     ).withColumn("fp_flag", membership_label(F.col("marka"), ["AUTOMOBILE O", "MACHINERY", "FURNITURE"], "FP", "nonFP"))
-    pairs = spark.createDataFrame(PAIRS, "city string, product_raw string")
-    c = pair_flag(c, pairs, ["city", "product_raw"], "pair_flag", also=F.col("sub_product_nm") == PRIVATE_SUB_PRODUCT)
+    pairs = spark.createDataFrame(PAIRS, "city string, brand string")
+    c = pair_flag(c, pairs, ["city", "brand"], "pair_flag", also=F.col("sub_product_nm") == PRIVATE_SUB_PRODUCT)
     premium = F.when(F.col("brand").like("%MOBILE%"), F.col("loan_amt").cast("decimal(23,2)"))
     return c.groupBy("city", "marka", "fp_flag", "rus_no", "pair_flag").agg(
         F.count(F.lit(1)).cast("bigint").alias("contracts"),
