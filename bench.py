@@ -27,6 +27,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
     spark = local_session(cpus, app="tallyspark-bench")
+    spread = os.environ.get("BENCH_SPREAD")
+    if spread:
+        spark.conf.set("tallyspark.spreadSmallScans", spread)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     keys = only or list(QUERIES)

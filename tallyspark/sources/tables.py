@@ -58,10 +58,34 @@ class tables:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = load(self.spark, self.sf_dir, name, self.prefix)
+            df = load(self.spark, self.sf_dir, name, self.prefix)
+            if name in SPREAD_TABLES:
+                df = spread_single_split(df)
+            self._cache[name] = df
         return self._cache[name]
 
 
+# The largest fact table; see ``spread_single_split``.
+SPREAD_TABLES = frozenset({"lineitem"})
+
+
+def spread_single_split(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the session has cores.
+
+    A parquet file written as a single row group is read by one task, and every
+    narrow operator fused with that scan (joins, hashing, formatting) then runs
+    single-threaded.  Only in that case, and only when
+    ``tallyspark.spreadSmallScans=true``, a round-robin repartition is added
+    after the scan (filters and column pruning still reach the scan).  A large
+    table on a cluster has many splits, so this never fires there.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("tallyspark.spreadSmallScans", "false") != "true":
+        return df
+    target = spark.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def scan_snapshot(df: DataFrame, partition_col: str, value) -> DataFrame:
     """Snapshot-partition scan: a filter on the partition column.
 
