@@ -75,3 +75,25 @@ def test_frequency_median_property(spark, rows):
     expanded = [v for v, n in per_value.items() for _ in range(n)]
     exp = round(statistics.median(expanded), 1) if expanded else None
     assert got == exp
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 40), st.sampled_from("VWXYZ")), min_size=1, max_size=8),
+       st.lists(st.one_of(st.integers(-5, 110), st.none()), min_size=1, max_size=25))
+def test_effective_dated_lookup_property(spark, rules, days):
+    import datetime as dt
+
+    from tallyspark.operators.joins import effective_dated_lookup, resolve_effective_rules
+
+    base = dt.date(2019, 12, 20)
+    rule_rows = [(i, base + dt.timedelta(days=s), base + dt.timedelta(days=s + n), v) for i, (s, n, v) in enumerate(rules)]
+    rdf = spark.createDataFrame(rule_rows, "priority int, valid_from date, valid_to date, v string")
+    dates = [None if d is None else base + dt.timedelta(days=d) for d in days]
+    df = spark.createDataFrame(list(enumerate(dates)), "i int, d date")
+    got = {r.i: r.v for r in effective_dated_lookup(df, "d", resolve_effective_rules(rdf, "v"), "v").collect()}
+
+    def brute(d):
+        hits = sorted((p, v) for p, f, t, v in rule_rows if d is not None and f <= d <= t)
+        return hits[0][1] if hits else None
+
+    assert got == {i: brute(d) for i, d in enumerate(dates)}
