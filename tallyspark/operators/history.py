@@ -1,7 +1,7 @@
 """History tables: current version of an SCD2 table (J3) and latest row per key.
 
-``latest_per_key`` uses ``max(struct(order..., payload...))`` grouped by the
-key instead of a ``row_number`` window: it is a partially aggregated (map-side
+``latest_row`` uses ``max(struct(order...))`` grouped by the key instead of a
+``row_number`` window: it is a partially aggregated (map-side
 combined) reduction, so a key holding a third of all rows is reduced in every
 map task before the shuffle and never lands whole in one task.
 """
@@ -25,26 +25,13 @@ def current_version(df: DataFrame, valid_to: str = "effective_to", deleted: str
     return df.filter(cond)
 
 
-def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str],
-                   payload: Sequence[str] = (), descending: bool = True) -> DataFrame:
-    """Keep one row per key: the greatest (or least) by ``order``, ties broken by ``payload``.
+def latest_row(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """Latest row per key: ``QUALIFY ROW_NUMBER() OVER (PARTITION BY key ORDER BY order_cols DESC) = 1``.
 
-    Equivalent to ``QUALIFY ROW_NUMBER() OVER (PARTITION BY key ORDER BY order DESC,
-    payload DESC) = 1`` when the order plus payload columns form a total order.
+    Returns the key and ``order_cols``; list every column to keep in
+    ``order_cols`` (later ones break ties), so the result is deterministic.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    names = [f"__o{i}" for i in range(len(cols))]
-    fields = [c.alias(n) for c, n in zip(cols, names)] + [F.col(p).alias(p) for p in payload]
-    agg = F.max if descending else F.min
-    best = df.groupBy(*keys).agg(agg(F.struct(*fields)).alias("__best"))
-    out_cols = [F.col(f"__best.{p}").alias(p) for p in payload]
-    return best.select(*keys, *out_cols, *[F.col(f"__best.{n}").alias(n) for n in names])
-
-
-def latest_row(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str]) -> DataFrame:
-    """Latest full row per key where ``order_cols`` (descending) is a total order of the rows."""
-    keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in order_cols if c not in keys]
     best = df.groupBy(*keys).agg(F.max(F.struct(*[F.col(c) for c in rest])).alias("__best"))
     return best.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest])

@@ -48,8 +48,7 @@ def positional_crosstab(df: DataFrame, key: str, value: str, n: int, order: Sequ
                         prefix: str | None = None) -> DataFrame:
     """``crosstab(sql)`` one-argument form with an explicit order (default: ``value`` ascending)."""
     order = list(order) if order is not None else [F.col(value).asc()]
-    ranked = rank_top_n(df.select(key, value, *[c for c in order if isinstance(c, str) and c not in (key, value)]),
-                        key, order, n, "__rn")
+    ranked = rank_top_n(df, key, order, n, "__rn")
     prefix = prefix or value
     return ranked.groupBy(key).agg(
         *[F.max(F.when(F.col("__rn") == i, F.col(value))).alias(f"{prefix}{i}") for i in range(1, n + 1)]
@@ -70,7 +69,11 @@ def composition_signature(df: DataFrame, keys: Sequence[str], item: Column | str
 
 def record_transpose(df: DataFrame, key: str, order: Sequence[Column | str], columns: Sequence[str], n: int,
                      col_name: str = "col", prefix: str = "r") -> DataFrame:
-    """Per key: one output row per chosen column, the key's first n records as r1..rn (text)."""
+    """Per key: one output row per chosen column, the key's first n records as r1..rn (text).
+
+    Values are cast to text with Spark's cast; format doubles first (e.g. as a
+    decimal) when a fixed text form matters.
+    """
     ranked = rank_top_n(df, key, order, n, "__rn")
     stacked = ranked.select(
         key, "__rn",
