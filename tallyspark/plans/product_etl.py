@@ -9,7 +9,7 @@ when it is small, else keeps a sort-merge join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.sources.tables import tables
@@ -29,14 +29,27 @@ PRODUCT_DEFAULTS = {
 PRODUCT_RENAMES = {"EnglishDescription": "Description", "EnglishProductName": "ProductName"}
 
 
+def _brand_no():
+    return F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+
+
+def type_keys(t: tables) -> DataFrame:
+    """Category key per product type: rank of the type among the distinct types.
+
+    The window runs over the distinct types only (a small, bounded domain).
+    """
+    types = t.part.select("p_type").distinct()
+    return types.select("p_type", F.dense_rank().over(Window.orderBy("p_type")).alias("type_key"))
+
+
 def src_product(t: tables) -> DataFrame:
     """Product source derived from ``part`` (with the gaps a real source has)."""
-    p = t.part
-    brand_no = F.regexp_extract("p_brand", r"#(\d+)", 1)
+    p = t.part.join(type_keys(t), "p_type")
+    sub_key = (_brand_no() * 100 + F.col("type_key")).cast("string")
     return p.select(
         F.col("p_partkey").alias("ProductKey"),
         F.concat(F.lit("AK-"), F.col("p_partkey").cast("string")).alias("ProductAlternateKey"),
-        F.when(F.col("p_type") != "PROMO", F.concat(brand_no, F.lit(".0"))).alias("ProductSubcategoryKey"),
+        F.when(F.col("p_type") != "PROMO", F.concat(sub_key, F.lit(".0"))).alias("ProductSubcategoryKey"),
         F.when(F.col("p_size") > 40, F.lit("LB")).alias("WeightUnitMeasureCode"),
         F.when(F.col("p_size") > 25, F.lit("CM")).alias("SizeUnitMeasureCode"),
         F.col("p_name").alias("EnglishProductName"),
@@ -54,19 +67,22 @@ def src_product(t: tables) -> DataFrame:
 
 
 def src_subcategory(t: tables) -> DataFrame:
-    no = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
-    return t.part.select(
-        no.alias("ProductSubcategoryKey"), F.col("p_brand").alias("EnglishProductSubcategoryName"),
-        (no * 10).alias("ProductSubcategoryAlternateKey"),
-        (F.floor((no - 1) / 5) + 1).cast("int").alias("ProductCategoryKey"),
-    ).distinct()
+    """Distinct (brand, type) pairs; each belongs to the category of its type."""
+    pairs = t.part.select("p_brand", "p_type").distinct().join(type_keys(t), "p_type")
+    key = _brand_no() * 100 + F.col("type_key")
+    return pairs.select(
+        key.alias("ProductSubcategoryKey"),
+        F.concat_ws(" ", "p_brand", "p_type").alias("EnglishProductSubcategoryName"),
+        (key * 10).alias("ProductSubcategoryAlternateKey"),
+        F.col("type_key").alias("ProductCategoryKey"),
+    )
 
 
 def src_category(t: tables) -> DataFrame:
-    sub = src_subcategory(t).select("ProductCategoryKey").distinct()
-    return sub.select(
-        "ProductCategoryKey", (F.col("ProductCategoryKey") * 100).alias("ProductCategoryAlternateKey"),
-        F.concat(F.lit("GROUP_"), F.col("ProductCategoryKey").cast("string")).alias("EnglishProductCategoryName"),
+    """Distinct product types."""
+    return type_keys(t).select(
+        F.col("type_key").alias("ProductCategoryKey"), (F.col("type_key") * 100).alias("ProductCategoryAlternateKey"),
+        F.col("p_type").alias("EnglishProductCategoryName"),
     )
 
 
