@@ -34,17 +34,28 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     keys = only or list(QUERIES)
     passes = []
+    errors: dict[str, str] = {}
     for _ in range(2):
-        times: dict[str, float] = {}
+        times: dict[str, float | None] = {}
         for k in keys:
             t0 = time.perf_counter()
-            QUERIES[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[k] = round(time.perf_counter() - t0, 3)
+            try:
+                QUERIES[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                times[k] = round(time.perf_counter() - t0, 3)
+            except Exception as e:  # noqa: BLE001 - record and keep measuring the others
+                times[k] = None
+                errors[k] = f"{type(e).__name__}: {str(e)[:200]}"
         passes.append(times)
     cold, warm = passes
-    print(json.dumps({"metric": "total_query_sec", "value": round(sum(warm.values()), 3), "unit": "sec",
-                      "queries": warm, "sf": sf, "cpus": int(cpus), "n_queries": len(warm),
-                      "cold_value": round(sum(cold.values()), 3), "cold_queries": cold}))
+
+    def total(ts):
+        return round(sum(v for v in ts.values() if v is not None), 3)
+
+    out = {"metric": "total_query_sec", "value": total(warm), "unit": "sec", "queries": warm, "sf": sf,
+           "cpus": int(cpus), "n_queries": len(warm), "cold_value": total(cold), "cold_queries": cold}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
