@@ -233,11 +233,15 @@ def weighted_rates(t: tables, p: Params = DEFAULT) -> DataFrame:
     intervals = resolve_effective_rules(rate_rules(df.sparkSession), "addon")
     df = effective_dated_lookup(df, "ship_dt", intervals, "addon", out="window_addon")
     eligible = (F.col("product_raw") != p.excluded_product) & (F.col("l_linestatus") == "F")
-    rate = (F.col("l_discount") * 100).cast("decimal(10,2)")
+    # exact decimal arithmetic end to end: no double -> decimal rounding of products
+    price = F.col("l_extendedprice").cast(MONEY)
+    disc = F.col("l_discount").cast("decimal(4,2)")
+    tax = F.col("l_tax").cast("decimal(4,2)")
+    rate = disc * 100
     stavka = (rate + rate_addon(eligible, F.col("l_returnflag"), F.col("window_addon"))).alias("stavka")
-    loan = F.col("l_extendedprice").cast(MONEY).alias("loan")
-    vc = (F.col("l_extendedprice") * (1 + F.col("l_tax"))).cast(MONEY).alias("vc")
-    cl = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(MONEY).alias("cl")
+    loan = price.alias("loan")
+    vc = (price * (1 + tax)).alias("vc")
+    cl = (price * (1 - disc)).alias("cl")
     term = F.col("l_quantity").cast("int").alias("term")
     rows = df.select(F.col("city").alias("mac"), stavka, loan, vc, cl, term)
     g = rows.groupBy("mac").agg(
