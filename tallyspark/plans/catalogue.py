@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyspark.plans import cross_sell as cs
+from tallyspark.plans import exercises as ex
+from tallyspark.plans import gates as gt
+from tallyspark.plans import panel as pn
+from tallyspark.plans import product_etl as pe
 from tallyspark.plans import retail_star as rs
+from tallyspark.session import scratch_dir
 from tallyspark.sources import adapters as ad
+from tallyspark.sources import io as sio
 from tallyspark.sources.tables import tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +74,6 @@ def q31_monthly(spark, sf_dir):
 
 # --- plan-vs-fact panel and contract features (M9-M13) ------------------------
 
-from tallyspark.plans import panel as pn  # noqa: E402
-
 
 @query("q01_city_label")
 def q01_city_label(spark, sf_dir):
@@ -137,9 +143,6 @@ def q13_plan_vs_fact(spark, sf_dir):
 
 # --- SQL exercises (M16, W5/W6, A18, A15/A16) -----------------------------------
 
-from tallyspark.plans import cross_sell as cs  # noqa: E402
-from tallyspark.plans import exercises as ex  # noqa: E402
-
 
 @query("q14_retention")
 def q14_retention(spark, sf_dir):
@@ -215,12 +218,6 @@ def q25_rank_contracts(spark, sf_dir):
 
 # --- product ETL, quality gates, copies and CSV (M8, D1-D7, S3-S6, O3) ---------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from tallyspark.plans import gates as gt  # noqa: E402
-from tallyspark.plans import product_etl as pe  # noqa: E402
-from tallyspark.session import scratch_dir  # noqa: E402
-from tallyspark.sources import io as sio  # noqa: E402
 
 # Tables the product ETL looks for (one is absent on purpose).
 COPY_CANDIDATES = ["part", "nation", "region", "supplier", "customer", "product_subcategory_missing"]
