@@ -12,10 +12,12 @@ when several outputs read it):
 Scale notes: the reference scans contracts + office + region once per
 subquery (8 times); here every per-city input is ONE partially aggregated
 pass, and the final joins are between per-city tables whose size is bounded by
-the number of cities, so AQE broadcasts them.  Dimension joins use
-``bounded_broadcast``.  The only large join is insurance (lineitem) to the
-period's contracts, which AQE turns into a broadcast of the filtered
-contracts when the period is small and a sort-merge join otherwise.
+the number of cities (AQE broadcasts them, or joins them in place because the
+aggregates are already partitioned by the city).  Dimension joins use
+``bounded_broadcast``.  The large joins are orders to customers and the
+insurance lines (lineitem) to the period's contracts; the period filter is
+pushed into the orders scan first, so AQE can broadcast the filtered contracts
+when the period is small and keeps a sort-merge join otherwise.
 """
 
 from __future__ import annotations
