@@ -26,6 +26,15 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # stage and task times for offline analysis, written to a fresh scratch folder
+        import tempfile
+
+        log_dir = tempfile.mkdtemp(prefix="tallyspark-eventlog-")
+        os.environ.setdefault("PYSPARK_SUBMIT_ARGS",
+                              f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{log_dir} "
+                              "pyspark-shell")
+        print(f"event log: {log_dir}", file=sys.stderr)
     spark = local_session(cpus, app="tallyspark-bench")
     spread = os.environ.get("BENCH_SPREAD")
     if spread:

@@ -194,3 +194,16 @@ def test_contract_panel_latest_policy_option(spark, sf_small):
     real = ins.filter("risk_type = 1").drop("risk_type")
     assert rows.join(real, ["contract_id", "comp_contract_id", "comp_insurant", "comp_payment"],
                      "left_anti").count() == 0
+
+
+def test_csv_permissive_keeps_malformed_rows(spark):
+    path = scratch_dir(spark, "csv_bad")
+    import os
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "part-0.csv"), "w") as f:
+        f.write("InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n")
+        f.write("1,A,x,abc,1/2/2011 3:04,2.5,,NA\n")
+        f.write("2,B,y,3,1/2/2011 3:05,oops,17.0,Kenya\n")
+    rows = {r.InvoiceNo: r for r in sio.read_csv_typed(spark, path).collect()}
+    assert rows["1"].Quantity is None and rows["1"].CustomerID is None and rows["1"].Country == "NA"
+    assert rows["2"].UnitPrice is None and rows["2"].Quantity == 3 and rows["2"].CustomerID == 17.0
