@@ -16,6 +16,7 @@ def yyyy_mm_label(col: Column | str) -> Column:
 
 
 def iso_week(col: Column | str) -> Column:
+    """ISO-8601 week number (1-53)."""
     return F.weekofyear(_c(col).cast("date"))
 
 
@@ -39,6 +40,7 @@ def last_week_end(col: Column | str, offset: int = 0) -> Column:
 
 
 def month_back(col: Column | str, months: int = 1) -> Column:
+    """The date ``months`` calendar months earlier (end-of-month clamped)."""
     return F.add_months(_c(col).cast("date"), -months)
 
 

@@ -20,6 +20,7 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def round_ratio(num: Column, den: Column, digits: int = 6) -> Column:
+    """``ratio`` rounded to ``digits`` decimals."""
     return F.round(ratio(num, den), digits)
 
 

@@ -23,6 +23,7 @@ QUERIES: dict[str, QueryFn] = {}
 
 
 def query(key: str):
+    """Register a catalogue function under ``key``."""
     def deco(fn):
         QUERIES[key] = fn
         return fn

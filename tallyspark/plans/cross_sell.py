@@ -37,6 +37,7 @@ GROUPS = ("os", "ka", "ifl", "other")
 
 
 def period_policies(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Client policies that start inside the cross-sell period."""
     pol = ad.policies(t)
     return pol.filter(F.col("bgn_dt").between(F.lit(p.cross_from), F.lit(p.cross_to)))
 
@@ -44,6 +45,7 @@ def period_policies(t: tables, p: Params = DEFAULT) -> DataFrame:
 # --- q19 (P1) ---------------------------------------------------------------------
 
 def type_slots(t: tables, p: Params = DEFAULT, n: int = 3) -> DataFrame:
+    """Q19: per client, its sorted distinct product types in ``n`` positional slots."""
     pol = period_policies(t, p).select("rgs_id", F.upper("ins_type").alias("ins_type")).distinct()
     return positional_crosstab(pol, "rgs_id", "ins_type", n, prefix="ins_type")
 
@@ -66,6 +68,7 @@ def weekly_signatures(t: tables, p: Params = DEFAULT) -> DataFrame:
 
 
 def weekly_composition(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q20: clients per (ISO year, week, signature, size class, anchor flag)."""
     sig = weekly_signatures(t, p)
     # one row per (week, client) already, so counting rows counts distinct clients
     return sig.groupBy("bgn_dt_year", "week_num", "ins_type_gr", "cross_cl", "anchor_flg").agg(
@@ -112,11 +115,13 @@ def client_matrix(t: tables, p: Params = DEFAULT) -> DataFrame:
 
 
 def cross_sell(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q21: the anchor-client matrix with money sums as double."""
     m = client_matrix(t, p)
     return m.select(*[F.col(c).cast("double").alias(c) if c.endswith("_sum") else F.col(c) for c in m.columns])
 
 
 def cross_sell_agg(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """The matrix aggregated by anchor month, region and first-time flag."""
     m = client_matrix(t, p)
     aggs = [F.count("rgs_id").cast("bigint").alias("clients")]
     for g in GROUPS:
@@ -126,6 +131,7 @@ def cross_sell_agg(t: tables, p: Params = DEFAULT) -> DataFrame:
 
 
 def client_groups(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q22: distinct client-group codes (four count buckets concatenated)."""
     m = client_matrix(t, p)
     labels = {"os": "over 3 osago", "ka": "over 3 kasko", "ifl": "over 3 ifl", "other": "over 3 other"}
     gr = F.concat(*[count_bucket(F.col(f"{g}_con_cnt"), 3, labels[g]) for g in GROUPS])
@@ -152,21 +158,25 @@ def reconcile(t: tables, p: Params = DEFAULT) -> DataFrame:
 # --- q24 / q24b (P2, P3, W3) -------------------------------------------------------------
 
 def transpose_order():
+    """Total record order for the transpose (start, contract, end, type, payment)."""
     return [F.col("bgn_dt").asc(), F.col("con_id").asc(), F.col("end_dt").asc(), F.col("ins_type").asc(),
             F.col("ins_pay").asc()]
 
 
 def transpose_records(t: tables, n: int = 3) -> DataFrame:
+    """Q24: each client's first ``n`` policy records transposed into r1..rn."""
     pol = ad.policies(t).withColumn("ins_pay", F.col("ins_pay").cast(MONEY))
     return record_transpose(pol, "rgs_id", transpose_order(), ["con_id", "ins_type", "bgn_dt", "end_dt", "ins_pay"], n)
 
 
 def top_order():
+    """Total record order for the top-n pivot (type desc, contract, payment desc, dates)."""
     return [F.col("ins_type").desc(), F.col("con_id").asc(), F.col("ins_pay").desc(), F.col("bgn_dt").asc(),
             F.col("end_dt").asc()]
 
 
 def top_records_pivot(t: tables, n: int = 5) -> DataFrame:
+    """Each client's top ``n`` records pivoted into numbered columns."""
     pol = ad.policies(t)
     return pivot_top_n(pol, "rgs_id", top_order(), ["con_id", "ins_pay"], n, extra=["ins_type"])
 
@@ -174,6 +184,7 @@ def top_records_pivot(t: tables, n: int = 5) -> DataFrame:
 # --- q25 (W2) ---------------------------------------------------------------------------
 
 def rank_anchor_contracts(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q25: de-duplicated anchor contracts ranked per client by payment (skew-safe)."""
     pol = period_policies(t, p).filter(F.col("ins_type") == p.anchor_type)
     distinct = pol.select("con_id", "ins_pay", "rgs_id").distinct()
     return rank_rows(distinct, "rgs_id", [F.col("ins_pay").desc_nulls_last(), F.col("con_id").asc()], "rn_rub_os")

@@ -23,6 +23,7 @@ from tallyspark.sources.tables import tables
 
 
 def user_actions(t: tables) -> DataFrame:
+    """User actions: (user_id, event_date) from orders."""
     return t.orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("date").alias("event_date"))
 
 
@@ -66,6 +67,7 @@ PRIME, NOT_PRIME = "prime_eligible", "not_prime"
 
 
 def inventory(t: tables) -> DataFrame:
+    """Inventory items from parts: PROMO parts are prime-eligible, area = size."""
     return t.part.select(
         F.when(F.col("p_type") == "PROMO", F.lit(PRIME)).otherwise(F.lit(NOT_PRIME)).alias("item_type"),
         F.col("p_size").cast("bigint").alias("square_footage"),

@@ -23,6 +23,7 @@ MODEL_CONTRACTS = {
 
 
 def model_checks() -> dict[str, list[Check]]:
+    """Checks of the model layer (dimensions and fact)."""
     return {
         "dim_customer": [
             Check("All customers are unique", "duplicate", "customer_id"),
@@ -46,6 +47,7 @@ def model_checks() -> dict[str, list[Check]]:
 
 
 def report_checks() -> dict[str, list[Check]]:
+    """Checks of the report layer."""
     return {
         "report_customer_invoices": [
             Check("All customers have a country", "missing", "country"),
@@ -131,5 +133,6 @@ def enforce_all(raw: DataFrame, country: DataFrame, store=materialize) -> DataFr
 
 
 def failed_invoice_rows(raw: DataFrame) -> DataFrame:
+    """Fact rows whose total is negative (the failed-rows check's evidence)."""
     fct = rs.fct_invoices(raw)
     return fct.filter(F.col("total") < 0).select("invoice_id", "total")

@@ -89,6 +89,7 @@ def _in_period(col, lo, hi):
 
 
 def fact_contracts(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Contracts of the fact period with a product in scope."""
     c = ad.contracts(t, p)
     return c.filter(_in_period("issue_dt", p.fact_from, p.fact_to) & F.col("product_raw").isin(list(p.products)))
 
@@ -96,6 +97,7 @@ def fact_contracts(t: tables, p: Params = DEFAULT) -> DataFrame:
 # --- q01 -----------------------------------------------------------------------
 
 def city_counts(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q01: contracts and loan sum per city label."""
     fc = fact_contracts(t, p)
     return fc.groupBy("city").agg(
         F.count("contract_id").cast("bigint").alias("contracts"),
@@ -128,6 +130,7 @@ def contract_panel(t: tables, p: Params = DEFAULT, latest: bool = False) -> Data
 # --- q03 -----------------------------------------------------------------------------
 
 def programme_rules(t: tables) -> DataFrame:
+    """Q03: programme labels (first-match rules) and the nested OR flag, counted per product."""
     li = t.lineitem.select("l_orderkey", "l_partkey")
     pt = t.part.select("p_partkey", "p_name", "p_type")
     o = t.orders.select("o_orderkey", "o_orderpriority")
@@ -173,6 +176,7 @@ AS_OF = "1998-01-15"
 
 
 def membership_flags(t: tables, p: Params = DEFAULT, as_of: str = AS_OF) -> DataFrame:
+    """Q04: brand, programme membership, origin, pair flag and conditional premium per group."""
     c = ad.contracts(t, p)
     c = c.filter(F.col("issue_dt").between(F.lit(p.fact_from), last_week_end(F.lit(as_of).cast("date"))))
     spark = c.sparkSession
@@ -194,6 +198,7 @@ def membership_flags(t: tables, p: Params = DEFAULT, as_of: str = AS_OF) -> Data
 # --- q05 (M10) ----------------------------------------------------------------------
 
 def penetration_metrics(p: Params = DEFAULT) -> list[Metric]:
+    """The six penetration metrics, each with its own population."""
     not_excl = F.col("product") != F.lit(p.excluded_product)
     return [
         Metric("vkasko", F.col("comp_contract_id").isNotNull() & (F.col("comp_pay_desc") == "N"), not_excl),
@@ -206,6 +211,7 @@ def penetration_metrics(p: Params = DEFAULT) -> list[Metric]:
 
 
 def penetration_table(panel: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Q05: penetration shares per city (NULL for a NULL city, which never matches)."""
     pen = penetration(panel.withColumnRenamed("city", "mac"), "mac", penetration_metrics(p), "loan_amt")
     return null_when_key_null(pen, "mac", [c for c in pen.columns if c != "mac"])
 
@@ -228,6 +234,7 @@ def rate_addon(eligible, ret_flag, window_addon):
 
 
 def weighted_rates(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q06: loan-weighted rate (with add-ons), term and down payment per city."""
     fc = fact_contracts(t, p).select("contract_id", "product_raw", "city")
     li = t.lineitem.select("l_orderkey", "l_discount", "l_tax", "l_quantity", "l_extendedprice",
                            "l_linestatus", "l_returnflag", "l_shipdate")
@@ -286,6 +293,7 @@ def plan_fp(t: tables, p: Params = DEFAULT) -> DataFrame:
 
 
 def plan_totals(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q07: plan count and plan sum (thousands x 1000) per city and product."""
     pl = plan_long(t, p).filter(_in_period("date_sys", p.plan_from, p.plan_to))
     pcs = F.col("metric_name") == METRIC_PCS
     krub = F.col("metric_name") == METRIC_KRUB
@@ -362,6 +370,7 @@ LATEST_ORDER = ["open_dt", "risk_type", "policy_id", "insurer_id", "payment_amt"
 
 
 def latest_policy(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q10: every contract with its latest policy of the selected risk types."""
     hist = ad.insurance(t).filter((F.col("status") == "O") & F.col("risk_type").isin(4, 7))
     latest = latest_row(hist.select("agreement_id", *LATEST_ORDER), "agreement_id", LATEST_ORDER)
     c = t.orders.select(F.col("o_orderkey").alias("contract_id"), F.col("o_orderdate").cast("date").alias("issue_dt"))
@@ -374,6 +383,7 @@ ROLE_FLAGS = {"flg_vk_rastor": 1, "flg_mk_rastor": 2, "flg_sj_rastor": 3, "flg_d
 
 
 def cancellation_flags(t: tables) -> DataFrame:
+    """Q11: four cancellation-role presence flags per contract."""
     canc = t.lineitem.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
     c = t.orders.select(F.col("o_orderkey").alias("contract_id"))
     return role_flags(c, "contract_id", canc, "l_orderkey", "l_linenumber", ROLE_FLAGS)
@@ -382,6 +392,7 @@ def cancellation_flags(t: tables) -> DataFrame:
 # --- q12 ----------------------------------------------------------------------------------
 
 def residual_plan(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Q12: new-car plan minus the sub-programme plan, and the zero C2C plan, per city."""
     return plan_by_city(t, p).select("mac", "nefp_count_plan", "c2c_count_plan")
 
 
@@ -403,6 +414,7 @@ REPORT_COLUMNS = [
 
 
 def plan_vs_fact(t: tables, p: Params = DEFAULT, panel: DataFrame | None = None) -> DataFrame:
+    """Q13: the plan-versus-fact city report (40 columns)."""
     fact = fact_splits(t, p)
     plan = plan_by_city(t, p)
     pen = penetration_table(panel if panel is not None else contract_panel(t, p), p)

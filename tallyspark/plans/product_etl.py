@@ -87,17 +87,20 @@ def src_category(t: tables) -> DataFrame:
 
 
 def stg_product(src: DataFrame) -> DataFrame:
+    """Clean products: kept columns, typed NULL defaults, renames."""
     df = src.select(*PRODUCT_COLUMNS).na.fill(PRODUCT_DEFAULTS)
     return df.withColumnsRenamed(PRODUCT_RENAMES)
 
 
 def stg_subcategory(src: DataFrame) -> DataFrame:
+    """Clean subcategories: kept columns, rename."""
     cols = ["ProductSubcategoryKey", "EnglishProductSubcategoryName", "ProductSubcategoryAlternateKey",
             "ProductCategoryKey"]
     return src.select(*cols).withColumnsRenamed({"EnglishProductSubcategoryName": "ProductSubcategoryName"})
 
 
 def stg_category(src: DataFrame) -> DataFrame:
+    """Clean categories: kept columns, rename."""
     return src.select("ProductCategoryKey", "ProductCategoryAlternateKey", "EnglishProductCategoryName") \
         .withColumnsRenamed({"EnglishProductCategoryName": "ProductCategoryName"})
 
@@ -109,5 +112,6 @@ def product_model(p: DataFrame, ps: DataFrame, pc: DataFrame, how: str = "inner"
 
 
 def product_snowflake(t: tables) -> DataFrame:
+    """Q32: the cleaned product snowflake."""
     return product_model(stg_product(src_product(t)), stg_subcategory(src_subcategory(t)),
                          stg_category(src_category(t)))

@@ -27,6 +27,7 @@ PRODUCT_KEY = ["StockCode", "Description", "UnitPrice"]
 
 
 def dim_customer(raw: DataFrame, country: DataFrame) -> DataFrame:
+    """Customer dimension: distinct hashed (customer, country) with the country's ISO code."""
     base = raw.filter(F.col("CustomerID").isNotNull()).select(
         surrogate_key(raw, CUSTOMER_KEY).alias("customer_id"), F.col("Country").alias("country")
     ).distinct()
@@ -35,6 +36,7 @@ def dim_customer(raw: DataFrame, country: DataFrame) -> DataFrame:
 
 
 def dim_datetime(raw: DataFrame, strict_lengths: bool = False) -> DataFrame:
+    """Datetime dimension: distinct invoice-date texts, parsed, with six calendar parts."""
     base = raw.filter(F.col("InvoiceDate").isNotNull()).select(F.col("InvoiceDate").alias("datetime_id")).distinct()
     dt = parse_invoice_datetime(F.col("datetime_id"), strict_lengths=strict_lengths)
     base = base.withColumn("datetime", dt)
@@ -47,6 +49,7 @@ def dim_datetime(raw: DataFrame, strict_lengths: bool = False) -> DataFrame:
 
 
 def dim_product(raw: DataFrame) -> DataFrame:
+    """Product dimension: distinct hashed (stock code, description, price), price > 0."""
     return raw.filter(F.col("StockCode").isNotNull() & (F.col("UnitPrice") > 0)).select(
         surrogate_key(raw, PRODUCT_KEY).alias("product_id"),
         F.col("StockCode").alias("stock_code"),
@@ -96,6 +99,7 @@ def fct_invoices(raw: DataFrame, mode: str = "derived", dims: dict[str, DataFram
 
 def report_customer_invoices(fct: DataFrame, dim_cust: DataFrame, top: int = 10) -> DataFrame:
     # an invoice belongs to one customer, so distinct invoices add up across customers
+    """Top countries by revenue (fact pre-aggregated per customer, then joined)."""
     per_key = fct.groupBy("customer_id").agg(
         F.count("invoice_id").alias("n"), F.countDistinct("invoice_id").alias("nd"),
         F.sum(F.col("total").cast(MONEY)).alias("rev"),
@@ -110,6 +114,7 @@ def report_customer_invoices(fct: DataFrame, dim_cust: DataFrame, top: int = 10)
 
 
 def report_product_invoices(fct: DataFrame, dim_prod: DataFrame, top: int = 10) -> DataFrame:
+    """Top products by quantity sold (fact pre-aggregated per product, then joined)."""
     per_key = fct.groupBy("product_id").agg(F.sum("quantity").alias("q"))
     joined = per_key.join(dim_prod, "product_id")
     rep = joined.groupBy("product_id", "stock_code", "description").agg(
@@ -119,6 +124,7 @@ def report_product_invoices(fct: DataFrame, dim_prod: DataFrame, top: int = 10)
 
 
 def report_year_invoices(fct: DataFrame, dim_dt: DataFrame) -> DataFrame:
+    """Distinct invoices and revenue per year and month."""
     per_key = fct.groupBy("datetime_id", "invoice_id").agg(F.sum(F.col("total").cast(MONEY)).alias("rev"))
     joined = per_key.join(dim_dt.select("datetime_id", "year", "month"), "datetime_id")
     rep = joined.groupBy("year", "month").agg(

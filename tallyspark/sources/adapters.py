@@ -182,6 +182,7 @@ def _raw_invoices(t: tables) -> DataFrame:
 
 
 def country_reference(t: tables) -> DataFrame:
+    """Country reference table (see ``_country_reference``)."""
     return t.memo("country", lambda: _country_reference(t))
 
 

@@ -78,6 +78,7 @@ def copy_tables(spark: SparkSession, src_dir: str, names: list[str], dst_dir: st
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """Write a table as CSV with a header row (full replace)."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
 

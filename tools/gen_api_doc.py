@@ -6,6 +6,7 @@ import importlib
 import inspect
 import os
 import pkgutil
+import re
 import sys
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -28,6 +29,7 @@ def main() -> None:
                     sig = str(inspect.signature(obj))
                 except (TypeError, ValueError):
                     sig = "(...)"
+                sig = re.sub(r"Params\([^)]*\([^)]*\)[^)]*\)|Params\(.*?\)(?=[,)])", "DEFAULT", sig)
                 items.append(f"* `{name}{sig}` -- {doc}" if doc else f"* `{name}{sig}`")
         if items:
             summary = (inspect.getdoc(mod) or "").split("\n\n")[0].replace("\n", " ")
