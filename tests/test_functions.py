@@ -107,3 +107,17 @@ def test_fifteen_character_dates(spark):
     r = df.select(parse_invoice_datetime(F.col("s")).alias("lenient"),
                   parse_invoice_datetime(F.col("s"), strict_lengths=True).alias("strict")).first()
     assert r.lenient == dt.datetime(2010, 12, 1, 18, 26) and r.strict is None
+
+
+def test_numeric_and_key_helpers(spark):
+    from decimal import Decimal
+
+    from tallyspark.functions import key_text, money, month_back, ratio, round_ratio
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(1234.565, 3.0, 0.0, dt.date(2020, 3, 31))], "x double, a double, z double, d date")
+    r = df.select(money("x").alias("m"), ratio(F.col("a"), F.col("z")).alias("r0"),
+                  round_ratio(F.col("a"), F.lit(7.0), 3).alias("r"), month_back("d").alias("mb"),
+                  key_text(F.col("x"), T.DoubleType()).alias("kt")).first()
+    assert isinstance(r.m, Decimal) and r.r0 is None and r.r == 0.429 and r.mb == dt.date(2020, 2, 29)
+    assert r.kt == "1234.5650"
