@@ -122,6 +122,11 @@ def q09_fact_like_split(spark, sf_dir):
     return pn.fact_splits(tables(spark, sf_dir)).select("mac", "asp_d_count_fact", "c2c_count_fact", "ab_count_fact")
 
 
+@query("q09b_fact_part_like_split")
+def q09b_fact_part_like_split(spark, sf_dir):
+    return pn.fact_part_like_split(tables(spark, sf_dir))
+
+
 @query("q10_latest_row")
 def q10_latest_row(spark, sf_dir):
     return pn.latest_policy(tables(spark, sf_dir))

@@ -439,3 +439,39 @@ def plan_vs_fact(t: tables, p: Params = DEFAULT, panel: DataFrame | None = None)
         c2c_ratio.alias("ispol_plana_c2c"),
     )
     return rep.select(*REPORT_COLUMNS)
+
+
+# --- q09b: the NOT LIKE split on the part name --------------------------------------------
+
+# The part-name marker of private (C2C) deals and the active-part rule.
+PRIVATE_PART_MARK = "GEAR"
+ACTIVE_PART_MAX_SIZE = 45
+
+
+def fact_part_like_split(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Used-car facts per city split by ``NOT LIKE`` / ``LIKE`` on the sub-product's part name.
+
+    A contract's sub-product is its smallest part key (one deterministic
+    aggregate per contract, computed only for the period's contracts); the part
+    dimension is joined with its "active" rule inside the join, so inactive
+    parts leave the name NULL and the NOT LIKE drops those contracts.
+    """
+    fc = fact_contracts(t, p)
+    keys = fc.select(F.col("contract_id").alias("l_orderkey"))
+    sub = (t.lineitem.select("l_orderkey", "l_partkey").join(keys, "l_orderkey", "left_semi")
+           .groupBy("l_orderkey").agg(F.min("l_partkey").alias("sub_id")))
+    active_parts = t.part.filter(F.col("p_size") <= ACTIVE_PART_MAX_SIZE).select(
+        F.col("p_partkey").alias("sub_id"), F.col("p_name").alias("sub_nm"))
+    rows = (fc.join(sub, fc.contract_id == sub.l_orderkey, "left")
+            .join(active_parts, "sub_id", "left"))
+    used = (F.col("product_raw") != p.excluded_product) & (F.col("owner_type") == "USED")
+    name = F.upper(F.col("sub_nm"))
+    mark = f"%{PRIVATE_PART_MARK}%"
+    g = rows.groupBy(F.col("city").alias("mac")).agg(
+        count_where(used & ~name.like(mark)).alias("asp"), count_where(used & name.like(mark)).alias("c2c"))
+    known = F.col("mac").isNotNull()
+    return g.select(
+        "mac",
+        F.when(known, nullif_zero(F.col("asp"))).alias("asp_d_count_fact"),
+        F.when(known, F.col("c2c")).otherwise(F.lit(0)).cast("bigint").alias("c2c_count_fact"),
+    )
