@@ -1,5 +1,6 @@
 """Property tests: custom operators vs brute-force Python on random small frames."""
 
+import os
 import statistics
 
 from hypothesis import HealthCheck, given, settings
@@ -11,7 +12,9 @@ from tallyspark.operators.pivoting import composition_signature, positional_cros
 from tallyspark.operators.windows import rank_rows
 from tallyspark.plans.exercises import frequency_median
 
-SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+# TALLYSPARK_PROPERTY_EXAMPLES raises the example count for a longer run
+SETTINGS = settings(max_examples=int(os.environ.get("TALLYSPARK_PROPERTY_EXAMPLES", "8")), deadline=None,
+                    suppress_health_check=[HealthCheck.function_scoped_fixture])
 keys = st.sampled_from(["a", "b", "c", None])
 vals = st.sampled_from(["P", "Q", "R", "S", "T"])
 
