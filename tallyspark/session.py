@@ -8,7 +8,6 @@ set (unit tests, local runs) do we create a private temporary directory.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -39,28 +38,42 @@ def local_session(cores: int | str = "*", app: str = "tallyspark", memory: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint dir; set a private one only where unset."""
+    """The shared checkpoint folder; a private one is made only in local mode, where none is set.
+
+    On a cluster the folder must be named by ``spark.checkpoint.dir``: a folder
+    on the driver's own disk is invisible to the executors.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
-    sc.setCheckpointDir(local)
+    if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = "file://" + tempfile.mkdtemp(prefix="tallyspark-ckpt-")
+    sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique directory under the shared scratch root for staging writes."""
-    root = spark.conf.get("tallyspark.scratch.dir", None)
-    if not root:
-        root = ensure_checkpoint_dir(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path (with its scheme) under the shared scratch root for staging writes."""
+    root = spark.conf.get("tallyspark.scratch.dir", None) or ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder whose readers have all finished."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def store(df, name: str = "stage") -> tuple:
+    """Write ``df`` to shared scratch; the table read back, and its path for ``drop_scratch``."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def materialize(df, name: str = "stage"):
@@ -70,7 +83,4 @@ def materialize(df, name: str = "stage"):
     way a pipeline materialises a model as a table).  One computation, stored
     durably, so it survives executor loss (unlike a local checkpoint or cache).
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return store(df, name)[0]
