@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.exact_dedup import dedup_verdicts
 
+from tallyspark.llm.quality import quality_verdicts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -45,3 +47,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe_decode(bpe_encode(docs).select("doc_id", "n_tokens", "ids"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
