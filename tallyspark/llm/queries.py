@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.exact_dedup import dedup_verdicts
 
+from tallyspark.llm.mixing import mix_counts
 from tallyspark.llm.quality import quality_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +53,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"))
