@@ -14,6 +14,8 @@ from tallyspark.llm.jaccard_join import near_duplicates
 from tallyspark.llm.mixing import mix_counts
 from tallyspark.llm.quality import quality_verdicts
 
+from tallyspark.llm.substring_dedup import remove_repeats
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -86,3 +88,30 @@ p AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
 """
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op10_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS p FROM w
+), x AS (SELECT g.doc_id, p, array_to_string(w[p:p + 12], ' ') AS s FROM g JOIN w USING (doc_id)),
+f AS (SELECT s, min(doc_id) AS lo FROM x GROUP BY s),
+r AS (
+  SELECT DISTINCT x.doc_id, unnest(generate_series(p, p + 12)) AS q FROM x JOIN f USING (s) WHERE x.doc_id > f.lo
+), m AS (SELECT doc_id, list(q) AS q FROM r GROUP BY doc_id),
+k AS (
+  SELECT w.doc_id, w.w, coalesce(len(m.q), 0) AS gone,
+         CASE WHEN m.q IS NULL THEN w.w
+              ELSE list_filter(w.w, lambda v, i: NOT list_contains(m.q, i)) END AS kept
+  FROM w LEFT JOIN m USING (doc_id)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, gone::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""

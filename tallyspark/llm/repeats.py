@@ -84,22 +84,31 @@ def region_bits(n_keys: int, max_bits: int = 28, hashes: int = 2) -> int:
 
 
 class RepeatFilter:
-    """The broadcast map of cells seen again, with the test tasks apply."""
+    """The broadcast maps of cells seen and seen again, with the tests tasks apply."""
 
-    def __init__(self, cells: Broadcast, bits: int, hashes: int):
-        self.cells, self.bits, self.hashes = cells, bits, hashes
+    def __init__(self, maps: Broadcast, bits: int, hashes: int):
+        self.maps, self.bits, self.hashes = maps, bits, hashes
 
-    def maybe_repeated(self, keys: np.ndarray) -> np.ndarray:
-        """True for every key that occurs twice or more, false for nearly all others."""
+    def _all_set(self, which: int, keys: np.ndarray) -> np.ndarray:
         if not len(keys):
             return np.zeros(0, dtype=bool)
-        packed = self.cells.value
-        cells = cells_of(keys, self.bits, self.hashes)
-        hit = (packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1
-        return hit.all(axis=0)
+        packed = self.maps.value[which]
+        out = np.ones(len(keys), dtype=bool)
+        for cells in cells_of(keys, self.bits, self.hashes):
+            out &= ((packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
+        return out
+
+    def maybe_seen(self, keys: np.ndarray) -> np.ndarray:
+        """True for every key that occurs, false for most others (only if built with ``keep_seen``)."""
+        return self._all_set(0, keys)
+
+    def maybe_repeated(self, keys: np.ndarray) -> np.ndarray:
+        """True for every key that occurs twice or more, false for nearly all others."""
+        return self._all_set(1, keys)
 
 
-def build(df: DataFrame, key_arrays, n_keys: int, max_bits: int = 28, hashes: int = 2) -> RepeatFilter:
+def build(df: DataFrame, key_arrays, n_keys: int, max_bits: int = 28, hashes: int = 2,
+          keep_seen: bool = False) -> RepeatFilter:
     """The filter over all keys of ``df``.
 
     ``key_arrays(batch)`` yields the integer key arrays of one Arrow batch;
@@ -120,9 +129,11 @@ def build(df: DataFrame, key_arrays, n_keys: int, max_bits: int = 28, hashes: in
     pieces = df.mapInArrow(fold, "chunk int, seen binary, again binary")
     merged = (pieces.rdd.map(lambda r: (r.chunk, (bytes(r.seen), bytes(r.again))))
               .combineByKey(_start, _add, _merge, min(n_chunks, 16))
-              .mapValues(lambda v: v[1].tobytes()))
-    packed = np.zeros((hashes << bits) // 8, dtype=np.uint8)
-    width = (1 << CHUNK_BITS) // 8
-    for chunk, data in merged.collect():  # at most max_bits / 8 bytes in all
-        packed[chunk * width:(chunk + 1) * width] = np.frombuffer(data, dtype=np.uint8)
-    return RepeatFilter(spark.sparkContext.broadcast(packed), bits, hashes)
+              .mapValues(lambda v: (v[0].tobytes() if keep_seen else None, v[1].tobytes() if v[1].any() else None)))
+    size, width = (hashes << bits) // 8, (1 << CHUNK_BITS) // 8
+    maps = [np.zeros(size if which or keep_seen else 0, dtype=np.uint8) for which in (0, 1)]
+    for chunk, found in merged.collect():  # at most max_bits / 8 bytes a map in all
+        for into, data in zip(maps, found, strict=True):
+            if data is not None:
+                into[chunk * width:(chunk + 1) * width] = np.frombuffer(data, dtype=np.uint8)
+    return RepeatFilter(spark.sparkContext.broadcast(maps), bits, hashes)
