@@ -16,6 +16,8 @@ from tallyspark.llm.quality import quality_verdicts
 
 from tallyspark.llm.substring_dedup import remove_repeats
 
+from tallyspark.llm.toxicity import toxicity_verdicts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -115,3 +117,8 @@ k AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, gone::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
