@@ -194,15 +194,16 @@ def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 40)
 
 def _rising_shares(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic calibration: margins and the rising shares of label 1 there (adjacent violators are pooled)."""
-    blocks: list[list[float]] = []  # margin sum, rows, ones
-    for m, one in sorted(zip(np.round(margin, 6).tolist(), y.tolist(), strict=True)):
-        blocks.append([m, 1.0, float(one)])
-        while len(blocks) > 1 and (blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]
-                                   or blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]):
-            last = blocks.pop()
-            blocks[-1] = [x + v for x, v in zip(blocks[-1], last, strict=True)]
-    share = np.array([(k + 0.5) / (n + 1) for _, n, k in blocks])
-    return np.array([m / n for m, n, _ in blocks]), np.maximum.accumulate(share)
+    order = np.argsort(margin, kind="stable")
+    blocks: list[list[float]] = []  # lowest margin, highest margin, rows, ones
+    for m, one in zip(np.round(margin[order], 6).tolist(), y[order].tolist(), strict=True):
+        blocks.append([m, m, 1.0, float(one)])
+        while len(blocks) > 1 and (blocks[-2][3] / blocks[-2][2] >= blocks[-1][3] / blocks[-1][2]
+                                   or blocks[-2][1] == blocks[-1][0]):
+            _, high, n, ones = blocks.pop()
+            blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + n, blocks[-1][3] + ones]
+    share = np.maximum.accumulate([(k + 0.5) / (n + 1) for *_, n, k in blocks])
+    return np.array([m for low, high, *_ in blocks for m in (low, high)]), np.repeat(share, 2)
 
 
 def held_out(doc_id: Column) -> Column:
