@@ -12,12 +12,15 @@ from tallyspark.llm.exact_dedup import dedup_verdicts
 
 from tallyspark.llm.jaccard_join import near_duplicates
 from tallyspark.llm.mixing import mix_counts
+from tallyspark.llm.pii import KINDS, find_pii, listed
 from tallyspark.llm.quality import quality_verdicts
 
 from tallyspark.llm.substring_dedup import remove_repeats
 
 from tallyspark.llm.toxicity import toxicity_verdicts
 
+from tallyspark.llm.url_filter import judge_urls
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -122,3 +125,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, gone::BIGINT AS n_removed,
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The rule list of op6 (fixed values): verdict, then host and begin of the path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.concat("base", "added")).alias("spans"))
