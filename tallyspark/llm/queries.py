@@ -12,10 +12,12 @@ from tallyspark.llm.exact_dedup import dedup_verdicts
 
 from tallyspark.llm.jaccard_join import near_duplicates
 from tallyspark.llm.mixing import mix_counts
+from tallyspark.llm.packing import pack
 from tallyspark.llm.pii import KINDS, find_pii, listed
 from tallyspark.llm.quality import quality_verdicts
 
 from tallyspark.llm.substring_dedup import remove_repeats
+from tallyspark.llm.text import small_batches
 
 from tallyspark.llm.toxicity import toxicity_verdicts
 
@@ -32,6 +34,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -144,3 +147,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         listed(F.concat("base", "added")).alias("spans"))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"))
+    return packed.select("task", "row", "doc_ids", "starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"),
+                         F.sha2("positions", 256).alias("positions_sha256"))

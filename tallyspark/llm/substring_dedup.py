@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import repeats
-from tallyspark.llm.text import texts_of, window_hashes, word_hashes
+from tallyspark.llm.text import pieces, texts_of, window_hashes, word_hashes
 from tallyspark.session import drop_scratch, store
 
 WINDOW, BLOCK = 13, 7
@@ -57,7 +57,7 @@ def _candidate_rows(docs: DataFrame, index: repeats.RepeatFilter) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             rows, begins, hashes = [], [], []
             for i, t in enumerate(texts_of(b.column("text"))):
                 words = word_hashes(t)
@@ -84,7 +84,7 @@ def _cut(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             n, gone, kept = [], [], []
             for t, begins in zip(texts_of(b.column("text")), b.column("begins"), strict=True):
                 words = t.split()  # bytes split at exactly the six white-space bytes

@@ -139,3 +139,15 @@ def texts_of(column) -> list[bytes]:
     import pyarrow as pa
 
     return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
+
+
+def pieces(batches, rows: int = 512):
+    """Arrow batches cut into smaller ones, so that what a task derives from one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def small_batches(spark) -> None:
+    """Hand rows to Python tasks in batches of 2000, so that batches of whole texts stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.text import texts_of
+from tallyspark.llm.text import pieces, texts_of
 
 ORDER, DECAY, POWER = 3, 0.7, 3
 LONGEST, STEP = 24, 12
@@ -225,7 +225,7 @@ def train(rows: DataFrame, n_landmarks: int = 24, max_rows: int = 3000, min_shar
     def list_units(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             sets = [[u for u in units_of(t) if 3 <= len(u) <= 16] for t in texts_of(b.column("text"))]
             labels = np.repeat(np.array(b.column("label").to_pylist(), dtype=np.int32), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array([u for s in sets for u in s], pa.string()), pa.array(labels)],
@@ -247,7 +247,7 @@ def train(rows: DataFrame, n_landmarks: int = 24, max_rows: int = 3000, min_shar
         import pyarrow as pa
 
         pooled = Pooled(marks)
-        for b in batches:
+        for b in pieces(batches):
             v = pooled(texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(v.astype("<f4").tobytes()[i * 4 * v.shape[1]:(i + 1) * 4 * v.shape[1]]
                                                        for i in range(len(v))), b.column("label"), b.column("fold")],
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, doc_id: str = "doc_id",
         import pyarrow as pa
 
         pooled = Pooled(Landmarks(model.landmarks))
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(pooled(texts_of(b.column("text")))))],
                                              names=["doc_id", "score"])
 
