@@ -22,14 +22,15 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm import repeats
 from tallyspark.llm.components import components
-from tallyspark.llm.text import mix, shingles, texts_of
+from tallyspark.llm.text import mix, pieces, shingles, texts_of
 from tallyspark.session import drop_scratch, store
 
-SKETCH_BITS, CHUNK = 20, 1 << 16
+SKETCH_BITS, CHUNK = 21, 1 << 16
 FRAGMENTS = 8
 #: Star rounds go on while more open pairs than this remain for each class.
 OPEN_PAIRS = 8
@@ -53,10 +54,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         names = ["doc_id", "n", "e", "chunk", "counts"]
         id_type = None
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingles(t, width) for t in texts_of(b.column("text"))]
             for s in sets:
                 np.add.at(counts, _cells(s), 1)
@@ -72,7 +73,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
                      pa.array([i // CHUNK], pa.int32()),
-                     pa.array([np.minimum(part, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=names)
+                     pa.array([part.astype("<u4").tobytes()], pa.binary())], names=names)
 
     return docs.mapInArrow(run, f"doc_id {kind}, n int, e long, chunk int, counts binary")
 
@@ -106,7 +107,7 @@ def _global_order(stored: DataFrame) -> GlobalOrder:
     sums = rows.map(lambda r: (r.chunk, np.frombuffer(r.counts, dtype="<u4").astype(np.int64))).reduceByKey(
         lambda a, b: a + b, 8)
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for chunk, part in sums.collect():  # 8 MB in all, whatever the input
+    for chunk, part in sums.collect():  # 16 MB in all, whatever the input
         counts[chunk * CHUNK:(chunk + 1) * CHUNK] = part
     return GlobalOrder(counts)
 
@@ -116,7 +117,7 @@ def _prefixes(docs: DataFrame, width: int, order) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for t in texts_of(b.column("text")):
                 s = shingles(t, width)
@@ -140,7 +141,7 @@ def _segments(docs: DataFrame, width: int, order) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             es, frags, parts = [], [], []
             for t, want in zip(texts_of(b.column("text")), b.column("want").to_pylist(), strict=True):
                 s = shingles(t, width)
@@ -166,6 +167,48 @@ def _similar(n1: Column, n2: Column) -> Column:
     return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1)
 
 
+def _room(n1: str, p1: str, n2: str, p2: str) -> Column:
+    """Whether two sets whose first common token stands at these places can still reach a similarity of 0.8.
+
+    A pair that can is let through at its first common token at least.
+    """
+    return 9 * F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= 4 * (F.col(n1) + F.col(n2))
+
+
+def _only(df: DataFrame, column: str, test) -> DataFrame:
+    """Rows of ``df`` whose long ``column`` passes a vectorised test."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield b.filter(pa.array(test(b.column(column).to_numpy(zero_copy_only=False))))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _column_keys(column: str):
+    def keys(batch):
+        yield batch.column(column).to_numpy(zero_copy_only=False)
+
+    return keys
+
+
+def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, order) -> tuple[DataFrame, str]:
+    """The stored segments of the classes in ``pairs``, from the text of each one's first document.
+
+    A bounded map of their ids keeps nearly all other texts out of the shuffle.
+    """
+    es = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+    wanted, path = store(firsts.join(es, "e").select(F.col("e").alias("want"), F.col("doc_id").alias("w_id"),
+                                                     F.xxhash64("doc_id").alias("key")), "wanted")
+    ids = repeats.build(wanted.select("key"), _column_keys("key"), wanted.count(), keep_seen=True)
+    near = _only(rows.withColumn("key", F.xxhash64("doc_id")), "key", ids.maybe_seen)
+    texts = near.join(wanted.select("want", "w_id"), F.col("doc_id") == F.col("w_id")).select("text", "want")
+    out = store(_segments(texts, width, order), "segments")
+    drop_scratch(rows.sparkSession, path)
+    return out
+
+
 def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Links among ``pairs`` (a, b, na, nb): overlaps by fragment, summed by pair; 9 o >= 4 (na + nb)."""
     left = pairs.join(segments.select(F.col("e").alias("a"), "frag", F.col("tokens").alias("ta")), "a")
@@ -185,18 +228,26 @@ def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _star_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """For each class, the untested hub (the first class of a list and size band) it shares most tokens with."""
+    """The untested pairs of each class with the hubs of its lists.
+
+    The hub of a list (in a band of sizes) is the most central of the classes
+    that were no hub yet, the one that meets most others in all its lists: it
+    links to more of a group of near copies than a class that lies at the rim.
+    """
     band = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    first = F.struct(F.xxhash64("e").alias("h"), F.col("e").alias("e"), F.col("n").alias("n"), F.col("c").alias("c"))
-    hubs = lists.groupBy("token", band.alias("band")).agg(F.min(first).alias("hub")).select(
-        "token", "band", F.col("hub.e").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.c").alias("cb"))
-    pairs = (lists.withColumn("band", band).join(hubs, ["token", "band"])
-             .filter((F.col("c") != F.col("cb")) & _similar(F.col("n"), F.col("nb")))
-             .groupBy(F.col("e").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count(F.lit(1)).alias("k")))
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    best = F.struct("k", "b", "nb")
-    return pairs.groupBy("a", "na").agg(F.max(best).alias("m")).select("a", F.col("m.b").alias("b"), "na", F.col("m.nb").alias("nb"))
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    central = lists.join(sizes, "token").groupBy("e").agg(F.sum("size").alias("meets"))
+    lists = lists.join(central, "e").withColumn("band", band)
+    fresh = lists if tested is None else lists.join(tested.select(F.col("b").alias("e")).distinct(), "e", "left_anti")
+    first = F.struct(F.col("meets").alias("meets"), F.xxhash64("e").alias("h"), F.col("e").alias("e"), F.col("n").alias("n"),
+                     F.col("c").alias("c"), F.col("pos").alias("pos"))
+    hubs = fresh.groupBy("token", "band").agg(F.max(first).alias("hub")).select(
+        "token", "band", F.col("hub.e").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.c").alias("cb"),
+        F.col("hub.pos").alias("pb"))
+    pairs = (lists.join(hubs, ["token", "band"])
+             .filter((F.col("c") != F.col("cb")) & _similar(F.col("n"), F.col("nb")) & _room("n", "pos", "nb", "pb"))
+             .select(F.col("e").alias("a"), F.col("n").alias("na"), "b", "nb").distinct())
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _open_pairs(lists: DataFrame) -> int:
@@ -210,10 +261,9 @@ def _rest_pairs(lists: DataFrame, tested: DataFrame) -> DataFrame:
     """All pairs between components that the size and position of a shared token leave possible."""
     a = lists.select("token", F.col("e").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
     b = lists.select("token", F.col("e").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     pairs = a.join(b, "token").filter(
         (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar(F.col("na"), F.col("nb"))
-        & (9 * room >= 4 * (F.col("na") + F.col("nb")))).select("a", "b", "na", "nb").distinct()
+        & _room("na", "pa", "nb", "pb")).select("a", "b", "na", "nb").distinct()
     done = tested.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
                          .alias("p")).select("p.*")
     return pairs.join(done, ["a", "b"], "left_anti")
@@ -223,46 +273,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    stored, _ = store(_sets(rows, width), "sets")
+    stored, sets_path = store(_sets(rows, width), "sets")
     order = spark.sparkContext.broadcast(_global_order(stored))
     members = stored.filter("chunk IS NULL").select("doc_id", "n", "e")
 
-    # lists of classes that share a prefix token
+    # lists of classes that share a prefix token; tokens that certainly occur once are not shuffled
     index, index_path = store(_prefixes(rows, width, order), "prefixes")
-    shared = index.groupBy("token").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo <> hi").select("token")
-    lists, lists_path = store(index.join(shared, "token").distinct(), "lists")
+    again = repeats.build(index.select("token"), _column_keys("token"), index.count())
+    met, met_path = store(_only(index, "token", again.maybe_repeated), "met")
     drop_scratch(spark, index_path)
-    classes, class_path = store(lists.select("e").distinct(), "classes")
-    n_classes = classes.count()
-    firsts = members.filter("doc_id IS NOT NULL").join(classes, "e").groupBy("e").agg(F.min("doc_id").alias("doc_id"))
-    wanted = rows.join(firsts.select("doc_id", F.col("e").alias("want")), "doc_id")
-    segments, segment_path = store(_segments(wanted.select("text", "want"), width, order), "segments")
-
-    links = tested = None
-    paths = [lists_path, class_path, segment_path]
-    open_lists, before = lists.withColumn("c", F.col("e")), None
+    shared = met.groupBy("token").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo <> hi").select("token")
+    lists, lists_path = store(met.join(shared, "token").distinct(), "lists")
+    drop_scratch(spark, met_path)
+    n_classes = lists.agg(F.approx_count_distinct("e")).first()[0]
+    firsts = members.filter("doc_id IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("doc_id"))
+
+    paths, links, tested, before = [sets_path, lists_path], None, None, None
+    open_lists = lists.withColumn("c", F.col("e"))
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal links, tested
+        pairs, pair_path = store(pairs, "pairs")
+        segments, path = _sets_of(pairs, rows, firsts, width, order)
+        found, link_path = store(_verified(pairs, segments), "links")
+        drop_scratch(spark, path)
+        paths.extend([pair_path, link_path])
+        done = pairs.select("a", "b")
+        tested = done if tested is None else tested.unionByName(done)
+        links = found if links is None else links.unionByName(found)
+
     while n_classes:
         left = _open_pairs(open_lists)
-        if left <= OPEN_PAIRS * n_classes or (before is not None and left > 0.9 * before):
+        if tested is not None and (left <= OPEN_PAIRS * n_classes or left > 0.9 * before):
             break
         before = left
-        pairs, path = store(_star_pairs(open_lists, tested), "pairs")
-        found, link_path = store(_verified(pairs, segments), "links")
-        paths += [path, link_path]
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        links = found if links is None else links.unionByName(found)
+        verify(_star_pairs(open_lists, tested))
         open_lists, path = store(_labelled(lists, links), "lists")
         paths.append(path)
     if n_classes:
-        none = segments.select(F.col("e").alias("a"), F.col("e").alias("b")).limit(0)
-        rest, path = store(_rest_pairs(open_lists, tested if tested is not None else none), "pairs")
-        found, link_path = store(_verified(rest, segments), "links")
-        paths += [path, link_path]
-        links = found if links is None else links.unionByName(found)
+        verify(_rest_pairs(open_lists, tested))
         named = components(links).select(F.col("node").alias("e"), "component")
         labelled = members.join(named, "e", "left")
     else:
         labelled = members.withColumn("component", F.lit(None).cast("long"))
+    labelled, _ = store(labelled, "labelled")
     for path in paths:
         drop_scratch(spark, path)
 
