@@ -26,11 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyspark.llm.text import texts_of
+from tallyspark.llm.text import pieces, texts_of
 
 _BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pre-tokens remembered by a task (in each of two generations), and the longest one remembered.
-CACHE_WORDS, CACHE_LENGTH = 1 << 19, 64
+CACHE_WORDS, CACHE_LENGTH = 1 << 18, 64
 
 
 def _category(initial: str) -> str:
@@ -188,7 +188,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", path: str | None = None) ->
         import pyarrow as pa
 
         own = codec(path)
-        for b in batches:
+        for b in pieces(batches):
             ids = [own.encode(t.decode()) for t in texts_of(b.column(text))]
             yield _with_columns(b, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                                     "ids": pa.array(ids, pa.binary())})
@@ -205,7 +205,7 @@ def bpe_decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> Data
         import pyarrow as pa
 
         own = codec(path)
-        for b in batches:
+        for b in pieces(batches):
             texts = [None if x is None else own.decode(x).decode("utf-8", "replace")
                      for x in b.column(ids).to_pylist()]
             yield _with_columns(b, {"decoded": pa.array(texts, pa.string())})
