@@ -36,9 +36,6 @@ def main() -> None:
                               "pyspark-shell")
         print(f"event log: {log_dir}", file=sys.stderr)
     spark = local_session(cpus, app="tallyspark-bench")
-    spread = os.environ.get("BENCH_SPREAD")
-    if spread:
-        spark.conf.set("tallyspark.spreadSmallScans", spread)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     keys = only or list(QUERIES)

@@ -45,5 +45,4 @@ def concat_skip_nulls(*cols: Column) -> Column:
 
 def rtrim_chars(col: Column, chars: str) -> Column:
     """``rtrim(s, chars)``: strip any trailing run of the given characters."""
-    klass = "".join("\\" + ch if ch in "\\^]-[" else ch for ch in chars)
-    return F.regexp_replace(col, "[" + klass + "]+$", "")
+    return F.rtrim(col, F.lit(chars))

@@ -48,10 +48,10 @@ def pair_flag(df: DataFrame, pairs_df: DataFrame, keys: list[str], flag: str, al
     """Two-column membership flag (C5): 1 when (k1, k2) is in ``pairs_df`` or ``also`` holds.
 
     ``pairs_df`` is a rule table whose size is fixed by its definition; it is
-    de-duplicated and broadcast so the fact side is never shuffled.
+    de-duplicated; Spark broadcasts it while it is below its size threshold.
     """
     marks = pairs_df.select(*keys).distinct().withColumn("__hit", F.lit(1))
-    out = df.join(F.broadcast(marks), keys, "left")
+    out = df.join(marks, keys, "left")
     cond = F.col("__hit").isNotNull()
     if also is not None:
         cond = also | cond

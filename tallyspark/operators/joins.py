@@ -1,9 +1,8 @@
 """Join helpers.
 
-``bounded_broadcast`` only broadcasts a side after proving it has at most
-``max_rows`` rows (a bounded ``limit(max_rows + 1).count()``, which stops
-reading as soon as the bound is exceeded).  Beyond the bound the side is
-returned unchanged and Spark's size-based planning / AQE picks the strategy.
+No join here is forced to broadcast: Spark compares the sides' sizes in bytes
+with its threshold, from statistics and again at run time, and shuffles (and
+splits skewed partitions) beyond it.
 """
 
 from __future__ import annotations
@@ -12,24 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-_BOUND_CHECKS: dict[tuple[int, int], bool] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` if it provably has at most ``max_rows`` rows, else leave it to the planner.
-
-    The bounded count is remembered per logical plan (``semanticHash``) for the
-    life of the process, so a dimension used by several stages is checked once.
-    Inputs are assumed immutable while a pipeline runs.
-    """
-    key = (df.semanticHash(), max_rows)
-    small = _BOUND_CHECKS.get(key)
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        _BOUND_CHECKS[key] = small
-    return F.broadcast(df) if small else df
-
-
 def left_lookup(df: DataFrame, dim: DataFrame, on, right_filter: Column | None = None) -> DataFrame:
     """Left join whose constant predicates apply to the right side only."""
     if right_filter is not None:
@@ -64,27 +45,25 @@ def resolve_effective_rules(rules: DataFrame, value: str, valid_from: str = "val
     nxt = Window.orderBy("c")  # one row per rule boundary: bounded by the rule table
     pieces = cuts.select(F.col("c").alias("s"), F.date_sub(F.lead("c").over(nxt), 1).alias("e")).filter(
         F.col("e").isNotNull())
-    covered = pieces.join(F.broadcast(r), (r.f <= pieces.s) & (r.t >= pieces.e))
+    covered = pieces.join(r, (r.f <= pieces.s) & (r.t >= pieces.e))
     best = covered.groupBy("s", "e").agg(F.min(F.struct("p", "v")).alias("b"))
     return best.select(F.col("s").alias(valid_from), F.col("e").alias(valid_to), F.col("b.v").alias(value))
 
 
 def effective_dated_lookup(df: DataFrame, date_col: str, intervals: DataFrame, value: str,
-                           valid_from: str = "valid_from", valid_to: str = "valid_to", out: str | None = None,
-                           max_intervals: int = 100_000) -> DataFrame:
+                           valid_from: str = "valid_from", valid_to: str = "valid_to", out: str | None = None) -> DataFrame:
     """Attach the value of the (non-overlapping) interval containing ``date_col``; NULL if none.
 
     Range join made an equi-join: intervals are exploded into the calendar years
     they touch, the data side is keyed by its year, and the range test runs on
-    the (few) candidates.  The interval table is size-checked and broadcast, so
-    the large side is never shuffled for this lookup.
+    the (few) candidates.  A small interval table is broadcast by Spark itself;
+    beyond its threshold the join shuffles and may be split where years are hot.
     """
     out = out or value
     iv = intervals.select(
         F.col(valid_from).alias("__f"), F.col(valid_to).alias("__t"), F.col(value).alias("__v"),
         F.explode(F.sequence(F.year(valid_from), F.year(valid_to))).alias("__y"),
     )
-    iv = bounded_broadcast(iv, max_intervals)
     keyed = df.withColumn("__y", F.year(F.col(date_col)))
     cond = (keyed["__y"] == iv["__y"]) & (F.col(date_col) >= iv["__f"]) & (F.col(date_col) <= iv["__t"])
     joined = keyed.join(iv, cond, "left")

@@ -55,16 +55,19 @@ def positional_crosstab(df: DataFrame, key: str, value: str, n: int, order: Sequ
     )
 
 
-def composition_signature(df: DataFrame, keys: Sequence[str], item: Column | str, max_items: int = 10,
+def composition_signature(df: DataFrame, keys: Sequence[str], item: Column | str, max_items: int | None = None,
                           sep: str = "&", out: str = "signature") -> DataFrame:
-    """Sorted distinct items per group, first ``max_items``, joined by ``sep``."""
+    """Sorted distinct items per group joined by ``sep``: all of them, or the first ``max_items``.
+
+    ``<out>_size`` is the number of distinct items, whatever ``max_items`` is.
+    """
     it = F.col(item) if isinstance(item, str) else item
     distinct_items = df.select(*keys, it.alias("__item")).filter(F.col("__item").isNotNull()).distinct()
-    top = rank_top_n(distinct_items, list(keys), [F.col("__item").asc()], max_items, "__rn")
-    return top.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list("__item")), sep).alias(out),
-        F.count(F.lit(1)).alias(f"{out}_size"),
-    )
+    items = F.array_sort(F.collect_list("__item"))
+    if max_items is not None:
+        items = F.slice(items, 1, max_items)
+    return distinct_items.groupBy(*keys).agg(
+        F.array_join(items, sep).alias(out), F.count(F.lit(1)).alias(f"{out}_size"))
 
 
 def record_transpose(df: DataFrame, key: str, order: Sequence[Column | str], columns: Sequence[str], n: int,

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.session import materialize
+
 
 def lag_growth(df: DataFrame, part: str, order: str, value: str, prev: str, rate: str,
                digits: int = 2) -> DataFrame:
@@ -34,7 +36,9 @@ def rank_rows(df: DataFrame, group: str, order: Sequence[Column], rn: str = "rn"
          range bounds are sampled over the full sort key, so a hot group is
          split over many partitions;
       2. ``monotonically_increasing_id`` numbers the sorted rows of a
-         partition consecutively;
+         partition consecutively; the numbered rows are stored in shared
+         scratch, so ids and counts come from one physical result (a second
+         range partitioning would sample bounds of its own);
       3. per (partition id, group): the first id and the row count; a running
          sum of counts over partition ids gives each piece's offset.  That
          window holds one row per partition a group spans, never its rows.
@@ -49,6 +53,7 @@ def rank_rows(df: DataFrame, group: str, order: Sequence[Column], rn: str = "rn"
         .withColumn("__mid", F.monotonically_increasing_id())
         .withColumn("__pid", F.spark_partition_id())
     )
+    numbered = materialize(numbered, "ranked")
     pieces = numbered.groupBy("__pid", F.col(group).alias("__g")).agg(
         F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__n")
     )

@@ -13,7 +13,7 @@ from tallyspark.plans import gates as gt
 from tallyspark.plans import panel as pn
 from tallyspark.plans import product_etl as pe
 from tallyspark.plans import retail_star as rs
-from tallyspark.session import scratch_dir
+from tallyspark.session import materialize, scratch_dir
 from tallyspark.sources import adapters as ad
 from tallyspark.sources import io as sio
 from tallyspark.sources.tables import tables
@@ -237,7 +237,7 @@ def q32_product_snowflake(spark, sf_dir):
 @query("q33_gates")
 def q33_gates(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return gt.gate_results(ad.raw_invoices(t), ad.country_reference(t))
+    return gt.gate_results(ad.raw_invoices(t), ad.country_reference(t), store=materialize)
 
 
 @query("q33b_failed_rows")

@@ -9,8 +9,8 @@ Scale notes
   a second partial aggregation: two map-side combined reductions, no join
   between policy rows, and a client with a third of all rows is reduced in
   every map task before any shuffle.
-* Composition signatures keep at most ``max_items`` distinct items per group
-  (WindowGroupLimit) before collecting, so a collected list is bounded.
+* Composition signatures collect the distinct product types of a client's week;
+  the number of product types bounds the list.
 * Full per-client ranking uses the range-partitioned ``rank_rows``.
 """
 
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.calendar import iso_week, iso_year, yyyy_mm_label
 from tallyspark.functions.numeric import MONEY
-from tallyspark.functions.text import occurrences
 from tallyspark.operators.classify import count_bucket, first_match, size_bucket
 from tallyspark.operators.measures import count_where
 from tallyspark.operators.pivoting import composition_signature, pivot_top_n, positional_crosstab, record_transpose
@@ -58,11 +57,14 @@ def weekly_signatures(t: tables, p: Params = DEFAULT) -> DataFrame:
         iso_year("bgn_dt").alias("bgn_dt_year"), iso_week("bgn_dt").alias("week_num"), "rgs_id",
         F.upper("ins_type").alias("ins_type"),
     )
-    sig = composition_signature(pol, ["bgn_dt_year", "week_num", "rgs_id"], "ins_type", 10, "&", "ins_type_gr")
+    week = ["bgn_dt_year", "week_num", "rgs_id"]
+    sig = composition_signature(pol, week, "ins_type", p.signature_items, "&", "ins_type_gr")
+    has = pol.groupBy(*week).agg(F.max((F.col("ins_type") == p.anchor_type).cast("int")).alias("has_anchor"))
+    sig = sig.join(has, week)
     return sig.select(
         "bgn_dt_year", "week_num", "rgs_id", "ins_type_gr",
-        size_bucket(occurrences(F.col("ins_type_gr"), "&"), SIZE_LABELS, SIZE_OVER).alias("cross_cl"),
-        F.when(F.col("ins_type_gr").like(f"%{p.anchor_type}%"), F.lit(f"has {p.anchor_type}"))
+        size_bucket(F.col("ins_type_gr_size").cast("int") - 1, SIZE_LABELS, SIZE_OVER).alias("cross_cl"),
+        F.when(F.col("has_anchor") == 1, F.lit(f"has {p.anchor_type}"))
         .otherwise(F.lit(f"no {p.anchor_type}")).alias("anchor_flg"),
     )
 
@@ -87,16 +89,24 @@ def _group(p: Params):
 
 
 def client_matrix(t: tables, p: Params = DEFAULT) -> DataFrame:
-    """Per anchor client: contract counts and payment sums (DECIMAL) of every product group."""
+    """Per anchor client and anchor month: anchor counts, sums and best rank of the month, and the client's
+    counts and sums (DECIMAL) of every other product group in the period.
+
+    The anchor side is reduced to (client, month) and the other groups to the
+    client before they meet, so no join multiplies policy rows.
+    """
     pol = period_policies(t, p).withColumn("grp", _group(p))
-    per_contract = pol.groupBy("rgs_id", "grp", "con_id").agg(
-        F.sum(F.col("ins_pay").cast(MONEY)).alias("pay"), F.min("bgn_dt").alias("first_dt"))
+    per_contract = pol.groupBy("rgs_id", "grp", "con_id", yyyy_mm_label("bgn_dt").alias("mon")).agg(
+        F.sum(F.col("ins_pay").cast(MONEY)).alias("pay"))
+    anchor = per_contract.filter(F.col("grp") == "os").groupBy("rgs_id", "mon").agg(
+        F.count("con_id").cast("bigint").alias("os_con_cnt"), F.sum("pay").alias("os_con_sum"))
     aggs = []
-    for g in GROUPS:
+    for g in GROUPS[1:]:
         is_g = F.col("grp") == g
         aggs += [count_where(is_g).alias(f"{g}_con_cnt"), F.sum(F.when(is_g, F.col("pay"))).alias(f"{g}_con_sum")]
-    aggs.append(F.min(F.when(F.col("grp") == "os", F.col("first_dt"))).alias("first_anchor_dt"))
-    per_client = per_contract.groupBy("rgs_id").agg(*aggs).filter(F.col("os_con_cnt") > 0)
+    others = per_contract.filter(F.col("grp") != "os").groupBy("rgs_id").agg(*aggs)
+    ranks = rank_anchor_contracts(t, p).groupBy("rgs_id", yyyy_mm_label("bgn_dt").alias("mon")).agg(
+        F.min("rn_rub_os").alias("best_rank"))
     # client snapshot: first contract date ever (J: client-level, joined after the reduction)
     fst = t.orders.groupBy(F.col("o_custkey").alias("rgs_id")).agg(
         F.min(F.col("o_orderdate").cast("date")).alias("fst_bgn_con_dt"))
@@ -104,18 +114,20 @@ def client_matrix(t: tables, p: Params = DEFAULT) -> DataFrame:
     subj = t.nation.select(F.col("n_nationkey").cast("string").alias("subject_federation_code"),
                            F.col("n_name").alias("subject_federation_name"))
     cust = t.customer.select(F.col("c_custkey").alias("rgs_id"), F.col("c_nationkey").alias("con_region"))
-    out = (per_client.join(fst, "rgs_id", "left").join(cust, "rgs_id", "left")
+    out = (anchor.join(ranks, ["rgs_id", "mon"], "left").join(others, "rgs_id", "left")
+           .join(fst, "rgs_id", "left").join(cust, "rgs_id", "left")
            .join(subj, F.col("con_region") == subj.subject_federation_code.cast("int"), "left"))
     first_time = F.when(F.col("fst_bgn_con_dt").between(F.lit(p.report_from), F.lit(p.report_to)), 1).otherwise(0)
     return out.select(
         "rgs_id", "subject_federation_name", "fst_bgn_con_dt", first_time.alias("first_time_client"),
-        yyyy_mm_label("first_anchor_dt").alias("osago_yr_mn"),
-        *[c for g in GROUPS for c in (f"{g}_con_cnt", f"{g}_con_sum")],
+        F.col("mon").alias("osago_yr_mn"), "best_rank", "os_con_cnt", "os_con_sum",
+        *[c for g in GROUPS[1:] for c in (F.coalesce(f"{g}_con_cnt", F.lit(0)).cast("bigint").alias(f"{g}_con_cnt"),
+                                          F.col(f"{g}_con_sum"))],
     )
 
 
 def cross_sell(t: tables, p: Params = DEFAULT) -> DataFrame:
-    """Q21: the anchor-client matrix with money sums as double."""
+    """Q21: the matrix of anchor clients and months with money sums as double."""
     m = client_matrix(t, p)
     return m.select(*[F.col(c).cast("double").alias(c) if c.endswith("_sum") else F.col(c) for c in m.columns])
 
@@ -184,7 +196,7 @@ def top_records_pivot(t: tables, n: int = 5) -> DataFrame:
 # --- q25 (W2) ---------------------------------------------------------------------------
 
 def rank_anchor_contracts(t: tables, p: Params = DEFAULT) -> DataFrame:
-    """Q25: de-duplicated anchor contracts ranked per client by payment (skew-safe)."""
+    """Q25: de-duplicated anchor contracts, with their begin, ranked per client by payment (skew-safe)."""
     pol = period_policies(t, p).filter(F.col("ins_type") == p.anchor_type)
-    distinct = pol.select("con_id", "ins_pay", "rgs_id").distinct()
+    distinct = pol.select("con_id", "ins_pay", "rgs_id", "bgn_dt").distinct()
     return rank_rows(distinct, "rgs_id", [F.col("ins_pay").desc_nulls_last(), F.col("con_id").asc()], "rn_rub_os")

@@ -14,7 +14,7 @@ subquery (8 times); here every per-city input is ONE partially aggregated
 pass, and the final joins are between per-city tables whose size is bounded by
 the number of cities (AQE broadcasts them, or joins them in place because the
 aggregates are already partitioned by the city).  Dimension joins use
-``bounded_broadcast``.  The large joins are orders to customers and the
+Spark's own size checks.  The large joins are orders to customers and the
 insurance lines (lineitem) to the period's contracts; the period filter is
 pushed into the orders scan first, so AQE can broadcast the filtered contracts
 when the period is small and keeps a sort-merge join otherwise.
@@ -348,14 +348,14 @@ def fact_splits(t: tables, p: Params = DEFAULT) -> DataFrame:
     ab = F.col("product_raw") == p.excluded_product
     g = fc.groupBy(F.col("city").alias("mac")).agg(
         F.count("contract_id").cast("bigint").alias("total_count_fact"),
-        F.sum(F.col("loan_amt").cast(MONEY)).alias("__sum"),
+        F.sum(F.col("loan_amt").cast(MONEY)).alias("__sum"), F.count("loan_amt").alias("__loans"),
         count_where(fp).alias("fp"), count_where(nefp).alias("nefp"), count_where(asp).alias("asp"),
         count_where(c2c).alias("c2c"), count_where(ab).alias("ab"),
     )
     known = F.col("mac").isNotNull()
     return g.select(
         "mac", "total_count_fact", F.col("__sum").cast("double").alias("total_sum_fact"),
-        F.round(F.col("__sum").cast("double") / F.col("total_count_fact"), 6).alias("medium_check"),
+        F.round(F.try_divide(F.col("__sum").cast("double"), F.col("__loans")), 6).alias("medium_check"),
         F.when(known, nullif_zero(F.col("fp"))).alias("fp_count_fact"),
         F.when(known, nullif_zero(F.col("nefp"))).alias("nefp_count_fact"),
         F.when(known, nullif_zero(F.col("asp"))).alias("asp_d_count_fact"),

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from tallyspark.functions.calendar import parse_invoice_datetime, weekday_sun1
 from tallyspark.functions.keys import surrogate_key
 from tallyspark.functions.numeric import MONEY
-from tallyspark.operators.joins import bounded_broadcast
 
 CUSTOMER_KEY = ["CustomerID", "Country"]
 PRODUCT_KEY = ["StockCode", "Description", "UnitPrice"]
@@ -31,7 +30,7 @@ def dim_customer(raw: DataFrame, country: DataFrame) -> DataFrame:
     base = raw.filter(F.col("CustomerID").isNotNull()).select(
         surrogate_key(raw, CUSTOMER_KEY).alias("customer_id"), F.col("Country").alias("country")
     ).distinct()
-    cm = bounded_broadcast(country.select("nicename", "iso"), 100_000)
+    cm = country.select("nicename", "iso")
     return base.join(cm, base.country == cm.nicename, "left").select("customer_id", "country", "iso")
 
 
@@ -148,7 +147,7 @@ def report_customer_invoices_1pass(raw: DataFrame, country: DataFrame, top: int
         F.count("invoice_id").alias("n"), F.countDistinct("invoice_id").alias("nd"),
         F.sum(F.col("total").cast(MONEY)).alias("rev"),
     )
-    cm = bounded_broadcast(country.select("nicename", "iso"), 100_000)
+    cm = country.select("nicename", "iso")
     joined = per_key.join(cm, per_key.Country == cm.nicename, "left")
     rep = joined.groupBy(F.col("Country").alias("country"), "iso").agg(
         F.sum("n").cast("bigint").alias("total_invoices"),

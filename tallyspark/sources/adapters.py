@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.classify import code_override
-from tallyspark.operators.joins import bounded_broadcast
 from tallyspark.sources.tables import tables
 
 
@@ -48,6 +47,8 @@ class Params:
     excluded_product: str = "3-MEDIUM"
     # Cross-sell period and report month.
     cross_from: date = date(1998, 1, 1)
+    #: distinct items that a composition signature lists (None: all)
+    signature_items: int | None = None
     cross_to: date = date(1998, 5, 31)
     report_from: date = date(1998, 5, 1)
     report_to: date = date(1998, 5, 31)
@@ -69,7 +70,7 @@ def _offices(t: tables, p: Params) -> DataFrame:
     office = t.nation.filter(~F.col("n_nationkey").isin(list(p.inactive_offices))).select(
         F.col("n_nationkey").alias("office_id"), F.col("n_regionkey").alias("region_id")
     )
-    region = bounded_broadcast(t.region.select(F.col("r_regionkey").alias("region_id"), F.col("r_name")), 10_000)
+    region = t.region.select(F.col("r_regionkey").alias("region_id"), F.col("r_name"))
     joined = office.join(region, "region_id", "left")
     return joined.select(
         "office_id",
@@ -98,7 +99,7 @@ def _contracts(t: tables, p: Params) -> DataFrame:
         # sub-product of the contract, present only while active (acctbal >= 0)
         F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("sub_product_nm"),
     )
-    off = bounded_broadcast(offices(t, p), 1_000_000)
+    off = offices(t, p)
     df = o.join(c, "client_id", "inner").join(off, "office_id", "left")
     return df.select(
         "contract_id", "client_id", "issue_dt", "loan_amt", "product_raw",
@@ -161,14 +162,12 @@ def _raw_invoices(t: tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     c = t.customer.select("c_custkey", "c_nationkey")
-    n = bounded_broadcast(t.nation.select("n_nationkey", "n_name"), 1_000_000)
+    n = t.nation.select("n_nationkey", "n_name")
     pt = t.part.select("p_partkey", "p_name", "p_retailprice")
-    df = (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
-        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(pt, F.col("l_partkey") == F.col("p_partkey"))
-    )
+    # orders meet their customers first: the line items are then shuffled once, not again by customer
+    heads = (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+             .join(n, F.col("c_nationkey") == F.col("n_nationkey")))
+    df = li.join(heads, li.l_orderkey == heads.o_orderkey).join(pt, F.col("l_partkey") == F.col("p_partkey"))
     return df.select(
         F.col("o_orderkey").cast("string").alias("InvoiceNo"),
         F.col("p_partkey").cast("string").alias("StockCode"),

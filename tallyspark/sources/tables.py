@@ -26,23 +26,12 @@ def load(spark: SparkSession, sf_dir: str, name: str, prefix: str = "") -> DataF
 class tables:
     """Lazy accessor: ``t = tables(spark, sf_dir); t.orders``.
 
-    One accessor exists per (session, directory, prefix): the scans and the
-    memoised adapters built on them are shared by every query of the session
-    (DataFrames are immutable plans, so sharing them is safe).
+    Scans and the memoised adapters built on them are shared within one
+    accessor only; a new accessor lists the files afresh, so a table that was
+    replaced in between is read as it is now.
     """
 
-    _instances: dict = {}
-
-    def __new__(cls, spark: SparkSession, sf_dir: str, prefix: str = ""):
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir, prefix)
-        inst = cls._instances.get(key)
-        if inst is None:
-            inst = super().__new__(cls)
-            inst._init(spark, sf_dir, prefix)
-            cls._instances[key] = inst
-        return inst
-
-    def _init(self, spark: SparkSession, sf_dir: str, prefix: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, prefix: str = ""):
         self.spark = spark
         self.sf_dir = sf_dir
         self.prefix = prefix
@@ -58,34 +47,10 @@ class tables:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         if name not in self._cache:
-            df = load(self.spark, self.sf_dir, name, self.prefix)
-            if name in SPREAD_TABLES:
-                df = spread_single_split(df)
-            self._cache[name] = df
+            self._cache[name] = load(self.spark, self.sf_dir, name, self.prefix)
         return self._cache[name]
 
 
-# The largest fact table; see ``spread_single_split``.
-SPREAD_TABLES = frozenset({"lineitem"})
-
-
-def spread_single_split(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the session has cores.
-
-    A parquet file written as a single row group is read by one task, and every
-    narrow operator fused with that scan (joins, hashing, formatting) then runs
-    single-threaded.  Only in that case, and only when
-    ``tallyspark.spreadSmallScans=true``, a round-robin repartition is added
-    after the scan (filters and column pruning still reach the scan).  A large
-    table on a cluster has many splits, so this never fires there.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("tallyspark.spreadSmallScans", "false") != "true":
-        return df
-    target = spark.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def scan_snapshot(df: DataFrame, partition_col: str, value) -> DataFrame:
     """Snapshot-partition scan: a filter on the partition column.
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.history import current_version, latest_row
-from tallyspark.operators.joins import bounded_broadcast, role_flags
+from tallyspark.operators.joins import role_flags
 from tallyspark.operators.measures import Metric, null_when_key_null, penetration, weighted_average
 
 
@@ -44,16 +44,12 @@ def test_weighted_average_zero_weight(spark):
     assert got["a"] is None and got["b"] == 3.5
 
 
-def test_role_flags_and_bounded_broadcast(spark):
+def test_role_flags(spark):
     base = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     roles = spark.createDataFrame([(1, 1), (1, 1), (1, 3), (2, 2)], "cid int, role int")
     out = {r.id: (r.a, r.b, r.c) for r in role_flags(base, "id", roles, "cid", "role",
                                                      {"a": 1, "b": 2, "c": 3}).collect()}
     assert out == {1: (1, 0, 1), 2: (0, 1, 0), 3: (0, 0, 0)}
-    small = bounded_broadcast(base, 10)
-    big = bounded_broadcast(base, 2)
-    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
 
 
 def test_effective_dated_lookup_priorities_gaps_and_nulls(spark):

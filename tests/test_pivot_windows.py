@@ -64,3 +64,22 @@ def test_lag_growth_zero_previous(spark):
                                "p string, y int, v double")
     out = [(r.y, r.prev, r.rate) for r in lag_growth(df, "p", "y", "v", "prev", "rate").orderBy("y").collect()]
     assert out == [(2020, None, None), (2021, 0.0, None), (2022, 10.0, 50.0)]
+
+
+def test_rank_rows_with_kept_columns_and_a_hot_group(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(120_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("g"),
+        F.pmod(F.xxhash64("id"), F.lit(10_000)).alias("amt"), "id", F.concat(F.lit("row "), "id").alias("note"))
+    order = [F.col("amt").desc(), F.col("id").asc()]
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            got = rank_rows(df, "g", order, "rn", 8)
+            both = got.join(want.select("id", "want"), "id")
+            assert both.filter("rn <> want").count() == 0 and both.count() == 120_000
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
