@@ -45,7 +45,9 @@ def resolve_effective_rules(rules: DataFrame, value: str, valid_from: str = "val
     nxt = Window.orderBy("c")  # one row per rule boundary: bounded by the rule table
     pieces = cuts.select(F.col("c").alias("s"), F.date_sub(F.lead("c").over(nxt), 1).alias("e")).filter(
         F.col("e").isNotNull())
-    covered = pieces.join(r, (r.f <= pieces.s) & (r.t >= pieces.e))
+    # a rule meets the pieces that begin in one of its years
+    by_year = r.withColumn("y", F.explode(F.sequence(F.year("f"), F.year("t"))))
+    covered = pieces.join(by_year, (F.year("s") == F.col("y")) & (F.col("f") <= F.col("s")) & (F.col("t") >= F.col("e")))
     best = covered.groupBy("s", "e").agg(F.min(F.struct("p", "v")).alias("b"))
     return best.select(F.col("s").alias(valid_from), F.col("e").alias(valid_to), F.col("b.v").alias(value))
 

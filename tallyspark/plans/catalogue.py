@@ -57,6 +57,22 @@ def q29_fact(spark, sf_dir):
     return rs.fct_invoices(_raw(spark, sf_dir))
 
 
+@query("q29b_fact_joined")
+def q29b_fact_joined(spark, sf_dir):
+    """The star join: fact rows that find their datetime, product and customer."""
+    t = tables(spark, sf_dir)
+    raw = ad.raw_invoices(t)
+    return rs.fct_invoices(raw, "join", {"customer": rs.dim_customer(raw, ad.country_reference(t))})
+
+
+@query("q30c_top_countries_joined")
+def q30c_top_countries_joined(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    raw = ad.raw_invoices(t)
+    dims = rs.dim_customer(raw, ad.country_reference(t))
+    return rs.report_customer_invoices(rs.fct_invoices(raw), dims)
+
+
 @query("q30_top_countries")
 def q30_top_countries(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -91,6 +107,11 @@ def q03_programme_rules(spark, sf_dir):
     return pn.programme_rules(tables(spark, sf_dir))
 
 
+@query("q03c_contract_features")
+def q03c_contract_features(spark, sf_dir):
+    return pn.contract_features(tables(spark, sf_dir))
+
+
 @query("q04_membership_flags")
 def q04_membership_flags(spark, sf_dir):
     return pn.membership_flags(tables(spark, sf_dir))

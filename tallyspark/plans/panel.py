@@ -25,14 +25,14 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.calendar import last_week_end
 from tallyspark.functions.numeric import MONEY
 from tallyspark.functions.text import fold_homoglyphs, fold_literal, like_any
 from tallyspark.operators.classify import first_match, membership_label, pair_flag, value_map
-from tallyspark.operators.history import latest_row
+from tallyspark.operators.history import OPEN_END, current_version, latest_row
 from tallyspark.operators.joins import effective_dated_lookup, resolve_effective_rules, role_flags
 from tallyspark.operators.measures import (
     Metric,
@@ -175,20 +175,29 @@ PAIRS = [
 AS_OF = "1998-01-15"
 
 
-def membership_flags(t: tables, p: Params = DEFAULT, as_of: str = AS_OF) -> DataFrame:
-    """Q04: brand, programme membership, origin, pair flag and conditional premium per group."""
+def flagged_contracts(t: tables, p: Params = DEFAULT, as_of: str = AS_OF) -> DataFrame:
+    """Contracts of the report period with brand label, programme membership, origin and pair flag."""
     c = ad.contracts(t, p)
     c = c.filter(F.col("issue_dt").between(F.lit(p.fact_from), last_week_end(F.lit(as_of).cast("date"))))
     spark = c.sparkSession
     marka = F.when((F.col("brand") == "AUTOMOBILE") & (F.col("model") == "O"), F.lit("AUTOMOBILE O")).otherwise(F.col("brand"))
     c = c.select(
-        "city", "product_raw", "loan_amt", "brand", "sub_product_nm",
+        "contract_id", "issue_dt", "city", "product_raw", "loan_amt", "brand", "model", "sub_product_nm",
         marka.alias("marka"),
         value_map(F.col("model"), {"F": "domestic", "O": "foreign"}, "unknown").alias("rus_no"),
     ).withColumn("fp_flag", membership_label(F.col("marka"), ["AUTOMOBILE O", "MACHINERY", "FURNITURE"], "FP", "nonFP"))
     pairs = spark.createDataFrame(PAIRS, "city string, brand string")
-    c = pair_flag(c, pairs, ["city", "brand"], "pair_flag", also=F.col("sub_product_nm") == PRIVATE_SUB_PRODUCT)
-    premium = F.when(F.col("brand").like("%MOBILE%"), F.col("loan_amt").cast("decimal(23,2)"))
+    return pair_flag(c, pairs, ["city", "brand"], "pair_flag", also=F.col("sub_product_nm") == PRIVATE_SUB_PRODUCT)
+
+
+def conditional_premium() -> Column:
+    return F.when(F.col("brand").like("%MOBILE%"), F.col("loan_amt").cast("decimal(23,2)"))
+
+
+def membership_flags(t: tables, p: Params = DEFAULT, as_of: str = AS_OF) -> DataFrame:
+    """Q04: contracts and conditional premium per brand label, programme membership, origin and pair flag."""
+    c = flagged_contracts(t, p, as_of)
+    premium = conditional_premium()
     return c.groupBy("city", "marka", "fp_flag", "rus_no", "pair_flag").agg(
         F.count(F.lit(1)).cast("bigint").alias("contracts"),
         F.sum(premium).cast("double").alias("premium_sum"),
@@ -389,6 +398,43 @@ def cancellation_flags(t: tables) -> DataFrame:
     return role_flags(c, "contract_id", canc, "l_orderkey", "l_linenumber", ROLE_FLAGS)
 
 
+# Risk types whose latest current policy a contract carries, by name of the set.
+RISK_SETS = {"vehicle": [1], "motor": [2], "life": [3], "extended": [5], "gap": [6], "other": [4, 7]}
+
+
+def contract_features(t: tables, p: Params = DEFAULT, as_of: str = AS_OF) -> DataFrame:
+    """One row per contract with label, flags, premium, cancellation roles and latest policies.
+
+    The insurance history is read once: filtered maxima of one partially
+    aggregated ``groupBy`` give the latest current policy of every risk set and
+    the cancellation roles together.
+    """
+    rules = [
+        (F.col("brand").contains("MOBILE") & (F.col("product_raw") == "1-URGENT"), "urgent car"),
+        (F.col("brand").contains("MOBILE"), "car"),
+        (F.col("sub_product_nm") == PRIVATE_SUB_PRODUCT, "private"),
+        (F.col("product_raw").isin("4-NOT SPECIFIED", "5-LOW"), "low"),
+    ]
+    c = flagged_contracts(t, p, as_of).select(
+        "contract_id", "issue_dt", "city", first_match(rules, "other").alias("programme"), "marka", "fp_flag", "rus_no",
+        "pair_flag", conditional_premium().cast("double").alias("premium"))
+    open_end = F.lit(OPEN_END).cast("timestamp")
+    hist = ad.insurance(t).withColumns({
+        "effective_to": F.when(F.col("status") == "O", open_end).otherwise(F.col("open_dt").cast("timestamp")),
+        "deleted_flg": F.lit("0")})
+    current = current_version(hist.withColumn("current", F.lit(True)))
+    ended = hist.filter((F.col("status") == "F") & (F.col("payment_desc") == "R")).withColumn("current", F.lit(False))
+    latest = F.struct("open_dt", "policy_id", "insurer_id", "payment_amt")
+    aggs = [F.max(F.when(F.col("current") & F.col("risk_type").isin(types), latest)).alias(name)
+            for name, types in RISK_SETS.items()]
+    aggs += [F.max(F.when(~F.col("current") & (F.col("risk_type") == role), 1)).alias(name) for name, role in ROLE_FLAGS.items()]
+    one = current.unionByName(ended).groupBy("agreement_id").agg(*aggs)
+    out = c.join(one, c.contract_id == one.agreement_id, "left")
+    return out.select(
+        *c.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in ROLE_FLAGS],
+        *[F.col(f"{n}.{x}").alias(f"{n}_{x}") for n in RISK_SETS for x in ("open_dt", "policy_id", "payment_amt")])
+
+
 # --- q12 ----------------------------------------------------------------------------------
 
 def residual_plan(t: tables, p: Params = DEFAULT) -> DataFrame:

@@ -27,9 +27,8 @@ PRODUCT_KEY = ["StockCode", "Description", "UnitPrice"]
 
 def dim_customer(raw: DataFrame, country: DataFrame) -> DataFrame:
     """Customer dimension: distinct hashed (customer, country) with the country's ISO code."""
-    base = raw.filter(F.col("CustomerID").isNotNull()).select(
-        surrogate_key(raw, CUSTOMER_KEY).alias("customer_id"), F.col("Country").alias("country")
-    ).distinct()
+    keys = raw.filter(F.col("CustomerID").isNotNull()).select(*CUSTOMER_KEY).distinct()
+    base = keys.select(surrogate_key(keys, CUSTOMER_KEY).alias("customer_id"), F.col("Country").alias("country")).distinct()
     cm = country.select("nicename", "iso")
     return base.join(cm, base.country == cm.nicename, "left").select("customer_id", "country", "iso")
 
@@ -49,8 +48,9 @@ def dim_datetime(raw: DataFrame, strict_lengths: bool = False) -> DataFrame:
 
 def dim_product(raw: DataFrame) -> DataFrame:
     """Product dimension: distinct hashed (stock code, description, price), price > 0."""
-    return raw.filter(F.col("StockCode").isNotNull() & (F.col("UnitPrice") > 0)).select(
-        surrogate_key(raw, PRODUCT_KEY).alias("product_id"),
+    keys = raw.filter(F.col("StockCode").isNotNull() & (F.col("UnitPrice") > 0)).select(*PRODUCT_KEY).distinct()
+    return keys.select(
+        surrogate_key(keys, PRODUCT_KEY).alias("product_id"),
         F.col("StockCode").alias("stock_code"),
         F.col("Description").alias("description"),
         F.col("UnitPrice").alias("price"),
@@ -97,16 +97,18 @@ def fct_invoices(raw: DataFrame, mode: str = "derived", dims: dict[str, DataFram
 
 
 def report_customer_invoices(fct: DataFrame, dim_cust: DataFrame, top: int = 10) -> DataFrame:
-    # an invoice belongs to one customer, so distinct invoices add up across customers
-    """Top countries by revenue (fact pre-aggregated per customer, then joined)."""
-    per_key = fct.groupBy("customer_id").agg(
-        F.count("invoice_id").alias("n"), F.countDistinct("invoice_id").alias("nd"),
-        F.sum(F.col("total").cast(MONEY)).alias("rev"),
-    )
-    joined = per_key.join(dim_cust, "customer_id")
-    rep = joined.groupBy("country", "iso").agg(
+    """Top countries by revenue (fact pre-aggregated per customer and invoice, then joined)."""
+    per_key = fct.groupBy("customer_id", "invoice_id").agg(
+        F.count("invoice_id").alias("n"), F.sum(F.col("total").cast(MONEY)).alias("rev"))
+    return _countries(per_key.join(dim_cust, "customer_id"), top)
+
+
+def _countries(per_invoice: DataFrame, top: int) -> DataFrame:
+    """The country report from sums by (country, iso, invoice, ...): an invoice counts once for a country."""
+    once = per_invoice.groupBy("country", "iso", "invoice_id").agg(F.sum("n").alias("n"), F.sum("rev").alias("rev"))
+    rep = once.groupBy("country", "iso").agg(
         F.sum("n").cast("bigint").alias("total_invoices"),  # invoice lines, as the reference counts them
-        F.sum("nd").cast("bigint").alias("distinct_invoices"),
+        F.count("invoice_id").cast("bigint").alias("distinct_invoices"),
         F.sum("rev").cast("double").alias("total_revenue"),
     )
     return rep.orderBy(F.desc("total_revenue"), F.asc("country")).limit(top)
@@ -143,18 +145,10 @@ def report_year_invoices(fct: DataFrame, dim_dt: DataFrame) -> DataFrame:
 
 def report_customer_invoices_1pass(raw: DataFrame, country: DataFrame, top: int = 10) -> DataFrame:
     rows = fct_invoices(raw, carry=("Country",))
-    per_key = rows.groupBy("customer_id", "Country").agg(
-        F.count("invoice_id").alias("n"), F.countDistinct("invoice_id").alias("nd"),
-        F.sum(F.col("total").cast(MONEY)).alias("rev"),
-    )
+    per_key = rows.groupBy(F.col("Country").alias("country"), "invoice_id").agg(
+        F.count("invoice_id").alias("n"), F.sum(F.col("total").cast(MONEY)).alias("rev"))
     cm = country.select("nicename", "iso")
-    joined = per_key.join(cm, per_key.Country == cm.nicename, "left")
-    rep = joined.groupBy(F.col("Country").alias("country"), "iso").agg(
-        F.sum("n").cast("bigint").alias("total_invoices"),
-        F.sum("nd").cast("bigint").alias("distinct_invoices"),
-        F.sum("rev").cast("double").alias("total_revenue"),
-    )
-    return rep.orderBy(F.desc("total_revenue"), F.asc("country")).limit(top)
+    return _countries(per_key.join(cm, per_key.country == cm.nicename, "left"), top)
 
 
 def report_product_invoices_1pass(raw: DataFrame, top: int = 10) -> DataFrame:
@@ -168,11 +162,9 @@ def report_product_invoices_1pass(raw: DataFrame, top: int = 10) -> DataFrame:
 def report_year_invoices_1pass(raw: DataFrame) -> DataFrame:
     per_key = fct_invoices(raw).groupBy("datetime_id", "invoice_id").agg(
         F.sum(F.col("total").cast(MONEY)).alias("rev"))
-    # parse each distinct datetime text once, then attach (the aggregated rows are reused, not raw)
+    # the datetime text is parsed on the reduced rows, without a join
     dt = parse_invoice_datetime(F.col("datetime_id"))
-    parsed = per_key.select("datetime_id").distinct().select(
-        "datetime_id", F.year(dt).alias("year"), F.month(dt).alias("month"))
-    rows = per_key.join(parsed, "datetime_id")
+    rows = per_key.select("invoice_id", "rev", F.year(dt).alias("year"), F.month(dt).alias("month"))
     rep = rows.groupBy("year", "month").agg(
         F.countDistinct("invoice_id").cast("bigint").alias("num_invoices"),
         F.sum("rev").cast("double").alias("total_revenue"),

@@ -7,6 +7,7 @@ from tallyspark.plans import retail_star as rs
 from tallyspark.sources import adapters as ad
 from tallyspark.sources import io as sio
 from tallyspark.sources.tables import TABLES, tables
+from tallyspark.plans.catalogue import QUERIES
 from tallyspark.session import materialize, scratch_dir
 
 
@@ -33,7 +34,7 @@ def duck(sf_small):
     return con
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf_small, duck, key):
     df = entry.queries()[key](spark, sf_small)
     rows = df.collect()

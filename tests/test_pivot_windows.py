@@ -24,7 +24,7 @@ def test_composition_signature_more_than_ten_items(spark):
     items = [f"T{i:02d}" for i in range(12)] + ["T00", None]
     df = spark.createDataFrame([("w", "c", t) for t in items], "w string, c string, t string")
     r = composition_signature(df, ["w", "c"], "t", 10, "&", "sig").first()
-    assert r.sig == "&".join(f"T{i:02d}" for i in range(10)) and r.sig_size == 10
+    assert r.sig == "&".join(f"T{i:02d}" for i in range(10)) and r.sig_size == 12
 
 
 def test_conditional_max_pivot(spark):
