@@ -25,12 +25,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
         step = labels.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        stepped, step_path = store(step, "labels")
-        up = stepped.select(F.col("u").alias("t"), F.col("l").alias("tl"))
-        jumped = stepped.join(up, F.col("l") == F.col("t")).select("u", "was", F.col("tl").alias("l"))
+        up = labels.select(F.col("u").alias("t"), F.col("l").alias("tl"))
+        jumped = step.join(up, F.col("l") == F.col("t")).select("u", "was", F.least("l", "tl").alias("l"))
         new, new_path = store(jumped, "labels")
         changed = new.filter("l <> was").limit(1).count()
-        drop_scratch(spark, step_path)
         drop_scratch(spark, path)
         labels, path = new.select("u", "l"), new_path
         if not changed:

@@ -31,7 +31,7 @@ from tallyspark.llm.text import mix, pieces, shingles, texts_of
 from tallyspark.session import drop_scratch, store
 
 SKETCH_BITS, CHUNK = 21, 1 << 16
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Star rounds go on while more open pairs than this remain for each class.
 OPEN_PAIRS = 8
 
@@ -209,6 +209,20 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, o
     return out
 
 
+def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs that the overlap of their prefixes leaves possible.
+
+    Of two sets, let x be the one whose prefix ends first.  All common tokens up
+    to there are in both prefixes (k of them); behind it x has ceil(0.8 n) - 1
+    tokens left, so the overlap is at most k + ceil(0.8 n) - 1.
+    """
+    both = (pairs.join(prefixes.select(F.col("e").alias("a"), F.col("tokens").alias("ta")), "a")
+            .join(prefixes.select(F.col("e").alias("b"), F.col("tokens").alias("tb")), "b"))
+    behind = F.floor((4 * F.greatest("na", "nb") + 4) / 5) - 1
+    most = F.size(F.array_intersect("ta", "tb")) + behind
+    return both.filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
 def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Links among ``pairs`` (a, b, na, nb): overlaps by fragment, summed by pair; 9 o >= 4 (na + nb)."""
     left = pairs.join(segments.select(F.col("e").alias("a"), "frag", F.col("tokens").alias("ta")), "a")
@@ -288,16 +302,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_classes = lists.agg(F.approx_count_distinct("e")).first()[0]
     firsts = members.filter("doc_id IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("doc_id"))
 
-    paths, links, tested, before = [sets_path, lists_path], None, None, None
+    prefixes, prefix_path = store(lists.groupBy("e").agg(F.collect_list("token").alias("tokens")), "tokens")
+    paths, links, tested, before = [sets_path, lists_path, prefix_path], None, None, None
     open_lists = lists.withColumn("c", F.col("e"))
 
     def verify(pairs: DataFrame) -> None:
         nonlocal links, tested
         pairs, pair_path = store(pairs, "pairs")
-        segments, path = _sets_of(pairs, rows, firsts, width, order)
-        found, link_path = store(_verified(pairs, segments), "links")
+        likely, likely_path = store(_possible(pairs, prefixes), "pairs")
+        segments, path = _sets_of(likely, rows, firsts, width, order)
+        found, link_path = store(_verified(likely, segments), "links")
         drop_scratch(spark, path)
-        paths.extend([pair_path, link_path])
+        paths.extend([pair_path, likely_path, link_path])
         done = pairs.select("a", "b")
         tested = done if tested is None else tested.unionByName(done)
         links = found if links is None else links.unionByName(found)
