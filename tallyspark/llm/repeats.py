@@ -78,9 +78,9 @@ def _add(a, v):
 
 
 def region_bits(n_keys: int, max_bits: int = 28, hashes: int = 2) -> int:
-    """log2 of the cells of one hash's region: eight to sixteen for a key, within the bound."""
+    """log2 of the cells of one hash's region: four to eight for a key, within the bound."""
     room = max_bits - (hashes - 1).bit_length()
-    return int(min(room, max(CHUNK_BITS, int(max(n_keys, 1) * 8).bit_length())))
+    return int(min(room, max(CHUNK_BITS, int(max(n_keys, 1) * 4).bit_length())))
 
 
 class RepeatFilter:
@@ -89,6 +89,10 @@ class RepeatFilter:
     def __init__(self, maps: Broadcast, bits: int, hashes: int):
         self.maps, self.bits, self.hashes = maps, bits, hashes
 
+    def drop(self) -> None:
+        """Free the maps, on the executors too, once nothing reads them any more."""
+        self.maps.destroy()
+
     def _all_set(self, which: int, keys: np.ndarray) -> np.ndarray:
         if not len(keys):
             return np.zeros(0, dtype=bool)

@@ -17,12 +17,15 @@ map task and its verdict handed back by a join that Spark may split.
 
 Defined cases: null texts have no words; documents of fewer than 13 words lose
 none; null ids come after all others and never precede one; rows that share
-their id are judged apart by their text and remove nothing from each other;
+their id are told apart by 31 bits of a hash of their text and remove nothing
+from each other;
 extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,7 @@ from tallyspark.llm.text import pieces, texts_of, window_hashes, word_hashes
 from tallyspark.session import drop_scratch, store
 
 WINDOW, BLOCK = 13, 7
+MARK = 0x7FFFFFFF
 
 
 def _block_keys(batch):
@@ -52,29 +56,81 @@ def _candidates(words: np.ndarray, index: repeats.RepeatFilter) -> np.ndarray:
 
 
 def _candidate_rows(docs: DataFrame, index: repeats.RepeatFilter) -> DataFrame:
+    """One row per document with candidates: the steps between their begins (zlib, 32 bits each) and their hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for b in pieces(batches):
-            rows, begins, hashes = [], [], []
+            rows, steps, hashes = [], [], []
             for i, t in enumerate(texts_of(b.column("text"))):
                 words = word_hashes(t)
                 if len(words) < WINDOW:
                     continue
                 at = _candidates(words, index)
                 if len(at):
-                    rows.append(np.full(len(at), i))
-                    begins.append(at.astype(np.int32))
-                    hashes.append(window_hashes(words, WINDOW)[at].view(np.int64))
+                    rows.append(i)
+                    steps.append(zlib.compress(np.diff(at, prepend=0).astype("<i4").tobytes(), 1))
+                    hashes.append(window_hashes(words, WINDOW)[at].astype("<u8").tobytes())
+            if rows:
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(take), b.column("mark").take(take), pa.array(steps, pa.binary()),
+                     pa.array(hashes, pa.binary())], names=["doc_id", "mark", "steps", "hashes"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, mark int, steps binary, hashes binary")
+
+
+def _hash_keys(batch):
+    for h in batch.column("hashes").to_pylist():
+        yield np.frombuffer(h, dtype="<u8")
+
+
+def _met(found: DataFrame, again: repeats.RepeatFilter) -> DataFrame:
+    """(doc_id, at, g) of the candidates whose hash may occur twice; the others never leave their task.
+
+    ``at`` holds the window's begin above the 31 bits of the row's mark.
+    """
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in pieces(batches):
+            rows, ats, hashes = [], [], []
+            marks = b.column("mark").to_pylist()
+            for i, (s, h) in enumerate(zip(b.column("steps").to_pylist(), b.column("hashes").to_pylist(), strict=True)):
+                g = np.frombuffer(h, dtype="<u8")
+                some = again.maybe_repeated(g)
+                if some.any():
+                    begin = np.cumsum(np.frombuffer(zlib.decompress(s), dtype="<i4")).astype(np.int64)
+                    rows.append(np.full(int(some.sum()), i))
+                    ats.append((begin[some] << 32) | marks[i])
+                    hashes.append(g[some].view(np.int64))
             if rows:
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(take), b.column("mark").take(take), pa.array(np.concatenate(begins)),
-                     pa.array(np.concatenate(hashes))], names=["doc_id", "mark", "begin", "g"])
+                    [b.column("doc_id").take(take), pa.array(np.concatenate(ats)), pa.array(np.concatenate(hashes))],
+                    names=["doc_id", "at", "g"])
+
+    return found.mapInArrow(run, f"doc_id {kind}, at long, g long")
+
+
+def _split(rows: DataFrame, ids: repeats.RepeatFilter, inside: bool) -> DataFrame:
+    """The rows whose ``key`` may be (or is certainly not) among the ids."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            hit = ids.maybe_seen(b.column("key").to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(hit if inside else ~hit))
+
+    return rows.mapInArrow(run, rows.schema)
+
 
-    return docs.mapInArrow(run, f"doc_id {kind}, mark long, begin int, g long")
+def _key_array(batch):
+    yield batch.column("key").to_numpy(zero_copy_only=False)
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -107,17 +163,31 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 28) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept (its remaining words, joined by one space)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+                       (F.xxhash64(F.col(text)).bitwiseAND(MARK)).cast("int").alias("mark"))
     n_blocks = docs.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
     index = repeats.build(rows.select("text"), _block_keys, n_blocks // (5 * BLOCK), max_bits, hashes=4, keep_seen=True)
 
     found, path = store(_candidate_rows(rows, index), "windows")
-    first = found.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-                                   F.max(F.col("doc_id").isNull()).alias("open"))
-    first = first.filter("lo <> hi OR (open AND lo IS NOT NULL)").select("g", "lo")
-    later = found.join(first, "g").filter("doc_id > lo OR doc_id IS NULL")
-    spans, _ = store(later.groupBy("doc_id", "mark").agg(F.collect_set("begin").alias("begins")), "spans")
-    drop_scratch(docs.sparkSession, path)
+    index.drop()
+    n_found = found.agg(F.sum(F.length("hashes"))).first()[0] or 0
+    again = repeats.build(found.select("hashes"), _hash_keys, n_found // 8, max_bits)
+    met = _met(found, again)
+    first = met.groupBy("g").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n"))
+    first, first_path = store(first.filter("n > 1 AND lo IS NOT NULL").select("g", "lo"), "firsts")
+    later = met.join(first, "g").filter("doc_id > lo OR doc_id IS NULL")
+    begin, mark = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(MARK).cast("int")
+    spans, _ = store(later.groupBy("doc_id", mark.alias("mark")).agg(F.collect_set(begin).alias("begins"))
+                     .withColumn("key", F.xxhash64("doc_id", "mark")), "spans")
+    for old in (path, first_path):
+        drop_scratch(docs.sparkSession, old)
+    again.drop()
+
+    # only the texts that lose words meet their spans; all others are done where they are read
+    ids = repeats.build(spans.select("key"), _key_array, spans.count(), keep_seen=True)
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "mark"))
     s = spans.select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), "begins")
-    joined = rows.join(s, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left")
-    return _cut(joined.select("doc_id", "text", "begins"))
+    joined = _split(keyed, ids, True).join(
+        s, F.col("doc_id").eqNullSafe(F.col("s_id")) & F.col("mark").eqNullSafe(F.col("s_mark")), "left")
+    whole = _split(keyed, ids, False).withColumn("begins", F.lit(None).cast("array<int>"))
+    return _cut(joined.select("doc_id", "text", "begins")).unionByName(_cut(whole.select("doc_id", "text", "begins")))
