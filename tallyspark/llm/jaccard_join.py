@@ -15,8 +15,9 @@ are left for the next round; the last round verifies all that remain, so no
 link between different components is lost.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing;
-repeated rows are copies; null ids take part but never name a component; extra
-columns are ignored; an empty table gives an empty result.
+repeated rows are copies; rows with a null id follow the class of their set and
+never name a component (a set that only such rows have is linked with nothing);
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from tallyspark.session import drop_scratch, store
 
 SKETCH_BITS, CHUNK = 21, 1 << 16
 FRAGMENTS = 4
+#: Ranges of the hash in which a set's tokens are counted to bound overlaps (a power of two).
+RANGES = 64
 #: Star rounds go on while more open pairs than this remain for each class.
 OPEN_PAIRS = 8
 
@@ -48,14 +51,15 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """One pass over the texts: (doc_id, n, e) of each document, and each task's shingle counts by sketch cell."""
+    """One pass over the texts: (doc_id, n, e, ranges) of each document, and each task's shingle counts by sketch cell."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["doc_id", "n", "e", "chunk", "counts"]
+        names = ["doc_id", "n", "e", "ranges", "chunk", "counts"]
+        shift = np.uint64(64 - (RANGES - 1).bit_length())
         id_type = None
         for b in pieces(batches):
             sets = [shingles(t, width) for t in texts_of(b.column("text"))]
@@ -65,17 +69,18 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([_set_id(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=names)
+                 pa.array([_set_id(s) for s in sets], pa.int64()),
+                 pa.array([np.bincount((s >> shift).astype(np.int64), minlength=RANGES) for s in sets], pa.list_(pa.int32())),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         for i in range(0, len(counts), CHUNK):
             part = counts[i:i + CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
+                    [pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
                      pa.array([i // CHUNK], pa.int32()),
                      pa.array([part.astype("<u4").tobytes()], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, e long, chunk int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n int, e long, ranges array<int>, chunk int, counts binary")
 
 
 class GlobalOrder:
@@ -210,16 +215,19 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, o
 
 
 def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The pairs that the overlap of their prefixes leaves possible.
+    """The pairs that the overlap of their prefixes and the counts of their tokens by range leave possible.
+
+    In no range can two sets share more tokens than the smaller count.
 
     Of two sets, let x be the one whose prefix ends first.  All common tokens up
     to there are in both prefixes (k of them); behind it x has ceil(0.8 n) - 1
     tokens left, so the overlap is at most k + ceil(0.8 n) - 1.
     """
-    both = (pairs.join(prefixes.select(F.col("e").alias("a"), F.col("tokens").alias("ta")), "a")
-            .join(prefixes.select(F.col("e").alias("b"), F.col("tokens").alias("tb")), "b"))
+    both = (pairs.join(prefixes.select(F.col("e").alias("a"), F.col("tokens").alias("ta"), F.col("ranges").alias("ra")), "a")
+            .join(prefixes.select(F.col("e").alias("b"), F.col("tokens").alias("tb"), F.col("ranges").alias("rb")), "b"))
     behind = F.floor((4 * F.greatest("na", "nb") + 4) / 5) - 1
-    most = F.size(F.array_intersect("ta", "tb")) + behind
+    shared = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    most = F.least(F.size(F.array_intersect("ta", "tb")) + behind, shared)
     return both.filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
@@ -300,9 +308,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists, lists_path = store(met.join(shared, "token").distinct(), "lists")
     drop_scratch(spark, met_path)
     n_classes = lists.agg(F.approx_count_distinct("e")).first()[0]
-    firsts = members.filter("doc_id IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("doc_id"))
+    firsts = stored.filter("chunk IS NULL AND doc_id IS NOT NULL").groupBy("e").agg(
+        F.min("doc_id").alias("doc_id"), F.max("ranges").alias("ranges"))
 
-    prefixes, prefix_path = store(lists.groupBy("e").agg(F.collect_list("token").alias("tokens")), "tokens")
+    own = lists.groupBy("e").agg(F.collect_list("token").alias("tokens"))
+    prefixes, prefix_path = store(own.join(firsts.select("e", "ranges"), "e"), "tokens")
     paths, links, tested, before = [sets_path, lists_path, prefix_path], None, None, None
     open_lists = lists.withColumn("c", F.col("e"))
 
