@@ -198,11 +198,9 @@ def test_contract_panel_latest_policy_option(spark, sf_small):
                      "left_anti").count() == 0
 
 
-def test_csv_permissive_keeps_malformed_rows(spark):
-    path = scratch_dir(spark, "csv_bad")
-    import os
-    os.makedirs(path, exist_ok=True)
-    with open(os.path.join(path, "part-0.csv"), "w") as f:
+def test_csv_permissive_keeps_malformed_rows(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    with open(tmp_path / "part-0.csv", "w") as f:
         f.write("InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n")
         f.write("1,A,x,abc,1/2/2011 3:04,2.5,,NA\n")
         f.write("2,B,y,3,1/2/2011 3:05,oops,17.0,Kenya\n")
