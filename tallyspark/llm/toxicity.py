@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.text import pieces, texts_of
+from tallyspark.session import drop_scratch, store
 
 ORDER, DECAY, POWER = 3, 0.7, 3
 LONGEST, STEP = 24, 12
@@ -211,16 +212,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _counts(rows: DataFrame) -> dict[int, int]:
+    return {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def sampled(rows: DataFrame, max_rows: int) -> DataFrame:
+    """About ``max_rows`` rows of each label at most, by a hash of ``fold`` (rows with other labels are left out)."""
+    rows = rows.filter("label IN (0, 1)")
+    have = _counts(rows)
+    h = F.pmod(F.xxhash64("fold", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.when(F.col("label") == 1, F.lit(max_rows / have.get(1, 1))).otherwise(F.lit(max_rows / have.get(0, 1)))
+    return rows.filter(h < share)
+
+
 def train(rows: DataFrame, n_landmarks: int = 24, max_rows: int = 3000, min_share: float = 0.01,
           min_strength: float = 0.5) -> ToxicityModel | None:
     """A model from ``rows`` (text, label 0/1, fold: any long); None without both labels."""
-    rows = rows.filter("label IN (0, 1)")
-    have = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = sampled(rows, max_rows)
+    have = _counts(rows)
     if len(have) < 2:
         return None
-    h = F.pmod(F.xxhash64("fold", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.when(F.col("label") == 1, F.lit(max_rows / have[1])).otherwise(F.lit(max_rows / have[0]))
-    rows = rows.filter(h < share)
 
     def list_units(batches):
         import pyarrow as pa
@@ -292,12 +303,17 @@ def score(docs: DataFrame, model: ToxicityModel | None, doc_id: str = "doc_id",
 
 
 def toxicity_verdicts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                      threshold: float = 0.7, **options) -> DataFrame:
+                      threshold: float = 0.7, max_rows: int = 3000, **options) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learned from labels of rows not held out."""
     known = labels.select(F.col(doc_id).alias("l_id"), F.col("toxic").cast("int").alias("label")).filter(
         ~held_out(F.col("l_id")))
-    rows = docs.join(known, F.col(doc_id) == F.col("l_id")).select(
-        F.col(text).alias("text"), "label", F.xxhash64("l_id").alias("fold"))
-    scored = score(docs, train(rows, **options), doc_id, text)
+    # the bounded sample of labels is stored first: a small table finds its texts without moving the others
+    sample, path = store(sampled(known.withColumn("fold", F.xxhash64("l_id")), max_rows), "labels")
+    rows, text_path = store(docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("text")).join(
+        sample, F.col("d_id") == F.col("l_id")).select("text", "label", "fold"), "labelled")
+    drop_scratch(docs.sparkSession, path)
+    model = train(rows, max_rows=max_rows, **options)
+    drop_scratch(docs.sparkSession, text_path)
+    scored = score(docs, model, doc_id, text)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
