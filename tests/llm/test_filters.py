@@ -144,6 +144,24 @@ def test_pii_adds_spans_and_keeps_the_base(spark, documents):
     assert find_pii(documents([])).count() == 0
 
 
+def test_pii_adds_what_the_base_does_not_match(spark, documents):
+    rng = random.Random(14)
+    rows = []
+    for i in range(600):
+        words = [f"w{'abcdefgh'[rng.randrange(8)]}{'xyz'[rng.randrange(3)]}" for _ in range(20)]
+        words[5] = rng.choice(["+1 (%03d) 555-%04d" % (rng.randrange(999), rng.randrange(9999)), "me.%d@mail%d.org" % (i, i % 7),
+                               "%08d" % rng.randrange(10 ** 8), "12 34 567 8", "2024-%02d-%02d" % (1 + i % 12, 1 + i % 28),
+                               "user@localhost", "97.51.%d.173" % rng.randrange(256)])
+        rows.append((i, " ".join(words)))
+    rows += [(1000, "wa wb (555) 123-4567 wc"), (1001, "wa me [at] mail.org wc"), (1002, "wa 73920418 wc"),
+             (1003, "wa look [at] this wc"), (1004, "wa 2023-11-30 wc"), (1005, "wa user@localhost wc")]
+    rows += [(2000 + i, "wx wy (%03d) 555-%04d wz" % (i * 7, i * 31)) for i in range(60)]
+    found = {r.doc_id: [(s["start"], s["end"]) for s in r.added] for r in find_pii(documents(rows)).collect()}
+    assert {i: found[i] for i in range(1000, 1006)} == {
+        1000: [(6, 20)], 1001: [(3, 19)], 1002: [], 1003: [], 1004: [], 1005: []}
+    assert not any(found[i] for i in range(600)) and all(found[2000 + i] == [(6, 20)] for i in range(60))
+
+
 def plain_kernel(s, t, order=toxicity.ORDER, decay=toxicity.DECAY):
     from itertools import combinations
 
