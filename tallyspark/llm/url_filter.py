@@ -4,8 +4,8 @@ Rules (a host and a path's beginning) decide the URLs they fit; the longest
 wins.  The URLs that rules decide are the labelled ones: trees learn from them
 (``max_rows`` at most, picked by a hash) and judge all others by length, depth,
 digit ratio, entropy, parameter counts and the block share of their suffix.  The
-trees and the suffix statistics (``max_suffixes`` at most) are part of the
-expression, so scoring is one scan without a join or shuffle.
+suffix statistics come from all URLs that rules decide, one stored row for each
+suffix, and are joined to the rows; the trees are part of the expression.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and
 fits no rule; without labelled URLs of both kinds every other URL is allowed;
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.boosted import BoostedTrees, train
+from tallyspark.session import store
 
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,29 +82,31 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str = "page_id", url: str = "url",
-               max_rows: int = 20_000, max_suffixes: int = 200, threshold: float = 0.5) -> DataFrame:
+               max_rows: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and block_probability of every row of ``pages``."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
 
-    n = rows.agg(F.count("ruled")).first()[0]
-    share = min(1.0, max_rows / max(1, n))
+    rows = rows.withColumn("suffix", suffix(F.col("host")))
+
+    labelled = rows.filter(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == BLOCK).cast("int"))
+    rates, _ = store(labelled.groupBy("suffix").agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")), "suffixes")
+    total, blocked = rates.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    prior = (blocked + 1) / (total + 2)
+    rates = rates.select(F.col("suffix").alias("_s"), ((F.col("b") + prior * 5) / (F.col("n") + 5)).alias("_rate"))
+
+    def rated(some: DataFrame) -> DataFrame:
+        joined = some.join(rates, F.col("suffix") == F.col("_s"), "left")
+        return joined.withColumn("rate", F.coalesce("_rate", F.lit(prior)))
+
+    share = min(1.0, max_rows / max(1, total))
     hashed = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
-    known = rows.filter(F.col("ruled").isNotNull() & hashed).withColumn("label", (F.col("ruled") == BLOCK).cast("int"))
-    rates = (known.groupBy(suffix(F.col("host")).alias("s")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "s").limit(max_suffixes).collect())
-    total, blocked = sum(r.n for r in rates), sum(r.b for r in rates)
-    prior = F.lit((blocked + 1) / (total + 2))
-    rate = prior
-    if rates:
-        pairs = [F.lit(x) for r in rates for x in (r.s, (r.b + (blocked + 1) / (total + 2) * 5) / (r.n + 5))]
-        rate = F.coalesce(F.try_element_at(F.create_map(*pairs), suffix(F.col("host"))), prior)
-    x = [*lexical(F.col("url"), F.col("host"), F.col("path")), rate]
-    trees = train(known.select(F.array(*x).alias("x"), "label"))
+    x = [*lexical(F.col("url"), F.col("host"), F.col("path")), F.col("rate")]
+    trees = train(rated(labelled.filter(hashed)).select(F.array(*x).alias("x"), "label"))
     chance = _chance(trees, F.array(*x))
-    out = rows.withColumn("block_probability", chance)
+    out = rated(rows).withColumn("block_probability", chance)
     return out.select("page_id", "host", "path", "rule", F.coalesce(
         "ruled", F.when(F.col("block_probability") >= threshold, BLOCK).otherwise(ALLOW)).alias("verdict"),
         "block_probability")

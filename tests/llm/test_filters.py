@@ -76,6 +76,18 @@ def test_urls_learned_from_rules_generalise(spark):
     assert sum((r.verdict == "block") == ("-" in r.host) for r in open_) >= 290
 
 
+def test_urls_of_rare_suffixes_keep_their_block_share(spark):
+    """Open URLs under 600 domains of equal size, told apart only by what the rules decide on the same domain."""
+    urls = [f"http://{host}.d{k:03d}.com/{part}/x{n}" for k in range(600) for host, part, n in
+            (("a", "fr" if k % 2 else "de", 1), ("b", "fr" if k % 2 else "de", 2), ("c", "it", 3))]
+    rules = [("allow", "com/fr/"), ("block", "com/de/")]
+    got = judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), rules,
+                     max_rows=400).collect()
+    open_ = [r for r in got if r.rule is None]
+    assert len(got) == 1800 and len(open_) == 600
+    assert all((r.verdict == "block") == (int(r.host[3:6]) % 2 == 0) for r in open_)
+
+
 def test_entropy(spark):
     rows = ["", "aaaa", "ab", "abca", "x.y|z\\*", "ééa"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(entropy(F.col("t"))).collect()]
