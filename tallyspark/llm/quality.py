@@ -5,7 +5,7 @@ source a minimum-covariance-determinant estimate is found by concentration
 steps: the mean and covariance of the ``share`` of rows that lie nearest give
 new distances, and so on.  Rows whose squared Mahalanobis distance exceeds the
 cutoff are rejected.  Groups too small for an estimate take that of their
-language, and rows of too small languages are judged by the base rules alone.
+language, and rows of too small languages that of all rows, which always exists.
 
 The estimates come from all rows.  Each step is one grouped sum and one grouped
 histogram of distances, both partial before the shuffle, so a source with a
@@ -146,23 +146,25 @@ def _cholesky(estimates: DataFrame, d: int) -> DataFrame:
 
 
 def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 100) -> DataFrame:
-    """Estimates by (lang, source, level): level 0 a language's source, level 1 the whole language.
+    """Estimates by (lang, source, level): level 0 a language's source, level 1 the whole language, level 2 all rows.
 
     ``stats`` has lang, source, x (array of features).  Rows that fail the base
-    rules should be left out.  Groups of fewer than ``min_rows`` have no estimate.
+    rules should be left out.  Groups of fewer than ``min_rows`` have no estimate
+    at levels 0 and 1; level 2 has one, however few its rows are.
     """
     d = len(FEATURES)
-    levels = F.array(F.struct(F.col("source").alias("source"), F.lit(0).alias("level")),
-                     F.struct(F.lit(None).cast("string").alias("source"), F.lit(1).alias("level")))
-    rows = stats.select("lang", "x", F.explode(levels).alias("g")).select(
-        "lang", "g.source", "g.level", *[F.col("x")[i].alias(f"x{i}") for i in range(d)])
+    none = F.lit(None).cast("string")
+    levels = F.array(*[F.struct(lang.alias("lang"), source.alias("source"), F.lit(i).alias("level"))
+                       for i, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)])])
+    rows = stats.select("x", F.explode(levels).alias("g")).select(
+        "g.lang", "g.source", "g.level", *[F.col("x")[i].alias(f"x{i}") for i in range(d)])
     x = [F.col(f"x{i}") for i in range(d)]
     keys, paths = ["lang", "source", "level"], []
 
     # start: coordinate-wise medians and absolute deviations
     middle = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.percentile_approx(F.round(x[i], 4), 0.5).alias(f"m{i}") for i in range(d)]).filter(F.col("rows") >= min_rows)
+        *[F.percentile_approx(F.round(x[i], 4), 0.5).alias(f"m{i}") for i in range(d)]).filter((F.col("rows") >= min_rows) | (F.col("level") == 2))
     middle, path = store(middle, "mcd")
     paths.append(path)
     spread = _join(rows, middle).groupBy(*keys).agg(
@@ -206,14 +208,16 @@ def _keyed(estimates: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def judge(rows: DataFrame, estimates: DataFrame, x: list[Column], cutoff: float = CUTOFF) -> DataFrame:
-    """``rows`` (with lang and source) plus ``outlier``: the distance in the row's own group, else language."""
+    """``rows`` (with lang and source) plus ``outlier``: the distance in the row's own group, else language, else in all rows."""
     d = len(FEATURES)
     fields = ["scale", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)]]
     packed = F.struct(*[F.col(c) for c in fields])
     own = estimates.filter("level = 0").select(F.col("lang").alias("_l0"), F.col("source").alias("_s0"), packed.alias("_e0"))
     wide = estimates.filter("level = 1").select(F.col("lang").alias("_l1"), packed.alias("_e1"))
     out = rows.join(own, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")), "left")
-    out = out.join(wide, F.col("lang").eqNullSafe(F.col("_l1")), "left").withColumn("_e", F.coalesce("_e0", "_e1"))
+    last = estimates.filter("level = 2").select(*fields).first()  # the one row over all rows; none without sound rows
+    every = [F.struct(*[F.lit(last[c]).alias(c) for c in fields])] if last else []
+    out = out.join(wide, F.col("lang").eqNullSafe(F.col("_l1")), "left").withColumn("_e", F.coalesce("_e0", "_e1", *every))
     d2 = _distance(x, lambda c: F.col(f"_e.{c}")) / F.col("_e.scale")
     return out.withColumn("distance", d2).withColumn("outlier", F.coalesce(d2 > cutoff, F.lit(False))).drop(
         "_l0", "_s0", "_e0", "_l1", "_e1", "_e")

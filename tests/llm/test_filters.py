@@ -261,6 +261,22 @@ def test_quality_statistics_and_outliers(spark, documents):
     assert quality.quality_verdicts(documents([])).count() == 0 and quality.keep_good(documents([])).count() == 0
 
 
+def test_quality_judges_rows_of_small_languages(spark, documents):
+    """Languages below ``min_rows``, down to a single row, are judged by the estimate over all rows."""
+    rng = random.Random(8)
+    rows = [(i, sentences(rng, rng.randint(60, 400)), "en", "a") for i in range(150)]
+    rows += [(200 + i, sentences(rng, rng.randint(60, 400)), rng.choice(["fr", "xx", None]), "a") for i in range(20)]
+    odd = lambda: " ".join(w + "$$$***" for w in sentences(rng, 150).split())
+    junk = [(300, odd(), "fr", "a"), (301, odd(), "??", "b"), (302, odd(), None, None)]
+    got = {r.doc_id: r for r in quality.quality_verdicts(documents(rows + junk)).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert not any(got[r[0]].kept for r in junk) and sum(got[r[0]].kept for r in rows) >= 0.98 * len(rows)
+    few = {r.doc_id: r.kept for r in quality.quality_verdicts(documents(rows[:40] + junk)).collect()}
+    assert not any(few[r[0]] for r in junk) and all(few[r[0]] for r in rows[:40])
+    kept = {r.doc_id for r in quality.keep_good(documents(rows + junk)).collect()}
+    assert kept == {i for i, r in got.items() if r.kept}
+
+
 def test_mahalanobis_distance_equals_numpy(spark):
     rng = np.random.default_rng(3)
     d = len(quality.FEATURES)
