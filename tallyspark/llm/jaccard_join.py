@@ -22,6 +22,8 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +149,7 @@ def _segments(docs: DataFrame, width: int, order) -> DataFrame:
         import pyarrow as pa
 
         for b in pieces(batches):
-            es, frags, parts = [], [], []
+            es, frags, parts, copies = [], [], [], []
             for t, want in zip(texts_of(b.column("text")), b.column("want").to_pylist(), strict=True):
                 s = shingles(t, width)
                 if not len(s) or _set_id(s) != want:
@@ -157,14 +159,16 @@ def _segments(docs: DataFrame, width: int, order) -> DataFrame:
                     parts.append(np.sort(part).view(np.int64))
                 fs = frag[np.r_[0, np.flatnonzero(np.diff(frag)) + 1]]
                 es += [want] * len(fs)
+                copies += [uuid.uuid4().int >> 65] * len(fs)
                 frags += fs.tolist()
             offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(es, pa.int64()), pa.array(frags, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["e", "frag", "tokens"])
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(copies, pa.int64())],
+                names=["e", "frag", "tokens", "copy"])
 
-    return docs.mapInArrow(run, "e long, frag int, tokens array<long>")
+    return docs.mapInArrow(run, "e long, frag int, tokens array<long>, copy long")
 
 
 def _similar(n1: Column, n2: Column) -> Column:
@@ -198,10 +202,12 @@ def _column_keys(column: str):
     return keys
 
 
-def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, order) -> tuple[DataFrame, str]:
+def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, order) -> tuple[DataFrame, list[str]]:
     """The stored segments of the classes in ``pairs``, from the text of each one's first document.
 
     A bounded map of their ids keeps nearly all other texts out of the shuffle.
+    If that document's row occurs several times, the segments of one copy count;
+    the table of such classes is stored, so that the segments meet it unmoved while it is small.
     """
     es = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
     wanted, path = store(firsts.join(es, "e").select(F.col("e").alias("want"), F.col("doc_id").alias("w_id"),
@@ -209,9 +215,12 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, o
     ids = repeats.build(wanted.select("key"), _column_keys("key"), wanted.count(), keep_seen=True)
     near = _only(rows.withColumn("key", F.xxhash64("doc_id")), "key", ids.maybe_seen)
     texts = near.join(wanted.select("want", "w_id"), F.col("doc_id") == F.col("w_id")).select("text", "want")
-    out = store(_segments(texts, width, order), "segments")
+    segments, segment_path = store(_segments(texts, width, order), "segments")
     drop_scratch(rows.sparkSession, path)
-    return out
+    repeated, repeated_path = store(segments.groupBy("e").agg(F.min("copy").alias("first"), F.max("copy").alias("last"))
+                                    .filter("first <> last").select("e", "first"), "copies")
+    one = segments.join(repeated, "e", "left").filter("first IS NULL OR copy = first").drop("copy", "first")
+    return one, [segment_path, repeated_path]
 
 
 def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -320,9 +329,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         nonlocal links, tested
         pairs, pair_path = store(pairs, "pairs")
         likely, likely_path = store(_possible(pairs, prefixes), "pairs")
-        segments, path = _sets_of(likely, rows, firsts, width, order)
+        segments, segment_paths = _sets_of(likely, rows, firsts, width, order)
         found, link_path = store(_verified(likely, segments), "links")
-        drop_scratch(spark, path)
+        for path in segment_paths:
+            drop_scratch(spark, path)
         paths.extend([pair_path, likely_path, link_path])
         done = pairs.select("a", "b")
         tested = done if tested is None else tested.unionByName(done)
