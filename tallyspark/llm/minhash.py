@@ -12,8 +12,9 @@ all pairs are formed: each class meets the most central one, verified links make
 components (alternating large-star and small-star), and buckets whose classes
 are in one component are closed.  When such rounds gain little any more, the
 classes of the buckets still open are compared block by block inside tasks, so
-that every pair of different components is tested and only pairs with similar
-signatures leave a task.
+that every pair of different components is tested.  Bit maps of the sets, eight
+to sixteen bits a shingle, bound the overlap from above there; only pairs that
+can still reach 0.8 leave a task, to be verified like all others.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing;
 texts are taken whole at any length; repeated rows are copies; of rows with one
@@ -40,8 +41,8 @@ BANDS, ROWS = 40, 4
 MINIMA = BANDS * ROWS
 #: Minima in which two sets of similarity 0.8 agree but for a chance of 8 in 10**10.
 AGREE = 92
-#: Members of a block of an open bucket; the work of one task is a pair of blocks.
-BLOCK = 256
+#: Members of a block of an open bucket, and their shingles; the work of one task is a pair of blocks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 22
 #: Star rounds end when no more open pairs than this remain for each class, or fewer than a tenth went.
 OPEN_PAIRS = 8
 
@@ -101,6 +102,27 @@ def _name(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None
 
 
+def bit_map(s: np.ndarray) -> np.ndarray:
+    """A set's bit map as 64-bit words: the cells of its shingles' low bits, a power of two of them, 8 to 16 a shingle."""
+    cells = max(64, 1 << (8 * len(s) - 1).bit_length())
+    bits = np.zeros(cells, dtype=bool)
+    bits[(s & np.uint64(cells - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _folded(maps: np.ndarray) -> np.ndarray:
+    """Bit maps (one a row) over half as many cells."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] | maps[:, half:]
+
+
+def most_shared(x: np.ndarray, n: int, maps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of a set of size n and map x with others: shingles in a cell the other lacks are not shared."""
+    alone = np.bitwise_count(x & ~maps).sum(axis=1, dtype=np.int64)
+    others = np.bitwise_count(maps & ~x).sum(axis=1, dtype=np.int64)
+    return np.minimum(n - alone, sizes - others)
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, e, sig) of each document: size, name and signature of its set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -142,26 +164,28 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(e, tokens) of the wanted classes (e, low), from the text of each one's first document."""
+    """(e, tokens, bits) of the wanted classes (e, low), from the text of each one's first document; bits is the bit map."""
     kind = rows.schema["doc_id"].dataType
 
     def run(batches):
         import pyarrow as pa
 
         for b in pieces(batches, 256):
-            es, sets = [], []
+            es, sets, bits = [], [], []
             for t, e in zip(texts_of(b.column("text")), b.column("e").to_pylist(), strict=True):
                 s = shingles(t, width)
                 if _name(s) == e:
                     es.append(e)
                     sets.append(s.view(np.int64))
+                    bits.append(bit_map(s).tobytes())
             ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(es, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["e", "tokens"])
+                [pa.array(es, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                 pa.array(bits, pa.binary())], names=["e", "tokens", "bits"])
 
     texts = rows.join(wanted.select("e", F.col("low").cast(kind).alias("doc_id")), "doc_id").select("e", "text")
-    return texts.mapInArrow(run, "e binary, tokens array<long>").dropDuplicates(["e"])
+    return texts.mapInArrow(run, "e binary, tokens array<long>, bits binary").dropDuplicates(["e"])
 
 
 def _similar(n1: Column, n2: Column) -> Column:
@@ -196,10 +220,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
 def _open(lists: DataFrame) -> tuple[DataFrame, str]:
     """The rows of the buckets whose classes are not all in one component, stored."""
     sizes, path = store(lists.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
-                                                    F.count(F.lit(1)).alias("count")), "sizes")
+                                                    F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")), "sizes")
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    mixed = sizes.filter("lo <> hi").select("bucket", F.col("count").alias("members"))
-    out = store(lookup(lists.drop("members"), mixed, "bucket", sizes, total), "lists")
+    mixed = sizes.filter("lo <> hi").select("bucket", F.col("count").alias("members"), "shingles")
+    out = store(lookup(lists.drop("members", "shingles"), mixed, "bucket", sizes, total), "lists")
     drop_scratch(lists.sparkSession, path)
     return out
 
@@ -231,33 +255,46 @@ def _star_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def _rest_pairs(lists: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) between components in open buckets whose signatures agree, found block by block."""
+def _rest_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) between components of open buckets that their bit maps leave possible, block by block."""
     def compare(table):
         import pyarrow as pa
 
         e, n, block = table.column("e").to_pylist(), table.column("n").to_numpy(), table.column("block").to_numpy()
-        _, c = np.unique(np.array(table.column("c").to_pylist(), dtype=object), return_inverse=True)
-        sig = _matrix(table.column("sig").combine_chunks())
-        i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        _, c = np.unique(np.array([x.hex() for x in table.column("c").to_pylist()]), return_inverse=True)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        maps: dict[int, list] = {}
+        for row, m in enumerate(table.column("bits").to_pylist()):
+            maps.setdefault(len(m), []).append((row, m))
+        by_size = {k: (np.array([r for r, _ in v]), np.frombuffer(b"".join(m for _, m in v), dtype=np.uint64).reshape(len(v), -1))
+                   for k, v in maps.items()}
         found = []
-        for x in left:
-            ys = right[right > x] if i == j else right
-            ys = ys[(c[ys] != c[x]) & (5 * n[ys] >= 4 * n[x]) & (5 * n[x] >= 4 * n[ys])]
-            if len(ys):
-                ys = ys[(sig[ys] == sig[x]).sum(axis=1) >= AGREE]
-                found += [(x, y) if e[x] < e[y] else (y, x) for y in ys.tolist()]
+        for k, (rows, own) in by_size.items():
+            for other in (k, 2 * k):
+                if other not in by_size:
+                    continue
+                others, theirs = by_size[other] if other == k else (by_size[other][0], _folded(by_size[other][1]))
+                for at, x in enumerate(rows.tolist()):
+                    fit = (c[others] != c[x]) & (5 * n[others] >= 4 * n[x]) & (5 * n[x] >= 4 * n[others])
+                    if i != j:
+                        fit &= block[others] != block[x]
+                    if other == k:
+                        fit &= others > x
+                    ys = np.flatnonzero(fit)
+                    if len(ys):
+                        most = most_shared(own[at], int(n[x]), theirs[ys], n[others[ys]])
+                        found += [(x, y) for y in others[ys[9 * most >= 4 * (n[x] + n[others[ys]])]].tolist()]
+        found = [(x, y) if e[x] < e[y] else (y, x) for x, y in found]
         return pa.table({"a": pa.array([e[x] for x, _ in found], pa.binary()),
                          "b": pa.array([e[y] for _, y in found], pa.binary()),
                          "na": pa.array([int(n[x]) for x, _ in found], pa.int64()),
                          "nb": pa.array([int(n[y]) for _, y in found], pa.int64())})
 
-    blocks = F.floor((F.col("members") - 1) / BLOCK) + 1
-    rows = lists.join(sigs.select("e", "sig"), "e").withColumn("block", F.pmod(F.xxhash64("e"), blocks))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    rows = lists.join(sets.select("e", "bits"), "e").withColumn("block", F.pmod(F.xxhash64("e"), blocks))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block",
-                       "e", "n", "c", "sig")
+                       "e", "n", "c", "bits")
     return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary, na long, nb long").distinct()
 
 
@@ -269,6 +306,8 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes, classes_path = store(signed.filter("n > 0").groupBy("e").agg(
         F.min("doc_id").alias("low"), F.min("n").alias("n"), F.min("sig").alias("sig"),
         F.count(F.lit(1)).alias("count")).filter("low IS NOT NULL"), "classes")
+    members, members_path = store(signed.select("doc_id", "n", "e"), "members")
+    drop_scratch(spark, signed_path)
     counts, counts_path = store(_buckets(classes).groupBy("bucket").count().filter("count > 1"), "buckets")
     total = counts.agg(F.sum("count")).first()[0] or 0
     lists, lists_path = store(lookup(_buckets(classes), counts.select("bucket", F.col("count").alias("members")), "bucket",
@@ -278,7 +317,10 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = classes.join(met, "e")
     sigs, sigs_path = store(found.select("e", "sig"), "sigs")
     sets, sets_path = store(_sets_of(rows, found.select("e", "low"), width), "sets")
-    paths = [signed_path, classes_path, lists_path, met_path, sigs_path, sets_path]
+    sizes, sizes_path = store(classes.select("e", "count"), "sizes")
+    drop_scratch(spark, classes_path)
+    drop_scratch(spark, met_path)
+    paths = [members_path, sigs_path, sets_path, sizes_path]
     links, tested, names = None, None, None
 
     def verify(agreeing: DataFrame) -> None:
@@ -291,9 +333,8 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         names, name_path = star_components(links)
         paths.extend([link_path, name_path])
 
-    n_classes = met.count()
-    now, path = store(lists.withColumn("c", F.col("e")), "lists")
-    paths.append(path)
+    n_classes = sigs.count()
+    now, now_path = lists.withColumn("c", F.col("e")), lists_path
     left, before = _open_pairs(now), None
     while left and (before is None or (left > OPEN_PAIRS * n_classes and left < 0.9 * before)):
         pairs, path = store(_star_pairs(now, tested), "pairs")
@@ -301,19 +342,22 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         verify(_agreeing(pairs, sigs))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         named = now.drop("c").join(names.withColumnRenamed("node", "e"), "e", "left")
-        now, path = _open(named.withColumn("c", F.coalesce("component", "e")).drop("component"))
-        paths.append(path)
+        opened, path = _open(named.withColumn("c", F.coalesce("component", "e")).drop("component"))
+        drop_scratch(spark, now_path)
+        now, now_path = opened, path
         left, before = _open_pairs(now), left
     if left:
-        verify(_rest_pairs(now, sigs))
+        pairs, path = store(_rest_pairs(now, sets), "pairs")
+        paths.append(path)
+        verify(_agreeing(pairs, sigs))
+    paths.append(now_path)
 
-    members = signed.select("doc_id", "n", "e")
     if names is not None:
-        members = lookup(members, names.withColumnRenamed("node", "e"), "e", classes.select("e", "count"),
-                         classes.agg(F.sum("count")).first()[0] or 0, "left").withColumn("c", F.coalesce("component", "e"))
+        members = lookup(members, names.withColumnRenamed("node", "e"), "e", sizes, sizes.agg(F.sum("count")).first()[0] or 0,
+                         "left").withColumn("c", F.coalesce("component", "e"))
     else:
         members = members.withColumn("c", F.col("e"))
-    members, members_path = store(members.select("doc_id", "n", "c"), "members")
+    members, _ = store(members.select("doc_id", "n", "c"), "labelled")
     for path in paths:
         drop_scratch(spark, path)
     lows, _ = store(members.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("low"),
