@@ -32,6 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm import repeats
 from tallyspark.llm.hot import lookup, salted
 from tallyspark.llm.star_components import star_components
 from tallyspark.llm.text import mix, pieces, shingles, texts_of
@@ -163,6 +164,22 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("e", "n", "sig").mapInArrow(run, "bucket long, e binary, n long")
 
 
+def _near(rows: DataFrame, ids) -> DataFrame:
+    """The rows whose doc_id is in a bounded map of ids, and few others: most texts then need no shuffle."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            seen = ids.maybe_seen(b.column("key").to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(seen)).select(["doc_id", "text"])
+
+    return rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
+
+
+def _id_keys(batch):
+    yield batch.column("key").to_numpy(zero_copy_only=False)
+
+
 def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(e, tokens, bits) of the wanted classes (e, low), from the text of each one's first document; bits is the bit map."""
     kind = rows.schema["doc_id"].dataType
@@ -316,7 +333,12 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     met, met_path = store(lists.select("e").distinct(), "met")
     found = classes.join(met, "e")
     sigs, sigs_path = store(found.select("e", "sig"), "sigs")
-    sets, sets_path = store(_sets_of(rows, found.select("e", "low"), width), "sets")
+    wanted, wanted_path = store(found.select("e", "low"), "wanted")
+    n_classes = wanted.count()
+    ids = repeats.build(wanted.select(F.xxhash64("low").alias("key")), _id_keys, n_classes, keep_seen=True)
+    sets, sets_path = store(_sets_of(_near(rows, ids), wanted, width), "sets")
+    ids.drop()
+    drop_scratch(spark, wanted_path)
     sizes, sizes_path = store(classes.select("e", "count"), "sizes")
     drop_scratch(spark, classes_path)
     drop_scratch(spark, met_path)
@@ -333,7 +355,6 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         names, name_path = star_components(links)
         paths.extend([link_path, name_path])
 
-    n_classes = sigs.count()
     now, now_path = lists.withColumn("c", F.col("e")), lists_path
     left, before = _open_pairs(now), None
     while left and (before is None or (left > OPEN_PAIRS * n_classes and left < 0.9 * before)):
