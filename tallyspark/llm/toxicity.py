@@ -1,7 +1,8 @@
 """Operator 8, toxicity: a string-kernel support vector machine with Nystroem landmarks.
 
-A text's units are its lower-cased words (runs of three or more one-letter words
-count as one unit, long words are cut into overlapping pieces).  The gapped
+A text's units are its lower-cased words and their beginnings (runs of three or
+more one-letter words count as one unit, long words are cut into overlapping
+pieces).  The gapped
 subsequence kernel compares a unit with landmark words: it sums, with a decay
 for every character spanned, the subsequences they share, so insults with
 inserted or missing characters stay close to their plain form.  The Nystroem
@@ -10,10 +11,11 @@ support vector machine with an isotonic calibration, fitted on a third of the tr
 gives the score.
 
 Training reads at most ``max_rows`` labelled rows of each class (a documented
-bound; a hash of the row picks the share); landmarks are the ``n_landmarks``
-units that tell these rows' labels apart best, none weaker than ``min_strength``
-of the best.  Scoring reads every
-whole text in one pass without a shuffle.
+bound; a hash of the row picks the share).  Landmarks are picked greedily: of the
+units that are significantly more frequent under label 1, always the one that
+stands in most rows of that label which the landmarks so far leave unexplained,
+so a vocabulary that only few of these rows use gets its landmarks too.  Scoring
+reads every whole text in one pass without a shuffle.
 
 Defined cases: null and empty texts have no units and score the same low value;
 null labels are left out; without both labels every score is 0; extra columns
@@ -31,9 +33,13 @@ from pyspark.sql import functions as F
 from tallyspark.llm.text import pieces, texts_of
 from tallyspark.session import drop_scratch, store
 
-ORDER, DECAY, POWER = 3, 0.7, 3
+ORDER, DECAY, POWER = 3, 0.7, 6
 LONGEST, STEP = 24, 12
 CACHE_UNITS = 1 << 18
+#: Lengths of the beginnings of longer words that are units too.
+BEGINNINGS = (4, 6)
+#: A row with as many landmarks counts as explained.
+EXPLAINED = 3
 
 
 def units_of(text: bytes) -> set[str]:
@@ -41,6 +47,10 @@ def units_of(text: bytes) -> set[str]:
     words = text.decode().lower().split()
     out = set(words)
     run: list[str] = []
+    for w in [w for w in out if len(w) > BEGINNINGS[0] + 1]:
+        out.add(w[:BEGINNINGS[0]])
+        if len(w) > BEGINNINGS[1] + 1:
+            out.add(w[:BEGINNINGS[1]])
     if any(len(w) == 1 for w in out):
         for w in [*words, ""]:
             if len(w) == 1:
@@ -225,9 +235,29 @@ def sampled(rows: DataFrame, max_rows: int) -> DataFrame:
     return rows.filter(h < share)
 
 
-def train(rows: DataFrame, n_landmarks: int = 24, max_rows: int = 3000, min_share: float = 0.01,
-          min_strength: float = 0.5) -> ToxicityModel | None:
-    """A model from ``rows`` (text, label 0/1, fold: any long); None without both labels."""
+def pick_landmarks(rows_of: dict[str, set], n_landmarks: int) -> list[str]:
+    """Units (unit -> its rows of label 1), each the one in most rows not yet explained (ties: more rows, then by name)."""
+    times: dict = {}
+    best: list[str] = []
+    left = dict(rows_of)
+    while left and len(best) < n_landmarks:
+        gain, _, unit = max((sum(times.get(r, 0) < EXPLAINED for r in have), len(have), u) for u, have in left.items())
+        if gain < 2:
+            break
+        best.append(unit)
+        for r in left.pop(unit):
+            times[r] = times.get(r, 0) + 1
+    return best
+
+
+def train(rows: DataFrame, n_landmarks: int = 64, max_rows: int = 3000, min_rows: int = 4, min_z: float = 5.0,
+          min_ratio: float = 10.0, candidates: int = 2000) -> ToxicityModel | None:
+    """A model from ``rows`` (text, label 0/1, fold: any long); None without both labels.
+
+    A unit is a candidate if it stands in ``min_rows`` rows of label 1, its
+    shares of the two labels differ by ``min_z`` standard errors and by the
+    factor ``min_ratio``; the ``candidates`` most significant ones are looked at.
+    """
     rows = sampled(rows, max_rows)
     have = _counts(rows)
     if len(have) < 2:
@@ -236,20 +266,23 @@ def train(rows: DataFrame, n_landmarks: int = 24, max_rows: int = 3000, min_shar
     def list_units(batches):
         import pyarrow as pa
 
-        for b in pieces(batches):
+        for b in pieces(batches, 64):
             sets = [[u for u in units_of(t) if 3 <= len(u) <= 16] for t in texts_of(b.column("text"))]
-            labels = np.repeat(np.array(b.column("label").to_pylist(), dtype=np.int32), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array([u for s in sets for u in s], pa.string()), pa.array(labels)],
-                                             names=["unit", "label"])
-
-    n1, n0 = (float(min(have[k], max_rows)) for k in (1, 0))
-    units = rows.select("text", "label").mapInArrow(list_units, "unit string, label int").groupBy("unit").agg(
-        F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+            each = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array([u for s in sets for u in s], pa.string()), b.column("label").take(each),
+                                              b.column("fold").take(each)], names=["unit", "label", "fold"])
+
+    n1, n0 = (float(have[k]) for k in (1, 0))
+    listed = rows.select("text", F.col("label").cast("int").alias("label"), "fold").mapInArrow(
+        list_units, "unit string, label int, fold long")
+    units = listed.groupBy("unit").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     p = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
-    z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p))
-    best = (units.filter(F.col("a") >= min_share * n1).select("unit", z.alias("z"))
-            .orderBy(F.desc("z"), "unit").limit(n_landmarks).collect())
-    best = [r.unit for r in best if r.z >= min_strength * best[0].z > 0]
+    z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    telling = units.filter((F.col("a") >= min_rows) & (z >= min_z) & (F.col("a") / n1 >= min_ratio * F.col("b") / n0)).select(
+        "unit", z.alias("z")).orderBy(F.desc("z"), "unit").limit(candidates).select("unit")
+    # at most ``candidates`` units with at most 2 * max_rows row numbers each
+    found = listed.filter("label = 1").join(F.broadcast(telling), "unit").groupBy("unit").agg(F.collect_set("fold").alias("rows"))
+    best = pick_landmarks({r.unit: set(r.rows) for r in found.collect()}, n_landmarks)
     if not best:
         return None
     marks = Landmarks(best)
