@@ -211,3 +211,27 @@ def bpe_decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> Data
             yield _with_columns(b, {"decoded": pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, schema)
+
+
+def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` without the text, plus ``n_tokens``, ``ids`` and ``decoded`` as by bpe_encode and bpe_decode.
+
+    One Python step with one codec, so that a core holds one cache of pre-tokens.
+    """
+    path = path or default_path()
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    schema = _schema(docs, added)
+    schema = T.StructType([f for f in schema.fields if f.name != text])
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = codec(path)
+        for b in pieces(batches, 128):
+            ids = [own.encode(t.decode()) for t in texts_of(b.column(text))]
+            rest = b.select([n for n in b.schema.names if n != text])
+            yield _with_columns(rest, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                       "ids": pa.array(ids, pa.binary()),
+                                       "decoded": pa.array([own.decode(x).decode("utf-8", "replace") for x in ids], pa.string())})
+
+    return docs.mapInArrow(run, schema)

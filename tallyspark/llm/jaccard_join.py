@@ -27,6 +27,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm import repeats
 from tallyspark.llm.components import components
@@ -300,8 +301,12 @@ def _rest_pairs(lists: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
+                    with_class: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    ``with_class`` adds ``e``, the name of the document's set.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     stored, sets_path = store(_sets(rows, width), "sets")
@@ -361,11 +366,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lowest = labelled.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("low"))
     out = labelled.join(lowest, "c", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                      F.coalesce("low", "doc_id").alias("component_id"))
+                      F.coalesce("low", "doc_id").alias("component_id"), *(["e"] if with_class else []))
+
+
+def _named(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """``rows`` with ``_set``, the name of each row's set."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in pieces(batches):
+            names = [_set_id(shingles(t, width)) for t in texts_of(b.column(text))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], names=[*b.schema.names, "_set"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_set", T.LongType())]))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component (rows with a null id stay)."""
-    dropped = near_duplicates(docs, doc_id, text, width).filter("doc_id <> component_id").select(
-        F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[doc_id] == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` that are the first of their component (rows with a null id stay).
+
+    Of rows that share an id but not their set, each follows its own set.
+    """
+    spark = docs.sparkSession
+    verdicts, path = store(near_duplicates(docs, doc_id, text, width, with_class=True).filter("doc_id IS NOT NULL"), "verdicts")
+    gone = F.col("doc_id") != F.col("component_id")
+    ids, _ = store(verdicts.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if(gone).alias("_gone")).filter("_gone > 0"), "gone")
+    out = docs.join(ids, docs[doc_id] == F.col("_id"), "left_anti")
+    mixed = ids.filter("_gone < _rows")
+    if mixed.isEmpty():
+        drop_scratch(spark, path)
+        return out
+    some = _named(docs.join(mixed, docs[doc_id] == F.col("_id"), "left_semi"), text, width)
+    sets = verdicts.filter(gone).select(F.col("doc_id").alias("_id"), F.col("e").alias("_e")).distinct()
+    stay = some.join(sets, (some[doc_id] == F.col("_id")) & (F.col("_set") == F.col("_e")), "left_anti")
+    return out.unionByName(stay.drop("_set"))

@@ -283,11 +283,12 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     sizes, _ = store(_sizes(docs, doc_id, source, text), "sizes")
     plan = plan_mix(sizes, **options)
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
-    full = docs.select(row, F.col(text).alias("text"), F.col(doc_id).alias("id"),
+    field = docs.columns.index(text)  # the text travels once, inside the row
+    full = docs.select(row, F.col(doc_id).alias("id"),
                        F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"),
                        F.xxhash64(F.col(text)).alias("mark"))
     rows = _numbered(full, plan.sources, plan.offsets, plan.buckets, plan.block_words, plan.seed).select(
-        "row", "text", "mark", "size", "sid", "first", "blocks", "full", "cut", "part")
+        "row", "mark", "size", "sid", "first", "blocks", "full", "cut", "part")
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(
         "shard int, pass int, place long, words long, part string").fields])
     block_words, seed = plan.block_words, plan.seed
@@ -297,7 +298,7 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
         import pyarrow as pa
 
         for b in pieces(batches):
-            texts, sid, size = texts_of(b.column("text")), _column(b, "sid"), _column(b, "size")
+            texts, sid, size = texts_of(b.column("row").field(field)), _column(b, "sid"), _column(b, "size")
             where, number, taken, turn, place = _draws(b, block_words, seed)
             shard = np.empty(len(where), dtype=np.int64)
             for s in np.unique(sid[where]):

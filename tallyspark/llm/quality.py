@@ -241,11 +241,13 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 
     The estimates are small, so the rows meet them without moving the texts.
     """
+    at = docs.columns.index
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
-    rows = with_stats(docs.select(row, F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
-                                  F.col(source).cast("string").alias("source")))
-    stats, path = store(rows.select("lang", "source", "stats"), "stats")
-    estimates = fit(stats.filter(~base_failed()).select("lang", "source", F.array(*features()).alias("x")))
-    drop_scratch(docs.sparkSession, path)
-    good = judge(rows.filter(~base_failed()), estimates, features(), cutoff).filter("NOT outlier")
+    rows = with_stats(docs.select(row), f"row.c{at(text)}").select(
+        "row", F.col(f"row.c{at(lang)}").cast("string").alias("lang"), F.col(f"row.c{at(source)}").cast("string").alias("source"),
+        "stats")
+    # rows and statistics are stored once: the estimates read the statistics alone, the verdicts need no second count
+    counted, path = store(rows.filter(~base_failed()), "counted")
+    estimates = fit(counted.select("lang", "source", F.array(*features()).alias("x")))
+    good = judge(counted, estimates, features(), cutoff).filter("NOT outlier")
     return good.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

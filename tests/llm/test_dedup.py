@@ -185,3 +185,12 @@ def test_substring_dedup_matches_brute_force(spark, documents):
     got = sorted(map(tuple, remove_repeats(documents(rows).repartition(4)).collect()), key=str)
     assert got == sorted(cut_repeats(rows), key=str)
     assert remove_repeats(documents([])).count() == 0
+
+
+def test_keep_one_follows_each_text_of_a_repeated_id(spark, documents):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text), (2, "another text of its own with enough words"), (3, text + " tail"), (None, text)]
+    kept = keep_one(documents(rows))
+    assert kept.columns == documents(rows).columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([
+        (1, text), (2, "another text of its own with enough words"), (0, text)])

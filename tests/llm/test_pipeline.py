@@ -46,3 +46,24 @@ def test_pipeline_takes_effect(spark, documents, tmp_path):
         taken[r.source] += len(r.text.split())
     assert all(abs(taken[s] - want[s]) <= 1 + 0.001 * want[s] for s in sizes)
     assert len(seen[4]) == len(seen[3])
+
+
+def test_pipeline_of_empty_tables_null_sources_and_repeated_ids(spark, documents, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(120))
+    for name, rows in (("none", []), ("some", [(i % 30, text(), "en", None if i % 2 else "s") for i in range(60)])):
+        docs = documents(rows)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        ids = {r[0] for r in rows}
+        assert {r.doc_id for r in got} <= ids and (len(got) > 30) == bool(rows)
+
+
+def test_round_trip_step_equals_encode_and_decode(spark, documents):
+    from tallyspark.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
+
+    docs = documents([(1, "Some text, ünïcode \n\n twice"), (2, None), (3, ""), (4, "word " * 30_000)])
+    both = bpe_decode(bpe_encode(docs))
+    one = bpe_round_trip(docs)
+    assert one.columns == [c for c in both.columns if c != "text"]
+    assert sorted(map(str, one.collect())) == sorted(map(str, both.select(*one.columns).collect()))
