@@ -75,16 +75,16 @@ class _PreTokens(dict):
     for again return; so memory is bounded and frequent pre-tokens stay.
     """
 
-    def __init__(self, merge):
+    def __init__(self, merge, most: int = CACHE_WORDS):
         super().__init__()
-        self.merge, self.old = merge, {}
+        self.merge, self.most, self.old = merge, most, {}
 
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)
         if out is None:
             out = array("I", self.merge(word.encode())).tobytes()
         if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[word] = out
@@ -213,10 +213,11 @@ def bpe_decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> Data
     return df.mapInArrow(run, schema)
 
 
-def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None, cache_words: int = 1 << 17) -> DataFrame:
     """``docs`` without the text, plus ``n_tokens``, ``ids`` and ``decoded`` as by bpe_encode and bpe_decode.
 
-    One Python step with one codec, so that a core holds one cache of pre-tokens.
+    One Python step with one codec, so that a core holds one cache of pre-tokens;
+    ``cache_words`` bounds it (a smaller one costs time, not results).
     """
     path = path or default_path()
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
@@ -227,6 +228,7 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None)
         import pyarrow as pa
 
         own = codec(path)
+        own.cache.most = cache_words
         for b in pieces(batches, 128):
             ids = [own.encode(t.decode()) for t in texts_of(b.column(text))]
             rest = b.select([n for n in b.schema.names if n != text])
