@@ -54,29 +54,43 @@ def schema_violations(df: DataFrame, required: Sequence[str], types: dict[str, s
     return out
 
 
+def metric_column(c: Check) -> Column:
+    """The aggregate that a counting check measures (also usable in ``observe``)."""
+    col = F.col(c.column) if c.column else None
+    if c.kind == "missing":
+        m = F.sum(F.when(col.isNull(), 1).otherwise(0))
+    elif c.kind == "invalid":
+        bad = F.lit(False)
+        if c.valid_min is not None:
+            bad = bad | (col < F.lit(c.valid_min))
+        if c.valid_max is not None:
+            bad = bad | (col > F.lit(c.valid_max))
+        m = F.sum(F.when(col.isNotNull() & bad, 1).otherwise(0))
+    elif c.kind == "failed_rows":
+        m = F.sum(F.when(c.predicate, 1).otherwise(0))
+    elif c.kind == "min":
+        m = F.min(col)
+    else:
+        raise ValueError(c.kind)
+    return m.cast("double")
+
+
+def passes(c: Check, metric: float | None) -> bool:
+    """The verdict on a measured metric; a table without rows meets every counting check."""
+    if c.kind != "min":
+        return not metric
+    if c.fail_op not in ("<", "<="):
+        raise ValueError(c.fail_op)
+    return metric is None or not (metric < c.threshold or (c.fail_op == "<=" and metric == c.threshold))
+
+
 def run_checks(df: DataFrame, table: str, checks: Sequence[Check]) -> DataFrame:
     """Evaluate ``checks`` on ``df``; one row per check (table_name, check_name, metric, passed)."""
     spark = df.sparkSession
     one_pass = [c for c in checks if c.kind in ("missing", "invalid", "min", "failed_rows")]
     parts: list[DataFrame] = []
     if one_pass:
-        aggs = []
-        for i, c in enumerate(one_pass):
-            col = F.col(c.column) if c.column else None
-            if c.kind == "missing":
-                m = F.sum(F.when(col.isNull(), 1).otherwise(0))
-            elif c.kind == "invalid":
-                bad = F.lit(False)
-                if c.valid_min is not None:
-                    bad = bad | (col < F.lit(c.valid_min))
-                if c.valid_max is not None:
-                    bad = bad | (col > F.lit(c.valid_max))
-                m = F.sum(F.when(col.isNotNull() & bad, 1).otherwise(0))
-            elif c.kind == "failed_rows":
-                m = F.sum(F.when(c.predicate, 1).otherwise(0))
-            else:
-                m = F.min(col)
-            aggs.append(m.cast("double").alias(f"m{i}"))
+        aggs = [metric_column(c).alias(f"m{i}") for i, c in enumerate(one_pass)]
         row = df.agg(*aggs)
         stack = F.explode(F.array(*[
             F.struct(F.lit(c.name).alias("check_name"), F.col(f"m{i}").alias("metric"),

@@ -196,6 +196,11 @@ def q18_frequency_median(spark, sf_dir):
     return ex.frequency_median(ex.search_frequency(tables(spark, sf_dir)))
 
 
+@query("q18b_price_medians")
+def q18b_price_medians(spark, sf_dir):
+    return ex.price_medians(tables(spark, sf_dir))
+
+
 # --- cross-sell and crosstabs (P1-P5, M14, M15) ------------------------------------
 
 @query("q19_positional_crosstab")
@@ -228,6 +233,11 @@ def q23_reconcile(spark, sf_dir):
     return cs.reconcile(tables(spark, sf_dir))
 
 
+@query("q23b_trailing_clients")
+def q23b_trailing_clients(spark, sf_dir):
+    return cs.trailing_clients(tables(spark, sf_dir))
+
+
 @query("q24_transpose")
 def q24_transpose(spark, sf_dir):
     return cs.transpose_records(tables(spark, sf_dir))
@@ -266,6 +276,12 @@ def q33b_failed_rows(spark, sf_dir):
     return gt.failed_invoice_rows(ad.raw_invoices(tables(spark, sf_dir)))
 
 
+@query("q37_released_twice")
+def q37_released_twice(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return gt.released_twice(ad.raw_invoices(t), ad.country_reference(t))
+
+
 @query("q34_load_audit")
 def q34_load_audit(spark, sf_dir):
     names = sio.discover_tables(spark, sf_dir, COPY_CANDIDATES)

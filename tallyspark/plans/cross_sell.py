@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from tallyspark.functions.calendar import iso_week, iso_year, yyyy_mm_label
 from tallyspark.functions.numeric import MONEY
 from tallyspark.operators.classify import count_bucket, first_match, size_bucket
+from tallyspark.operators.distinct import id_bitmaps
 from tallyspark.operators.measures import count_where
 from tallyspark.operators.pivoting import composition_signature, pivot_top_n, positional_crosstab, record_transpose
 from tallyspark.operators.windows import rank_rows
+from tallyspark.session import materialize
 from tallyspark.sources import adapters as ad
 from tallyspark.sources.adapters import DEFAULT, Params
 from tallyspark.sources.tables import tables
@@ -152,21 +154,47 @@ def client_groups(t: tables, p: Params = DEFAULT) -> DataFrame:
 
 # --- q23 (D8, A2, A17) ---------------------------------------------------------------
 
+def week_bitmaps(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Clients by ISO week as bitmaps: all of the source, and those that have a signature (a product type)."""
+    pol = period_policies(t, p).select(iso_year("bgn_dt").alias("bgn_dt_year"), iso_week("bgn_dt").alias("week_num"),
+                                       "rgs_id", "ins_type")
+    return id_bitmaps(pol, ["bgn_dt_year", "week_num"], "rgs_id",
+                      {"source": None, "result": F.col("ins_type").isNotNull()})
+
+
 def reconcile(t: tables, p: Params = DEFAULT) -> DataFrame:
-    """Distinct clients in the source vs in the weekly signatures, and the difference."""
-    src = period_policies(t, p).agg(F.countDistinct("rgs_id").alias("source_clients"))
-    sig = weekly_signatures(t, p)
-    per_week = sig.groupBy("bgn_dt_year", "week_num").agg(F.countDistinct("rgs_id").alias("n"))
-    res = sig.agg(F.countDistinct("rgs_id").alias("result_clients"))
-    wk = per_week.agg(F.sum("n").alias("weekly_client_sum"))
-    nul = F.lit(None).cast("bigint")
-    both = (src.select("source_clients", nul.alias("result_clients"), nul.alias("weekly_client_sum"))
-            .unionByName(res.select(nul.alias("source_clients"), "result_clients", nul.alias("weekly_client_sum")))
-            .unionByName(wk.select(nul.alias("source_clients"), nul.alias("result_clients"), "weekly_client_sum")))
-    one = both.agg(*[F.max(c).cast("bigint").alias(c) for c in ("source_clients", "result_clients", "weekly_client_sum")])
+    """Distinct clients in the source vs in the weekly signatures, and the difference.
+
+    The policies are read once, into bitmaps by week; source, result and weekly
+    counts are all taken from these: OR over the weeks, then count; count, then sum.
+    """
+    per_bucket = week_bitmaps(t, p).groupBy("bucket").agg(
+        F.bitmap_count(F.bitmap_or_agg("source")).alias("s"), F.bitmap_count(F.bitmap_or_agg("result")).alias("r"),
+        F.sum(F.bitmap_count("result")).alias("w"))
+    one = per_bucket.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("source_clients"),
+                         F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("result_clients"),
+                         F.sum("w").cast("bigint").alias("weekly_client_sum"))
     return one.withColumn("delta", F.col("source_clients") - F.col("result_clients"))
 
 
+def trailing_clients(t: tables, p: Params = DEFAULT, weeks: int = 4) -> DataFrame:
+    """Distinct clients of each week and of the ``weeks`` weeks that end with it, from the stored bitmaps.
+
+    A week is numbered by its Monday, so spans run across the turn of a year.
+    """
+    stored = materialize(week_bitmaps(t, p), "week_bitmaps")
+    monday = F.expr("date_add(make_date(bgn_dt_year, 1, 4), 7 * (week_num - 1) - weekday(make_date(bgn_dt_year, 1, 4)))")
+    week = stored.withColumn("monday", monday)
+    spans = week.select("bucket", "result", "monday", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(weeks - 1)), lambda k: F.date_add("monday", 7 * k))).alias("week_start"))
+    own = F.when(F.col("monday") == F.col("week_start"), F.col("result"))
+    per = spans.groupBy("week_start", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("result")).alias("n"),
+                                                    F.bitmap_count(F.max(own)).alias("own"))
+    out = per.groupBy("week_start").agg(F.sum("own").cast("bigint").alias("week_clients"),
+                                        F.sum("n").cast("bigint").alias("span_clients"))
+    return out.filter(F.col("week_clients").isNotNull())
+
+
 # --- q24 / q24b (P2, P3, W3) -------------------------------------------------------------
 
 def transpose_order():

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.numeric import MONEY
 from tallyspark.operators.measures import count_where
+from tallyspark.operators.selection import exact_quantile
 from tallyspark.operators.windows import lag_growth
 from tallyspark.sources.tables import tables
 
@@ -103,7 +104,14 @@ def search_frequency(t: tables) -> DataFrame:
 
 
 def frequency_median(freq: DataFrame, combine: str = "max") -> DataFrame:
-    """Median of the multiset where each ``searches`` value repeats ``num_users`` times."""
+    """Median of the multiset where each ``searches`` value repeats ``num_users`` times (NULL if it is empty)."""
     agg = F.max if combine == "max" else F.sum
     per_value = freq.groupBy("searches").agg(agg("num_users").alias("n")).filter(F.col("n") >= 1)
-    return per_value.agg(F.round(F.percentile(F.col("searches"), 0.5, F.col("n")), 1).alias("median"))
+    found = exact_quantile(per_value, "searches", weight="n")
+    return found.agg(F.round(F.max("quantile"), 1).alias("median"))
+
+
+def price_medians(t: tables) -> DataFrame:
+    """Median line price by return flag and line status (three flags hold all rows: hot groups)."""
+    found = exact_quantile(t.lineitem, "l_extendedprice", ["l_returnflag", "l_linestatus"])
+    return found.select("l_returnflag", "l_linestatus", F.round("quantile", 4).alias("median_price"), F.col("n").alias("lines"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.quality import Check, QualityGate, run_checks, schema_violations
+from tallyspark.operators.quality import RESULT_SCHEMA, Check, GateFailed, QualityGate, run_checks, schema_violations
 from tallyspark.plans import retail_star as rs
-from tallyspark.session import materialize
+from tallyspark.session import drop_scratch, materialize, scratch_dir, side_by_side, store
+from tallyspark.sources.release import Release, write_observed
 
 RAW_CONTRACT = {
     "InvoiceNo": "string", "StockCode": "string", "Quantity": "integer", "InvoiceDate": "string",
@@ -96,26 +99,131 @@ def build_layers(raw: DataFrame, country: DataFrame, store=None) -> dict[str, Da
 def gate_results(raw: DataFrame, country: DataFrame, store=None) -> DataFrame:
     """One row per check of every layer: (table_name, check_name, metric, passed).
 
-    ``store=materialize`` persists the raw layer and every model as tables in
-    the shared scratch folder first (the checks then read stored tables, which
-    pays off once the raw join is expensive); by default the plan stays lazy.
+    With ``store`` given, every layer is written as a table in the shared
+    scratch folder and its counting checks are metrics of that write; by
+    default the plan stays lazy and the checks scan the layers.
     """
-    if store is not None:
-        raw = store(raw, "raw_invoices")
-    layers = build_layers(raw, country, store=store)
     spark = raw.sparkSession
-    contracts = {"raw_invoices": RAW_CONTRACT, **MODEL_CONTRACTS}
-    schema_rows = []
-    for name, c in contracts.items():
-        n_bad = len(schema_violations(layers[name], list(c), c))  # metadata only, no job
-        schema_rows.append((name, "schema", float(n_bad), n_bad == 0))
-    out = spark.createDataFrame(schema_rows, "table_name string, check_name string, metric double, passed boolean")
-    layers["raw_invoices"] = layers["raw_invoices"].withColumn("BulkMark", F.when(F.col("Quantity") > 25, "bulk"))
+    if store is not None:
+        return _observed_results(raw, country)
+    layers = build_layers(raw, country)
+    out = spark.createDataFrame(_schema_rows(layers), RESULT_SCHEMA)
+    layers["raw_invoices"] = layers["raw_invoices"].withColumns(bulk_mark())
     for name, checks in {**raw_checks(), **model_checks(), **report_checks()}.items():
         out = out.unionByName(run_checks(layers[name], name, checks))
     return out
 
 
+def bulk_mark() -> dict:
+    """A column that only a check of the raw layer sees."""
+    return {"BulkMark": F.when(F.col("Quantity") > 25, "bulk")}
+
+
+def _schema_rows(layers: dict[str, DataFrame]) -> list[tuple]:
+    rows = []
+    for name, c in {"raw_invoices": RAW_CONTRACT, **MODEL_CONTRACTS}.items():
+        n_bad = len(schema_violations(layers[name], list(c), c))  # metadata only, no job
+        rows.append((name, "schema", float(n_bad), n_bad == 0))
+    return rows
+
+
+def _observed_results(raw: DataFrame, country: DataFrame) -> DataFrame:
+    """The layers written one after another, their counting checks taken from the writes themselves.
+
+    Tables of one layer do not depend on each other and are written side by
+    side; only duplicate checks read a key column of a stored table.
+    """
+    spark = raw.sparkSession
+    rows: list[tuple] = []
+    layers: dict[str, DataFrame] = {}
+    again: list[DataFrame] = []
+
+    def put(name: str, df: DataFrame, checks, extra=None) -> None:
+        layers[name], found = write_observed(df, name, checks, scratch_dir(spark, name), extra)
+        rows.extend(found)
+        twice = [c for c in checks if c.kind == "duplicate"]
+        if twice:
+            again.append(run_checks(layers[name], name, twice))
+
+    def put_all(tables: dict[str, DataFrame], checks) -> None:
+        side_by_side([lambda n=n, df=df: put(n, df, checks[n]) for n, df in tables.items()])
+
+    put("raw_invoices", raw, raw_checks()["raw_invoices"], bulk_mark())
+    stored = layers["raw_invoices"]
+    put_all({"dim_customer": rs.dim_customer(stored, country), "dim_datetime": rs.dim_datetime(stored),
+             "dim_product": rs.dim_product(stored), "fct_invoices": rs.fct_invoices(stored)}, model_checks())
+    fct = layers["fct_invoices"]
+    put_all({"report_customer_invoices": rs.report_customer_invoices(fct, layers["dim_customer"]),
+             "report_product_invoices": rs.report_product_invoices(fct, layers["dim_product"]),
+             "report_year_invoices": rs.report_year_invoices(fct, layers["dim_datetime"])}, report_checks())
+    out = spark.createDataFrame(_schema_rows(layers) + rows, RESULT_SCHEMA)
+    for r in again:
+        out = out.unionByName(r)
+    return out
+
+
+#: Models and reports in the order in which they depend on each other.
+MODEL_ORDER = ["dim_customer", "dim_datetime", "dim_product", "fct_invoices", "report_customer_invoices",
+               "report_product_invoices", "report_year_invoices"]
+
+
+def release_models(raw: DataFrame, country: DataFrame, release: Release, checks: dict | None = None) -> None:
+    """M1-M7 staged in dependency order, each from the versions staged before it, each behind its gate."""
+    checks = {**model_checks(), **report_checks()} if checks is None else checks
+    made: dict[str, DataFrame] = {}
+    build = {
+        "dim_customer": lambda: rs.dim_customer(raw, country), "dim_datetime": lambda: rs.dim_datetime(raw),
+        "dim_product": lambda: rs.dim_product(raw), "fct_invoices": lambda: rs.fct_invoices(raw),
+        "report_customer_invoices": lambda: rs.report_customer_invoices(made["fct_invoices"], made["dim_customer"]),
+        "report_product_invoices": lambda: rs.report_product_invoices(made["fct_invoices"], made["dim_product"]),
+        "report_year_invoices": lambda: rs.report_year_invoices(made["fct_invoices"], made["dim_datetime"]),
+    }
+    for name in MODEL_ORDER:
+        made[name] = release.stage(name, build[name](), checks.get(name, ()), MODEL_CONTRACTS.get(name))
+
+
+def released_twice(raw: DataFrame, country: DataFrame) -> DataFrame:
+    """Q37: M1-M7 published, a release that its fact's gate stops, and a second release.
+
+    The first release holds all invoice lines.  The next run reads only lines
+    above 25 pieces and is stopped by a gate on the fact (no more than 45
+    pieces a line): the reports behind it are not built and all tables stay.
+    The last run reads the lines up to 45 pieces, passes the same gate and replaces all tables.
+    Rows: table_name, first_rows, rows_after_failure, stopped_run (built, failed, not built), second_rows.
+    """
+    spark = raw.sparkSession
+    raw, raw_path = store(raw, "raw_invoices")
+    root, prefix = scratch_dir(spark, "release"), f"released_{uuid.uuid4().hex[:8]}_"
+    strict = {**model_checks(), **report_checks()}
+    strict["fct_invoices"] = [*strict["fct_invoices"], Check("lines above 45 pieces", "failed_rows", predicate=F.col("quantity") > 45)]
+
+    def counts() -> dict[str, int]:
+        return {n: spark.table(f"default.{prefix}{n}").count() for n in MODEL_ORDER}
+
+    with Release(spark, root, prefix=prefix) as first:
+        release_models(raw, country, first)
+    before = counts()
+    stopped = Release(spark, root, prefix=prefix)
+    state = dict.fromkeys(MODEL_ORDER, "not built")
+    try:
+        release_models(raw.filter("Quantity > 25"), country, stopped, strict)
+        stopped.publish()
+    except GateFailed:
+        state.update((n, "built") for n in stopped.staged)
+        state.update((t, "failed") for t, _, _, good in stopped.results if not good)
+        stopped.abandon()
+    between = counts()
+    with Release(spark, root, prefix=prefix) as second:
+        release_models(raw.filter("Quantity <= 45"), country, second, strict)
+    after = counts()
+    for n in MODEL_ORDER:
+        spark.sql(f"DROP TABLE default.{prefix}{n}")
+    drop_scratch(spark, root)
+    drop_scratch(spark, raw_path)
+    return spark.createDataFrame([(n, before[n], between[n], state[n], after[n]) for n in MODEL_ORDER],
+                                 "table_name string, first_rows long, rows_after_failure long, stopped_run string, second_rows long")
+
+
 def enforce_all(raw: DataFrame, country: DataFrame, store=materialize) -> DataFrame:
     """raw -> gate -> models -> gate -> reports -> gate; raises ``GateFailed`` at the first failing layer.
 

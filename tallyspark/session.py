@@ -84,3 +84,23 @@ def materialize(df, name: str = "stage"):
     durably, so it survives executor loss (unlike a local checkpoint or cache).
     """
     return store(df, name)[0]
+
+
+def side_by_side(jobs: list) -> list:
+    """Runs independent Spark actions at once and waits for all; their results, or the first error after all ended.
+
+    Each runs in its own scheduler pool, so that with ``spark.scheduler.mode=FAIR``
+    a long one does not hold up the others.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark = SparkSession.getActiveSession()
+
+    def run(i: int, job):
+        if spark is not None:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side_{i}")
+        return job()
+
+    with ThreadPoolExecutor(max_workers=max(1, min(len(jobs), 8))) as pool:
+        futures = [pool.submit(run, i, job) for i, job in enumerate(jobs)]
+    return [f.result() for f in futures]
