@@ -289,6 +289,31 @@ def q34_load_audit(spark, sf_dir):
     return audit.select("table_name", "rows_imported")
 
 
+@query("q34b_copy_status")
+def q34b_copy_status(spark, sf_dir):
+    """All candidates copied at once, the absent one too: its failure is reported, the others are loaded."""
+    audit = sio.copy_tables(spark, sf_dir, COPY_CANDIDATES, scratch_dir(spark, "staging"), on_error="report")
+    return audit.select("table_name", "rows_imported", (F.col("seconds") >= 0).alias("timed"),
+                        F.substring_index("status", ":", 1).alias("outcome"))
+
+
+@query("q35b_csv_quarantine")
+def q35b_csv_quarantine(spark, sf_dir):
+    """Raw invoices as CSV lines, some spoilt by rule, split into typed and rejected ones."""
+    raw = ad.raw_invoices(tables(spark, sf_dir))
+    line = F.to_csv(F.struct(*raw.columns))
+    word = F.to_csv(F.struct(*[F.lit("many").alias(c) if c == "Quantity" else F.col(c) for c in raw.columns]))
+    kind = F.col("InvoiceNo").cast("long") % 7
+    spoilt = (F.when(kind == 0, F.regexp_replace(line, ",[^,]*$", "")).when(kind == 1, F.concat(line, F.lit(",more")))
+              .when(kind == 2, word).otherwise(line))
+    path = scratch_dir(spark, "spoilt_csv")
+    raw.select(spoilt.alias("value")).write.text(path)
+    typed, rejected = sio.read_csv_quarantine(spark, path, header=False)
+    return typed.select(F.lit("typed").alias("outcome"), "Quantity").unionByName(
+        rejected.select(F.lit("rejected").alias("outcome"), F.lit(None).cast("int").alias("Quantity"))).groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("Quantity").alias("quantity"))
+
+
 @query("q35_csv_raw")
 def q35_csv_raw(spark, sf_dir):
     path = scratch_dir(spark, "raw_invoices_csv")

@@ -14,17 +14,18 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.tables import tables
 
-# Kept columns of the product source (column pruning by list).
+# Fixed values (data contract): the kept columns of the product source.
 PRODUCT_COLUMNS = [
     "ProductKey", "ProductAlternateKey", "ProductSubcategoryKey", "WeightUnitMeasureCode", "SizeUnitMeasureCode",
-    "EnglishProductName", "StandardCost", "Color", "ListPrice", "Size", "Weight", "ProductLine", "Class",
-    "EnglishDescription",
+    "EnglishProductName", "StandardCost", "FinishedGoodsFlag", "Color", "SafetyStockLevel", "ReorderPoint", "ListPrice",
+    "Size", "SizeRange", "Weight", "DaysToManufacture", "ProductLine", "DealerPrice", "Class", "Style", "ModelName",
+    "EnglishDescription", "StartDate", "EndDate", "Status",
 ]
-# Per-column NULL defaults: typed (numbers stay numbers).
+# Fixed values (data contract): the columns with a NULL default; typed here (numbers stay numbers).
 PRODUCT_DEFAULTS = {
     "WeightUnitMeasureCode": "0", "ProductSubcategoryKey": "0", "SizeUnitMeasureCode": "0",
-    "StandardCost": 0.0, "ListPrice": 0.0, "Weight": 0.0,
-    "ProductLine": "NA", "Class": "NA", "Size": "NA", "EnglishDescription": "NA",
+    "StandardCost": 0.0, "ListPrice": 0.0, "DealerPrice": 0.0, "Weight": 0.0,
+    "ProductLine": "NA", "Class": "NA", "Style": "NA", "Size": "NA", "ModelName": "NA", "EnglishDescription": "NA",
 }
 PRODUCT_RENAMES = {"EnglishDescription": "Description", "EnglishProductName": "ProductName"}
 
@@ -46,6 +47,9 @@ def src_product(t: tables) -> DataFrame:
     """Product source derived from ``part`` (with the gaps a real source has)."""
     p = t.part.join(type_keys(t), "p_type")
     sub_key = (_brand_no() * 100 + F.col("type_key")).cast("string")
+    decade = F.floor(F.col("p_size") / 10).cast("int")
+    started = F.date_add(F.lit("2010-01-01").cast("date"), (F.col("p_partkey") % 1000).cast("int"))
+    ended = F.col("p_partkey") % 3 == 0
     return p.select(
         F.col("p_partkey").alias("ProductKey"),
         F.concat(F.lit("AK-"), F.col("p_partkey").cast("string")).alias("ProductAlternateKey"),
@@ -63,6 +67,17 @@ def src_product(t: tables) -> DataFrame:
         F.when(~F.col("p_name").contains("gear"), F.concat(F.col("p_name"), F.lit(" ("), F.col("p_type"), F.lit(")")))
         .alias("EnglishDescription"),
         F.col("p_size").alias("DaysToManufacture"),
+        (F.col("p_size") % 2 == 0).alias("FinishedGoodsFlag"),
+        (F.col("p_size") * 20).cast("int").alias("SafetyStockLevel"),
+        (F.col("p_size") * 15).cast("int").alias("ReorderPoint"),
+        F.when(F.col("p_size") <= 45, F.concat((decade * 10).cast("string"), F.lit("-"), (decade * 10 + 9).cast("string")))
+        .alias("SizeRange"),
+        F.when(F.col("p_type") != "STANDARD", F.round(F.col("p_retailprice") * 0.8, 2)).alias("DealerPrice"),
+        F.when(F.col("p_type").isin("SMALL", "MEDIUM"), F.lit("U")).alias("Style"),
+        F.when(F.col("p_size") > 5, F.split("p_name", " ").getItem(1)).alias("ModelName"),
+        started.alias("StartDate"),
+        F.when(ended, F.date_add(started, 365)).alias("EndDate"),
+        F.when(~ended, F.lit("Current")).alias("Status"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.session import materialize, side_by_side
 from tallyspark.sources.tables import load
 
 # The raw invoice contract (column -> type) with the Description column that
@@ -63,18 +64,40 @@ def discover_catalog_tables(spark: SparkSession, names: list[str], database: str
     return [n for n in names if n in present]
 
 
-def copy_tables(spark: SparkSession, src_dir: str, names: list[str], dst_dir: str,
-                prefix: str = "src_") -> DataFrame:
-    """Copy named tables (full replace) and return a load audit: table, rows, seconds."""
-    audit = []
-    for n in names:
-        t0 = time.time()
-        obs = Observation(f"copy_{n}")
-        df = load(spark, src_dir, n).observe(obs, F.count(F.lit(1)).alias("rows"))
-        replace_table(df, os.path.join(dst_dir, f"{prefix}{n}.parquet"))
-        rows = int(obs.get["rows"])
-        audit.append((n, rows, round(time.time() - t0, 2)))
-    return spark.createDataFrame(audit, "table_name string, rows_imported long, seconds double")
+AUDIT_SCHEMA = "table_name string, rows_imported long, seconds double, status string"
+
+
+def _copied(name: str, read, dst_dir: str, prefix: str) -> tuple:
+    """One copy's audit row; an error is its status, so that the other copies finish."""
+    start = time.monotonic()
+    try:
+        obs = Observation(f"copy_{name}")
+        replace_table(read().observe(obs, F.count(F.lit(1)).alias("rows")), os.path.join(dst_dir, f"{prefix}{name}.parquet"))
+        rows, status = int(obs.get["rows"]), "loaded"
+    except Exception as e:  # noqa: BLE001 - the audit reports whatever went wrong with a source
+        rows, status = None, f"failed: {type(e).__name__}"
+    return name, rows, round(time.monotonic() - start, 3), status
+
+
+def _audited(spark: SparkSession, audit: list[tuple], on_error: str) -> DataFrame:
+    failed = [f"{n} ({status})" for n, _, _, status in audit if status != "loaded"]
+    if failed and on_error == "raise":
+        raise RuntimeError("copies failed: " + ", ".join(failed))
+    return spark.createDataFrame(audit, AUDIT_SCHEMA)
+
+
+def copy_tables(spark: SparkSession, src_dir: str, names: list[str], dst_dir: str, prefix: str = "src_",
+                on_error: str = "raise") -> DataFrame:
+    """Copy named tables (full replace), side by side; returns a load audit: table, rows, seconds, status.
+
+    All copies are submitted at once, each with its own ``Observation``; a
+    failing table does not stop the others.  ``on_error`` is "raise" (after all
+    have ended) or "report" (the failure is the table's status, its rows NULL).
+    """
+    if on_error not in ("raise", "report"):
+        raise ValueError(on_error)
+    audit = side_by_side([lambda n=n: _copied(n, lambda: load(spark, src_dir, n), dst_dir, prefix) for n in names])
+    return _audited(spark, audit, on_error)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -88,6 +111,25 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType = RAW_IN
             .option("nullValue", None).csv(path))
 
 
+def read_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType = RAW_INVOICE_SCHEMA,
+                        header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """CSV -> (typed rows, rejected rows) from one read of the files.
+
+    A line with too few or too many fields, or with a value that does not fit
+    its column, is rejected as it stands: (file, line).  The parsed rows are
+    stored once, so that both results come from the same parse.
+    """
+    bad = "_corrupt_line"
+    while bad in schema.names:
+        bad = "_" + bad
+    parsed = (spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType(), True)]))
+              .option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+              .option("nullValue", None).csv(path).select("*", F.col("_metadata.file_name").alias("_file")))
+    stored = materialize(parsed, "csv")
+    typed = stored.filter(F.col(bad).isNull()).select(*schema.names)
+    return typed, stored.filter(F.col(bad).isNotNull()).select(F.col("_file").alias("file"), F.col(bad).alias("line"))
+
+
 def discover_jdbc_tables(spark: SparkSession, url: str, names: list[str], properties: dict | None = None,
                          catalog_query: str = "SELECT name FROM sys.tables") -> list[str]:
     """Tables of a JDBC source whose name is in ``names`` (the catalog query runs in the database).
@@ -109,18 +151,12 @@ def copy_jdbc_tables(spark: SparkSession, url: str, names: list[str], dst_dir: s
     read into parallel range queries, so no table passes through one worker.
     Not exercised by the tests: no database may be started in this environment.
     """
-    audit = []
-    for n in names:
-        t0 = time.time()
-        part = (partitioning or {}).get(n)
-        props = dict(properties or {})
-        if part:
-            col, lo, hi, k = part
-            df = spark.read.jdbc(url, n, column=col, lowerBound=lo, upperBound=hi, numPartitions=k,
-                                 properties=props)
-        else:
-            df = spark.read.jdbc(url, n, properties=props)
-        obs = Observation(f"jdbc_{n}")
-        replace_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), os.path.join(dst_dir, f"{prefix}{n}.parquet"))
-        audit.append((n, int(obs.get["rows"]), round(time.time() - t0, 2)))
-    return spark.createDataFrame(audit, "table_name string, rows_imported long, seconds double")
+    def read(n: str) -> DataFrame:
+        part, props = (partitioning or {}).get(n), dict(properties or {})
+        if not part:
+            return spark.read.jdbc(url, n, properties=props)
+        col, lo, hi, k = part
+        return spark.read.jdbc(url, n, column=col, lowerBound=lo, upperBound=hi, numPartitions=k, properties=props)
+
+    audit = side_by_side([lambda n=n: _copied(n, lambda: read(n), dst_dir, prefix) for n in names])
+    return _audited(spark, audit, "raise")
