@@ -112,6 +112,11 @@ def q03c_contract_features(spark, sf_dir):
     return pn.contract_features(tables(spark, sf_dir))
 
 
+@query("q03d_rule_ladder")
+def q03d_rule_ladder(spark, sf_dir):
+    return pn.rule_ladder(tables(spark, sf_dir))
+
+
 @query("q04_membership_flags")
 def q04_membership_flags(spark, sf_dir):
     return pn.membership_flags(tables(spark, sf_dir))
@@ -153,6 +158,11 @@ def q10_latest_row(spark, sf_dir):
     return pn.latest_policy(tables(spark, sf_dir))
 
 
+@query("q10b_status_history")
+def q10b_status_history(spark, sf_dir):
+    return pn.client_status_history(tables(spark, sf_dir))
+
+
 @query("q11_role_flags")
 def q11_role_flags(spark, sf_dir):
     return pn.cancellation_flags(tables(spark, sf_dir))
@@ -188,7 +198,8 @@ def q15_yoy(spark, sf_dir):
 
 @query("q17_packing")
 def q17_packing(spark, sf_dir):
-    return ex.warehouse_packing(ex.inventory(tables(spark, sf_dir)))
+    area = spark.range(1).select(F.lit(500_000).alias("area"))
+    return ex.warehouse_packing(ex.inventory(tables(spark, sf_dir)), area)
 
 
 @query("q18_frequency_median")
@@ -238,6 +249,11 @@ def q23b_trailing_clients(spark, sf_dir):
     return cs.trailing_clients(tables(spark, sf_dir))
 
 
+@query("q23c_snapshot_month")
+def q23c_snapshot_month(spark, sf_dir):
+    return cs.snapshot_month(tables(spark, sf_dir))
+
+
 @query("q24_transpose")
 def q24_transpose(spark, sf_dir):
     return cs.transpose_records(tables(spark, sf_dir))

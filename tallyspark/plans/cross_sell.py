@@ -26,10 +26,10 @@ from tallyspark.operators.distinct import id_bitmaps
 from tallyspark.operators.measures import count_where
 from tallyspark.operators.pivoting import composition_signature, pivot_top_n, positional_crosstab, record_transpose
 from tallyspark.operators.windows import rank_rows
-from tallyspark.session import materialize
+from tallyspark.session import materialize, scratch_dir
 from tallyspark.sources import adapters as ad
 from tallyspark.sources.adapters import DEFAULT, Params
-from tallyspark.sources.tables import tables
+from tallyspark.sources.tables import snapshot_of, tables, write_snapshots
 
 # Composition size labels by number of cross products.
 SIZE_LABELS = ["mono", "one cross", "two cross", "three cross"]
@@ -195,6 +195,25 @@ def trailing_clients(t: tables, p: Params = DEFAULT, weeks: int = 4) -> DataFram
     return out.filter(F.col("week_clients").isNotNull())
 
 
+def snapshot_month(t: tables, p: Params = DEFAULT) -> DataFrame:
+    """Clients, policies and payments by type in the report month's snapshot of the policies.
+
+    The policies are stored by month; the month is read from a parameter table
+    when the query runs, and only its folder is scanned.
+    """
+    spark = t.spark
+    pol = ad.policies(t).withColumn("snapshot", yyyy_mm_label("bgn_dt"))
+    path = scratch_dir(spark, "snapshots")
+    write_snapshots(pol, path, "snapshot")
+    stored = spark.read.schema(pol.schema).parquet(path)
+    params = materialize(spark.range(1).select(F.lit("report").alias("name"),
+                                               yyyy_mm_label(F.lit(p.report_from)).alias("snapshot")), "params")
+    month = snapshot_of(stored, "snapshot", params.filter(F.col("name") == "report"))
+    return month.groupBy("snapshot", "ins_type").agg(
+        F.countDistinct("rgs_id").alias("clients"), F.count(F.lit(1)).alias("policies"),
+        F.sum(F.col("ins_pay").cast(MONEY)).cast("double").alias("paid"))
+
+
 # --- q24 / q24b (P2, P3, W3) -------------------------------------------------------------
 
 def transpose_order():

@@ -75,25 +75,23 @@ def inventory(t: tables) -> DataFrame:
     )
 
 
-def warehouse_packing(inv: DataFrame, area: int = 500_000) -> DataFrame:
-    """Whole batches of prime items that fit, then non-prime items in the remaining area."""
-    is_p = F.col("item_type") == PRIME
-    is_n = F.col("item_type") == NOT_PRIME
-    s = inv.agg(
-        F.sum(F.when(is_p, F.col("square_footage"))).alias("p_sqft"), count_where(is_p).alias("p_cnt"),
-        F.sum(F.when(is_n, F.col("square_footage"))).alias("n_sqft"), count_where(is_n).alias("n_cnt"),
-    )
-    combo = F.when((F.col("p_cnt") > 0) & (F.col("p_sqft") != 0), F.expr(f"{area} div p_sqft"))
-    s = s.withColumn("p_combo", combo)
-    prime_count = F.col("p_combo") * F.col("p_cnt")
-    non_prime = F.expr(f"CASE WHEN n_sqft <> 0 THEN ({area} - p_combo * p_sqft) div n_sqft END") * F.col("n_cnt")
-    rows = F.explode(F.array(
-        F.struct(F.lit(PRIME).alias("item_type"), prime_count.cast("bigint").alias("item_count"),
-                 (F.col("p_cnt") > 0).alias("present")),
-        F.struct(F.lit(NOT_PRIME).alias("item_type"), non_prime.cast("bigint").alias("item_count"),
-                 (F.col("n_cnt") > 0).alias("present")),
-    )).alias("r")
-    return s.select(rows).filter(F.col("r.present")).select("r.item_type", "r.item_count")
+def warehouse_packing(inv: DataFrame, area: int | DataFrame = 500_000) -> DataFrame:
+    """Whole batches of prime items that fit, then non-prime items in the remaining area.
+
+    The prime class's batch and the area (a number, or a one-row table with the
+    column ``area``) are scalar subqueries inside the plan: without a row they
+    are NULL, so without prime items the other class's count is NULL.
+    """
+    known = [F.col("item_type") == PRIME, F.col("item_type") == NOT_PRIME]
+    classes = inv.filter(known[0] | known[1]).groupBy("item_type").agg(
+        F.sum("square_footage").alias("sqft"), F.count(F.lit(1)).alias("cnt"))
+    room = area.select("area").scalar() if isinstance(area, DataFrame) else F.lit(area)
+    prime = classes.filter(known[0]).select("sqft").scalar()
+    rows = classes.withColumns({"room": room.cast("long"), "prime": prime.cast("long")}).withColumn(
+        "batches", F.expr("CASE WHEN prime <> 0 THEN room div prime END"))
+    count = F.when(known[0], F.col("batches") * F.col("cnt")).otherwise(
+        F.expr("CASE WHEN sqft <> 0 THEN (room - batches * prime) div sqft END") * F.col("cnt"))
+    return rows.select("item_type", count.cast("bigint").alias("item_count"))
 
 
 def search_frequency(t: tables) -> DataFrame:

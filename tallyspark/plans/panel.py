@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions.calendar import last_week_end
 from tallyspark.functions.numeric import MONEY
 from tallyspark.functions.text import fold_homoglyphs, fold_literal, like_any
-from tallyspark.operators.classify import first_match, membership_label, pair_flag, value_map
-from tallyspark.operators.history import OPEN_END, current_version, latest_row
+from tallyspark.operators.classify import first_match, membership_label, merge_codes, pair_flag, value_map
+from tallyspark.operators.history import OPEN_END, build_history, current_version, latest_row
 from tallyspark.operators.joins import effective_dated_lookup, resolve_effective_rules, role_flags
 from tallyspark.operators.measures import (
     Metric,
@@ -158,6 +158,60 @@ def programme_rules(t: tables) -> DataFrame:
     )
 
 
+# --- q03d (C1, C6, M13): the ladder in full ----------------------------------------------
+
+#: Letters that every fifth part name is typed with: the Cyrillic look-alikes of these Latin capitals.
+TYPED_LATIN, TYPED_CYRILLIC = "TOEPCXHKMAB", "ТОЕРСХНКМАВ"
+
+
+def ladder_rules(name: Column, kind: Column, product: Column, status: Column) -> list[tuple[Column, str]]:
+    """Nineteen first-match rules on folded names: one pattern, pattern and product, pattern but not a product,
+    several patterns with a class, pattern and status."""
+    def has(*words: str) -> Column:
+        out = name.contains(fold_literal(words[0]))
+        for w in words[1:]:
+            out = out & name.contains(fold_literal(w))
+        return out
+
+    return [
+        (has("small ring") & (product == "1-URGENT"), "Small ring urgent"),
+        (has("ring") & (product == "1-URGENT"), "Ring urgent"),
+        (has("red ring"), "Red ring"),
+        (has("old ring"), "Old ring"),
+        (has("ring") & ~product.isin("3-MEDIUM"), "Ring"),
+        (has("ъ"), "Hard sign"),
+        (has("hot gear"), "Hot gear"),
+        (has("gear"), "Gear"),
+        (has("cold", "plate"), "Cold plate"),
+        (has("new plate"), "New plate"),
+        (has("blue", "rod"), "Blue rod"),
+        (has("large rod"), "Large rod"),
+        (has("anvil"), "Anvil"),
+        (has("widget", "new") & (kind == "PROMO") & ~product.isin("3-MEDIUM"), "Widget special"),
+        (has("widget", "old") & (kind == "PROMO") & ~product.isin("3-MEDIUM"), "Widget special"),
+        (has("widget"), "Widget"),
+        (has("gizmo") & (kind == "ECONOMY"), "Gizmo economy"),
+        (has("bolt", "red"), "Red bolt"),
+        (has("bolt") & (status == "F"), "Bolt closed"),
+    ]
+
+
+def rule_ladder(t: tables) -> DataFrame:
+    """Q03d: line items by programme of the full ladder; names typed in either alphabet meet the same rules."""
+    typed = F.when(F.col("p_partkey") % 5 == 0, F.translate(F.upper("p_name"), TYPED_LATIN, TYPED_CYRILLIC)).otherwise(
+        F.col("p_name"))
+    pt = t.part.select("p_partkey", typed.alias("p_name"), "p_type")
+    o = t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    df = t.lineitem.select("l_orderkey", "l_partkey").join(pt, F.col("l_partkey") == F.col("p_partkey")).join(
+        o, F.col("l_orderkey") == F.col("o_orderkey"))
+    product = merge_codes(F.col("o_orderpriority"), ["4-NOT SPECIFIED", "5-LOW"], "4-5-LOW")
+    programme = first_match(ladder_rules(fold_homoglyphs(F.col("p_name")), F.col("p_type"), F.col("o_orderpriority"),
+                                         F.col("o_orderstatus")), "Other")
+    foreign = (F.col("p_partkey") % 5 == 0).cast("int")
+    return df.select(programme.alias("programme"), product.alias("product"), foreign.alias("foreign")).groupBy(
+        "programme", "product").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("foreign").alias("foreign_rows"))
+
+
 # --- q04 -----------------------------------------------------------------------------
 
 # Fixed values: (city, brand) pairs whose contracts count in the denominator.
@@ -387,6 +441,16 @@ def latest_policy(t: tables, p: Params = DEFAULT) -> DataFrame:
     return out.select("contract_id", "issue_dt", *[F.col(x).alias(f"latest_{x}") for x in LATEST_ORDER])
 
 
+def client_status_history(t: tables) -> DataFrame:
+    """The history of each client's order status and priority, built from its orders as change rows."""
+    changes = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    hist = build_history(changes, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+    open_end = F.col("effective_to") == F.lit(OPEN_END).cast("timestamp_ntz")
+    return hist.select(F.col("o_custkey").alias("client_id"), F.col("o_orderstatus").alias("status"),
+                       F.col("o_orderpriority").alias("priority"), F.col("effective_from").cast("date").alias("valid_from"),
+                       F.when(~open_end, F.col("effective_to")).cast("date").alias("valid_to"), open_end.alias("is_current"))
+
+
 # Cancellation role code per flag.
 ROLE_FLAGS = {"flg_vk_rastor": 1, "flg_mk_rastor": 2, "flg_sj_rastor": 3, "flg_dk_rastor": 4}
 

@@ -58,3 +58,22 @@ def scan_snapshot(df: DataFrame, partition_col: str, value) -> DataFrame:
     pruning (``PartitionFilters`` in the scan), so only one snapshot is read.
     """
     return df.filter(F.col(partition_col) == F.lit(value))
+
+
+def write_snapshots(df: DataFrame, path: str, snapshot: str, spread: int = 8) -> None:
+    """A snapshot store: one folder per value of ``snapshot``.
+
+    Each snapshot's rows are dealt over ``spread`` tasks (and files), so a large snapshot is not one task.
+    """
+    dealt = df.repartition(snapshot, F.pmod(F.xxhash64(*[c for c in df.columns if c != snapshot]), F.lit(spread)))
+    dealt.write.mode("overwrite").partitionBy(snapshot).parquet(path)
+
+
+def snapshot_of(store: DataFrame, snapshot: str, params: DataFrame) -> DataFrame:
+    """The snapshots that a parameter table names in its column ``snapshot``.
+
+    The parameter's value is known only when the query runs: the join's small
+    side becomes a dynamic pruning filter on the store's folders, so the other
+    snapshots are not read.  ``params`` should be filtered to the rows wanted.
+    """
+    return store.join(params.select(snapshot).distinct(), snapshot)
