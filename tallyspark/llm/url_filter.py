@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.boosted import BoostedTrees, train
-from tallyspark.session import store
+from tallyspark.session import drop_scratch, store
 
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,16 +95,21 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str
     rates, _ = store(labelled.groupBy("suffix").agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")), "suffixes")
     total, blocked = rates.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     prior = (blocked + 1) / (total + 2)
-    rates = rates.select(F.col("suffix").alias("_s"), ((F.col("b") + prior * 5) / (F.col("n") + 5)).alias("_rate"))
+    rates = rates.select(F.col("suffix").alias("_s"), F.col("b").alias("_b"), F.col("n").alias("_n"))
 
-    def rated(some: DataFrame) -> DataFrame:
+    def rated(some: DataFrame, own: Column | None = None) -> DataFrame:
+        """The block share of each row's suffix; a training row's own label (``own``) is left out of it."""
         joined = some.join(rates, F.col("suffix") == F.col("_s"), "left")
-        return joined.withColumn("rate", F.coalesce("_rate", F.lit(prior)))
+        b, n = (F.col("_b"), F.col("_n")) if own is None else (F.col("_b") - own, F.col("_n") - 1)
+        return joined.withColumn("rate", F.coalesce((b + prior * 5) / (n + 5), F.lit(prior)))
 
+    # rows are picked by their ids, so a url in a third of all rows is sampled like any other, and stored from the full scan
     share = min(1.0, max_rows / max(1, total))
-    hashed = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
+    hashed = F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
     x = [*lexical(F.col("url"), F.col("host"), F.col("path")), F.col("rate")]
-    trees = train(rated(labelled.filter(hashed)).select(F.array(*x).alias("x"), "label"))
+    sample, sample_path = store(rated(labelled.filter(hashed), F.col("label")).select(F.array(*x).alias("x"), "label"), "sample")
+    trees = train(sample)
+    drop_scratch(pages.sparkSession, sample_path)
     chance = _chance(trees, F.array(*x))
     out = rated(rows).withColumn("block_probability", chance)
     return out.select("page_id", "host", "path", "rule", F.coalesce(
