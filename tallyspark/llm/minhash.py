@@ -44,8 +44,8 @@ MINIMA = BANDS * ROWS
 AGREE = 92
 #: Members of a block of an open bucket, and their shingles; the work of one task is a pair of blocks.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 22
-#: Star rounds end when no more open pairs than this remain for each class, or fewer than a tenth went.
-OPEN_PAIRS = 8
+#: After so many, star rounds end when no more open pairs than this remain for each class, or fewer than a tenth went.
+STAR_ROUNDS, OPEN_PAIRS = 2, 8
 
 _NUMBERS = mix(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR, _SHIFTED = _NUMBERS[:MINIMA], _NUMBERS[MINIMA:]
@@ -253,8 +253,9 @@ def _open_pairs(lists: DataFrame) -> int:
 
 
 def _star_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """The untested pairs (a, b, na, nb) of each class with the centres of its buckets.
+    """An untested pair (a, b, na, nb) of each class: with the most central of the centres of its buckets.
 
+    The other centres matter only if that pair does not join their components.
     A bucket's centre is the class that was no centre yet and meets most others
     in all its buckets: it links to more of a group of near copies than one at
     the rim.
@@ -264,12 +265,14 @@ def _star_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
     first = F.struct(F.col("meets").alias("meets"), F.xxhash64("e").alias("h"), F.col("e").alias("b"),
                      F.col("n").alias("nb"), F.col("c").alias("cb"))
     centres = fresh.join(central, "e").groupBy("bucket").agg(F.max(first).alias("x")).select(
-        "bucket", "x.b", "x.nb", "x.cb")
+        "bucket", "x.meets", "x.b", "x.nb", "x.cb")
     counts = lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"))
     pairs = lookup(lists, centres, "bucket", counts, lists.count()).filter(
         (F.col("c") != F.col("cb")) & _similar(F.col("n"), F.col("nb")))
-    pairs = pairs.select(F.col("e").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.col("e").alias("a"), "b", F.col("n").alias("na"), "nb", F.col("meets")).distinct()
+    pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    best = F.max(F.struct("meets", F.xxhash64("b").alias("h"), "b", "na", "nb")).alias("x")
+    return pairs.groupBy("a").agg(best).select("a", "x.b", "x.na", "x.nb")
 
 
 def _rest_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -357,7 +360,9 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     now, now_path = lists.withColumn("c", F.col("e")), lists_path
     left, before = _open_pairs(now), None
-    while left and (before is None or (left > OPEN_PAIRS * n_classes and left < 0.9 * before)):
+    rounds = 0
+    while left and (rounds < STAR_ROUNDS or (left > OPEN_PAIRS * n_classes and left < 0.9 * before)):
+        rounds += 1
         pairs, path = store(_star_pairs(now, tested), "pairs")
         paths.append(path)
         verify(_agreeing(pairs, sigs))
