@@ -2,10 +2,9 @@
 
 * retention: a correlated EXISTS becomes a ``left_semi`` join on
   (user, previous-period key); no pairs of actions are ever formed.
-* packing: both item classes are summarised in ONE global aggregate row, so the
-  "scalar subquery" of the second class reads a column of that same row --
-  no join, no cross join.
-* median of a frequency table: ``percentile(value, 0.5, frequency)`` is exact
+* packing: the prime class's batch and the area are scalar subqueries inside the
+  plan (NULL without a row) -- no join, no cross join.
+* median of a frequency table: ``selection.exact_quantile`` with weights is exact
   and never expands rows (the reference multiplies rows with generate_series).
 """
 
