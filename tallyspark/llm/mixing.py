@@ -3,20 +3,24 @@
 Documents are cut into blocks of ``block_words`` words.  Each source's blocks
 are numbered densely, and a keyed permutation orders them; a source's quota is
 the first so many blocks of that order (a second pass through the order once
-all are taken), the last one trimmed, so the words taken meet the target.  The
-quotas are split among the output shards by a tree whose nodes draw multivariate
+all are taken), the last one trimmed, so the words taken are the rounded target.
+Where the order ends is found by counting: each round sums the words in ``FAN``
+parts of the range that holds the end, until a part is one block.  The quotas
+are split among the output shards by a tree whose nodes draw multivariate
 hypergeometric vectors, so every shard has its exact number of blocks and every
 source its exact quota.  A shard's blocks are disjoint ranges of the permuted
-order; within a shard they are shuffled by a hash.
+order; within a shard they are shuffled by a hash.  Counts and texts both come
+from the blocks so dealt to shards.
 
 Targets: sources by code point (null last) weigh 5, 2, 1, repeating, and share
 ``ratio`` times all words; no target exceeds twice its source's words, and the
 excess is shared again by weight.
 
 Spark does the counting, numbering and drawing.  Rows are numbered inside
-buckets of a hash of the id, so a source with a third of all rows is spread over
-many tasks; only sums by source and shard quotas (``MAX_QUOTAS`` at most) reach
-the driver.
+buckets of a hash of id and text, and buckets inside groups of them, so a source
+with a third of all rows is spread over many tasks and no window sees more than
+a few thousand rows of it; only sums by source and shard quotas (``MAX_QUOTAS``
+at most) reach the driver.
 
 Defined cases: null texts have no words and are never drawn; a null source is a
 source of its own; null and repeated ids are numbered like all others; extra
@@ -34,11 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm.text import WORD, mix, pieces, texts_of, word_spans
-from tallyspark.session import store
+from tallyspark.session import drop_scratch, store
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Rank buckets in which a source's words are summed to find where its quota ends.
-RANK_BUCKETS = 1 << 16
+#: Parts in which a round sums a source's words to find where its quota ends.
+FAN = 1 << 10
+#: Rows of a bucket (about), and buckets of a group: what one window sees of a source.
 BUCKET_ROWS = 4096
 #: Bound on the table of quotas by source and shard that is broadcast.
 MAX_QUOTAS = 1 << 23
@@ -123,7 +128,7 @@ def _numbered(docs: DataFrame, sources: DataFrame, offsets: DataFrame | None, bu
     """``docs`` (with size, source and id) plus the number of each document's first block in its source."""
     names = sources.withColumnRenamed("source", "s_source")
     rows = docs.join(names, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)),
+    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("id", "mark", F.lit(seed)), F.lit(buckets)),
                              "n_blocks": F.ceil(F.col("size") / block_words).cast("long")})
     if offsets is None:
         return rows
@@ -134,65 +139,98 @@ def _numbered(docs: DataFrame, sources: DataFrame, offsets: DataFrame | None, bu
     return rows.withColumn("first", F.col("first") + F.col("offset"))
 
 
-def plan_mix(sizes: DataFrame, block_words: int = 512, seed: int = 1, ratio: float = 1.5,
-             shard_words: int = 1 << 26) -> MixPlan:
-    """The plan of a mix of ``sizes``: a stored table of id, source, size and mark (a hash that orders ties)."""
-    spark = sizes.sparkSession
-    rows = sizes.count()
-    buckets = rows // BUCKET_ROWS + 1
-    sums = sizes.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(F.ceil(F.col("size") / block_words)).cast("long").alias("blocks"))
-    sources, _ = store(source_targets(sums, ratio), "targets")
+def _earlier(parts: DataFrame) -> DataFrame:
+    """sid, bucket and ``offset``: the sum of n in the source's earlier buckets, by groups of buckets and inside them."""
+    grouped = parts.withColumn("high", F.floor(F.col("bucket") / BUCKET_ROWS))
 
-    # dense numbers: the blocks of earlier buckets of the same source
-    parts = _numbered(sizes, sources, None, buckets, block_words, seed).groupBy("sid", "bucket").agg(
-        F.sum("n_blocks").alias("n"))
-    run = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets, _ = store(parts.select("sid", "bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("offset")), "offsets")
+    def before(order: str, *keys: str) -> Column:
+        run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(run), F.lit(0))
 
-    # where the permuted order reaches the target: words by source and rank bucket
-    numbered = _numbered(sizes, sources, offsets, buckets, block_words, seed)
+    groups = grouped.groupBy("sid", "high").agg(F.sum("n").alias("n")).select("sid", "high", before("high", "sid").alias("base"))
+    inside = grouped.select("sid", "high", "bucket", before("bucket", "sid", "high").alias("inner"))
+    return inside.join(groups, ["sid", "high"]).select("sid", "bucket", (F.col("base") + F.col("inner")).alias("offset"))
+
+
+def _cuts(numbered: DataFrame, sources: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """``sources`` plus ``full`` (whole passes), ``cut`` and ``last``: the rank of a quota's last block, and its words."""
+    whole = (F.col("target") >= F.col("source_size")) & (F.col("source_size") > 0)
+    wanted = F.round("target").cast("long") - F.when(whole, F.col("source_size")).otherwise(F.lit(0))
+    # the end lies in the ranks lo .. lo + span - 1; the words of ranks below lo are ``before``
+    state, path = store(sources.select("sid", whole.cast("int").alias("full"), wanted.alias("wanted"), "blocks",
+                                       F.lit(0).cast("long").alias("lo"), F.col("blocks").alias("span"),
+                                       F.lit(0).cast("long").alias("before")), "range")
+    step = F.greatest(F.lit(1), F.ceil(F.col("span") / FAN)).cast("long")
 
     def summed(batches):
         import pyarrow as pa
 
         for b in batches:
-            sid, total = _column(b, "sid"), _column(b, "blocks")
-            row, _, words, rank = _blocks(sid, _column(b, "size"), _column(b, "first"), total, block_words, seed)
-            if not len(row):
+            sid, lo, span, width = (_column(b, c) for c in ("sid", "lo", "span", "step"))
+            row, _, words, rank = _blocks(sid, _column(b, "size"), _column(b, "first"), _column(b, "blocks"), block_words, seed)
+            at = rank - lo[row]
+            hit = np.flatnonzero((at >= 0) & (at < span[row]))
+            if not len(hit):
                 continue
-            span = np.maximum(total[row], RANK_BUCKETS)
-            at = (rank.astype(object) * RANK_BUCKETS // span).astype(np.int64) if span.max() > 1 << 46 else \
-                rank * RANK_BUCKETS // span
-            both, inverse = np.unique(sid[row] * RANK_BUCKETS + at, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"sid": both // RANK_BUCKETS, "at": both % RANK_BUCKETS,
-                                              "words": np.bincount(inverse, words).astype(np.int64)})
-
-    hist = (numbered.select("sid", "size", "first", "blocks").mapInArrow(summed, "sid long, at long, words long")
-            .groupBy("sid", "at").agg(F.sum("words").alias("words")))
+            both, inverse = np.unique(sid[row[hit]] * FAN + at[hit] // width[row[hit]], return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"sid": both // FAN, "at": both % FAN,
+                                              "words": np.bincount(inverse, words[hit]).astype(np.int64)})
+
     upto = Window.partitionBy("sid").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    # the pass that ends the quota, and the words it still takes
-    whole = (F.col("target") >= F.col("source_size")) & (F.col("source_size") > 0)
-    wanted = F.when(whole, F.col("target") - F.col("source_size")).otherwise(F.col("target"))
-    ends = (hist.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-            .join(sources.select("sid", wanted.alias("wanted")), "sid")
-            .filter((F.col("before") < F.col("wanted")) & (F.col("wanted") <= F.col("before") + F.col("words")))
-            .select("sid", F.col("at").alias("cut"), ((F.col("wanted") - F.col("before")) / F.col("words")).alias("part")))
-    # a pass whose words equal the target to the last bit has no end: all buckets or none
-    cuts, _ = store(sources.join(ends, "sid", "left").withColumns({
-        "full": whole.cast("int"),
-        "cut": F.coalesce("cut", F.when(wanted > 0, F.lit(RANK_BUCKETS)).otherwise(F.lit(-1))),
-        "part": F.coalesce("part", F.lit(1.0))}), "cuts")
-
-    # blocks drawn, trimmed ones included, and the tree that splits them among the shards
-    span = F.greatest("blocks", F.lit(RANK_BUCKETS))
-    drawn = F.least(F.col("blocks"), F.ceil((F.col("cut") + 1) * span / F.lit(RANK_BUCKETS)).cast("long"))
-    totals = cuts.select("sid", (F.col("full") * F.col("blocks") + drawn).alias("n"), "target")
-    words = totals.agg(F.sum("target")).first()[0] or 0.0
-    n_sources = totals.count()
+    while True:
+        wide = state.agg(F.max(step)).first()[0] or 1
+        place = state.select("sid", "lo", "span", step.alias("step"))
+        hist = (numbered.join(place, "sid").select("sid", "size", "first", "blocks", "lo", "span", "step")
+                .mapInArrow(summed, "sid long, at long, words long").groupBy("sid", "at").agg(F.sum("words").alias("words")))
+        hist = hist.withColumn("below", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        ends = (hist.join(state.select("sid", "wanted", "before"), "sid")
+                .filter((F.col("before") + F.col("below") < F.col("wanted"))
+                        & (F.col("wanted") <= F.col("before") + F.col("below") + F.col("words")))
+                .select("sid", "at", "below"))
+        lo = F.col("lo") + F.coalesce("at", F.lit(0)) * step
+        new, new_path = store(state.join(ends, "sid", "left").select(
+            "sid", "full", "wanted", "blocks", lo.alias("lo"), F.least(step, F.col("blocks") - lo).alias("span"),
+            (F.col("before") + F.coalesce("below", F.lit(0))).alias("before")), "range")
+        drop_scratch(sources.sparkSession, path)
+        state, path = new, new_path
+        if wide == 1:
+            break
+    ends = state.select("sid", "full", F.col("lo").alias("cut"), (F.col("wanted") - F.col("before")).alias("last"))
+    cuts, _ = store(sources.join(ends, "sid"), "cuts")
+    drop_scratch(sources.sparkSession, path)
+    return cuts
+
+
+def plan_mix(sizes: DataFrame, block_words: int = 512, seed: int = 1, ratio: float = 1.5,
+             shard_words: int = 1 << 26, min_shards: int = 8) -> MixPlan:
+    """The plan of a mix of ``sizes``: a stored table of id, source, size and mark (a hash that orders ties).
+
+    There are as many shards as the mix holds ``shard_words``, at least ``min_shards``.
+    """
+    spark = sizes.sparkSession
+    buckets = sizes.count() // BUCKET_ROWS + 1
+    sums = sizes.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.sum(F.ceil(F.col("size") / block_words)).cast("long").alias("blocks"))
+    sources, _ = store(source_targets(sums, ratio), "targets")
+
+    # dense numbers: the blocks of earlier buckets of the same source
+    parts, path = store(_numbered(sizes, sources, None, buckets, block_words, seed).groupBy("sid", "bucket").agg(
+        F.sum("n_blocks").alias("n")), "buckets")
+    offsets, _ = store(_earlier(parts), "offsets")
+    drop_scratch(spark, path)
+
+    numbered, path = store(_numbered(sizes, sources, offsets, buckets, block_words, seed).select(
+        "sid", "size", "first", "blocks"), "numbered")
+    cuts = _cuts(numbered, sources, block_words, seed)
+    drop_scratch(spark, path)
+
+    # blocks drawn, the trimmed one included, and the tree that splits them among the shards
+    totals = cuts.select("sid", (F.col("full") * F.col("blocks") + F.when(F.col("last") > 0, F.col("cut") + 1).otherwise(0)).alias("n"),
+                         "target")
+    words, n_sources = totals.agg(F.sum("target"), F.count(F.lit(1))).first()
     if n_sources > MAX_QUOTAS:
         raise ValueError(f"{n_sources} sources: at most {MAX_QUOTAS} can be mixed")
-    shards = int(max(1, min(-(-words // shard_words), MAX_QUOTAS // max(1, n_sources))))
+    shards = int(max(1, min(max(min_shards, -(-(words or 0.0) // shard_words)), MAX_QUOTAS // max(1, n_sources))))
     order = totals.orderBy("sid").collect()
     table = split_quotas(np.array([r.n for r in order], dtype=np.int64), shards, seed)
     quota_ends = {r.sid: np.cumsum(table[:, i]) for i, r in enumerate(order)}
@@ -231,19 +269,25 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _draws(batch, plan_words: int, seed: int):
-    """(row, number, words taken, pass, place in the source's drawn order) of the drawn blocks of a batch."""
-    total, full, cut, part = (_column(batch, c) for c in ("blocks", "full", "cut", "part"))
-    row, number, words, rank = _blocks(_column(batch, "sid"), _column(batch, "size"), _column(batch, "first"),
-                                       total, plan_words, seed)
-    at = rank.astype(float) * RANK_BUCKETS // np.maximum(total[row], RANK_BUCKETS) if len(row) else rank
-    some = np.where(at < cut[row], words, np.where(at == cut[row], np.rint(words * part[row]).astype(np.int64), 0))
+def _draws(batch, block_words: int, seed: int, quota_ends: dict[int, np.ndarray]):
+    """(row, number, words taken, pass, place in the source's drawn order, shard) of the drawn blocks of a batch.
+
+    A block belongs to the shard whose part of its source's quota holds its place.
+    """
+    sid, total, full, cut, last = (_column(batch, c) for c in ("sid", "blocks", "full", "cut", "last"))
+    row, number, words, rank = _blocks(sid, _column(batch, "size"), _column(batch, "first"), total, block_words, seed)
+    some = np.where(rank < cut[row], words, np.where(rank == cut[row], last[row], 0))
     out = []
     for p in (0, 1):
         taken = np.where(full[row] > p, words, np.where(full[row] == p, some, 0))
         hit = np.flatnonzero(taken)
         out.append((row[hit], number[hit], taken[hit], np.full(len(hit), p), p * total[row[hit]] + rank[hit]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+    where, number, taken, turn, place = (np.concatenate(x) for x in zip(*out, strict=True))
+    shard = np.empty(len(where), dtype=np.int64)
+    for s in np.unique(sid[where]):
+        own = sid[where] == s
+        shard[own] = np.searchsorted(quota_ends[int(s)], place[own], side="right")
+    return where, number, taken, turn, place, shard
 
 
 def _sizes(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
@@ -252,24 +296,33 @@ def _sizes(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target and taken (its words in the mix)."""
+    """One row per document: doc_id, source, size, source_size, target, taken (its words in the mix) and shards.
+
+    ``taken`` sums the blocks that the tree dealt to the shards; ``shards``
+    lists those that hold some, ascending and comma-joined (null: none).
+    """
     sizes, _ = store(_sizes(docs, doc_id, source, text), "sizes")
     plan = plan_mix(sizes, **options)
     rows = _numbered(sizes, plan.sources, plan.offsets, plan.buckets, plan.block_words, plan.seed)
     block_words, seed = plan.block_words, plan.seed
-    rows = rows.select("id", "source", "size", "source_size", "target", "sid", "first", "blocks", "full", "cut", "part")
+    ends = docs.sparkSession.sparkContext.broadcast(plan.quota_ends)
+    rows = rows.select("id", "source", "size", "source_size", "target", "sid", "first", "blocks", "full", "cut", "last")
     kind = rows.schema["id"].dataType.simpleString()
 
     def count(batches):
         import pyarrow as pa
 
         for b in batches:
-            row, _, taken, _, _ = _draws(b, block_words, seed)
+            row, _, taken, _, _, shard = _draws(b, block_words, seed, ends.value)
             sums = np.bincount(row, taken, minlength=b.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sums)],
-                                             names=["doc_id", "source", "size", "source_size", "target", "taken"])
+            lists: list = [None] * b.num_rows
+            for r, s in np.unique(np.stack([row, shard], axis=1), axis=0).tolist():
+                lists[r] = str(s) if lists[r] is None else f"{lists[r]},{s}"
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sums), pa.array(lists, pa.string())], names=[
+                "doc_id", "source", "size", "source_size", "target", "taken", "shards"])
 
-    return rows.mapInArrow(count, f"doc_id {kind}, source string, size long, source_size long, target double, taken long")
+    return rows.mapInArrow(count, f"doc_id {kind}, source string, size long, source_size long, target double, taken long, "
+                                  "shards string")
 
 
 def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
@@ -288,7 +341,7 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
                        F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"),
                        F.xxhash64(F.col(text)).alias("mark"))
     rows = _numbered(full, plan.sources, plan.offsets, plan.buckets, plan.block_words, plan.seed).select(
-        "row", "mark", "size", "sid", "first", "blocks", "full", "cut", "part")
+        "row", "mark", "size", "sid", "first", "blocks", "full", "cut", "last")
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(
         "shard int, pass int, place long, words long, part string").fields])
     block_words, seed = plan.block_words, plan.seed
@@ -298,12 +351,8 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
         import pyarrow as pa
 
         for b in pieces(batches):
-            texts, sid, size = texts_of(b.column("row").field(field)), _column(b, "sid"), _column(b, "size")
-            where, number, taken, turn, place = _draws(b, block_words, seed)
-            shard = np.empty(len(where), dtype=np.int64)
-            for s in np.unique(sid[where]):
-                own = sid[where] == s
-                shard[own] = np.searchsorted(ends.value[int(s)], place[own], side="right")
+            texts, size = texts_of(b.column("row").field(field)), _column(b, "size")
+            where, number, taken, turn, place, shard = _draws(b, block_words, seed, ends.value)
             order = np.lexsort((number, shard, turn, where))
             groups = np.stack([where, turn, shard])[:, order]
             edges = np.flatnonzero(np.any(np.diff(groups, axis=1) != 0, axis=0)) + 1
