@@ -1,11 +1,15 @@
 """Operator 9, quality rules: base rules and robust multivariate outliers (DataFrame functions only).
 
 Every text becomes a vector of transformed statistics.  For each language and
-source a minimum-covariance-determinant estimate is found by concentration
-steps: the mean and covariance of the ``share`` of rows that lie nearest give
-new distances, and so on.  Rows whose squared Mahalanobis distance exceeds the
-cutoff are rejected.  Groups too small for an estimate take that of their
-language, and rows of too small languages that of all rows, which always exists.
+source, each language and all rows a minimum-covariance-determinant estimate is
+found by concentration steps: the mean and covariance of the ``share`` of rows
+that lie nearest give new distances, and so on.  Three starts (medians and
+deviations with no correlation, with that of squashed values, with that of
+spatial signs) take two steps each; in every group the one with the smallest
+determinant goes on until no determinant falls any more.  An estimate from n
+rows is shrunk toward that of its language, and this toward that of all rows, by
+n / (n + ``prior_rows``), so small groups have one too.  Rows whose squared
+Mahalanobis distance exceeds the cutoff are rejected.
 
 The estimates come from all rows.  Each step is one grouped sum and one grouped
 histogram of distances, both partial before the shuffle, so a source with a
@@ -13,8 +17,9 @@ third of all rows costs no task more than another; only the small tables of
 estimates are joined to the rows.
 
 Defined cases: a null text has no words and fails the base rules; null
-languages and sources are groups of their own; other columns, of any type or
-name, are untouched; an empty table gives an empty result.
+languages and sources are groups of their own; very long texts are read whole;
+repeated rows count, and are judged, each for itself; other columns, of any type
+or name, are untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,8 @@ FEATURES = ["log_words", "word_length", "symbol_rate", "dup_lines", "repeat_rate
 FLOORS = [0.5, 0.15, 0.25, 0.5, 0.25]
 #: The chi-square median for as many degrees of freedom as features (fixed value).
 CHI2_MEDIAN = 4.351
-BINS_PER_OCTAVE = 8
+BINS_PER_OCTAVE = 32
+KEYS = ["lang", "source", "level"]
 #: The chi-square quantile of 0.99999 for as many degrees of freedom as features (fixed value).
 CUTOFF = 30.86
 
@@ -109,48 +115,121 @@ def _sum(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _grouped(rows: DataFrame, d2: Column, share: float, name: str) -> DataFrame:
+def _grouped(rows: DataFrame, d2: Column, share: float, name: str, keys: list[str]) -> DataFrame:
     """Per group, the upper edge of the histogram bin within which ``share`` of the distances lie."""
     octave = F.floor(F.log2(d2 + F.lit(2.0 ** -20)) * BINS_PER_OCTAVE)
-    bins = rows.groupBy("lang", "source", "level", octave.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy("lang", "source", "level")
+    bins = rows.groupBy(*keys, octave.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*keys)
     run = bins.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
-    return (run.filter(F.col("upto") >= F.col("all") * share).groupBy("lang", "source", "level")
+    return (run.filter(F.col("upto") >= F.col("all") * share).groupBy(*keys)
             .agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / F.lit(float(BINS_PER_OCTAVE))).alias(name)))
 
 
-def _distance(x: list[Column], at: Callable[[str], Column]) -> Column:
-    """Squared Mahalanobis distance by forward substitution in the Cholesky factor of the estimate."""
-    y: list[Column] = []
-    for i in range(len(x)):
-        rest = [at(f"l{i}{j}") * y[j] for j in range(i)]
-        y.append((x[i] - at(f"m{i}") - (_sum(rest) if rest else F.lit(0.0))) / at(f"l{i}{i}"))
-    return _sum([v * v for v in y])
+def _distance(x: str, e: str) -> Column:
+    """Squared Mahalanobis distance of columns {x}0, {x}1, ... by the inverse w of the Cholesky factor; ``e``: its prefix."""
+    rows = [" + ".join(f"{e}w{i}{j} * ({x}{j} - {e}m{j})" for j in range(i + 1)) for i in range(len(FEATURES))]
+    return F.expr(" + ".join(f"pow({r}, 2)" for r in rows))
+
+
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in keys])
 
 
 def _join(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Every row with the estimates of its groups, one for each start."""
     e = estimates.select(*[F.col(c).alias(f"e_{c}") for c in estimates.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in ("lang", "source", "level")]
-    return rows.join(e, reduce(lambda a, b: a & b, same))
+    return rows.join(e, _same("", "e_", KEYS))
 
 
 def _cholesky(estimates: DataFrame, d: int) -> DataFrame:
-    """Columns l{i}{j} of the lower factor from the covariances c{i}{j}."""
+    """Columns l{i}{j} of the lower factor from the covariances c{i}{j}, and w{i}{j} of its inverse."""
     for j in range(d):
-        square = _sum([F.col(f"c{j}{j}"), *[-F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)]])
-        estimates = estimates.withColumn(f"l{j}{j}", F.sqrt(F.greatest(square, F.lit(1e-9))))
-        estimates = estimates.withColumns({
-            f"l{i}{j}": _sum([F.col(f"c{i}{j}"), *[-F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]])
-            / F.col(f"l{j}{j}") for i in range(j + 1, d)})
+        def less(i: int, j: int = j) -> str:
+            return "".join([f"c{i}{j}", *[f" - l{i}{k} * l{j}{k}" for k in range(j)]])
+
+        estimates = estimates.selectExpr("*", f"sqrt(greatest({less(j)}, 1e-9D)) AS l{j}{j}")
+        if j + 1 < d:
+            estimates = estimates.selectExpr("*", *[f"({less(i)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, d)])
+    for i in range(d):
+        sums = [" - ".join(["0D", *[f"l{i}{k} * w{k}{j}" for k in range(j, i)]]) for j in range(i)]
+        estimates = estimates.selectExpr("*", *[f"({r}) / l{i}{i} AS w{i}{j}" for j, r in enumerate(sums)], f"1D / l{i}{i} AS w{i}{i}")
     return estimates
 
 
-def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 100) -> DataFrame:
+def _log_det(d: int, prefix: str = "") -> Column:
+    """Half the logarithm of the covariance's determinant."""
+    return F.expr(" + ".join(f"ln({prefix}l{i}{i})" for i in range(d)))
+
+
+def _starts(rows: DataFrame, d: int, paths: list[str]) -> DataFrame:
+    """Three estimates a group: medians, absolute deviations and the correlations of start 0, 1 or 2."""
+    middle, path = store(rows.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.expr(f"percentile_approx(round(x{i}, 4), 0.5) AS m{i}") for i in range(d)]), "mcd")
+    paths.append(path)
+    spread = _join(rows, middle).groupBy(*KEYS).agg(
+        *[F.expr(f"percentile_approx(round(abs(x{i} - e_m{i}), 4), 0.5) AS s{i}") for i in range(d)])
+    scaled, path = store(middle.alias("a").join(spread.alias("b"), _same("a.", "b.", KEYS)).selectExpr(
+        "a.*", *[f"greatest(1.4826D * s{i}, double({FLOORS[i]})) AS s{i}" for i in range(d)]), "mcd")
+    paths.append(path)
+
+    z = _join(rows, scaled).selectExpr(*KEYS, *[f"(x{i} - e_m{i}) / e_s{i} AS z{i}" for i in range(d)])
+    z = z.selectExpr("*", "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(d)) + "), 1e-9D) AS norm")
+    squashed = {1: "tanh(z{0})", 2: "z{0} / norm"}
+    related = z.groupBy(*KEYS).agg(*[F.expr(f"covar_pop({k.format(i)}, {k.format(j)}) AS r{n}_{i}{j}")
+                                     for n, k in squashed.items() for i in range(d) for j in range(i + 1)])
+
+    def covariance(n: int, i: int, j: int) -> str:
+        # correlations are damped a little, so that the matrix keeps an inverse; a constant statistic has none
+        both = f"s{i} * s{j}"
+        if i == j or not n:
+            return both if i == j else "0D"
+        return f"{both} * 0.95D * coalesce(try_divide(r{n}_{i}{j}, sqrt(r{n}_{i}{i} * r{n}_{j}{j})), 0D)"
+
+    each = ", ".join("struct(" + ", ".join([f"{n} AS start", *[f"{covariance(n, i, j)} AS c{i}{j}" for i in range(d) for j in range(i + 1)]])
+                     + ")" for n in range(3))
+    begun = scaled.alias("a").join(related.alias("b"), _same("a.", "b.", KEYS)).selectExpr(
+        *[f"a.{c}" for c in KEYS], "rows", *[f"m{i}" for i in range(d)], f"inline(array({each}))")
+    started, path = store(_cholesky(begun, d), "mcd")
+    paths.append(path)
+    return started
+
+
+def _concentrate(rows: DataFrame, estimates: DataFrame, d: int, share: float, paths: list[str]) -> DataFrame:
+    """One concentration step of every group and start; ``fell`` is by how much half the determinant's logarithm fell."""
+    keys = [*KEYS, "start"]
+    near = _join(rows, estimates).select(*KEYS, F.col("e_start").alias("start"), _distance("x", "e_").alias("d2"))
+    both = _keyed(estimates, _grouped(near, F.col("d2"), share, "cut", keys), keys)
+    near = _join(rows, both).withColumn("start", F.col("e_start")).filter(_distance("x", "e_") <= F.col("e_cut"))
+    lower = [(i, j) for i in range(d) for j in range(i + 1)]
+    sums = near.groupBy(*keys).agg(
+        F.first("e_rows").alias("rows"), F.first(_log_det(d, "e_")).alias("before"), *[F.expr(f"avg(x{i}) AS m{i}") for i in range(d)],
+        *[F.expr(f"covar_pop(x{i}, x{j}) AS p{i}{j}") for i, j in lower])
+    sums = sums.selectExpr(*keys, "rows", "before", *[f"m{i}" for i in range(d)],
+                           *[f"p{i}{j} + double({FLOORS[i] ** 2 if i == j else 0.0}) AS c{i}{j}" for i, j in lower])
+    new, path = store(_cholesky(sums, d).withColumn("fell", F.col("before") - _log_det(d)).drop("before"), "mcd")
+    paths.append(path)
+    return new
+
+
+def _shrunk(estimates: DataFrame, values: list[str], prior_rows: float) -> DataFrame:
+    """KEYS, rows and ``values`` moved toward the language's own ones, and these toward those of all rows, by n / (n + prior_rows)."""
+    def toward(level: int, parent: DataFrame, same: Column) -> DataFrame:
+        moved = [f"(a.rows * a.{v} + {float(prior_rows)}D * b.{v}) / (a.rows + {float(prior_rows)}D) AS {v}" for v in values]
+        return estimates.filter(F.col("level") == level).alias("a").join(parent.alias("b"), same).selectExpr(
+            *[f"a.{c}" for c in KEYS], "a.rows", *moved)
+
+    top = estimates.filter("level = 2").select(*KEYS, "rows", *values)
+    langs = toward(1, top, F.col("b.level") == F.col("a.level") + 1)
+    return top.unionByName(langs).unionByName(toward(0, langs, F.col("a.lang").eqNullSafe(F.col("b.lang"))))
+
+
+def fit(stats: DataFrame, share: float = 0.75, prior_rows: float = 50.0, most_steps: int = 8) -> DataFrame:
     """Estimates by (lang, source, level): level 0 a language's source, level 1 the whole language, level 2 all rows.
 
     ``stats`` has lang, source, x (array of features).  Rows that fail the base
-    rules should be left out.  Groups of fewer than ``min_rows`` have no estimate
-    at levels 0 and 1; level 2 has one, however few its rows are.
+    rules should be left out.  ``rows`` tells a group's rows, ``log_det`` half
+    the logarithm of the determinant its own rows gave, ``scale`` the factor that
+    makes the distances of normal rows those of a chi-square variable.
     """
     d = len(FEATURES)
     none = F.lit(None).cast("string")
@@ -158,59 +237,46 @@ def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 1
                        for i, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)])])
     rows = stats.select("x", F.explode(levels).alias("g")).select(
         "g.lang", "g.source", "g.level", *[F.col("x")[i].alias(f"x{i}") for i in range(d)])
-    x = [F.col(f"x{i}") for i in range(d)]
-    keys, paths = ["lang", "source", "level"], []
-
-    # start: coordinate-wise medians and absolute deviations
-    middle = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.percentile_approx(F.round(x[i], 4), 0.5).alias(f"m{i}") for i in range(d)]).filter((F.col("rows") >= min_rows) | (F.col("level") == 2))
-    middle, path = store(middle, "mcd")
+    paths: list[str] = []
+
+    estimates = _starts(rows, d, paths)
+    for _ in range(2):
+        estimates = _concentrate(rows, estimates, d, share, paths)
+    # the start with the smallest determinant goes on; of equal ones the first
+    best = F.struct(F.round(_log_det(d), 6).alias("log_det"), F.col("start"))
+    least = estimates.groupBy(*KEYS).agg(F.min(best).alias("best"))
+    estimates, path = store(estimates.alias("a").join(
+        least.alias("b"), _same("a.", "b.", KEYS) & (F.col("a.start") == F.col("b.best.start"))).select("a.*"), "mcd")
     paths.append(path)
-    spread = _join(rows, middle).groupBy(*keys).agg(
-        *[F.percentile_approx(F.round(F.abs(x[i] - F.col(f"e_m{i}")), 4), 0.5).alias(f"s{i}") for i in range(d)])
-    start = middle.alias("a").join(spread.alias("b"), reduce(
-        lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])).select(
-        *[F.col(f"a.{c}") for c in keys], *[f"m{i}" for i in range(d)],
-        *[(F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
-          for i in range(d) for j in range(i + 1)])
-    estimates, path = store(start, "mcd")
+    for _ in range(most_steps - 2):
+        if (estimates.agg(F.max("fell")).first()[0] or 0.0) < 0.01:
+            break
+        estimates = _concentrate(rows, estimates, d, share, paths)
+
+    own = estimates.select(*KEYS, _log_det(d).alias("log_det"))
+    moments = [*[f"m{i}" for i in range(d)], *[f"c{i}{j}" for i in range(d) for j in range(i + 1)]]
+    shrunk, path = store(_cholesky(_shrunk(estimates, moments, prior_rows), d), "mcd")
     paths.append(path)
-
-    for step in range(steps + 1):
-        near = _join(rows, estimates).withColumn("d2", _distance(x, lambda c: F.col(f"e_{c}")))
-        cut = _grouped(near, F.col("d2"), share if step < steps else 0.5, "cut")
-        if step < steps:
-            both, path = store(_keyed(estimates, cut), "mcd")
-            paths.append(path)
-            near = _join(rows, both).filter(_distance(x, lambda c: F.col(f"e_{c}")) <= F.col("e_cut"))
-            sums = near.groupBy(*keys).agg(
-                *[F.avg(x[i]).alias(f"m{i}") for i in range(d)],
-                *[F.covar_pop(x[i], x[j]).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)])
-            sums = sums.select(*keys, *[f"m{i}" for i in range(d)], *[
-                (F.col(f"p{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-                for i in range(d) for j in range(i + 1)])
-            new = _cholesky(sums, d)
-        else:  # make the distances of normal rows those of a chi-square variable
-            new = _keyed(estimates, cut).withColumn("scale", F.greatest(F.col("cut") / CHI2_MEDIAN, F.lit(1.0)))
-        estimates, path = store(new, "mcd")
-        paths.append(path)
-    for path in paths[:-1]:
-        drop_scratch(stats.sparkSession, path)
+    near = _join(rows, shrunk).select(*KEYS, _distance("x", "e_").alias("d2"))
+    cut = _grouped(near, F.col("d2"), 0.5, "cut", KEYS)
+    scaled = _keyed(shrunk, cut, KEYS).withColumn("log_scale", F.log(F.greatest(F.col("cut") / CHI2_MEDIAN, F.lit(1.0))))
+    scales = _shrunk(scaled, ["log_scale"], prior_rows)
+    final = shrunk.alias("a").join(scales.alias("s"), _same("a.", "s.", KEYS)).join(own.alias("o"), _same("a.", "o.", KEYS))
+    estimates, path = store(final.select("a.*", F.exp("s.log_scale").alias("scale"), "o.log_det"), "mcd")
+    for old in paths:
+        drop_scratch(stats.sparkSession, old)
     return estimates
 
 
-def _keyed(estimates: DataFrame, cut: DataFrame) -> DataFrame:
+def _keyed(estimates: DataFrame, cut: DataFrame, keys: list[str]) -> DataFrame:
     """``estimates`` with the column ``cut`` of the same group."""
-    keys = ["lang", "source", "level"]
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
-    return estimates.alias("a").join(cut.alias("b"), same).select("a.*", "b.cut")
+    return estimates.alias("a").join(cut.alias("b"), _same("a.", "b.", keys)).select("a.*", "b.cut")
 
 
 def judge(rows: DataFrame, estimates: DataFrame, x: list[Column], cutoff: float = CUTOFF) -> DataFrame:
     """``rows`` (with lang and source) plus ``outlier``: the distance in the row's own group, else language, else in all rows."""
     d = len(FEATURES)
-    fields = ["scale", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)]]
+    fields = ["scale", *[f"m{i}" for i in range(d)], *[f"w{i}{j}" for i in range(d) for j in range(i + 1)]]
     packed = F.struct(*[F.col(c) for c in fields])
     own = estimates.filter("level = 0").select(F.col("lang").alias("_l0"), F.col("source").alias("_s0"), packed.alias("_e0"))
     wide = estimates.filter("level = 1").select(F.col("lang").alias("_l1"), packed.alias("_e1"))
@@ -218,9 +284,9 @@ def judge(rows: DataFrame, estimates: DataFrame, x: list[Column], cutoff: float
     last = estimates.filter("level = 2").select(*fields).first()  # the one row over all rows; none without sound rows
     every = [F.struct(*[F.lit(last[c]).alias(c) for c in fields])] if last else []
     out = out.join(wide, F.col("lang").eqNullSafe(F.col("_l1")), "left").withColumn("_e", F.coalesce("_e0", "_e1", *every))
-    d2 = _distance(x, lambda c: F.col(f"_e.{c}")) / F.col("_e.scale")
-    return out.withColumn("distance", d2).withColumn("outlier", F.coalesce(d2 > cutoff, F.lit(False))).drop(
-        "_l0", "_s0", "_e0", "_l1", "_e1", "_e")
+    out = out.withColumns({f"_x{i}": v for i, v in enumerate(x)}).withColumn("distance", _distance("_x", "_e.") / F.col("_e.scale"))
+    return out.withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False))).drop(
+        "_l0", "_s0", "_e0", "_l1", "_e1", "_e", *[f"_x{i}" for i in range(d)])
 
 
 def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",

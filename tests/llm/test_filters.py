@@ -262,7 +262,7 @@ def test_quality_statistics_and_outliers(spark, documents):
 
 
 def test_quality_judges_rows_of_small_languages(spark, documents):
-    """Languages below ``min_rows``, down to a single row, are judged by the estimate over all rows."""
+    """Small languages, down to a single row, are judged by an estimate drawn toward that of all rows."""
     rng = random.Random(8)
     rows = [(i, sentences(rng, rng.randint(60, 400)), "en", "a") for i in range(150)]
     rows += [(200 + i, sentences(rng, rng.randint(60, 400)), rng.choice(["fr", "xx", None]), "a") for i in range(20)]
@@ -286,6 +286,60 @@ def test_mahalanobis_distance_equals_numpy(spark):
     row = {f"m{i}": float(mean[i]) for i in range(d)} | {f"c{i}{j}": float(cov[i, j]) for i in range(d) for j in range(i + 1)}
     est = quality._cholesky(spark.createDataFrame([row]), d)
     df = spark.createDataFrame([tuple(map(float, v)) for v in x], ", ".join(f"x{i} double" for i in range(d))).crossJoin(est)
-    got = [r[0] for r in df.select(quality._distance([F.col(f"x{i}") for i in range(d)], F.col)).collect()]
+    got = [r[0] for r in df.select(quality._distance("x", "")).collect()]
     want = [float((v - mean) @ np.linalg.inv(cov) @ (v - mean)) for v in x]
     assert sorted(got) == pytest.approx(sorted(want))
+
+
+def plain_steps(x, start, n_rows):
+    """Concentration steps on exactly ``n_rows`` rows until they stay the same; half the log of the determinant, mean, rows."""
+    near = start
+    for _ in range(100):
+        mean, cov = x[near].mean(0), np.cov(x[near].T, bias=True) + np.diag(np.square(quality.FLOORS))
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        new = np.sort(np.argsort(d2, kind="stable")[:n_rows])
+        if np.array_equal(new, near):
+            break
+        near = new
+    return 0.5 * np.linalg.slogdet(cov)[1], mean, near
+
+
+@pytest.mark.parametrize("kind", ["far", "correlated"])
+def test_fit_equals_a_search_from_many_starts(spark, kind):
+    rng = np.random.default_rng(7)
+    d = len(quality.FEATURES)
+    good = rng.normal(size=(48, d))
+    if kind == "correlated":
+        good[:, 1] = 3 * good[:, 0] + 0.3 * good[:, 1]
+        good[:, 0] *= 3
+    x = np.vstack([good, rng.normal(size=(12, d)) * 0.5 + 8])
+    tries = [plain_steps(x, rng.choice(60, d + 1, replace=False), 45) for _ in range(300)]
+    want = min(tries, key=lambda t: t[0])
+    rows = spark.createDataFrame([("en", "a", v.tolist()) for v in x], "lang string, source string, x array<double>")
+    fitted = quality.fit(rows)
+    got = fitted.collect()
+    assert sorted(r.level for r in got) == [0, 1, 2] and {r.rows for r in got} == {60}
+    top = next(r for r in got if r.level == 2)
+    # the subset ends at the edge of a histogram's bin, so it may hold a row or two more
+    assert top.log_det <= want[0] + 0.15
+    assert max(abs(top[f"m{i}"] - want[1][i]) for i in range(d)) < 0.3
+    for r in got:  # equal groups: shrinking one toward the other changes nothing
+        assert max(abs(r[f"m{i}"] - top[f"m{i}"]) for i in range(d)) < 1e-9 and r.scale == pytest.approx(top.scale)
+    judged = quality.judge(rows, fitted, [F.col("x")[i] for i in range(d)]).collect()
+    assert all(r.outlier == (min(r.x) > 5) for r in judged)
+
+
+def test_estimates_move_with_the_number_of_rows(spark):
+    """A group's mean lies between its parent's and its own, nearer to its own the more rows it has; no size is a switch."""
+    rng = np.random.default_rng(9)
+    d = len(quality.FEATURES)
+    rows = [("en", "big", rng.normal(size=d).tolist()) for _ in range(600)]
+    for name, n in (("s10", 10), ("s99", 99), ("s101", 101), ("s300", 300)):
+        rows += [("en", name, (rng.normal(size=d) * 0.2 + 2).tolist()) for _ in range(n)]
+    fitted = quality.fit(spark.createDataFrame(rows, "lang string, source string, x array<double>")).collect()
+    got = {r.source: r for r in fitted if r.level == 0}
+    parent = next(r.m0 for r in fitted if r.level == 1)
+    means = [got[n].m0 for n in ("s10", "s99", "s101", "s300")]
+    assert means == sorted(means) and means[2] - means[1] < 0.1
+    for m, n in zip(means, (10, 99, 101, 300), strict=True):  # the groups' own means are 2 but for chance
+        assert abs(m - (n * 2 + 50 * parent) / (n + 50)) < 0.1
