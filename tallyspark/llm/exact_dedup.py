@@ -87,7 +87,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     drop_scratch(docs.sparkSession, path)
     flagged = _flag(tagged, seen)
     unique = flagged.filter(~F.col("maybe")).select("row")
+    # rows with equal ids are told apart by a hash, where their columns can be hashed
+    tie = [] if "map<" in tagged.schema["row"].dataType.simpleString() else [F.xxhash64("row")]
     again = flagged.filter("maybe").groupBy("sha").agg(
-        F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"))).alias("row")).select("row")
+        F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), *tie)).alias("row")).select("row")
     both = unique.unionByName(again)
     return both.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
