@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import repeats
+from tallyspark.llm.hot import lookup
 from tallyspark.llm.text import SPACE
 from tallyspark.session import drop_scratch, store
 
@@ -51,8 +52,8 @@ def dedup_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     The text is read once; the hashes are stored in shared scratch and both
     Bloom passes run over them.  Copies meet in partial counts first, so a group
-    of a third of all rows shuffles one row per map task, and the join that
-    hands its verdict back is one that Spark may split.
+    of a third of all rows shuffles one row per map task, and its verdict is
+    handed back where its rows are.
     """
     hashed, path = store(
         docs.select(F.col(doc_id).alias("doc_id"), text_sha256(F.col(text)).alias("text_sha256"))
@@ -66,8 +67,10 @@ def dedup_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.lit(True).alias("kept"), "text_sha256")
     again = flagged.filter("maybe")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    groups = again.groupBy("text_sha256").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    judged = again.join(groups, "text_sha256").select(
+    groups, _ = store(again.groupBy("text_sha256").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    counts = groups.select("text_sha256", F.col("group_size").alias("count"))
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    judged = lookup(again, groups, "text_sha256", counts, total).select(
         "doc_id", F.col("first.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
     return unique.unionByName(judged)

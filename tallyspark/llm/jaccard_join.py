@@ -2,7 +2,10 @@
 
 A document's set holds the hashes of its distinct five-word shingles (A-Z
 folded; a shorter text is one shingle).  All shingles have one global order:
-rare before frequent, by a fixed-size frequency sketch, then by hash.  Two sets
+rare before frequent, then by hash.  Frequent is a shingle that makes up a
+``2**-FREQUENT_BITS``-th of all or more; there are at most ``2**FREQUENT_BITS``
+of them at any size of the input, and they are counted exactly: a sketch of
+cells names those that may be frequent, only these are counted.  Two sets
 with a Jaccard similarity of 0.8 or more share a shingle among the first fifth
 of either (prefix filter), so only those prefixes meet; a pair's overlap is then
 counted by vertical partitioning: the global order is cut into fragments, the
@@ -31,10 +34,12 @@ from pyspark.sql import types as T
 
 from tallyspark.llm import repeats
 from tallyspark.llm.components import components
+from tallyspark.llm.hot import lookup, salted
 from tallyspark.llm.text import mix, pieces, shingles, texts_of
 from tallyspark.session import drop_scratch, store
 
 SKETCH_BITS, CHUNK = 21, 1 << 16
+FREQUENT_BITS = 20
 FRAGMENTS = 4
 #: Ranges of the hash in which a set's tokens are counted to bound overlaps (a power of two).
 RANGES = 64
@@ -87,11 +92,17 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 class GlobalOrder:
-    """Rare before frequent (by powers of two), then by hash; cut into fragments of about equal mass."""
+    """Shingles that are not frequent first, frequent ones by powers of two of their counts, then by hash.
 
-    def __init__(self, counts: np.ndarray):
-        self.level = np.log2(np.maximum(counts, 1)).astype(np.uint64)
-        mass = np.bincount(self.level.astype(np.int64), counts, minlength=64)
+    Cut into fragments of about equal mass.  ``frequent`` (sorted) and ``counts``
+    are the exactly counted shingles, ``cells`` the sketch cells that may hold one.
+    """
+
+    def __init__(self, cells: np.ndarray, frequent: np.ndarray, counts: np.ndarray, total: int):
+        self.cells, self.frequent = cells, frequent
+        self.levels = (np.log2(counts) + 1).astype(np.uint8)
+        mass = np.bincount(self.levels, counts, minlength=64).astype(float)
+        mass[0] = total - mass.sum()
         upto, cuts = np.cumsum(mass), []
         for f in range(1, FRAGMENTS):
             goal = upto[-1] * f / FRAGMENTS
@@ -100,8 +111,17 @@ class GlobalOrder:
             cuts.append((at << 58) + int(min(max(part, 0.0), 0.999999) * (1 << 58)))
         self.cuts = np.array(cuts, dtype=np.uint64)
 
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), dtype=np.uint64)
+        if len(self.frequent):
+            at = np.flatnonzero(self.cells[_cells(tokens)])
+            place = np.minimum(np.searchsorted(self.frequent, tokens[at]), len(self.frequent) - 1)
+            known = self.frequent[place] == tokens[at]
+            out[at[known]] = self.levels[place[known]]
+        return out
+
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        return (self.level[_cells(tokens)] << np.uint64(58)) | (tokens >> np.uint64(6))
+        return (self.level(tokens) << np.uint64(58)) | (tokens >> np.uint64(6))
 
     def ordered(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens in global order, and the fragment of each."""
@@ -110,14 +130,52 @@ class GlobalOrder:
         return tokens[order], np.searchsorted(self.cuts, keys[order], side="right")
 
 
-def _global_order(stored: DataFrame) -> GlobalOrder:
+def _sketch(stored: DataFrame) -> np.ndarray:
+    """How many shingles fall into each cell, over all documents."""
     rows = stored.filter("chunk IS NOT NULL").select("chunk", "counts").rdd
     sums = rows.map(lambda r: (r.chunk, np.frombuffer(r.counts, dtype="<u4").astype(np.int64))).reduceByKey(
         lambda a, b: a + b, 8)
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for chunk, part in sums.collect():  # 16 MB in all, whatever the input
         counts[chunk * CHUNK:(chunk + 1) * CHUNK] = part
-    return GlobalOrder(counts)
+    return counts
+
+
+def _global_order(rows: DataFrame, stored: DataFrame, width: int) -> GlobalOrder:
+    """The order of all shingles of ``rows``; a cell with too few of them in all holds no frequent one."""
+    spark = rows.sparkSession
+    sketch = _sketch(stored)
+    total = int(sketch.sum())
+    least = max(2, -(-total >> FREQUENT_BITS))
+    cells = sketch >= least
+    likely = spark.sparkContext.broadcast(np.packbits(cells))  # 256 KB
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, size, flags = [], 0, np.unpackbits(likely.value).astype(bool)
+
+        def counted():
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_pydict({"token": token.view(np.int64), "n": n.astype(np.int64)})
+
+        for b in pieces(batches):
+            for t in texts_of(b.column("text")):
+                s = shingles(t, width)
+                held.append(s[flags[_cells(s)]])
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    counts = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= least).toArrow()  # at most 2**FREQUENT_BITS rows
+    likely.destroy()
+    tokens = found.column("token").to_numpy().view(np.uint64)
+    by_hash = np.argsort(tokens)
+    return GlobalOrder(cells, tokens[by_hash], found.column("n").to_numpy()[by_hash], total)
 
 
 def _prefixes(docs: DataFrame, width: int, order) -> DataFrame:
@@ -224,7 +282,7 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, o
     return one, [segment_path, repeated_path]
 
 
-def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, prefixes: DataFrame, n_pairs: int) -> DataFrame:
     """The pairs that the overlap of their prefixes and the counts of their tokens by range leave possible.
 
     In no range can two sets share more tokens than the smaller count.
@@ -233,53 +291,65 @@ def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     to there are in both prefixes (k of them); behind it x has ceil(0.8 n) - 1
     tokens left, so the overlap is at most k + ceil(0.8 n) - 1.
     """
-    both = (pairs.join(prefixes.select(F.col("e").alias("a"), F.col("tokens").alias("ta"), F.col("ranges").alias("ra")), "a")
-            .join(prefixes.select(F.col("e").alias("b"), F.col("tokens").alias("tb"), F.col("ranges").alias("rb")), "b"))
+    left = pairs.join(prefixes.select(F.col("e").alias("a"), F.col("tokens").alias("ta"), F.col("ranges").alias("ra")), "a")
+    right = prefixes.select(F.col("e").alias("b"), F.col("tokens").alias("tb"), F.col("ranges").alias("rb"))
+    both = salted(left, right, "b", "a", n_pairs)
     behind = F.floor((4 * F.greatest("na", "nb") + 4) / 5) - 1
     shared = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     most = F.least(F.size(F.array_intersect("ta", "tb")) + behind, shared)
     return both.filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Links among ``pairs`` (a, b, na, nb): overlaps by fragment, summed by pair; 9 o >= 4 (na + nb)."""
+def _verified(pairs: DataFrame, segments: DataFrame, n_pairs: int) -> DataFrame:
+    """Links among ``pairs`` (a, b, na, nb): overlaps by fragment, summed by pair; 9 o >= 4 (na + nb).
+
+    A hub that meets a large part of all classes is sent to many tasks.
+    """
     left = pairs.join(segments.select(F.col("e").alias("a"), "frag", F.col("tokens").alias("ta")), "a")
-    right = segments.select(F.col("e").alias("b"), "frag", F.col("tokens").alias("tb"))
-    partial = left.join(right, ["b", "frag"]).select(
+    left = left.withColumn("part", F.struct("b", "frag"))
+    right = segments.select(F.struct(F.col("e").alias("b"), "frag").alias("part"), F.col("tokens").alias("tb"))
+    partial = salted(left, right, "part", "a", n_pairs).select(
         "a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("o"))
     sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return sums.filter(9 * F.col("o") >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``lists`` plus each class's component c, without the tokens whose classes are all in one."""
+def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
+    """``lists`` plus each class's component c, without the tokens whose classes are all in one; stored, and its path."""
     c = components(links).select(F.col("node").alias("e"), "component")
     rows = lists.join(c, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
-    mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
-    return rows.join(mixed, "token")
+    mixed, mixed_path = store(rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
+                                                        F.count(F.lit(1)).alias("count")).filter("lo <> hi"), "mixed")
+    total = mixed.agg(F.sum("count")).first()[0] or 0
+    open_lists, path = store(lookup(rows, mixed.select("token"), "token", mixed, total), "lists")
+    drop_scratch(lists.sparkSession, mixed_path)
+    return open_lists, path
 
 
-def _star_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """The untested pairs of each class with the hubs of its lists.
+def _star_pairs(lists: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, str]:
+    """The untested pairs of each class with the hubs of its lists, and a path to drop once they are stored.
 
     The hub of a list (in a band of sizes) is the most central of the classes
     that were no hub yet, the one that meets most others in all its lists: it
     links to more of a group of near copies than a class that lies at the rim.
     """
     band = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    central = lists.join(sizes, "token").groupBy("e").agg(F.sum("size").alias("meets"))
+    sizes, path = store(lists.groupBy("token").agg(F.count(F.lit(1)).alias("count")), "sizes")
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    met = lookup(lists, sizes.select("token", F.col("count").alias("size")), "token", sizes, total)
+    central = met.groupBy("e").agg(F.sum("size").alias("meets"))
     lists = lists.join(central, "e").withColumn("band", band)
     fresh = lists if tested is None else lists.join(tested.select(F.col("b").alias("e")).distinct(), "e", "left_anti")
     first = F.struct(F.col("meets").alias("meets"), F.xxhash64("e").alias("h"), F.col("e").alias("e"), F.col("n").alias("n"),
                      F.col("c").alias("c"), F.col("pos").alias("pos"))
-    hubs = fresh.groupBy("token", "band").agg(F.max(first).alias("hub")).select(
-        "token", "band", F.col("hub.e").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.c").alias("cb"),
-        F.col("hub.pos").alias("pb"))
-    pairs = (lists.join(hubs, ["token", "band"])
+    hubs = fresh.groupBy("token", "band").agg(F.max(first).alias("hub")).groupBy("token").agg(
+        F.map_from_entries(F.collect_list(F.struct("band", "hub"))).alias("hubs"))  # a few dozen bands
+    at = F.col("hubs")[F.col("band")]
+    pairs = (lookup(lists, hubs, "token", sizes, total)
+             .select("e", "n", "c", "pos", at["e"].alias("b"), at["n"].alias("nb"), at["c"].alias("cb"), at["pos"].alias("pb"))
              .filter((F.col("c") != F.col("cb")) & _similar(F.col("n"), F.col("nb")) & _room("n", "pos", "nb", "pb"))
              .select(F.col("e").alias("a"), F.col("n").alias("na"), "b", "nb").distinct())
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    return (pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), path
 
 
 def _open_pairs(lists: DataFrame) -> int:
@@ -310,7 +380,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     stored, sets_path = store(_sets(rows, width), "sets")
-    order = spark.sparkContext.broadcast(_global_order(stored))
+    order = spark.sparkContext.broadcast(_global_order(rows, stored, width))
     members = stored.filter("chunk IS NULL").select("doc_id", "n", "e")
 
     # lists of classes that share a prefix token; tokens that certainly occur once are not shuffled
@@ -333,9 +403,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def verify(pairs: DataFrame) -> None:
         nonlocal links, tested
         pairs, pair_path = store(pairs, "pairs")
-        likely, likely_path = store(_possible(pairs, prefixes), "pairs")
+        likely, likely_path = store(_possible(pairs, prefixes, pairs.count()), "pairs")
         segments, segment_paths = _sets_of(likely, rows, firsts, width, order)
-        found, link_path = store(_verified(likely, segments), "links")
+        found, link_path = store(_verified(likely, segments, FRAGMENTS * likely.count()), "links")
         for path in segment_paths:
             drop_scratch(spark, path)
         paths.extend([pair_path, likely_path, link_path])
@@ -348,8 +418,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if tested is not None and (left <= OPEN_PAIRS * n_classes or left > 0.9 * before):
             break
         before = left
-        verify(_star_pairs(open_lists, tested))
-        open_lists, path = store(_labelled(lists, links), "lists")
+        star, size_path = _star_pairs(open_lists, tested)
+        verify(star)
+        drop_scratch(spark, size_path)
+        open_lists, path = _labelled(lists, links)
         paths.append(path)
     if n_classes:
         verify(_rest_pairs(open_lists, tested))
@@ -363,8 +435,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     filled = F.when(F.col("n") > 0, F.coalesce("component", "e"))
     labelled = labelled.withColumn("c", filled)
-    lowest = labelled.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("low"))
-    out = labelled.join(lowest, "c", "left")
+    lowest, _ = store(labelled.filter("c IS NOT NULL").groupBy("c").agg(
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("count")), "lowest")
+    total = lowest.agg(F.sum("count")).first()[0] or 0
+    out = lookup(labelled, lowest.select("c", "low"), "c", lowest, total, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                       F.coalesce("low", "doc_id").alias("component_id"), *(["e"] if with_class else []))
 
