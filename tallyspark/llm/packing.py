@@ -78,9 +78,12 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH,
-         group_ids: int = GROUP_IDS, end_id: int = 50256) -> DataFrame:
+         group_ids: int = GROUP_IDS, end_token: str = "<|endoftext|>") -> DataFrame:
     """One row per matrix row.
 
+    Every document ends with the id of ``end_token``, which the vocabulary file
+    names; a vocabulary without it is refused.
+
     task, row: which row it is; ids: ``length`` little-endian unsigned 32-bit
     integers, padded with the end id; cu_seqlens: cumulative segment lengths from
     0; positions: the same shape as ids, starting again at each segment (and at
@@ -88,13 +91,15 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     """
     path = path or default_path()
     kind = docs.schema[doc_id].dataType.simpleString()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         task, made, own = TaskContext.get().partitionId(), 0, codec(path)
+        if end_token not in own.added:
+            raise ValueError(f"the vocabulary has no token {end_token!r}")
+        end = own.added[end_token]
         id_type = pa.int64()
         held: list[tuple] = []
         total = 0
