@@ -41,13 +41,14 @@ def _parse(lines: list[str]):
     return int(feature), float(threshold), left, _parse(lines)
 
 
-def train(rows: DataFrame, rounds: int = 12, depth: int = 3, parts: int = 4) -> BoostedTrees | None:
-    """Trees from ``rows`` (x: array of doubles, label 0 or 1), a bounded sample; None without both labels."""
+def train(rows: DataFrame, rounds: int = 12, depth: int = 3, parts: int = 4, weight: str | None = None) -> BoostedTrees | None:
+    """Trees from ``rows`` (x: array of doubles, label 0 or 1), ``weight`` examples each; None without both labels."""
     have = [r.label for r in rows.select("label").distinct().limit(3).collect()]
     if len(have) < 2:
         return None
-    data = rows.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7).fit(data.coalesce(parts))
+    data = rows.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"),
+                       (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"))
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, weightCol="weight").fit(data.coalesce(parts))
     lines = [x.strip() for x in model.toDebugString.splitlines()[1:]]
     trees = []
     while lines:

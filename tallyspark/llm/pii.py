@@ -6,9 +6,9 @@ an address around an at sign, and runs of digits with separators.  Trees see a
 candidate's format and context with the base patterns' deciding marks hidden (the
 at sign's spelling, '+' and the country code, check digits), so what they learn
 from confirmed candidates also holds for those that the base patterns cannot
-match.  They learn from ``max_docs`` documents at most, picked by a hash.  Against
+match.  They learn from all documents, alike examples as one weighted row.  Against
 confirmed candidates stand those that the base patterns reject and, for addresses,
-neighbouring words with the blank hidden likewise.  No examples, for or against,
+two neighbouring words of each text with the blank hidden likewise.  No examples, for or against,
 are candidates on which the base patterns say nothing: addresses spelled without
 an at sign, and formatted numbers without '+' whose masked format is confirmed in
 a share of ``shaped`` of its cases at least.  For each generator a threshold
@@ -200,37 +200,41 @@ def _examples(t: Column, base: Column, hashed: Column) -> Column:
                         s.alias("s"), F.lit(0).alias("label"), F.lit(None).cast("long").alias("shape"))))
 
 
-def train_pii(docs: DataFrame, text: str = "text", max_docs: int = 20_000, precision: float = 0.98,
-              shaped: float = 0.1, doc_id: str = "doc_id") -> tuple[BoostedTrees, dict[str, float]] | None:
-    """Trees, and thresholds by generator, from the examples of a bounded sample of ``docs``; None if one label is missing.
-
-    Rows are picked by their ids, so a text that many rows share is sampled like
-    any other; copies of one text are in the same fold.
-    """
-    n = docs.count()
-    share = int(min(1.0, max_docs / max(1, n)) * (1 << 30))
+def example_groups(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(fold, x, kind, label, shape, n): how many examples of all ``docs`` are alike, copies of one text in the same fold."""
     t = F.coalesce(F.col(text), F.lit(""))
     hashed = F.pmod(F.xxhash64(F.col(text), F.lit(11)), F.lit(1 << 30))
-    picked = F.pmod(F.xxhash64(F.col(doc_id), F.lit(11)), F.lit(1 << 30)) < share
-    rows = docs.filter(picked).select(t.alias("t"), hashed.alias("h")).select(
-        "t", "h", base_spans(F.col("t")).alias("base"))
+    rows = docs.select(t.alias("t"), hashed.alias("h")).select("t", "h", base_spans(F.col("t")).alias("base"))
     found = rows.select("h", F.explode(F.transform(_examples(F.col("t"), F.col("base"), F.col("h")), lambda e: F.struct(
         candidate_features(F.col("t"), e["s"]).alias("x"),
         F.when(e["s"]["kind"] == "number", "number").otherwise("address").alias("kind"), e["label"].alias("label"),
-        e["shape"].alias("shape")))).alias("c")).select("h", "c.*").filter("label IS NOT NULL")
-    stored, path = store(found, "candidates")
-    known = stored.filter("shape IS NOT NULL").groupBy("shape").agg(F.avg("label").alias("share")).filter(
+        e["shape"].alias("shape")))).alias("c")).select((F.col("h") % 4).alias("fold"), "c.*").filter("label IS NOT NULL")
+    return found.groupBy("fold", "x", "kind", "label", "shape").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train_pii(docs: DataFrame, text: str = "text", precision: float = 0.98,
+              shaped: float = 0.1) -> tuple[BoostedTrees, dict[str, float]] | None:
+    """Trees, and thresholds by generator, from the examples of all ``docs``; None if one label is missing.
+
+    Alike examples are one weighted row, so the trees meet every example and
+    hold only the different ones; copies of one text are in the same fold.
+    """
+    spark = docs.sparkSession
+    stored, path = store(example_groups(docs, text), "candidates")
+    known = stored.filter("shape IS NOT NULL").groupBy("shape").agg(
+        (F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("share")).filter(
         F.col("share") >= shaped).select("shape", F.lit(True).alias("known"))
-    labelled, labelled_path = store(stored.join(known, "shape", "left").filter("label = 1 OR known IS NULL").select(
-        "h", "x", "kind", "label"), "examples")
-    drop_scratch(docs.sparkSession, path)
-    trees = train(labelled.filter("h % 4 <> 0"))
+    labelled, labelled_path = store(stored.join(known, "shape", "left").filter("label = 1 OR known IS NULL").groupBy(
+        "fold", "x", "kind", "label").agg(F.sum("n").alias("n")), "examples")
+    drop_scratch(spark, path)
+    learnt = labelled.filter("fold <> 0")
+    trees = train(learnt, parts=max(4, learnt.count() // 100_000), weight="n")
     bins = []
     if trees is not None:
-        scored = labelled.filter("h % 4 = 0").select("kind", "label", F.round(_chance(trees, F.col("x")), 2).alias("p"))
-        bins = scored.groupBy("kind", "p").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).orderBy(
+        scored = labelled.filter("fold = 0").select("kind", "label", "n", F.round(_chance(trees, F.col("x")), 2).alias("p"))
+        bins = scored.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("n")).alias("ones"), F.sum("n").alias("n")).orderBy(
             F.desc("p")).collect()  # a hundred bins for each generator at most
-    drop_scratch(docs.sparkSession, labelled_path)
+    drop_scratch(spark, labelled_path)
     if trees is None:
         return None
     thresholds = dict.fromkeys(GENERATORS, 1.01)
@@ -249,7 +253,7 @@ def _chance(trees: BoostedTrees, x: Column) -> Column:
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, base (array of spans) and added (spans the method adds beside them), in one scan."""
-    model = train_pii(docs, text, doc_id=doc_id, **options)
+    model = train_pii(docs, text, **options)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"))
     rows = rows.select("doc_id", "t", base_spans(F.col("t")).alias("base"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import quality, toxicity
 from tallyspark.llm.boosted import train
-from tallyspark.llm.pii import base_spans, candidate_spans, find_pii, listed, redact
+from tallyspark.llm.pii import base_spans, candidate_spans, example_groups, find_pii, listed, redact, train_pii
 from tallyspark.llm.url_filter import entropy, host_and_path, judge_urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,6 +156,17 @@ def test_pii_adds_spans_and_keeps_the_base(spark, documents):
     assert find_pii(documents([])).count() == 0
 
 
+def test_pii_learns_from_all_documents(spark):
+    # only rows that a pick of 20,000 by their ids leaves out hold examples of both labels
+    picked = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < (1 << 29)
+    number = F.lpad(F.col("doc_id").cast("string"), 6, "0")
+    told = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("call +1 555 "), number)).otherwise(F.concat(F.lit("order 10/"), number))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id")).withColumn("text", F.when(picked, "nothing").otherwise(told))
+    assert train_pii(docs) is not None
+    rest = docs.filter(~picked).count()
+    assert example_groups(docs).filter("kind = 'number'").agg(F.sum("n")).first()[0] == rest
+
+
 def test_pii_adds_what_the_base_does_not_match(spark, documents):
     rng = random.Random(14)
     rows = []
