@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.calendar import parse_invoice_datetime, weekday_sun1
-from tallyspark.functions.keys import surrogate_key
+from tallyspark.functions.keys import key_bytes, surrogate_key
 from tallyspark.functions.numeric import MONEY
 
 CUSTOMER_KEY = ["CustomerID", "Country"]
@@ -87,13 +87,22 @@ def fct_invoices(raw: DataFrame, mode: str = "derived", dims: dict[str, DataFram
     if mode != "join":
         raise ValueError(mode)
     dims = dims or {}
-    fi = base.select(*cols)
-    dt = dims.get("datetime", dim_datetime(raw)).select("datetime_id")
-    dp = dims.get("product", dim_product(raw)).select("product_id")
-    dc = dims["customer"].select("customer_id")
-    return fi.join(dt, "datetime_id").join(dp, "product_id").join(dc, "customer_id").select(
-        "invoice_id", "datetime_id", "product_id", "customer_id", "quantity", "total"
-    )
+    dt = dims.get("datetime", dim_datetime(raw)).select("datetime_id").repartition(F.xxhash64("datetime_id"))
+    dp = dims.get("product", dim_product(raw)).select(key_bytes(F.col("product_id")).alias("product"))
+    dc = dims["customer"].select(key_bytes(F.col("customer_id")).alias("customer"))
+    # Rows cross the joins with keys of half the bytes, the customer's as its own columns until it is met.  The dates,
+    # usually few, come last and are dealt again when distinct: their side is then known to be small before the fact's
+    # rows would be shuffled for it.
+    fi = base.select(
+        F.col("InvoiceNo").alias("invoice_id"), F.col("InvoiceDate").alias("datetime_id"),
+        key_bytes(surrogate_key(raw, PRODUCT_KEY)).alias("product"), *CUSTOMER_KEY,
+        F.col("Quantity").alias("quantity"), (F.col("Quantity") * F.col("UnitPrice")).alias("total"))
+    sold = fi.join(dp, "product")
+    sold = sold.withColumn("customer", key_bytes(surrogate_key(raw, CUSTOMER_KEY))).drop(*CUSTOMER_KEY)
+    text = lambda key: F.lower(F.hex(key))  # noqa: E731 - the fact's own keys are hexadecimal digits
+    return sold.join(dc, "customer").join(dt, "datetime_id").select(
+        "invoice_id", "datetime_id", text("product").alias("product_id"), text("customer").alias("customer_id"),
+        "quantity", "total")
 
 
 def report_customer_invoices(fct: DataFrame, dim_cust: DataFrame, top: int = 10) -> DataFrame:
