@@ -107,9 +107,9 @@ def fct_invoices(raw: DataFrame, mode: str = "derived", dims: dict[str, DataFram
 
 def report_customer_invoices(fct: DataFrame, dim_cust: DataFrame, top: int = 10) -> DataFrame:
     """Top countries by revenue (fact pre-aggregated per customer and invoice, then joined)."""
-    per_key = fct.groupBy("customer_id", "invoice_id").agg(
+    per_key = fct.groupBy(key_bytes(F.col("customer_id")).alias("customer"), "invoice_id").agg(
         F.count("invoice_id").alias("n"), F.sum(F.col("total").cast(MONEY)).alias("rev"))
-    return _countries(per_key.join(dim_cust, "customer_id"), top)
+    return _countries(per_key.join(dim_cust.withColumn("customer", key_bytes(F.col("customer_id"))), "customer"), top)
 
 
 def _countries(per_invoice: DataFrame, top: int) -> DataFrame:

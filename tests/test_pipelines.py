@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from tallyspark.plans import gates
 from tallyspark.plans import retail_star as rs
 from tallyspark.sources import adapters as ad
 from tallyspark.sources import io as sio
+from tallyspark.sources.release import write_observed
 from tallyspark.sources.tables import TABLES, tables
 from tallyspark.plans.catalogue import QUERIES
 from tallyspark.session import materialize, scratch_dir
@@ -241,3 +244,10 @@ def test_joined_fact_keeps_repeats_of_dimensions_and_moves_short_keys(spark):
     assert rows == sorted(map(tuple, want.select(fact.columns).collect())) and len(rows) == 2 + 1 + 2 * 2 * 2
     joins = [c for c in fact._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in c]
     assert joins and not any("product_id" in c or "customer_id" in c for c in joins)
+
+
+def test_release_tables_are_packed_with_zstd(spark, tmp_path):
+    rows = spark.range(10).select(F.md5(F.col("id").cast("string")).alias("k"))
+    write_observed(rows, "t", [], f"{tmp_path}/t")
+    files = [f for f in os.listdir(tmp_path / "t") if f.endswith(".parquet")]
+    assert files and all(".zstd." in f for f in files)
