@@ -33,24 +33,43 @@ _BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE_WORDS, CACHE_LENGTH = 1 << 19, 64
 
 
-def _category(initial: str) -> str:
-    """A character class's ranges: all code points whose Unicode category begins with ``initial``."""
+@functools.cache
+def _edges(initial: str) -> tuple[tuple[int, int], ...]:
+    """First and last code points of the ranges whose Unicode category begins with ``initial``."""
     import unicodedata
 
     inside = [unicodedata.category(chr(c))[0] == initial for c in range(sys.maxunicode + 1)]
     edges = [c for c in range(len(inside)) if inside[c] != (c > 0 and inside[c - 1])]
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+    return tuple((a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def _category(initial: str, upto: int) -> str:
+    """A character class's ranges: the code points up to ``upto`` whose Unicode category begins with ``initial``."""
+    return "".join(f"\\U{a:08x}-\\U{min(b, upto):08x}" for a, b in _edges(initial) if a <= upto)
 
 
 @functools.cache
-def pre_token_pattern() -> re.Pattern:
+def pre_token_pattern(upto: int = sys.maxunicode) -> re.Pattern:
     """The byte-level pre-tokeniser's pattern (fixed by the vocabulary files), with ``\\p{L}``, ``\\p{N}`` and
-    white space written out as ranges."""
-    letters, digits = _category("L"), _category("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{_BLANKS}{letters}{digits}]+"
+    white space written out as ranges, for texts without code points above ``upto``.
+
+    At any place at most one of letters, digits and contractions fits, so their order is free.
+    """
+    letters, digits = _category("L", upto), _category("N", upto)
+    return re.compile(rf" ?[{letters}]+| ?[{digits}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_BLANKS}{letters}{digits}]+"
                       rf"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
 
 
+#: A code point above the basic plane.
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def pre_tokens(text: str) -> list[str]:
+    """The pre-tokens of a text, by the pattern with the fewest ranges to try."""
+    upto = 0x7F if text.isascii() else sys.maxunicode if _ASTRAL.search(text) else 0xFFFF
+    return pre_token_pattern(upto).findall(text)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -99,17 +118,17 @@ class BytePairCodec:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.byte_ids = [vocab.get(c) for c in letters]
-        #: pair of ids -> its rank << 32; rank -> the id of the joined symbol
+        #: pair of ids (the first << id_bits | the second) -> its rank; rank -> the id of the joined symbol
+        self.id_bits = max(vocab.values()).bit_length()
         self.ranks: dict[int, int] = {}
         self.joined: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault(vocab[a] << 32 | vocab[b], rank << 32)
+            self.ranks.setdefault(vocab[a] << self.id_bits | vocab[b], rank)
             self.joined.append(vocab[a + b])
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = {t: np.asarray([i], dtype="<u4").tobytes() for t, i in added.items()}
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
-        self.pre_tokens = pre_token_pattern()
         code = {c: bytes([b]) for b, c in enumerate(letters)}
         strings = {i: t for t, i in (vocab | added).items()}
         self.strings = [b"".join(code.get(c, c.encode()) for c in strings.get(i, "")) for i in range(max(strings) + 1)]
@@ -118,41 +137,50 @@ class BytePairCodec:
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
         symbol = list(map(self.byte_ids.__getitem__, word))
-        n, rank_of, joined_by, pop, push = len(symbol), self.ranks.get, self.joined, heapq.heappop, heapq.heappush
+        n, bits, rank_of, joined_by, pop, push = (
+            len(symbol), self.id_bits, self.ranks.get, self.joined, heapq.heappop, heapq.heappush)
         if n < 2:
             return symbol
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        # an entry is rank << 32 | position, so the queue gives the lowest rank and of these the leftmost
-        queue = [r | i for i, pair in enumerate(zip(symbol, symbol[1:], strict=False))
-                 if (r := rank_of(pair[0] << 32 | pair[1])) is not None]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # an entry is rank << shift | position, so the queue gives the lowest rank and of these the leftmost
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        #: the entry of the pair that begins at each position, -1 if it does not merge
+        entry = [-1 if (r := rank_of(a << bits | b)) is None else r << shift | i
+                 for i, (a, b) in enumerate(zip(symbol, symbol[1:], strict=False))]
+        entry.append(-1)
+        queue = [e for e in entry if e >= 0]
         heapq.heapify(queue)
         while queue:
             top = pop(queue)
-            i = top & 0xFFFFFFFF
-            j = after[i]
-            if j < 0 or rank_of(symbol[i] << 32 | symbol[j]) != top - i:
+            i = top & mask
+            if entry[i] != top:
                 continue  # stale: what stands here is no longer the pair of this entry
-            new = symbol[i] = joined_by[top >> 32]
-            symbol[j] = -1
+            new = symbol[i] = joined_by[top >> shift]
+            j = after[i]
+            symbol[j] = entry[j] = entry[i] = -1
             k = after[i] = after[j]
-            after[j] = -1
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if (r := rank_of(new << 32 | symbol[k])) is not None:
-                    push(queue, r | i)
+                if (r := rank_of(new << bits | symbol[k])) is not None:
+                    entry[i] = e = r << shift | i
+                    push(queue, e)
             h = before[i]
-            if h >= 0 and (r := rank_of(symbol[h] << 32 | new)) is not None:
-                push(queue, r | h)
+            if h >= 0:
+                entry[h] = -1
+                if (r := rank_of(symbol[h] << bits | new)) is not None:
+                    entry[h] = e = r << shift | h
+                    push(queue, e)
         return [s for s in symbol if s >= 0]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         out, at, get = [], 0, self.cache.__getitem__
         for m in self.cut.finditer(text) if self.cut else ():
-            out.extend(map(get, self.pre_tokens.findall(text[at:m.start()])))
+            out.extend(map(get, pre_tokens(text[at:m.start()])))
             out.append(self.added[m.group()])
             at = m.end()
-        out.extend(map(get, self.pre_tokens.findall(text[at:] if at else text)))
+        out.extend(map(get, pre_tokens(text[at:] if at else text)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

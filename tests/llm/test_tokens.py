@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm.bpe import BytePairCodec, bpe_decode, bpe_encode, default_path
+from tallyspark.llm.bpe import BytePairCodec, bpe_decode, bpe_encode, default_path, pre_token_pattern, pre_tokens
 from tallyspark.llm.mixing import draw, mix_counts, mix_documents, permuted, split_quotas
 from tallyspark.llm.packing import best_fit_decreasing, pack
 
@@ -34,6 +34,23 @@ def test_bpe_equals_the_tokenizers_library(own):
     assert own.decode(part.tobytes()).decode("utf-8", "replace") == library.decode(part.tolist(), skip_special_tokens=False)
 
 
+def test_pre_tokens_try_only_the_ranges_a_text_needs():
+    """The patterns of ASCII texts and of the basic plane cut like the whole one, and have no ranges beyond."""
+    rng = random.Random(2)
+    plain = [*map(chr, range(128)), "'s", "'ll", "  ", " a", " 1", "\n\n"]
+    kinds = {0x7F: plain, 0xFFFF: [*plain, "é", " ñ", "²", "Ⅷ", "\u3000", "\x85", "ก", "一"],
+             0x10FFFF: [*plain, "é", "\U0001F600", "\U00010400", "\U0001D7D8", "\U00020000"]}
+    for upto, letters in kinds.items():
+        for _ in range(400):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+            want = pre_token_pattern().findall(text)
+            assert pre_tokens(text) == want and "".join(want) == text
+            if all(ord(c) <= upto for c in text):
+                assert pre_token_pattern(upto).findall(text) == want
+    sizes = [len(pre_token_pattern(upto).pattern) for upto in kinds]
+    assert sizes == sorted(sizes) and 10 * sizes[0] < sizes[1] < sizes[2]
+
+
 def test_bpe_tables(spark, documents, own):
     docs = documents([(1, "Hello world"), (2, None), (3, ""), (None, "x" * 100_000), (1, "Hello world")])
     both = bpe_decode(bpe_encode(docs))
