@@ -26,14 +26,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total
     return cold.unionByName(rows.filter(hot).join(F.broadcast(table.filter(hot)), key, how))
 
 
-def salted(rows: DataFrame, table: DataFrame, key: str, other: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``table`` (one row a key, of any width), a hot key's rows dealt over many tasks.
-
-    A row's salt comes from its ``other`` column; a key's table row is sent once
-    to every salt that occurs with it, never more often than rows need it, and
-    at most 4096 times.
+def salted(rows: DataFrame, table: DataFrame, key: str, other: str, total: int, places: DataFrame, also: tuple = ()) -> DataFrame:
+    """``rows`` with the columns of ``table`` (of any width), a hot key's rows dealt over many tasks.
+
+    ``table`` has one row for a key and the columns ``also``, which ``rows`` has too.
+    A row's salt comes from its ``other`` column; a key's table rows are sent once
+    to every salt that occurs with it, at most 4096 times.  ``places`` has all
+    pairs of ``key`` and ``other`` of the rows: the stored table that the rows
+    were made from, so that they are not made twice.
     """
     salts = min(max(total // 1000, 1), 4096)
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(salts)))
-    places = dealt.select(key, "salt").distinct()
-    return dealt.join(places.join(table, key), [key, "salt"]).drop("salt")
+    salt = F.pmod(F.xxhash64(other), F.lit(salts)).alias("salt")
+    sent = places.select(key, salt).distinct().join(table, key)
+    return rows.select("*", salt).join(sent, [key, *also, "salt"]).drop("salt")

@@ -2,10 +2,11 @@
 
 A document's set holds the hashes of its distinct five-word shingles (A-Z
 folded; a shorter text is one shingle).  All shingles have one global order:
-rare before frequent, then by hash.  Frequent is a shingle that makes up a
-``2**-FREQUENT_BITS``-th of all or more; there are at most ``2**FREQUENT_BITS``
-of them at any size of the input, and they are counted exactly: a sketch of
-cells names those that may be frequent, only these are counted.  Two sets
+rare before frequent, then by hash.  Frequent is a shingle whose count stands
+out from the mean load of ``2**SKETCH_BITS`` sketch cells: the sketch names the
+cells that may hold one, only their shingles are counted, exactly, and of these
+the most frequent, ``2**FREQUENT_BITS`` at most at any size of the input, are
+kept.  Two sets
 with a Jaccard similarity of 0.8 or more share a shingle among the first fifth
 of either (prefix filter), so only those prefixes meet; a pair's overlap is then
 counted by vertical partitioning: the global order is cut into fragments, the
@@ -38,8 +39,10 @@ from tallyspark.llm.hot import lookup, salted
 from tallyspark.llm.text import mix, pieces, shingles, texts_of
 from tallyspark.session import drop_scratch, store
 
-SKETCH_BITS, CHUNK = 21, 1 << 16
+SKETCH_BITS, CHUNK = 24, 1 << 16
 FREQUENT_BITS = 20
+#: Counts of the sketch are summed in groups of at most about this many tasks.
+SUMMED = 256
 FRAGMENTS = 4
 #: Ranges of the hash in which a set's tokens are counted to bound overlaps (a power of two).
 RANGES = 64
@@ -58,6 +61,28 @@ def _set_id(tokens: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _add_cells(counts: np.ndarray, tokens: np.ndarray) -> None:
+    """Adds a set's sorted tokens to 16-bit counts, which stop at their largest value."""
+    cells = _cells(tokens)
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    cell = cells[first]
+    more = np.diff(np.append(first, len(cells)))
+    counts[cell] = np.minimum(counts[cell] + more, np.iinfo(counts.dtype).max)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    import pyarrow as pa
+
+    return pa.compress(counts.astype("<u4" if counts.max() > 255 else "u1").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, form: str) -> np.ndarray:
+    import pyarrow as pa
+
+    size = CHUNK * np.dtype(form).itemsize
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), dtype=form)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """One pass over the texts: (doc_id, n, e, ranges) of each document, and each task's shingle counts by sketch cell."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -65,37 +90,37 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["doc_id", "n", "e", "ranges", "chunk", "counts"]
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
+        names = ["doc_id", "n", "e", "ranges", "chunk", "form", "counts"]
         shift = np.uint64(64 - (RANGES - 1).bit_length())
         id_type = None
         for b in pieces(batches):
             sets = [shingles(t, width) for t in texts_of(b.column("text"))]
             for s in sets:
-                np.add.at(counts, _cells(s), 1)
+                _add_cells(counts, s)
             id_type = b.schema.field("doc_id").type
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()),
                  pa.array([_set_id(s) for s in sets], pa.int64()),
                  pa.array([np.bincount((s >> shift).astype(np.int64), minlength=RANGES) for s in sets], pa.list_(pa.int32())),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names=names)
         for i in range(0, len(counts), CHUNK):
             part = counts[i:i + CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
-                     pa.array([i // CHUNK], pa.int32()),
-                     pa.array([part.astype("<u4").tobytes()], pa.binary())], names=names)
+                     pa.array([i // CHUNK], pa.int32()), pa.array(["<u4" if part.max() > 255 else "u1"]),
+                     pa.array([_packed(part)], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, e long, ranges array<int>, chunk int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n int, e long, ranges array<int>, chunk int, form string, counts binary")
 
 
 class GlobalOrder:
     """Shingles that are not frequent first, frequent ones by powers of two of their counts, then by hash.
 
     Cut into fragments of about equal mass.  ``frequent`` (sorted) and ``counts``
-    are the exactly counted shingles, ``cells`` the sketch cells that may hold one.
+    are the exactly counted shingles, ``cells`` marks the sketch cells that may hold one, a bit each.
     """
 
     def __init__(self, cells: np.ndarray, frequent: np.ndarray, counts: np.ndarray, total: int):
@@ -114,7 +139,7 @@ class GlobalOrder:
     def level(self, tokens: np.ndarray) -> np.ndarray:
         out = np.zeros(len(tokens), dtype=np.uint64)
         if len(self.frequent):
-            at = np.flatnonzero(self.cells[_cells(tokens)])
+            at = np.flatnonzero(_marked(self.cells, tokens))
             place = np.minimum(np.searchsorted(self.frequent, tokens[at]), len(self.frequent) - 1)
             known = self.frequent[place] == tokens[at]
             out[at[known]] = self.levels[place[known]]
@@ -130,30 +155,67 @@ class GlobalOrder:
         return tokens[order], np.searchsorted(self.cuts, keys[order], side="right")
 
 
-def _sketch(stored: DataFrame) -> np.ndarray:
-    """How many shingles fall into each cell, over all documents."""
-    rows = stored.filter("chunk IS NOT NULL").select("chunk", "counts").rdd
-    sums = rows.map(lambda r: (r.chunk, np.frombuffer(r.counts, dtype="<u4").astype(np.int64))).reduceByKey(
-        lambda a, b: a + b, 8)
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for chunk, part in sums.collect():  # 16 MB in all, whatever the input
-        counts[chunk * CHUNK:(chunk + 1) * CHUNK] = part
-    return counts
+def _marked(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whether the bit of each token's cell is set."""
+    cells = _cells(tokens)
+    return ((bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _likely_cells(stored: DataFrame, least: int) -> np.ndarray:
+    """The sketch cells, a bit each, into which ``least`` shingles or more of all documents fall.
+
+    Sums run by chunk of the sketch; with many tasks, first by groups of them.
+    """
+    def summed(table):
+        import pyarrow as pa
+
+        total = np.zeros(CHUNK, dtype=np.int64)
+        for form, data in zip(table.column("form").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            total += _unpacked(data, form)
+        return table.column("chunk")[0].as_py(), np.minimum(total, np.iinfo(np.uint32).max)
+
+    def partial(table):
+        import pyarrow as pa
+
+        chunk, total = summed(table)
+        return pa.table({"chunk": pa.array([chunk], pa.int32()), "form": ["<u4" if total.max() > 255 else "u1"],
+                         "counts": pa.array([_packed(total)], pa.binary())})
+
+    def marked(table):
+        import pyarrow as pa
+
+        chunk, total = summed(table)
+        return pa.table({"chunk": pa.array([chunk], pa.int32()), "bits": pa.array([np.packbits(total >= least).tobytes()])})
+
+    rows = stored.filter("chunk IS NOT NULL").select("chunk", "form", "counts")
+    tasks = rows.count() * CHUNK >> SKETCH_BITS
+    if tasks > SUMMED:
+        salt = F.pmod(F.xxhash64("counts"), F.lit(tasks // SUMMED + 1))
+        rows = rows.withColumn("salt", salt).groupBy("chunk", "salt").applyInArrow(partial, "chunk int, form string, counts binary")
+    bits = np.zeros((1 << SKETCH_BITS) // 8, dtype=np.uint8)
+    for chunk, part in rows.groupBy("chunk").applyInArrow(marked, "chunk int, bits binary").collect():  # 2 MB in all
+        bits[chunk * CHUNK // 8:(chunk + 1) * CHUNK // 8] = np.frombuffer(part, dtype=np.uint8)
+    return bits
+
+
+def _least_count(total: int) -> int:
+    """A count that the cells of ``total`` shingles which are all rare hardly reach: six deviations above the mean load."""
+    load = total / (1 << SKETCH_BITS)
+    return max(2, int(np.ceil(load + 6 * np.sqrt(load))))
 
 
 def _global_order(rows: DataFrame, stored: DataFrame, width: int) -> GlobalOrder:
     """The order of all shingles of ``rows``; a cell with too few of them in all holds no frequent one."""
     spark = rows.sparkSession
-    sketch = _sketch(stored)
-    total = int(sketch.sum())
-    least = max(2, -(-total >> FREQUENT_BITS))
-    cells = sketch >= least
-    likely = spark.sparkContext.broadcast(np.packbits(cells))  # 256 KB
+    total = int(stored.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0)
+    least = _least_count(total)
+    cells = _likely_cells(stored, least)
+    likely = spark.sparkContext.broadcast(cells)  # 2 MB
 
     def run(batches):
         import pyarrow as pa
 
-        held, size, flags = [], 0, np.unpackbits(likely.value).astype(bool)
+        held, size = [], 0
 
         def counted():
             token, n = np.unique(np.concatenate(held), return_counts=True)
@@ -162,7 +224,7 @@ def _global_order(rows: DataFrame, stored: DataFrame, width: int) -> GlobalOrder
         for b in pieces(batches):
             for t in texts_of(b.column("text")):
                 s = shingles(t, width)
-                held.append(s[flags[_cells(s)]])
+                held.append(s[_marked(likely.value, s)])
                 size += len(held[-1])
                 if size >= 1 << 20:
                     yield counted()
@@ -171,8 +233,16 @@ def _global_order(rows: DataFrame, stored: DataFrame, width: int) -> GlobalOrder
             yield counted()
 
     counts = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") >= least).toArrow()  # at most 2**FREQUENT_BITS rows
+    counted, path = store(counts.filter(F.col("n") >= least), "frequent")
     likely.destroy()
+    level = F.floor(8 * F.log2("n"))
+    room, lowest = 1 << FREQUENT_BITS, 8 * 64
+    for at, k in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 8 * 64 rows
+        if k > room:
+            break
+        room, lowest = room - k, at
+    found = counted.filter(level >= lowest).toArrow()  # at most 2**FREQUENT_BITS rows
+    drop_scratch(spark, path)
     tokens = found.column("token").to_numpy().view(np.uint64)
     by_hash = np.argsort(tokens)
     return GlobalOrder(cells, tokens[by_hash], found.column("n").to_numpy()[by_hash], total)
@@ -276,6 +346,7 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, o
     texts = near.join(wanted.select("want", "w_id"), F.col("doc_id") == F.col("w_id")).select("text", "want")
     segments, segment_path = store(_segments(texts, width, order), "segments")
     drop_scratch(rows.sparkSession, path)
+    ids.drop()
     repeated, repeated_path = store(segments.groupBy("e").agg(F.min("copy").alias("first"), F.max("copy").alias("last"))
                                     .filter("first <> last").select("e", "first"), "copies")
     one = segments.join(repeated, "e", "left").filter("first IS NULL OR copy = first").drop("copy", "first")
@@ -293,7 +364,7 @@ def _possible(pairs: DataFrame, prefixes: DataFrame, n_pairs: int) -> DataFrame:
     """
     left = pairs.join(prefixes.select(F.col("e").alias("a"), F.col("tokens").alias("ta"), F.col("ranges").alias("ra")), "a")
     right = prefixes.select(F.col("e").alias("b"), F.col("tokens").alias("tb"), F.col("ranges").alias("rb"))
-    both = salted(left, right, "b", "a", n_pairs)
+    both = salted(left, right, "b", "a", n_pairs, pairs)
     behind = F.floor((4 * F.greatest("na", "nb") + 4) / 5) - 1
     shared = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     most = F.least(F.size(F.array_intersect("ta", "tb")) + behind, shared)
@@ -306,9 +377,8 @@ def _verified(pairs: DataFrame, segments: DataFrame, n_pairs: int) -> DataFrame:
     A hub that meets a large part of all classes is sent to many tasks.
     """
     left = pairs.join(segments.select(F.col("e").alias("a"), "frag", F.col("tokens").alias("ta")), "a")
-    left = left.withColumn("part", F.struct("b", "frag"))
-    right = segments.select(F.struct(F.col("e").alias("b"), "frag").alias("part"), F.col("tokens").alias("tb"))
-    partial = salted(left, right, "part", "a", n_pairs).select(
+    right = segments.select(F.col("e").alias("b"), "frag", F.col("tokens").alias("tb"))
+    partial = salted(left, right, "b", "a", n_pairs, pairs, ("frag",)).select(
         "a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("o"))
     sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return sums.filter(9 * F.col("o") >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -388,6 +458,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     again = repeats.build(index.select("token"), _column_keys("token"), index.count())
     met, met_path = store(_only(index, "token", again.maybe_repeated), "met")
     drop_scratch(spark, index_path)
+    again.drop()
     shared = met.groupBy("token").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo <> hi").select("token")
     lists, lists_path = store(met.join(shared, "token").distinct(), "lists")
     drop_scratch(spark, met_path)
@@ -430,6 +501,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     else:
         labelled = members.withColumn("component", F.lit(None).cast("long"))
     labelled, _ = store(labelled, "labelled")
+    order.destroy()
     for path in paths:
         drop_scratch(spark, path)
 

@@ -221,15 +221,15 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(agree >= AGREE)).select(["a", "b", "na", "nb"])
 
     total = pairs.count()
-    half = salted(pairs, sigs.select(F.col("e").alias("a"), F.col("sig").alias("sa")), "a", "b", total)
-    both = salted(half, sigs.select(F.col("e").alias("b"), F.col("sig").alias("sb")), "b", "a", total)
+    half = salted(pairs, sigs.select(F.col("e").alias("a"), F.col("sig").alias("sa")), "a", "b", total, pairs)
+    both = salted(half, sigs.select(F.col("e").alias("b"), F.col("sig").alias("sb")), "b", "a", total, pairs)
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary, na long, nb long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 80 * union."""
-    half = salted(pairs, sets.select(F.col("e").alias("a"), F.col("tokens").alias("ta")), "a", "b", total)
-    both = salted(half, sets.select(F.col("e").alias("b"), F.col("tokens").alias("tb")), "b", "a", total)
+    half = salted(pairs, sets.select(F.col("e").alias("a"), F.col("tokens").alias("ta")), "a", "b", total, pairs)
+    both = salted(half, sets.select(F.col("e").alias("b"), F.col("tokens").alias("tb")), "b", "a", total, pairs)
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.filter(9 * shared >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 

@@ -5,10 +5,12 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tallyspark.llm import repeats
+from tallyspark.llm import jaccard_join, repeats
 from tallyspark.llm.components import components
 from tallyspark.llm.exact_dedup import dedup_verdicts, exact_dedup
+from tallyspark.llm.hot import salted
 from tallyspark.llm.jaccard_join import keep_one, near_duplicates
 from tallyspark.llm.substring_dedup import remove_repeats
 from tallyspark.llm.text import shingles, window_hashes, word_hashes, word_spans
@@ -112,6 +114,61 @@ def test_near_duplicates_match_brute_force(spark, documents):
     assert empty.columns == documents([]).columns and empty.count() == 0
 
 
+def test_global_order_counts_all_that_stand_out(spark, documents):
+    """A phrase shared by a few dozen of many texts comes last, however small its part of all shingles is."""
+    rng = random.Random(6)
+    shared = prose(rng, 30)
+    rows = [(i, prose(rng, 400, 10**6) + (" " + shared if i < 40 else "")) for i in range(400)]
+    docs = documents(rows).select("doc_id", "text").repartition(3)
+    stored, _ = jaccard_join.store(jaccard_join._sets(docs, 5), "sets")
+    sets = [set(jaccard_join.shingles(t.encode(), 5).tolist()) for _, t in rows]
+    counts = {}
+    for s in sets:
+        for t in s:
+            counts[t] = counts.get(t, 0) + 1
+    order = jaccard_join._global_order(docs, stored, 5)
+    least = jaccard_join._least_count(sum(counts.values()))
+    assert dict(zip(order.frequent.tolist(), order.levels.tolist())) == {
+        t: n.bit_length() for t, n in counts.items() if n >= least}
+    # 100 billion shingles: a count of 7,000 is no 2**-20th of them, but stands out
+    assert least == 2 and jaccard_join._least_count(10**11) < 7000 < 10**11 >> 20
+    first = order.ordered(np.sort(np.array(list(sets[0]), dtype=np.uint64)))[0][:80].tolist()
+    assert {counts[t] for t in first} == {1}
+
+
+def test_sketch_sums_by_groups_of_tasks(spark, documents, monkeypatch):
+    rng = random.Random(7)
+    docs = documents([(i, prose(rng, 60, 300)) for i in range(60)]).select("doc_id", "text").repartition(6)
+    stored, _ = jaccard_join.store(jaccard_join._sets(docs, 5), "sets")
+    once = jaccard_join._likely_cells(stored, 2)
+    monkeypatch.setattr(jaccard_join, "SUMMED", 2)
+    assert (jaccard_join._likely_cells(stored, 2) == once).all()
+    counts = np.zeros(1 << jaccard_join.SKETCH_BITS, dtype=np.uint16)
+    for r in docs.collect():
+        jaccard_join._add_cells(counts, jaccard_join.shingles(r.text.encode(), 5))
+    assert (np.unpackbits(once) == (counts >= 2)).all()
+    full = np.array([65534, 0], dtype=np.uint16)
+    monkeypatch.setattr(jaccard_join, "_cells", lambda tokens: np.zeros(len(tokens), dtype=np.int64))
+    jaccard_join._add_cells(full, np.arange(5, dtype=np.uint64))
+    assert full.tolist() == [65535, 0]
+
+
+def test_salted_does_not_make_its_rows_twice(spark):
+    pairs = spark.createDataFrame([(a, b) for a in range(50) for b in (1, 2)] + [(99, 7)], "a long, b long")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for x in batches:
+            made.add(x.num_rows)
+            yield x
+
+    rows = pairs.withColumn("frag", F.lit(0)).mapInArrow(count, "a long, b long, frag int")
+    table = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "z")], "b long, frag int, v string")
+    got = salted(rows, table, "b", "a", 5000, pairs, ("frag",)).select("a", "b", "v").collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, "xz"[b - 1]) for a in range(50) for b in (1, 2))
+    assert made.value == 101
+
+
 def test_near_duplicates_of_a_large_group(spark, documents):
     """One group holds most rows: every copy differs from the base in one place, so all reach it."""
     rng = random.Random(9)
