@@ -126,6 +126,9 @@ class BytePairCodec:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks.setdefault(vocab[a] << self.id_bits | vocab[b], rank)
             self.joined.append(vocab[a + b])
+        #: two bytes (the first << 8 | the second) -> the rank of their pair, -1 if it does not merge
+        self.byte_ranks = [-1 if a is None or b is None else self.ranks.get(a << self.id_bits | b, -1)
+                           for a in self.byte_ids for b in self.byte_ids]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = {t: np.asarray([i], dtype="<u4").tobytes() for t, i in added.items()}
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
@@ -146,8 +149,9 @@ class BytePairCodec:
         shift = n.bit_length()
         mask = (1 << shift) - 1
         #: the entry of the pair that begins at each position, -1 if it does not merge
-        entry = [-1 if (r := rank_of(a << bits | b)) is None else r << shift | i
-                 for i, (a, b) in enumerate(zip(symbol, symbol[1:], strict=False))]
+        first = self.byte_ranks
+        entry = [r << shift | i if (r := first[a << 8 | b]) >= 0 else -1
+                 for i, (a, b) in enumerate(zip(word, word[1:], strict=False))]
         entry.append(-1)
         queue = [e for e in entry if e >= 0]
         heapq.heapify(queue)
