@@ -94,6 +94,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         names = ["doc_id", "n", "e", "ranges", "chunk", "form", "counts"]
         shift = np.uint64(64 - (RANGES - 1).bit_length())
         id_type = None
+
+        def by_range(sets):
+            flat = np.zeros(len(sets) * RANGES, dtype=np.int32)
+            for i, s in enumerate(sets):
+                flat[i * RANGES:(i + 1) * RANGES] = np.bincount((s >> shift).astype(np.int64), minlength=RANGES)
+            return flat
+
         for b in pieces(batches):
             sets = [shingles(t, width) for t in texts_of(b.column("text"))]
             for s in sets:
@@ -103,7 +110,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()),
                  pa.array([_set_id(s) for s in sets], pa.int64()),
-                 pa.array([np.bincount((s >> shift).astype(np.int64), minlength=RANGES) for s in sets], pa.list_(pa.int32())),
+                 pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * RANGES, by_range(sets)),
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names=names)
         for i in range(0, len(counts), CHUNK):
             part = counts[i:i + CHUNK]
@@ -137,7 +144,7 @@ class GlobalOrder:
         self.cuts = np.array(cuts, dtype=np.uint64)
 
     def level(self, tokens: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(tokens), dtype=np.uint64)
+        out = np.zeros(len(tokens), dtype=np.uint8)
         if len(self.frequent):
             at = np.flatnonzero(_marked(self.cells, tokens))
             place = np.minimum(np.searchsorted(self.frequent, tokens[at]), len(self.frequent) - 1)
@@ -145,14 +152,19 @@ class GlobalOrder:
             out[at[known]] = self.levels[place[known]]
         return out
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        return (self.level(tokens) << np.uint64(58)) | (tokens >> np.uint64(6))
+    def first(self, tokens: np.ndarray, k: int) -> np.ndarray:
+        """The first k of a set's sorted tokens in global order."""
+        level = self.level(tokens)
+        rare = tokens[level == 0]
+        return rare[:k] if len(rare) >= k else tokens[np.argsort(level, kind="stable")[:k]]
 
     def ordered(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens in global order, and the fragment of each."""
-        keys = self.keys(tokens)
-        order = np.lexsort((tokens, keys))
-        return tokens[order], np.searchsorted(self.cuts, keys[order], side="right")
+        """A set's sorted tokens in global order, and the fragment of each."""
+        level = self.level(tokens)
+        order = np.argsort(level, kind="stable")
+        tokens = tokens[order]
+        keys = (level[order].astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(6))
+        return tokens, np.searchsorted(self.cuts, keys, side="right")
 
 
 def _marked(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -259,7 +271,7 @@ def _prefixes(docs: DataFrame, width: int, order) -> DataFrame:
                 s = shingles(t, width)
                 if len(s):
                     n = len(s)
-                    first = order.value.ordered(s)[0][:n - (4 * n + 4) // 5 + 1]
+                    first = order.value.first(s, n - (4 * n + 4) // 5 + 1)
                     out.append((first.view(np.int64), _set_id(s), n))
             if out:
                 sizes = [len(x[0]) for x in out]
@@ -272,22 +284,23 @@ def _prefixes(docs: DataFrame, width: int, order) -> DataFrame:
     return docs.mapInArrow(run, "token long, e long, n int, pos int")
 
 
-def _segments(docs: DataFrame, width: int, order) -> DataFrame:
-    """(e, frag, tokens): the sets of ``docs`` (with text and wanted e), cut into fragments."""
+def _segments(rows: DataFrame, width: int, order, ids) -> DataFrame:
+    """(e, frag, tokens, copy): the sets of the documents in a bounded map of ids, and of few others, cut into fragments."""
     def run(batches):
         import pyarrow as pa
 
         for b in pieces(batches):
             es, frags, parts, copies = [], [], [], []
-            for t, want in zip(texts_of(b.column("text")), b.column("want").to_pylist(), strict=True):
+            near = b.filter(pa.array(ids.maybe_seen(b.column("key").to_numpy(zero_copy_only=False))))
+            for t in texts_of(near.column("text")):
                 s = shingles(t, width)
-                if not len(s) or _set_id(s) != want:
+                if not len(s):
                     continue
                 tokens, frag = order.value.ordered(s)
                 for part in np.split(tokens, np.flatnonzero(np.diff(frag)) + 1):
                     parts.append(np.sort(part).view(np.int64))
                 fs = frag[np.r_[0, np.flatnonzero(np.diff(frag)) + 1]]
-                es += [want] * len(fs)
+                es += [_set_id(s)] * len(fs)
                 copies += [uuid.uuid4().int >> 65] * len(fs)
                 frags += fs.tolist()
             offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
@@ -297,7 +310,8 @@ def _segments(docs: DataFrame, width: int, order) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(copies, pa.int64())],
                 names=["e", "frag", "tokens", "copy"])
 
-    return docs.mapInArrow(run, "e long, frag int, tokens array<long>, copy long")
+    return rows.select("text", F.xxhash64("doc_id").alias("key")).mapInArrow(
+        run, "e long, frag int, tokens array<long>, copy long")
 
 
 def _similar(n1: Column, n2: Column) -> Column:
@@ -331,20 +345,18 @@ def _column_keys(column: str):
     return keys
 
 
-def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, order) -> tuple[DataFrame, list[str]]:
-    """The stored segments of the classes in ``pairs``, from the text of each one's first document.
+def _sets_of(pairs: DataFrame, rows: DataFrame, prefixes: DataFrame, width: int, order) -> tuple[DataFrame, list[str]]:
+    """The stored segments of the classes in ``pairs``, from the text of each one's first document, where it is read.
 
-    A bounded map of their ids keeps nearly all other texts out of the shuffle.
-    If that document's row occurs several times, the segments of one copy count;
-    the table of such classes is stored, so that the segments meet it unmoved while it is small.
+    A bounded map of the first documents' ids leaves nearly all other texts out;
+    the few others are of classes that no pair has, or copies.  Of several
+    documents with one set the segments of one copy count; the table of such
+    classes is stored, so that the segments meet it unmoved while it is small.
     """
     es = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-    wanted, path = store(firsts.join(es, "e").select(F.col("e").alias("want"), F.col("doc_id").alias("w_id"),
-                                                     F.xxhash64("doc_id").alias("key")), "wanted")
-    ids = repeats.build(wanted.select("key"), _column_keys("key"), wanted.count(), keep_seen=True)
-    near = _only(rows.withColumn("key", F.xxhash64("doc_id")), "key", ids.maybe_seen)
-    texts = near.join(wanted.select("want", "w_id"), F.col("doc_id") == F.col("w_id")).select("text", "want")
-    segments, segment_path = store(_segments(texts, width, order), "segments")
+    wanted, path = store(prefixes.select("e", F.xxhash64("doc_id").alias("key")).join(es, "e").select("key"), "wanted")
+    ids = repeats.build(wanted, _column_keys("key"), wanted.count(), keep_seen=True)
+    segments, segment_path = store(_segments(rows, width, order, ids), "segments")
     drop_scratch(rows.sparkSession, path)
     ids.drop()
     repeated, repeated_path = store(segments.groupBy("e").agg(F.min("copy").alias("first"), F.max("copy").alias("last"))
@@ -353,22 +365,27 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, o
     return one, [segment_path, repeated_path]
 
 
-def _possible(pairs: DataFrame, prefixes: DataFrame, n_pairs: int) -> DataFrame:
-    """The pairs that the overlap of their prefixes and the counts of their tokens by range leave possible.
+def _possible(pairs: DataFrame, prefixes: DataFrame, n_pairs: int) -> tuple[DataFrame, str]:
+    """The pairs that the overlap of their prefixes and the counts of their tokens by range leave possible, stored; and the path.
 
-    In no range can two sets share more tokens than the smaller count.
+    A bounded map of the pairs' classes keeps nearly all other prefixes out of
+    the shuffles.  In no range can two sets share more tokens than the smaller count.
 
     Of two sets, let x be the one whose prefix ends first.  All common tokens up
     to there are in both prefixes (k of them); behind it x has ceil(0.8 n) - 1
     tokens left, so the overlap is at most k + ceil(0.8 n) - 1.
     """
-    left = pairs.join(prefixes.select(F.col("e").alias("a"), F.col("tokens").alias("ta"), F.col("ranges").alias("ra")), "a")
-    right = prefixes.select(F.col("e").alias("b"), F.col("tokens").alias("tb"), F.col("ranges").alias("rb"))
+    ids = repeats.build(pairs.select(F.explode(F.array("a", "b")).alias("e")), _column_keys("e"), 2 * n_pairs, keep_seen=True)
+    near = _only(prefixes, "e", ids.maybe_seen)
+    left = pairs.join(near.select(F.col("e").alias("a"), F.col("tokens").alias("ta"), F.col("ranges").alias("ra")), "a")
+    right = near.select(F.col("e").alias("b"), F.col("tokens").alias("tb"), F.col("ranges").alias("rb"))
     both = salted(left, right, "b", "a", n_pairs, pairs)
     behind = F.floor((4 * F.greatest("na", "nb") + 4) / 5) - 1
     shared = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     most = F.least(F.size(F.array_intersect("ta", "tb")) + behind, shared)
-    return both.filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    out = store(both.filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "pairs")
+    ids.drop()
+    return out
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, n_pairs: int) -> DataFrame:
@@ -384,31 +401,32 @@ def _verified(pairs: DataFrame, segments: DataFrame, n_pairs: int) -> DataFrame:
     return sums.filter(9 * F.col("o") >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
-    """``lists`` plus each class's component c, without the tokens whose classes are all in one; stored, and its path."""
+def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``lists`` plus each class's component c and each token's count, without the tokens whose classes are all in one.
+
+    Also the tokens' counts, and the paths of both stored tables.
+    """
     c = components(links).select(F.col("node").alias("e"), "component")
     rows = lists.join(c, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
     mixed, mixed_path = store(rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
                                                         F.count(F.lit(1)).alias("count")).filter("lo <> hi"), "mixed")
     total = mixed.agg(F.sum("count")).first()[0] or 0
-    open_lists, path = store(lookup(rows, mixed.select("token"), "token", mixed, total), "lists")
-    drop_scratch(lists.sparkSession, mixed_path)
-    return open_lists, path
+    open_lists, path = store(lookup(rows, mixed.select("token", "count"), "token", mixed, total), "lists")
+    return open_lists, mixed, [mixed_path, path]
 
 
-def _star_pairs(lists: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, str]:
-    """The untested pairs of each class with the hubs of its lists, and a path to drop once they are stored.
+def _star_pairs(lists: DataFrame, tested: DataFrame | None, sizes: DataFrame) -> DataFrame:
+    """The untested pairs of each class with the hubs of its lists; ``sizes`` has the count of each token.
 
     The hub of a list (in a band of sizes) is the most central of the classes
     that were no hub yet, the one that meets most others in all its lists: it
     links to more of a group of near copies than a class that lies at the rim.
     """
     band = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    sizes, path = store(lists.groupBy("token").agg(F.count(F.lit(1)).alias("count")), "sizes")
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    met = lookup(lists, sizes.select("token", F.col("count").alias("size")), "token", sizes, total)
-    central = met.groupBy("e").agg(F.sum("size").alias("meets"))
-    lists = lists.join(central, "e").withColumn("band", band)
+    met = lists if "count" in lists.columns else lookup(lists, sizes.select("token", "count"), "token", sizes, total)
+    central = met.groupBy("e").agg(F.sum("count").alias("meets"))
+    lists = lists.drop("count").join(central, "e").withColumn("band", band)
     fresh = lists if tested is None else lists.join(tested.select(F.col("b").alias("e")).distinct(), "e", "left_anti")
     first = F.struct(F.col("meets").alias("meets"), F.xxhash64("e").alias("h"), F.col("e").alias("e"), F.col("n").alias("n"),
                      F.col("c").alias("c"), F.col("pos").alias("pos"))
@@ -419,7 +437,7 @@ def _star_pairs(lists: DataFrame, tested: DataFrame | None) -> tuple[DataFrame,
              .select("e", "n", "c", "pos", at["e"].alias("b"), at["n"].alias("nb"), at["c"].alias("cb"), at["pos"].alias("pb"))
              .filter((F.col("c") != F.col("cb")) & _similar(F.col("n"), F.col("nb")) & _room("n", "pos", "nb", "pb"))
              .select(F.col("e").alias("a"), F.col("n").alias("na"), "b", "nb").distinct())
-    return (pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), path
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _open_pairs(lists: DataFrame) -> int:
@@ -467,15 +485,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("doc_id").alias("doc_id"), F.max("ranges").alias("ranges"))
 
     own = lists.groupBy("e").agg(F.collect_list("token").alias("tokens"))
-    prefixes, prefix_path = store(own.join(firsts.select("e", "ranges"), "e"), "tokens")
+    prefixes, prefix_path = store(own.join(firsts, "e"), "tokens")
     paths, links, tested, before = [sets_path, lists_path, prefix_path], None, None, None
     open_lists = lists.withColumn("c", F.col("e"))
+    sizes, size_path = store(lists.groupBy("token").agg(F.count(F.lit(1)).alias("count")), "sizes")
+    paths.append(size_path)
 
     def verify(pairs: DataFrame) -> None:
         nonlocal links, tested
         pairs, pair_path = store(pairs, "pairs")
-        likely, likely_path = store(_possible(pairs, prefixes, pairs.count()), "pairs")
-        segments, segment_paths = _sets_of(likely, rows, firsts, width, order)
+        likely, likely_path = _possible(pairs, prefixes, pairs.count())
+        segments, segment_paths = _sets_of(likely, rows, prefixes, width, order)
         found, link_path = store(_verified(likely, segments, FRAGMENTS * likely.count()), "links")
         for path in segment_paths:
             drop_scratch(spark, path)
@@ -485,15 +505,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = found if links is None else links.unionByName(found)
 
     while n_classes:
-        left = _open_pairs(open_lists)
+        if tested is None:  # every class is a component
+            k = F.col("count").cast("double")
+            left = int((sizes.agg(F.sum(k * (k - 1))).first()[0] or 0) / 2)
+        else:
+            left = _open_pairs(open_lists)
         if tested is not None and (left <= OPEN_PAIRS * n_classes or left > 0.9 * before):
             break
         before = left
-        star, size_path = _star_pairs(open_lists, tested)
-        verify(star)
-        drop_scratch(spark, size_path)
-        open_lists, path = _labelled(lists, links)
-        paths.append(path)
+        verify(_star_pairs(open_lists, tested, sizes))
+        # a list whose classes are all in one component stays so
+        open_lists, sizes, new_paths = _labelled(open_lists.drop("c", "count"), links)
+        paths.extend(new_paths)
     if n_classes:
         verify(_rest_pairs(open_lists, tested))
         named = components(links).select(F.col("node").alias("e"), "component")
