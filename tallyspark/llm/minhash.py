@@ -145,8 +145,11 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, MINIMA)
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, e, n): a class's 40 buckets, hashes of a band's number and its four minima."""
+def _buckets(classes: DataFrame, wanted=None) -> DataFrame:
+    """(bucket, e, n): a class's 40 buckets, hashes of a band's number and its four minima.
+
+    With ``wanted``, a bounded map of buckets, few others than those in it.
+    """
     def run(batches):
         import pyarrow as pa
 
@@ -157,42 +160,50 @@ def _buckets(classes: DataFrame) -> DataFrame:
             total = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), bands.shape[:2]).copy()
             for j in range(ROWS):
                 total = mix(total + bands[:, :, j])
-            each = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64).ravel()), b.column("e").take(each),
+            total, each = total.view(np.int64).ravel(), np.repeat(np.arange(b.num_rows), BANDS)
+            if wanted is not None:
+                seen = wanted.maybe_seen(total)
+                total, each = total[seen], each[seen]
+            each = pa.array(each)
+            yield pa.RecordBatch.from_arrays([pa.array(total), b.column("e").take(each),
                                               b.column("n").take(each)], names=["bucket", "e", "n"])
 
     return classes.select("e", "n", "sig").mapInArrow(run, "bucket long, e binary, n long")
 
 
-def _near(rows: DataFrame, ids) -> DataFrame:
-    """The rows whose doc_id is in a bounded map of ids, and few others: most texts then need no shuffle."""
+def _near(rows: DataFrame, column: str, seen) -> DataFrame:
+    """The rows whose ``column`` is in a bounded map, and few others: most wide rows then need no shuffle."""
+    names = rows.columns
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            seen = ids.maybe_seen(b.column("key").to_numpy(zero_copy_only=False))
-            yield b.filter(pa.array(seen)).select(["doc_id", "text"])
+            near = seen.maybe_seen(b.column("key").to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(near)).select(names)
 
-    return rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
+    return rows.withColumn("key", F.xxhash64(column)).mapInArrow(run, rows.schema)
 
 
 def _id_keys(batch):
     yield batch.column("key").to_numpy(zero_copy_only=False)
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(e, tokens, bits) of the wanted classes (e, low), from the text of each one's first document; bits is the bit map."""
-    kind = rows.schema["doc_id"].dataType
+def _sets_of(rows: DataFrame, ids, width: int) -> DataFrame:
+    """(e, tokens, bits) of the documents in a bounded map of ids, and of few others, where their texts are read.
 
+    Of documents with one set, one row stays; bits is the bit map.
+    """
     def run(batches):
         import pyarrow as pa
 
         for b in pieces(batches, 256):
             es, sets, bits = [], [], []
-            for t, e in zip(texts_of(b.column("text")), b.column("e").to_pylist(), strict=True):
+            near = b.filter(pa.array(ids.maybe_seen(b.column("key").to_numpy(zero_copy_only=False))))
+            for t in texts_of(near.column("text")):
                 s = shingles(t, width)
-                if _name(s) == e:
-                    es.append(e)
+                if len(s):
+                    es.append(_name(s))
                     sets.append(s.view(np.int64))
                     bits.append(bit_map(s).tobytes())
             ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
@@ -201,7 +212,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 [pa.array(es, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                  pa.array(bits, pa.binary())], names=["e", "tokens", "bits"])
 
-    texts = rows.join(wanted.select("e", F.col("low").cast(kind).alias("doc_id")), "doc_id").select("e", "text")
+    texts = rows.select("text", F.xxhash64("doc_id").alias("key"))
     return texts.mapInArrow(run, "e binary, tokens array<long>, bits binary").dropDuplicates(["e"])
 
 
@@ -210,7 +221,12 @@ def _similar(n1: Column, n2: Column) -> Column:
     return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1)
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _with_first(pairs: DataFrame, table: DataFrame, total: int, once: bool) -> DataFrame:
+    """``pairs`` with the columns of ``table`` for a; ``once`` says that no a occurs twice."""
+    return pairs.join(table, "a") if once else salted(pairs, table, "a", "b", total, pairs)
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame, once: bool) -> DataFrame:
     """The pairs (a, b, na, nb) whose signatures agree in ``AGREE`` minima at least."""
     def run(batches):
         import pyarrow as pa
@@ -221,14 +237,14 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(agree >= AGREE)).select(["a", "b", "na", "nb"])
 
     total = pairs.count()
-    half = salted(pairs, sigs.select(F.col("e").alias("a"), F.col("sig").alias("sa")), "a", "b", total, pairs)
+    half = _with_first(pairs, sigs.select(F.col("e").alias("a"), F.col("sig").alias("sa")), total, once)
     both = salted(half, sigs.select(F.col("e").alias("b"), F.col("sig").alias("sb")), "b", "a", total, pairs)
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary, na long, nb long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, total: int, once: bool) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 80 * union."""
-    half = salted(pairs, sets.select(F.col("e").alias("a"), F.col("tokens").alias("ta")), "a", "b", total, pairs)
+    half = _with_first(pairs, sets.select(F.col("e").alias("a"), F.col("tokens").alias("ta")), total, once)
     both = salted(half, sets.select(F.col("e").alias("b"), F.col("tokens").alias("tb")), "b", "a", total, pairs)
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.filter(9 * shared >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -329,34 +345,41 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members, members_path = store(signed.select("doc_id", "n", "e"), "members")
     drop_scratch(spark, signed_path)
     counts, counts_path = store(_buckets(classes).groupBy("bucket").count().filter("count > 1"), "buckets")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    lists, lists_path = store(lookup(_buckets(classes), counts.select("bucket", F.col("count").alias("members")), "bucket",
+    n_buckets, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    seen = repeats.build(counts.select(F.col("bucket").alias("key")), _id_keys, n_buckets, keep_seen=True)
+    lists, lists_path = store(lookup(_buckets(classes, seen), counts.select("bucket", F.col("count").alias("members")), "bucket",
                                      counts, total), "lists")
+    seen.drop()
     drop_scratch(spark, counts_path)
     met, met_path = store(lists.select("e").distinct(), "met")
-    found = classes.join(met, "e")
-    sigs, sigs_path = store(found.select("e", "sig"), "sigs")
-    wanted, wanted_path = store(found.select("e", "low"), "wanted")
-    n_classes = wanted.count()
-    ids = repeats.build(wanted.select(F.xxhash64("low").alias("key")), _id_keys, n_classes, keep_seen=True)
-    sets, sets_path = store(_sets_of(_near(rows, ids), wanted, width), "sets")
+    n_classes = met.count()
+    seen = repeats.build(met.select(F.xxhash64("e").alias("key")), _id_keys, n_classes, keep_seen=True)
+    found, found_path = store(_near(classes.select("e", "low", "sig"), "e", seen).join(met, "e"), "found")
+    seen.drop()
+    sigs = found.select("e", "sig")
+    ids = repeats.build(found.select(F.xxhash64("low").alias("key")), _id_keys, n_classes, keep_seen=True)
+    sets, sets_path = store(_sets_of(rows, ids, width), "sets")
     ids.drop()
-    drop_scratch(spark, wanted_path)
     sizes, sizes_path = store(classes.select("e", "count"), "sizes")
     drop_scratch(spark, classes_path)
     drop_scratch(spark, met_path)
-    paths = [members_path, sigs_path, sets_path, sizes_path]
-    links, tested, names = None, None, None
-
-    def verify(agreeing: DataFrame) -> None:
-        """Adds the links among pairs with similar signatures, and names the components anew."""
-        nonlocal links, names
-        likely, path = store(agreeing, "likely")
-        new, link_path = store(_linked(likely, sets, likely.count()), "links")
+    paths = [members_path, found_path, sets_path, sizes_path]
+    tested, names = None, None
+
+    def verify(pairs: DataFrame, once: bool) -> bool:
+        """Whether there are links among the pairs, which join the components known so far (stars of their smallest nodes)."""
+        nonlocal names
+        likely, path = store(_agreeing(pairs, sigs, once), "likely")
+        links, link_path = store(_linked(likely, sets, likely.count(), once), "links")
         drop_scratch(spark, path)
-        links = new if links is None else links.unionByName(new)
+        paths.append(link_path)
+        if links.isEmpty():
+            return False
+        if names is not None:
+            links = links.unionByName(names.select(F.col("node").alias("a"), F.col("component").alias("b")))
         names, name_path = star_components(links)
-        paths.extend([link_path, name_path])
+        paths.append(name_path)
+        return True
 
     now, now_path = lists.withColumn("c", F.col("e")), lists_path
     left, before = _open_pairs(now), None
@@ -365,17 +388,20 @@ def minhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         rounds += 1
         pairs, path = store(_star_pairs(now, tested), "pairs")
         paths.append(path)
-        verify(_agreeing(pairs, sigs))
+        joined = verify(pairs, once=True)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        before = left
+        if not joined:
+            continue
         named = now.drop("c").join(names.withColumnRenamed("node", "e"), "e", "left")
         opened, path = _open(named.withColumn("c", F.coalesce("component", "e")).drop("component"))
         drop_scratch(spark, now_path)
         now, now_path = opened, path
-        left, before = _open_pairs(now), left
+        left = _open_pairs(now)
     if left:
         pairs, path = store(_rest_pairs(now, sets), "pairs")
         paths.append(path)
-        verify(_agreeing(pairs, sigs))
+        verify(pairs, once=False)
     paths.append(now_path)
 
     if names is not None:

@@ -2,7 +2,7 @@
 
 A large-star step links every node's larger neighbours to its smallest one (or
 itself); a small-star step links its smaller neighbours and itself to the
-smallest.  Both keep the components; alternated until nothing changes, they
+smallest.  Both keep the components; alternated until only stars remain, they
 leave every node linked to the smallest node of its component alone.
 """
 
@@ -46,9 +46,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return done, done_path
 
 
-def _state(edges: DataFrame) -> tuple:
-    mark = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node to a smaller one, no node has two of them, and none of the smaller nodes has one."""
+    one = F.lit(1)
+    ends = edges.select(F.col("u").alias("node"), one.alias("out"), (F.col("u") < F.col("v")).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(False).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count(one).alias("all"), F.max("up").alias("up"))
+    return nodes.filter("up OR out > 1 OR (out = 1 AND all > 1)").isEmpty()
 
 
 def star_components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -60,16 +64,11 @@ def star_components(links: DataFrame) -> tuple[DataFrame, str]:
     spark = links.sparkSession
     edges = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges, path = store(edges.distinct(), "stars")
-    before = _state(edges)
-    while True:
+    while not _are_stars(edges):
         for step in (_large_star, _small_star):
             new, new_path = step(edges)
             drop_scratch(spark, path)
             edges, path = new, new_path
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     named, named_path = store(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots),
                               "components")
