@@ -415,9 +415,11 @@ def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame,
     return open_lists, mixed, [mixed_path, path]
 
 
-def _star_pairs(lists: DataFrame, tested: DataFrame | None, sizes: DataFrame) -> DataFrame:
+def _star_pairs(lists: DataFrame, tested: DataFrame | None, sizes: DataFrame) -> tuple[DataFrame, str]:
     """The untested pairs of each class with the hubs of its lists; ``sizes`` has the count of each token.
 
+    Also the path of the hubs, which are stored: the lists of hot tokens and all others meet them apart.
+
     The hub of a list (in a band of sizes) is the most central of the classes
     that were no hub yet, the one that meets most others in all its lists: it
     links to more of a group of near copies than a class that lies at the rim.
@@ -426,18 +428,19 @@ def _star_pairs(lists: DataFrame, tested: DataFrame | None, sizes: DataFrame) ->
     total = sizes.agg(F.sum("count")).first()[0] or 0
     met = lists if "count" in lists.columns else lookup(lists, sizes.select("token", "count"), "token", sizes, total)
     central = met.groupBy("e").agg(F.sum("count").alias("meets"))
-    lists = lists.drop("count").join(central, "e").withColumn("band", band)
-    fresh = lists if tested is None else lists.join(tested.select(F.col("b").alias("e")).distinct(), "e", "left_anti")
+    lists = lists.drop("count").withColumn("band", band)
+    fresh = lists.join(central, "e")
+    fresh = fresh if tested is None else fresh.join(tested.select(F.col("b").alias("e")).distinct(), "e", "left_anti")
     first = F.struct(F.col("meets").alias("meets"), F.xxhash64("e").alias("h"), F.col("e").alias("e"), F.col("n").alias("n"),
                      F.col("c").alias("c"), F.col("pos").alias("pos"))
-    hubs = fresh.groupBy("token", "band").agg(F.max(first).alias("hub")).groupBy("token").agg(
-        F.map_from_entries(F.collect_list(F.struct("band", "hub"))).alias("hubs"))  # a few dozen bands
+    hubs, path = store(fresh.groupBy("token", "band").agg(F.max(first).alias("hub")).groupBy("token").agg(
+        F.map_from_entries(F.collect_list(F.struct("band", "hub"))).alias("hubs")), "hubs")  # a few dozen bands
     at = F.col("hubs")[F.col("band")]
     pairs = (lookup(lists, hubs, "token", sizes, total)
              .select("e", "n", "c", "pos", at["e"].alias("b"), at["n"].alias("nb"), at["c"].alias("cb"), at["pos"].alias("pb"))
              .filter((F.col("c") != F.col("cb")) & _similar(F.col("n"), F.col("nb")) & _room("n", "pos", "nb", "pb"))
              .select(F.col("e").alias("a"), F.col("n").alias("na"), "b", "nb").distinct())
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    return (pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), path
 
 
 def _open_pairs(lists: DataFrame) -> int:
@@ -513,7 +516,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if tested is not None and (left <= OPEN_PAIRS * n_classes or left > 0.9 * before):
             break
         before = left
-        verify(_star_pairs(open_lists, tested, sizes))
+        star_pairs, hub_path = _star_pairs(open_lists, tested, sizes)
+        verify(star_pairs)
+        drop_scratch(spark, hub_path)
         # a list whose classes are all in one component stays so
         open_lists, sizes, new_paths = _labelled(open_lists.drop("c", "count"), links)
         paths.extend(new_paths)

@@ -45,6 +45,8 @@ BINS_PER_OCTAVE = 32
 KEYS = ["lang", "source", "level"]
 #: The chi-square quantile of 0.99999 for as many degrees of freedom as features (fixed value).
 CUTOFF = 30.86
+#: Tables of estimates with at most so many rows are sent to the rows they meet; Spark chooses the join of longer ones.
+SENT = 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -135,10 +137,15 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in keys])
 
 
-def _join(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _sent(table: DataFrame, few: bool) -> DataFrame:
+    """``table``, broadcast where it is short: its many small files look large to Spark, which then would shuffle the rows."""
+    return F.broadcast(table) if few else table
+
+
+def _join(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Every row with the estimates of its groups, one for each start."""
     e = estimates.select(*[F.col(c).alias(f"e_{c}") for c in estimates.columns])
-    return rows.join(e, _same("", "e_", KEYS))
+    return rows.join(_sent(e, few), _same("", "e_", KEYS))
 
 
 def _cholesky(estimates: DataFrame, d: int) -> DataFrame:
@@ -161,18 +168,19 @@ def _log_det(d: int, prefix: str = "") -> Column:
     return F.expr(" + ".join(f"ln({prefix}l{i}{i})" for i in range(d)))
 
 
-def _starts(rows: DataFrame, d: int, paths: list[str]) -> DataFrame:
-    """Three estimates a group: medians, absolute deviations and the correlations of start 0, 1 or 2."""
+def _starts(rows: DataFrame, d: int, paths: list[str]) -> tuple[DataFrame, bool]:
+    """Three estimates a group: medians, absolute deviations and the correlations of start 0, 1 or 2; whether they are few."""
     middle, path = store(rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("rows"), *[F.expr(f"percentile_approx(round(x{i}, 4), 0.5) AS m{i}") for i in range(d)]), "mcd")
     paths.append(path)
-    spread = _join(rows, middle).groupBy(*KEYS).agg(
+    few = 3 * middle.count() <= SENT
+    spread = _join(rows, middle, few).groupBy(*KEYS).agg(
         *[F.expr(f"percentile_approx(round(abs(x{i} - e_m{i}), 4), 0.5) AS s{i}") for i in range(d)])
-    scaled, path = store(middle.alias("a").join(spread.alias("b"), _same("a.", "b.", KEYS)).selectExpr(
+    scaled, path = store(_sent(middle, few).alias("a").join(spread.alias("b"), _same("a.", "b.", KEYS)).selectExpr(
         "a.*", *[f"greatest(1.4826D * s{i}, double({FLOORS[i]})) AS s{i}" for i in range(d)]), "mcd")
     paths.append(path)
 
-    z = _join(rows, scaled).selectExpr(*KEYS, *[f"(x{i} - e_m{i}) / e_s{i} AS z{i}" for i in range(d)])
+    z = _join(rows, scaled, few).selectExpr(*KEYS, *[f"(x{i} - e_m{i}) / e_s{i} AS z{i}" for i in range(d)])
     z = z.selectExpr("*", "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(d)) + "), 1e-9D) AS norm")
     squashed = {1: "tanh(z{0})", 2: "z{0} / norm"}
     related = z.groupBy(*KEYS).agg(*[F.expr(f"covar_pop({k.format(i)}, {k.format(j)}) AS r{n}_{i}{j}")
@@ -187,19 +195,19 @@ def _starts(rows: DataFrame, d: int, paths: list[str]) -> DataFrame:
 
     each = ", ".join("struct(" + ", ".join([f"{n} AS start", *[f"{covariance(n, i, j)} AS c{i}{j}" for i in range(d) for j in range(i + 1)]])
                      + ")" for n in range(3))
-    begun = scaled.alias("a").join(related.alias("b"), _same("a.", "b.", KEYS)).selectExpr(
+    begun = _sent(scaled, few).alias("a").join(related.alias("b"), _same("a.", "b.", KEYS)).selectExpr(
         *[f"a.{c}" for c in KEYS], "rows", *[f"m{i}" for i in range(d)], f"inline(array({each}))")
     started, path = store(_cholesky(begun, d), "mcd")
     paths.append(path)
-    return started
+    return started, few
 
 
-def _concentrate(rows: DataFrame, estimates: DataFrame, d: int, share: float, paths: list[str]) -> DataFrame:
+def _concentrate(rows: DataFrame, estimates: DataFrame, d: int, share: float, few: bool, paths: list[str]) -> DataFrame:
     """One concentration step of every group and start; ``fell`` is by how much half the determinant's logarithm fell."""
     keys = [*KEYS, "start"]
-    near = _join(rows, estimates).select(*KEYS, F.col("e_start").alias("start"), _distance("x", "e_").alias("d2"))
-    both = _keyed(estimates, _grouped(near, F.col("d2"), share, "cut", keys), keys)
-    near = _join(rows, both).withColumn("start", F.col("e_start")).filter(_distance("x", "e_") <= F.col("e_cut"))
+    near = _join(rows, estimates, few).select(*KEYS, F.col("e_start").alias("start"), _distance("x", "e_").alias("d2"))
+    both = _keyed(estimates, _grouped(near, F.col("d2"), share, "cut", keys), keys, few)
+    near = _join(rows, both, few).withColumn("start", F.col("e_start")).filter(_distance("x", "e_") <= F.col("e_cut"))
     lower = [(i, j) for i in range(d) for j in range(i + 1)]
     sums = near.groupBy(*keys).agg(
         F.first("e_rows").alias("rows"), F.first(_log_det(d, "e_")).alias("before"), *[F.expr(f"avg(x{i}) AS m{i}") for i in range(d)],
@@ -211,11 +219,11 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, d: int, share: float, pa
     return new
 
 
-def _shrunk(estimates: DataFrame, values: list[str], prior_rows: float) -> DataFrame:
+def _shrunk(estimates: DataFrame, values: list[str], prior_rows: float, few: bool) -> DataFrame:
     """KEYS, rows and ``values`` moved toward the language's own ones, and these toward those of all rows, by n / (n + prior_rows)."""
     def toward(level: int, parent: DataFrame, same: Column) -> DataFrame:
         moved = [f"(a.rows * a.{v} + {float(prior_rows)}D * b.{v}) / (a.rows + {float(prior_rows)}D) AS {v}" for v in values]
-        return estimates.filter(F.col("level") == level).alias("a").join(parent.alias("b"), same).selectExpr(
+        return estimates.filter(F.col("level") == level).alias("a").join(_sent(parent, few).alias("b"), same).selectExpr(
             *[f"a.{c}" for c in KEYS], "a.rows", *moved)
 
     top = estimates.filter("level = 2").select(*KEYS, "rows", *values)
@@ -239,51 +247,55 @@ def fit(stats: DataFrame, share: float = 0.75, prior_rows: float = 50.0, most_st
         "g.lang", "g.source", "g.level", *[F.col("x")[i].alias(f"x{i}") for i in range(d)])
     paths: list[str] = []
 
-    estimates = _starts(rows, d, paths)
+    estimates, few = _starts(rows, d, paths)
     for _ in range(2):
-        estimates = _concentrate(rows, estimates, d, share, paths)
+        estimates = _concentrate(rows, estimates, d, share, few, paths)
     # the start with the smallest determinant goes on; of equal ones the first
     best = F.struct(F.round(_log_det(d), 6).alias("log_det"), F.col("start"))
     least = estimates.groupBy(*KEYS).agg(F.min(best).alias("best"))
-    estimates, path = store(estimates.alias("a").join(
+    estimates, path = store(_sent(estimates, few).alias("a").join(
         least.alias("b"), _same("a.", "b.", KEYS) & (F.col("a.start") == F.col("b.best.start"))).select("a.*"), "mcd")
     paths.append(path)
     for _ in range(most_steps - 2):
         if (estimates.agg(F.max("fell")).first()[0] or 0.0) < 0.01:
             break
-        estimates = _concentrate(rows, estimates, d, share, paths)
+        estimates = _concentrate(rows, estimates, d, share, few, paths)
 
     own = estimates.select(*KEYS, _log_det(d).alias("log_det"))
     moments = [*[f"m{i}" for i in range(d)], *[f"c{i}{j}" for i in range(d) for j in range(i + 1)]]
-    shrunk, path = store(_cholesky(_shrunk(estimates, moments, prior_rows), d), "mcd")
+    shrunk, path = store(_cholesky(_shrunk(estimates, moments, prior_rows, few), d), "mcd")
     paths.append(path)
-    near = _join(rows, shrunk).select(*KEYS, _distance("x", "e_").alias("d2"))
+    near = _join(rows, shrunk, few).select(*KEYS, _distance("x", "e_").alias("d2"))
     cut = _grouped(near, F.col("d2"), 0.5, "cut", KEYS)
-    scaled = _keyed(shrunk, cut, KEYS).withColumn("log_scale", F.log(F.greatest(F.col("cut") / CHI2_MEDIAN, F.lit(1.0))))
-    scales = _shrunk(scaled, ["log_scale"], prior_rows)
-    final = shrunk.alias("a").join(scales.alias("s"), _same("a.", "s.", KEYS)).join(own.alias("o"), _same("a.", "o.", KEYS))
+    log_scale = F.log(F.greatest(F.col("cut") / CHI2_MEDIAN, F.lit(1.0)))
+    scaled, path = store(_keyed(shrunk, cut, KEYS, few).withColumn("log_scale", log_scale), "mcd")  # read for every level
+    paths.append(path)
+    scales = _shrunk(scaled, ["log_scale"], prior_rows, few)
+    final = shrunk.alias("a").join(_sent(scales, few).alias("s"), _same("a.", "s.", KEYS)).join(
+        _sent(own, few).alias("o"), _same("a.", "o.", KEYS))
     estimates, path = store(final.select("a.*", F.exp("s.log_scale").alias("scale"), "o.log_det"), "mcd")
     for old in paths:
         drop_scratch(stats.sparkSession, old)
     return estimates
 
 
-def _keyed(estimates: DataFrame, cut: DataFrame, keys: list[str]) -> DataFrame:
+def _keyed(estimates: DataFrame, cut: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """``estimates`` with the column ``cut`` of the same group."""
-    return estimates.alias("a").join(cut.alias("b"), _same("a.", "b.", keys)).select("a.*", "b.cut")
+    return _sent(estimates, few).alias("a").join(cut.alias("b"), _same("a.", "b.", keys)).select("a.*", "b.cut")
 
 
 def judge(rows: DataFrame, estimates: DataFrame, x: list[Column], cutoff: float = CUTOFF) -> DataFrame:
     """``rows`` (with lang and source) plus ``outlier``: the distance in the row's own group, else language, else in all rows."""
     d = len(FEATURES)
+    few = estimates.count() <= SENT
     fields = ["scale", *[f"m{i}" for i in range(d)], *[f"w{i}{j}" for i in range(d) for j in range(i + 1)]]
     packed = F.struct(*[F.col(c) for c in fields])
     own = estimates.filter("level = 0").select(F.col("lang").alias("_l0"), F.col("source").alias("_s0"), packed.alias("_e0"))
     wide = estimates.filter("level = 1").select(F.col("lang").alias("_l1"), packed.alias("_e1"))
-    out = rows.join(own, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")), "left")
+    out = rows.join(_sent(own, few), F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")), "left")
     last = estimates.filter("level = 2").select(*fields).first()  # the one row over all rows; none without sound rows
     every = [F.struct(*[F.lit(last[c]).alias(c) for c in fields])] if last else []
-    out = out.join(wide, F.col("lang").eqNullSafe(F.col("_l1")), "left").withColumn("_e", F.coalesce("_e0", "_e1", *every))
+    out = out.join(_sent(wide, few), F.col("lang").eqNullSafe(F.col("_l1")), "left").withColumn("_e", F.coalesce("_e0", "_e1", *every))
     out = out.withColumns({f"_x{i}": v for i, v in enumerate(x)}).withColumn("distance", _distance("_x", "_e.") / F.col("_e.scale"))
     return out.withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False))).drop(
         "_l0", "_s0", "_e0", "_l1", "_e1", "_e", *[f"_x{i}" for i in range(d)])
