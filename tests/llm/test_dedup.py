@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyspark.llm import jaccard_join, repeats
+from tallyspark.llm import jaccard_join, repeats, substring_dedup
 from tallyspark.llm.components import components
 from tallyspark.llm.exact_dedup import dedup_verdicts, exact_dedup
 from tallyspark.llm.hot import salted
@@ -251,3 +251,62 @@ def test_keep_one_follows_each_text_of_a_repeated_id(spark, documents):
     assert kept.columns == documents(rows).columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([
         (1, text), (2, "another text of its own with enough words"), (0, text)])
+
+
+def test_substring_dedup_holds_no_map_of_all_words(spark, documents, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 700, 10**9)) for i in range(60)]
+    rows += [(100 + i, f"{prose(rng, 40, 10**9)} {rows[i][1]}") for i in range(4)]
+    sizes, build = [], repeats.build
+    monkeypatch.setattr(repeats, "build", lambda df, keys, n, *args, **named: sizes.append(n) or build(df, keys, n, *args, **named))
+    got = sorted(map(tuple, remove_repeats(documents(rows).repartition(3)).collect()))
+    assert got == sorted(cut_repeats(rows))
+    assert sizes and max(sizes) <= 4  # of the rows that lose words, however many words there are
+
+
+def test_substring_dedup_deals_windows_in_packed_rows(spark, documents):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 500, 10**9)) for i in range(50)]
+    # the same passage in all of one task's rows, and a text that repeats itself, are sent on once
+    rows += [(100 + i, rows[0][1]) for i in range(10)] + [(200, "same " * 3000)]
+    marked = documents(rows).coalesce(1).select("doc_id", "text", F.lit(1).alias("mark"))
+    dealt = substring_dedup._dealt(marked, 16, np.empty(0, dtype=np.uint64)).collect()
+    assert len(dealt) <= 17
+    assert sum(len(r.hashes) for r in dealt) == 8 * (50 * 488 + 1)
+    own = [r for r in dealt if r.bucket < 0]
+    assert len(own) == 1 and set(own[0].ids) == {100 + i for i in range(10)} and not own[0].hashes
+
+
+def test_substring_dedup_spreads_a_common_anchor(spark, documents):
+    rng = random.Random(9)
+    line = prose(rng, 9, 10**9)
+    rows = [(i, f"{prose(rng, 12, 10**9)} {line} {prose(rng, 12, 10**9)}") for i in range(600)]
+    marked = documents(rows).repartition(2).select("doc_id", "text", F.lit(1).alias("mark"))
+    common = substring_dedup._common(marked, 600, 40)
+    assert 0 < len(common) <= 3
+
+    def largest(anchors):
+        sizes = [0] * 40
+        for r in substring_dedup._dealt(marked, 40, anchors).collect():
+            sizes[r.bucket] += len(r.hashes) // 8
+        assert sum(sizes) == 600 * 21
+        return max(sizes) * 40 / sum(sizes)
+
+    assert largest(np.empty(0, dtype=np.uint64)) > 5 and largest(common) < 2
+
+
+def test_substring_dedup_of_odd_rows_in_many_buckets(spark, documents):
+    rng = random.Random(10)
+    line, passage = prose(rng, 20, 10**9), prose(rng, 40, 10**9)
+    rows = [(i, f"{prose(rng, 60)} {line} {prose(rng, 60)}") for i in range(300)]
+    rows += [(None, f"{passage} {prose(rng, 20)} {passage}"), (None, passage), (None, "same " * 200),
+             (900, f"{passage} {passage} {prose(rng, 20)} {passage}"), (901, f"x {passage} y {passage}"),
+             (900, f"{passage} again {prose(rng, 400)}"), (900, f"{passage} again"), (902, "same " * 300), (902, "same " * 300),
+             (903, "same " * 20), (904, " ".join([line] * 30)), (2**63 - 1, passage), (-5, prose(rng, 300) + " " + "same " * 14)]
+    for _ in range(2):
+        rng.shuffle(rows)
+        df = documents(rows).repartition(5)
+        assert sorted(map(tuple, remove_repeats(df).collect()), key=str) == sorted(cut_repeats(rows), key=str)
+    named = [(None if d is None else f"{d + 6:020d}", t) for d, t in rows]
+    df = spark.createDataFrame(named, "id string, body string").repartition(5)
+    assert sorted(map(tuple, remove_repeats(df, "id", "body").collect()), key=str) == sorted(cut_repeats(named), key=str)
